@@ -7,17 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import quality, secrets
+from lexforge.llm import media, quality, secrets, sentencepiece, tokencount
 from lexforge.llm.common import table
 from lexforge.llm.sql import ORACLES
 
+#: The tokenizer files' folder; None: that of the installed package.
+TOKENIZERS = None
+TOKEN_LIMIT = 2048
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer(name: str) -> str:
+    """A tokenizer file's path, the same on all machines."""
+    if TOKENIZERS:
+        return f"{TOKENIZERS}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.described(media.store(table(spark, sf_dir, "documents"))).withColumnRenamed("key", "doc_id")
+
+
+def op3_sentencepiece_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model")).withColumnRenamed("key", "doc_id")
+
+
 def op4_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
 
 
+def op6_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), TOKEN_LIMIT).withColumnRenamed("key", "doc_id")
+
+
 def op10_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     names = F.array(*[F.lit(r.kind) for r in secrets.RULES])
@@ -27,7 +52,7 @@ def op10_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), *map(count, range(len(secrets.BASE))), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_quality_cascade, op10_secret_spans)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_telephony_audio, op3_sentencepiece_prefix_table, op4_quality_cascade, op6_whole_token_counts, op10_secret_spans)}
 
 
 def queries() -> dict[str, Query]:
