@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import media, quality, secrets, sentencepiece, tokencount
+from lexforge.llm import factorisation, media, packing, quality, secrets, sentencepiece, tokencount
 from lexforge.llm.common import table
 from lexforge.llm.sql import ORACLES
 
@@ -43,6 +43,14 @@ def op6_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), TOKEN_LIMIT).withColumnRenamed("key", "doc_id")
 
 
+def op8_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
+def op9_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factorisation.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("key", "doc_id")
+
+
 def op10_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     names = F.array(*[F.lit(r.kind) for r in secrets.RULES])
@@ -52,7 +60,7 @@ def op10_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), *map(count, range(len(secrets.BASE))), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_telephony_audio, op3_sentencepiece_prefix_table, op4_quality_cascade, op6_whole_token_counts, op10_secret_spans)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_telephony_audio, op3_sentencepiece_prefix_table, op4_quality_cascade, op6_whole_token_counts, op8_length_buckets, op9_factorisation_machine, op10_secret_spans)}
 
 
 def queries() -> dict[str, Query]:
