@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import factorisation, media, packing, quality, secrets, sentencepiece, tokencount
-from lexforge.llm.common import table
+from lexforge.llm import factorisation, media, packing, quality, secrets, sentencepiece, tokencount, warc
+from lexforge.llm.common import shared_dir, table
 from lexforge.llm.sql import ORACLES
 
 #: The tokenizer files' folder; None: that of the installed package.
@@ -27,6 +27,13 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark)
+    warc.write(table(spark, sf_dir, "pages"), path)
+    found = warc.read(warc.load(spark, path), payloads=False).filter("record_type is not null")
+    return found.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.described(media.store(table(spark, sf_dir, "documents"))).withColumnRenamed("key", "doc_id")
 
@@ -60,7 +67,7 @@ def op10_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), *map(count, range(len(secrets.BASE))), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_telephony_audio, op3_sentencepiece_prefix_table, op4_quality_cascade, op6_whole_token_counts, op8_length_buckets, op9_factorisation_machine, op10_secret_spans)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc_salvage, op2_telephony_audio, op3_sentencepiece_prefix_table, op4_quality_cascade, op6_whole_token_counts, op8_length_buckets, op9_factorisation_machine, op10_secret_spans)}
 
 
 def queries() -> dict[str, Query]:

@@ -43,4 +43,14 @@ FROM d LEFT JOIN g USING (k)
 """
 
 
-ORACLES = {"op4_quality_cascade": _quality(), "op10_secret_spans": _secrets()}
+#: DuckDB's length of a blob is octet_length.
+_WARC = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+q AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS digest FROM p),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS response FROM q)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id <> response THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 1000 AND page_id <> response THEN response END AS refers_to
+FROM r
+"""
+
+ORACLES = {"op1_warc_salvage": _WARC, "op4_quality_cascade": _quality(), "op10_secret_spans": _secrets()}
