@@ -53,4 +53,16 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
 FROM r
 """
 
-ORACLES = {"op1_warc_salvage": _WARC, "op4_quality_cascade": _quality(), "op10_secret_spans": _secrets()}
+_SUBSTRING = rf"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS k, doc_id, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS words FROM ({_BODY})),
+w AS (SELECT k, doc_id, unnest(range(len(words) - 19)) AS i, words FROM d WHERE len(words) >= 20),
+g AS (SELECT k, doc_id, i, array_to_string(words[i + 1 : i + 20], ' ') AS gram FROM w),
+f AS (SELECT k, i, row_number() OVER (PARTITION BY gram ORDER BY doc_id, i) AS nth FROM g),
+gone AS (SELECT DISTINCT k, i + j AS i FROM f, range(20) AS t(j) WHERE nth > 1),
+x AS (SELECT k, words[i + 1] AS word, i FROM d, LATERAL (SELECT unnest(range(len(words))) AS i)),
+kept AS (SELECT x.k, string_agg(word, ' ' ORDER BY x.i) AS text, count(*) AS n FROM x ANTI JOIN gone ON x.k = gone.k AND x.i = gone.i GROUP BY x.k)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (k)
+"""
+
+ORACLES = {"op5_recompression_dedup": _SUBSTRING, "op1_warc_salvage": _WARC, "op4_quality_cascade": _quality(), "op10_secret_spans": _secrets()}
