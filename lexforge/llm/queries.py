@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import factorisation, media, packing, quality, secrets, sentencepiece, substring, tokencount, warc
+from lexforge.llm import factorisation, jaccard, media, packing, quality, secrets, sentencepiece, substring, tokencount, warc
 from lexforge.llm.common import shared_dir, table
 from lexforge.llm.sql import ORACLES
 
@@ -54,6 +54,10 @@ def op6_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), TOKEN_LIMIT).withColumnRenamed("key", "doc_id")
 
 
+def op7_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
 def op8_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
 
@@ -71,7 +75,7 @@ def op10_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), *map(count, range(len(secrets.BASE))), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc_salvage, op2_telephony_audio, op3_sentencepiece_prefix_table, op4_quality_cascade, op5_recompression_dedup, op6_whole_token_counts, op8_length_buckets, op9_factorisation_machine, op10_secret_spans)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc_salvage, op2_telephony_audio, op3_sentencepiece_prefix_table, op4_quality_cascade, op5_recompression_dedup, op6_whole_token_counts, op7_chosen_path_join, op8_length_buckets, op9_factorisation_machine, op10_secret_spans)}
 
 
 def queries() -> dict[str, Query]:

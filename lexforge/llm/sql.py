@@ -65,4 +65,15 @@ SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(kept.n, 0))
 FROM d LEFT JOIN kept USING (k)
 """
 
-ORACLES = {"op5_recompression_dedup": _SUBSTRING, "op1_warc_salvage": _WARC, "op4_quality_cascade": _quality(), "op10_secret_spans": _secrets()}
+_JACCARD = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id) AS k, doc_id, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS words FROM ({_BODY})),
+g AS (SELECT DISTINCT k, array_to_string(words[i + 1 : i + 5], ' ') AS gram FROM (SELECT k, words, unnest(range(greatest(len(words) - 4, 1))) AS i FROM d WHERE len(words) > 0)),
+n AS (SELECT k, count(*) AS size FROM g GROUP BY k),
+c AS (SELECT a.k AS a, b.k AS b, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.k <> b.k GROUP BY a.k, b.k),
+e AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE 5 * common >= 4 * (x.size + y.size - common)),
+r AS (SELECT k AS a, k AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT d.doc_id, m.class_id, (SELECT count(*) FROM e WHERE e.a = d.k)::BIGINT AS n_links
+FROM d JOIN (SELECT r.a, min(x.doc_id) AS class_id FROM r JOIN d x ON x.k = r.b GROUP BY r.a) m ON m.a = d.k
+"""
+
+ORACLES = {"op7_chosen_path_join": _JACCARD, "op5_recompression_dedup": _SUBSTRING, "op1_warc_salvage": _WARC, "op4_quality_cascade": _quality(), "op10_secret_spans": _secrets()}
