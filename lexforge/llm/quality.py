@@ -34,8 +34,8 @@ class Rule:
 
 
 RULES = (
-    Rule("symbols", "2 * n_symbols > n_words"),
-    Rule("repeated_lines", "10 * n_dup_lines > 3 * length(body) - 3 * length(replace(body, '\n', '')) + 3"),
+    Rule("symbols", "4 * n_symbols > n_words"),
+    Rule("repeated_lines", "n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * (length(body) - length(replace(body, '\n', '')) + 1)"),
     Rule("short_words", "word_chars < 2 * n_words"),
     Rule("long_words", "word_chars > 25 * n_words"),
     Rule("capitals", "2 * regexp_count(body, '[A-Z]') > word_chars"),
