@@ -89,14 +89,20 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")))
 
 
-def order_rules(measured: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds, share rejected), best rejection per second first; from sample_rows rows at most."""
-    sample = measured.filter(~F.col("base_failed")).limit(sample_rows).persist()
+def order_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
+    """(rule, seconds, share rejected), best rejection per second first.
+
+    The sample is the first sample_rows texts that Spark comes by: as many partitions as that takes are read, no more.
+    It only orders the rules; it never decides about a text.
+    """
+    spark = docs.sparkSession
+    texts = [r[0] or "" for r in docs.select(F.col(text)).limit(sample_rows).collect()]
+    if not texts:
+        return [(r, 0.0, 0.0) for r in rules]
+    rows = spark.sql("SELECT 0 AS key, explode(:texts) AS text", args={"texts": texts})
+    sample = measure(rows, "key").filter(~F.col("base_failed")).persist()
     try:
-        n = sample.count()
-        if not n:
-            return [(r, 0.0, 0.0) for r in rules]
-        found = []
+        n, found = max(sample.count(), 1), []
         for rule in rules:
             began = time.perf_counter()
             hits = sample.agg(F.count_if(F.expr(rule.rejects)).alias("n")).first()["n"]
@@ -116,9 +122,8 @@ def verdict(rules: list[Rule]) -> Column:
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """key, the measures, base_failed and kept of every row of docs."""
-    measured = measure(docs, key, text)
-    order = [r for r, _, _ in order_rules(measured, rules)]
-    return measured.withColumn("kept", verdict(order)).drop("body")
+    order = [r for r, _, _ in order_rules(docs, text, rules)]
+    return measure(docs, key, text).withColumn("kept", verdict(order)).drop("body")
 
 
 def apply_quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -126,5 +131,5 @@ def apply_quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
     names = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in names])
     judged = measure(docs.select(row.alias("row"), F.col(text).alias("text")), "row", "text")
-    order = [r for r, _, _ in order_rules(judged, rules)]
+    order = [r for r, _, _ in order_rules(docs, text, rules)]
     return judged.filter(verdict(order)).select([F.col(f"key.`{c}`") for c in names])

@@ -1 +1,7 @@
+"""The registered queries and their DuckDB SQL."""
 
+from lexforge.plans import preparation, verification
+
+_MODULES = (preparation, verification)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
