@@ -354,4 +354,4 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs whose key is the least of their group, with all their columns. Rows that share that key stay."""
     found = join(docs, key, text).filter(F.col("class_id").eqNullSafe(F.col("key"))).select(F.col("key").alias("kept_key")).distinct()
-    return docs.join(found, docs[key].eqNullSafe(F.col("kept_key")), "left_semi")
+    return docs.join(found, docs[key].eqNullSafe(found["kept_key"]), "left_semi")

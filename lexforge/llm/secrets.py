@@ -207,12 +207,12 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tupl
     Overlapping spans are replaced as one. Other columns and the order of columns stay.
     """
     grams = vocabulary(rules)
-    may = candidates(postings(docs, grams, key, text), grams, rules).withColumnRenamed("key", "__found_key")
-    joined = docs.join(may, docs[key].eqNullSafe(F.col("__found_key")), "left")
-    spans = verify(F.col(text), F.coalesce(F.col("may"), F.lit(0)), rules)
+    may = candidates(postings(docs, grams, key, text), grams, rules)
+    joined = docs.join(may, docs[key].eqNullSafe(may["key"]), "left")
+    spans = verify(docs[text], F.coalesce(may["may"], F.lit(0)), rules)
 
     def cut(s: Column) -> Column:
-        body = F.col(text)
+        body = docs[text]
         start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
         def step(a: Column, x: Column) -> Column:
@@ -224,5 +224,5 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tupl
         tail = lambda a: F.concat(a.getField("out"), F.substring(body, a.getField("at") + 1, F.length(body)))
         return F.when(F.size(s) == 0, body).otherwise(F.aggregate(s, start, step, tail))
 
-    out = F.when(F.col(text).isNull(), F.col(text)).otherwise(let(spans, cut))
+    out = F.when(docs[text].isNull(), docs[text]).otherwise(let(spans, cut))
     return joined.select(*[(out.alias(c) if c == text else docs[c]) for c in docs.columns])
