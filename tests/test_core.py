@@ -281,3 +281,36 @@ def test_streams(spark, tmp_path):
 
 def test_every_query_has_a_name_and_most_an_oracle():
     assert set(ORACLES) <= set(QUERIES) and len(QUERIES) >= 90 and len(QUERIES) - len(ORACLES) <= 8
+
+
+# ---- engine
+
+
+def test_analyze(spark):
+    from lexforge.plans import engine
+
+    claim = "The city council of Springfield approved a budget of 40 million dollars in March"
+    index = spark.createDataFrame([
+        (1, claim + " said officials", None, "https://reuters.com/a", "r", "2020-03-01"), (2, "Officials said " + claim, None, "https://bbc.com/b", "b", "2020-03-02"), (3, claim + " report", None, "https://apnews.com/c", "a", "2020-03-03"),
+        (4, "Martians landed near the old lighthouse yesterday evening according to sailors", "Pants on Fire", "https://www.snopes.com/d", "s", "2020-01-01"), (5, "Unrelated text about gardening and flowers", None, "https://x.org", "x", None),
+    ], "record_id long, text string, rating string, url string, source string, date string")
+    inputs = spark.createDataFrame([
+        (1, "headline", claim, None, None, "2020-03-05"), (2, "headline", "Martians landed near the old lighthouse yesterday evening according to sailors", None, None, "2020-03-05"), (3, "headline", "BREAKING " + claim, None, None, "2021-03-05"),
+        (4, "article", "Nothing known", "Some words that nobody has ever written about at all today.", "http://theonion.com/x", None), (5, "article", None, "Esto es una frase en español más larga que otras que se ve aquí y allí", None, None), (6, "article", "Obscure topic", "The zebra painted quantum violins beneath seven improbable mountains.", None, None), (7, "article", None, None, None, None),
+    ], "input_id long, input_type string, title string, text string, url string, published string")
+    got = {r["input_id"]: r for r in engine.analyze(inputs, index).collect()}
+    assert {k: (r["rule"], r["verdict"]) for k, r in got.items()} == {1: ("R7", "REAL"), 2: ("R2", "FAKE"), 3: ("R4", "MISLEADING"), 4: ("R0", "FAKE"), 5: ("LANG", "UNVERIFIABLE"), 6: ("R1", "UNVERIFIABLE"), 7: ("R1", "UNVERIFIABLE")}
+    assert all(r["explanation"] and r["uncertainty"] for k, r in got.items() if k != 7) and "3 reliable sources" in got[1]["explanation"]
+    none = {r["input_id"]: r["rule"] for r in engine.analyze(inputs, index, use_evidence=False).collect()}
+    assert none[1] == none[2] == "R1"
+    guarded = {r["input_id"]: r["rule"] for r in engine.analyze(inputs, index, excluded=spark.createDataFrame([("http://snopes.com/d/?x",)], "url string")).collect()}
+    assert guarded[2] == "R1" and engine.health(spark).first()["status"] == "ok" and engine.config(spark).count() > 10
+    assert engine.explain(spark.createDataFrame([(1, "WOW!!! this is PLAIN")], "id int, text string"), "id").count() == 4
+
+
+def test_claims(spark):
+    from lexforge.plans import engine
+
+    text = "The mayor said that 300 people met Anna Smith in the hall. Is it true that anybody came? I think we should go to the park. Too short here. The mayor said that 300 people met Anna Smith in the hall!"
+    rows = engine.identify_claims(spark.createDataFrame([(1, "article", "A title", text), (2, "article", None, "One sentence only")], "input_id long, input_type string, title string, text string")).orderBy("input_id", "claim_no").collect()
+    assert [(r["input_id"], r["claim"][:9], r["is_title"]) for r in rows] == [(1, "A title", True), (1, "The mayor", False), (1, "I think w", False), (2, "One sente", False)] and rows[3]["score"] == 1.0
