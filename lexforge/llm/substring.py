@@ -9,10 +9,12 @@ context: the stretch of words that its being there depends on.
 A window of WINDOW words is known by an anchor: of the symbols whose context lies inside it, on the highest level that
 has one, that of the least name. Equal windows have equal anchors. The work goes in four steps:
 
-1. Every run of windows with the same anchor gives one row (anchor, document, windows).
-2. Anchors that occur once are dropped: their windows occur once. What is left is gathered by document.
-3. The windows left are verified: by 128-bit fingerprints of their words the first occurrence is found, and later ones
-   are marked.
+1. Every run of windows with the same anchor gives one row (anchor, stretch, document, windows); the stretch is a
+   fingerprint of all words that the run's windows cover.
+2. Anchors that occur once are dropped: their windows occur once.
+3. Of equal stretches all but the first are marked as a whole. Windows of the first ones can only recur where an anchor
+   has two or more different stretches; those are verified window by window with 128-bit fingerprints, and
+   all but the first occurrence of each are marked.
 4. Words covered by marked windows are removed.
 
 All steps deal by anchor, fingerprint or document, with counts combined before the exchange and joins whose
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import materialize, slices
+from lexforge.llm.common import discard, materialize, slices
 
 WINDOW, ROUNDS, SLICE_CHARS, MOST_WORDS = 20, 3, 2 << 20, 500_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -179,17 +181,19 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def anchor_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(anchor, key, first, n) of every run of windows."""
+    """(anchor, stretch, key, first, n) of every run of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for low, _, texts in _sliced(b):
                 _, names, starts = words_of(texts)
                 k, owner, first, n = anchors(names, starts, window)
-                yield pa.RecordBatch.from_arrays([_signed(k), b.column(0).take(pa.array(owner + low)), pa.array(first, pa.int32()), pa.array(n, pa.int32())], ["anchor", "key", "first", "n"])
+                at = first + starts[owner]
+                stretch = Prefix(names, 1).of(at, at + n + window - 1)
+                yield pa.RecordBatch.from_arrays([_signed(k), _signed(stretch), b.column(0).take(pa.array(owner + low)), pa.array(first, pa.int32()), pa.array(n, pa.int32())], ["anchor", "stretch", "key", "first", "n"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return _rows(docs, key, text).mapInArrow(run, f"anchor long, key {kind}, first int, n int")
+    return _rows(docs, key, text).mapInArrow(run, f"anchor long, stretch long, key {kind}, first int, n int")
 
 
 def window_rows(docs: DataFrame, runs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -221,25 +225,42 @@ def window_rows(docs: DataFrame, runs: DataFrame, key: str = "doc_id", text: str
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(key, marked array<struct<pos, h1>>): the windows of each document that occur earlier. One row a document that has some."""
+    """(key, marked array<struct<first, n, h>>): the windows of each document that occur earlier, as runs with the fingerprint
+    of the words they cover. One row a document that has some."""
     named = materialize(anchor_rows(docs, key, text, window))
-    again = materialize(named.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
-    runs = named.join(again, "anchor", "left_semi").groupBy("key").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
-    windows = materialize(window_rows(docs, materialize(runs), key, text, window))
+    again = materialize(named.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor"))
+    runs = materialize(named.join(again, "anchor", "left_semi"))
+    discard(named, again)
+    earliest = F.min(F.struct("key", "first")).alias("earliest")
+    stretches = materialize(runs.groupBy("anchor", "stretch").agg(earliest, F.count("*").alias("c"), F.first("n").alias("n")))
+    # runs that copy an earlier one
+    copied = stretches.filter("c > 1").select("anchor", "stretch", "earliest")
+    later = runs.join(copied, ["anchor", "stretch"]).filter(~(F.col("key").eqNullSafe(F.col("earliest.key")) & (F.col("first") == F.col("earliest.first"))))
+    later = materialize(later.select("key", "first", "n", F.col("stretch").alias("h")))
+    # first runs whose windows may recur in another stretch
+    varied = materialize(stretches.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select("anchor"))
+    open_ = stretches.join(varied, "anchor", "left_semi").select("earliest.key", "earliest.first", "n")
+    open_ = materialize(open_.groupBy("key").agg(F.collect_list(F.struct("first", "n")).alias("runs")))
+    discard(runs, stretches, varied)
+    windows = materialize(window_rows(docs, open_, key, text, window))
     earliest = F.min(F.struct("key", "pos")).alias("earliest")
-    firsts = materialize(windows.groupBy("h1", "h2").agg(earliest, F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "earliest"))
-    later = windows.join(firsts, ["h1", "h2"]).filter(~(F.col("key").eqNullSafe(F.col("earliest.key")) & (F.col("pos") == F.col("earliest.pos"))))
-    return materialize(later.groupBy("key").agg(F.collect_list(F.struct("pos", "h1")).alias("marked")))
+    firsts = materialize(windows.groupBy("h1", "h2").agg(earliest, F.count("*").alias("c")).filter("c > 1").select("h1", "h2", "earliest"))
+    single = windows.join(firsts, ["h1", "h2"]).filter(~(F.col("key").eqNullSafe(F.col("earliest.key")) & (F.col("pos") == F.col("earliest.pos"))))
+    marked = later.unionByName(single.select("key", F.col("pos").alias("first"), F.lit(1).alias("n"), F.col("h2").alias("h")))
+    marked = materialize(marked.groupBy("key").agg(F.collect_list(F.struct("first", "n", "h")).alias("marked")))
+    discard(later, open_, windows, firsts)
+    return marked
 
 
-def removed(names: np.ndarray, pos: np.ndarray, h1: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Which words of a text are covered by its marked windows."""
+def removed(names: np.ndarray, first: np.ndarray, n: np.ndarray, h: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Which words of a text are covered by its marked runs. Runs that belong to another row with its key don't fit and are left out."""
     delta = np.zeros(len(names) + 1, np.int64)
-    own = (pos >= 0) & (pos <= len(names) - window)
-    pos, h1 = pos[own].astype(np.int64), h1[own]
-    pos = pos[Prefix(names, 0).of(pos, pos + window).view(np.int64) == h1]
-    np.add.at(delta, pos, 1)
-    np.add.at(delta, pos + window, -1)
+    first, end = first.astype(np.int64), first.astype(np.int64) + n + window - 1
+    own = (first >= 0) & (end <= len(names))
+    first, end, h = first[own], end[own], h[own]
+    fits = Prefix(names, 1).of(first, end).view(np.int64) == h
+    np.add.at(delta, first[fits], 1)
+    np.add.at(delta, end[fits], -1)
     return np.cumsum(delta[:-1]) > 0
 
 
@@ -257,7 +278,7 @@ def _cut(b: pa.RecordBatch, texts: list[str | None], low: int) -> Iterator[tuple
             yield words, None
             continue
         names = np.fromiter(map(_names.__getitem__, words), np.uint64, len(words))
-        yield words, removed(names, *(marks.values.field(c).to_numpy() for c in (0, 1)))
+        yield words, removed(names, *(marks.values.field(c).to_numpy() for c in range(3)))
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
