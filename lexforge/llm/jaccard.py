@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import materialize
+from lexforge.llm.common import materialize, scratch
 from lexforge.llm.substring import Prefix, _sliced, mix, words_of
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5  # at least 4/5
@@ -330,6 +330,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, class_id, n_links) of every row: the least key of its group, and how many other rows are as similar as the threshold."""
+    with scratch() as keep:
+        rows, known = _classes(docs, key, text)
+        keep(rows)
+        keep(known)
+    out = rows.select("key", "fp").join(known, F.col("fp") == F.col("class_fp"), "left")
+    return out.select("key", F.coalesce("class_id", "key").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with their fingerprints, and (class_fp, class_id, n_links)."""
     rows = materialize(_set_rows(docs, key, text))
     own = [F.min("key").alias("rep"), F.count("*").alias("n_docs"), F.first("size").alias("size"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch")]
     classes = materialize(rows.filter("fp is not null").groupBy("fp").agg(*own))
@@ -346,9 +356,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     named = linked.join(materialize(linked.groupBy("label").agg(F.min("rep").alias("least"))), "label").select("fp", "least")
     known = classes.select("fp", "rep", "n_docs").join(named, "fp", "left").join(links, "fp", "left")
     known = known.select(F.col("fp").alias("class_fp"), F.coalesce("least", "rep").alias("class_id"), (F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    known = materialize(known)
-    out = rows.select("key", "fp").join(known, F.col("fp") == F.col("class_fp"), "left")
-    return out.select("key", F.coalesce("class_id", "key").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return rows, materialize(known)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
