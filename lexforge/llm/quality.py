@@ -99,8 +99,7 @@ def order_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
     texts = [r[0] or "" for r in docs.select(F.col(text)).limit(sample_rows).collect()]
     if not texts:
         return [(r, 0.0, 0.0) for r in rules]
-    rows = spark.sql("SELECT 0 AS key, explode(:texts) AS text", args={"texts": texts})
-    sample = measure(rows, "key").filter(~F.col("base_failed")).persist()
+    sample = measure(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "key int, text string"), "key").filter(~F.col("base_failed")).persist()
     try:
         n, found = max(sample.count(), 1), []
         for rule in rules:
