@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
@@ -41,6 +42,12 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.str.normalize("NFKC")
 
 
+@F.pandas_udf(StringType())
+def unaccented(texts: pd.Series) -> pd.Series:
+    """Without combining marks, in the compatibility form, for which Spark has no function."""
+    return texts.str.normalize("NFKD").map(lambda t: t if t is None or t.isascii() else "".join(c for c in t if not unicodedata.combining(c)))
+
+
 def unquoted(text: Column) -> Column:
     """Typographic quotes, dashes and the hard space in their plain forms."""
     one = {k: v for k, v in QUOTES.items() if len(v) == 1}

@@ -122,10 +122,6 @@ def length_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- features
 
 
-def _tf(spark: SparkSession, sf_dir: str, n: int = 1) -> DataFrame:
-    return T.term_counts(_docs(spark, sf_dir).filter("doc_id % 4 = 0").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", "text", n)
-
-
 def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = d.count()
@@ -155,6 +151,35 @@ n AS (SELECT count(*) AS n FROM documents),
 v AS (SELECT term, df, ln((1 + n) / (1 + df)::DOUBLE) + 1 AS idf FROM (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1), n WHERE df >= 2 AND df <= 0.95 * n ORDER BY total DESC, term LIMIT 20000),
 r AS (SELECT doc, term, (1 + ln(tf)) * idf AS raw FROM tf JOIN v USING (term)), w AS (SELECT doc, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc)) AS w FROM r)"""
 
+#: The same of 1-2-grams without accents and of MAX_FEATURES terms.
+_TFIDF_FULL = f"""
+u AS (SELECT doc_id AS doc, {_TOK.replace("lower(text)", "strip_accents(lower(coalesce(text, '')))")} AS u FROM documents),
+t AS (SELECT doc, unnest(u) AS term FROM u UNION ALL SELECT doc, u[i] || ' ' || u[i + 1] FROM (SELECT doc, u, unnest(range(1, len(u))) AS i FROM u)), """ + _TFIDF[_TFIDF.index("tf AS") :].replace("LIMIT 20000", f"LIMIT {T.MAX_FEATURES}")
+
+
+def _weights_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The production parameters: 1-2-grams of words without accents, MAX_FEATURES terms."""
+    d = _docs(spark, sf_dir).select("doc_id", X.unaccented(F.lower(F.coalesce("text", F.lit("")))).alias("text"))
+    n = d.count()
+    tf = T.term_counts(d, "doc_id", "text", 2)
+    return T.tfidf(tf, T.vocabulary(tf, n))
+
+
+def tfidf_weights_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = _weights_full(spark, sf_dir)
+    return w.groupBy("doc").agg(F.count("*").alias("n_terms"), F.round(F.sum("w"), 4).alias("sum_w"), F.round(F.max("w"), 5).alias("max_w"))
+
+
+def tfidf_top_terms_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.top_terms(_weights_full(spark, sf_dir), 5).select("doc", "term", F.col("rank").cast("long").alias("rank"))
+
+
+def nearest_neighbour_tfidf_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest other document of every fiftieth one."""
+    w = _weights_full(spark, sf_dir)
+    found = T.nearest(w.filter("doc % 50 = 0"), w)
+    return found.select("doc", F.round("cosine", 4).alias("cosine"))
+
 
 # ---- metrics: quality as gold, made-up predictions
 
@@ -256,7 +281,7 @@ def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.grid_search(_xy(spark, sf_dir), "doc_id", {"C": [0.1, 1.0]}, L.logistic, k=3)
 
 
-QUERIES = {f.__name__: f for f in (class_balance, length_percentiles, length_histogram, ecdf_lengths, fit_share, ngrams_top, leakage_tokens, watch_list, vocab_overlap, oov_rate, label_crosstab_margins, monthly_counts, subject_explode, speaker_false_share, drop_reason_cube, hyperparam_marginals, mean_and_error, length_correlation, tfidf_weights, tfidf_top_terms, nearest_neighbour_tfidf, confusion_matrix, classification_report, metric_summary, roc_auc, roc_curve, cohen_kappa, specific_agreement, flag_metrics, class_weights, majority_baseline, error_categories, nb_train_eval, lr_train_eval, svm_train_eval, artefact_only_lr, grid_search)}
+QUERIES = {f.__name__: f for f in (class_balance, length_percentiles, length_histogram, ecdf_lengths, fit_share, ngrams_top, leakage_tokens, watch_list, vocab_overlap, oov_rate, label_crosstab_margins, monthly_counts, subject_explode, speaker_false_share, drop_reason_cube, hyperparam_marginals, mean_and_error, length_correlation, tfidf_weights, tfidf_top_terms, nearest_neighbour_tfidf, tfidf_weights_full, tfidf_top_terms_full, nearest_neighbour_tfidf_full, confusion_matrix, classification_report, metric_summary, roc_auc, roc_curve, cohen_kappa, specific_agreement, flag_metrics, class_weights, majority_baseline, error_categories, nb_train_eval, lr_train_eval, svm_train_eval, artefact_only_lr, grid_search)}
 _PCT = ", ".join(f"round(quantile_cont(n, {q}), 6) AS p{round(100 * q):02d}" for q in P.PERCENTILES)
 _TERMS = lambda where, t="documents": f"SELECT term, count(*) AS n FROM (SELECT unnest({_TOK}) AS term FROM {t} {where}) GROUP BY 1"
 _LABELS = "(VALUES ('fake'), ('real'), ('other')) AS x(label)"
@@ -283,6 +308,9 @@ ORACLES = {
     "tfidf_weights": f"WITH {_TFIDF} SELECT doc, count(*) AS n_terms, round(sum(w), 4) AS sum_w, round(max(w), 5) AS max_w FROM w GROUP BY 1",
     "tfidf_top_terms": f"WITH {_TFIDF} SELECT doc, term, row_number() OVER (PARTITION BY doc ORDER BY round(w, 9) DESC, term) AS rank FROM w QUALIFY rank <= 5",
     "nearest_neighbour_tfidf": f"WITH {_TFIDF} SELECT doc, round(max(c), 4) AS cosine FROM (SELECT a.doc, b.doc AS o, round(sum(a.w * b.w), 6) AS c FROM w a JOIN w b ON a.term = b.term AND a.doc <> b.doc WHERE a.doc % 50 = 0 GROUP BY ALL) GROUP BY 1",
+    "tfidf_weights_full": f"WITH {_TFIDF_FULL} SELECT doc, count(*) AS n_terms, round(sum(w), 4) AS sum_w, round(max(w), 5) AS max_w FROM w GROUP BY 1",
+    "tfidf_top_terms_full": f"WITH {_TFIDF_FULL} SELECT doc, term, row_number() OVER (PARTITION BY doc ORDER BY round(w, 9) DESC, term) AS rank FROM w QUALIFY rank <= 5",
+    "nearest_neighbour_tfidf_full": f"WITH {_TFIDF_FULL} SELECT doc, round(max(c), 4) AS cosine FROM (SELECT a.doc, b.doc AS o, round(sum(a.w * b.w), 6) AS c FROM w a JOIN w b ON a.term = b.term AND a.doc <> b.doc WHERE a.doc % 50 = 0 GROUP BY ALL) GROUP BY 1",
     "confusion_matrix": f"WITH {_PRED} SELECT g.label AS gold, p.label AS pred, (SELECT count(*) FROM m WHERE gold = g.label AND pred = p.label) AS n FROM {_LABELS.replace('x(', 'g(')}, {_LABELS.replace('x(', 'p(')}",
     "classification_report": f"WITH {_PRED}, r AS ({_REPORT}) SELECT label, support, predicted, CASE WHEN predicted = 0 THEN 0 ELSE round(h / predicted::DOUBLE, 6) END AS precision, CASE WHEN support = 0 THEN 0 ELSE round(h / support::DOUBLE, 6) END AS recall, CASE WHEN support + predicted = 0 THEN 0 ELSE round(2 * h / (support + predicted)::DOUBLE, 6) END AS f1 FROM r",
     "metric_summary": f"WITH {_PRED}, r AS ({_REPORT}) SELECT (SELECT count(*) FROM m) AS n, (SELECT round(avg((gold = pred)::INT), 6) FROM m) AS accuracy, round(avg(2 * h / (support + predicted)::DOUBLE), 6) AS macro_f1 FROM r WHERE label <> 'other'",

@@ -1,6 +1,7 @@
 """Operators on inline rows."""
 
 import itertools
+import math
 import random
 import re
 
@@ -283,6 +284,20 @@ def test_every_query_has_a_name_and_most_an_oracle():
     assert set(ORACLES) <= set(QUERIES) and len(QUERIES) >= 90 and len(QUERIES) - len(ORACLES) <= 8
 
 
+def test_full_tfidf_takes_two_word_terms_and_more_than_20000(spark, tmp_path):
+    words = [f"w{k}" for k in range(15_000)]
+    texts = [" ".join(words), " ".join(words), "Été deux deux", "ete deux", "été deux ete", "deux", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc"]: r for r in QUERIES["tfidf_weights_full"](spark, str(tmp_path)).collect()}
+    assert got[0]["n_terms"] == got[1]["n_terms"] == 29_999 and [got[k]["n_terms"] for k in (2, 3, 4)] == [3, 3, 3]
+    idf = {"ete": math.log(8 / 4) + 1, "deux": math.log(8 / 5) + 1, "ete deux": math.log(8 / 4) + 1}
+    raw = {t: (1 + math.log(2 if t == "deux" else 1)) * x for t, x in idf.items()}
+    assert got[2]["max_w"] == round(max(raw.values()) / math.sqrt(sum(x * x for x in raw.values())), 5)
+    top = {(r["doc"], r["rank"]): r["term"] for r in QUERIES["tfidf_top_terms_full"](spark, str(tmp_path)).collect()}
+    assert (top[2, 1], top[3, 1], top[3, 2], top[3, 3]) == ("deux", "ete", "ete deux", "deux")
+    assert {r["doc"]: r["cosine"] for r in QUERIES["nearest_neighbour_tfidf_full"](spark, str(tmp_path)).collect()} == {0: 1.0}
+
+
 # ---- engine
 
 
