@@ -183,21 +183,36 @@ def _plain(data: bytes) -> tuple[list[tuple[int, dict, bytes, int]], list[tuple[
     return found, gaps
 
 
+def _before(unpack, step: bytes) -> bytes:
+    """What a step that fails unpacks to before the error: in halving pieces, then the failing byte's output byte by byte."""
+    out, at, size = [], 0, len(step)
+    while size and at < len(step):
+        kept = unpack.copy()
+        try:
+            out.append(unpack.decompress(step[at : at + size]))
+            at += size
+        except zlib.error:
+            unpack, size = kept, size // 2
+    one = step[at : at + 1]
+    try:
+        while got := unpack.decompress(one, 1):
+            out.append(got)
+            one = unpack.unconsumed_tail
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
 def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
-    """What the gzip member at a byte unpacks to, its end, and what is wrong ('' if nothing)."""
+    """What the gzip member at a byte unpacks to, its end, and what is wrong ('' if nothing). Output before an error is kept."""
     unpack, out = zlib.decompressobj(31), []
     step = 1 << 16
     for k in range(at, len(data), step):
+        kept = unpack.copy()
         try:
             out.append(unpack.decompress(data[k : k + step]))
         except zlib.error:
-            if not out and k == at:  # the little that comes before the error: byte by byte
-                unpack = zlib.decompressobj(31)
-                try:
-                    for j in range(k, min(k + step, len(data)), 256):
-                        out.append(unpack.decompress(data[j : j + 256]))
-                except zlib.error:
-                    pass
+            out.append(_before(kept, data[k : k + step]))
             return b"".join(out), at, "member"
         if unpack.eof:
             return b"".join(out), min(k + step, len(data)) - len(unpack.unused_data), ""

@@ -76,6 +76,28 @@ def test_warc_salvage_loses_only_the_damaged(seed):
     assert gaps and gaps[0].offset == 0 and sum(f.size for f in found if f.kind != "x" and f.kind) + sum(g.size for g in gaps if not g.reason.startswith("inside")) >= len(data) - 20_000
 
 
+@pytest.mark.parametrize("late", [1, 8, 70_000, 150_000])
+def test_warc_salvage_keeps_whole_records_of_a_large_member(late):
+    r = random.Random(late)
+    records = [zlib.decompress(warc.record(k, f"http://h/{k}", bytes(r.randrange(256) for _ in range(3000)), None), 31) for k in range(100)]
+    pack = zlib.compressobj(1, zlib.DEFLATED, 31)
+    member = pack.compress(b"".join(records)) + pack.flush()
+    assert len(member) > 4 << 16
+    hurt = bytearray(member)
+    for k in range(len(hurt) - late, min(len(hurt) - late + 8, len(hurt))):
+        hurt[k] ^= 255
+    unpack, plain = zlib.decompressobj(31), b""
+    try:
+        for k in range(len(hurt)):
+            plain += unpack.decompress(hurt[k : k + 1])
+    except zlib.error:
+        pass
+    whole = [k for k in range(100) if plain.startswith(b"".join(records[: k + 1]))]
+    found = list(warc.salvage(bytes(hurt)))
+    assert len(whole) >= (100 if late < 9 else 30) and {warc.key_of(f.head["warc-record-id"]) for f in found if f.kind} >= {*whole}
+    assert [f.reason for f in found if f.kind is None] == ["member"]
+
+
 # ---- 2
 
 
