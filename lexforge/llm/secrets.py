@@ -44,8 +44,14 @@ BASE = (
     Secret("access", "AKIA[A-Z0-9]{16,}"),
     Secret("hex", "[0-9a-f]{24,}"),
 )
+#: A key block up to its END line. Where that is missing: headers, all up to the last long base64 word, and one more line of base64.
+_B64 = r"A-Za-z0-9+/=\\"
+_PEM = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+){0,99}-{5,}END [A-Z ]{0,40}PRIVATE KEY-----"
+    rf"|(?:[\r\n]+(?:Proc-Type|DEK-Info): [^\r\n]*){{0,2}}(?:[{_B64} \t\r\n]*[{_B64}]{{20}})?(?:[ \t]*[\r\n]+[ \t]*[{_B64}]+(?:[\r\n]|$))?)"
+)
 MORE = (
-    Secret("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Secret("pem", _PEM),
     Secret("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Secret("forge", "gh[opsu]_[A-Za-z0-9]{36,}"),
     Secret("chat", "xox[abprs]-[A-Za-z0-9-]{10,}"),
