@@ -71,7 +71,7 @@ def near_pairs(df: DataFrame, pos: str, text: str = "text", threshold: float = N
     return common.select("a", "b", jaccard.alias("jaccard")).filter(F.col("jaccard") >= threshold)
 
 
-def greedy_drops(pairs: DataFrame, rounds: int = 1000) -> DataFrame:
+def greedy_drops(pairs: DataFrame) -> DataFrame:
     """(pos) dropped by a first-wins scan: a row goes if it is near an earlier row that stays.
 
     Each round decides all rows whose earlier neighbours are decided: rows next to a kept one go; rows all of whose earlier
@@ -81,9 +81,7 @@ def greedy_drops(pairs: DataFrame, rounds: int = 1000) -> DataFrame:
     _checkpoint_dir(spark)
     edges = pairs.select("a", "b").checkpoint()
     gone = spark.createDataFrame([], f"pos {dict(edges.dtypes)['a']}")
-    for _ in range(rounds):
-        if edges.isEmpty():
-            break
+    while not edges.isEmpty():  # ends: the least row of an edge is kept in each round
         waiting = edges.select(F.col("b").alias("a")).distinct()
         kept = edges.select("a").distinct().join(waiting, "a", "left_anti")  # nothing earlier is near
         drop = edges.join(kept, "a", "left_semi").select(F.col("b").alias("pos")).distinct().checkpoint()

@@ -284,6 +284,12 @@ def test_every_query_has_a_name_and_most_an_oracle():
     assert set(ORACLES) <= set(QUERIES) and len(QUERIES) >= 90 and len(QUERIES) - len(ORACLES) <= 8
 
 
+def test_greedy_goes_on_to_the_last_edge(spark, monkeypatch):
+    monkeypatch.setattr(P, "range", lambda n: [0], raising=False)  # a bound on the rounds ends after one
+    chain = spark.createDataFrame([(k, k + 1) for k in range(7)], "a long, b long")
+    assert {x["pos"] for x in P.greedy_drops(chain).collect()} == {1, 3, 5, 7}
+
+
 def test_full_tfidf_takes_two_word_terms_and_more_than_20000(spark, tmp_path):
     words = [f"w{k}" for k in range(15_000)]
     texts = [" ".join(words), " ".join(words), "Été deux deux", "ete deux", "été deux ete", "deux", None]
