@@ -114,7 +114,7 @@ def minhash(df: DataFrame, pos: str, text: str = "text", perms: int = 128, seed:
 
 
 def lsh_candidates(signatures: DataFrame, bands: int = 5, rows: int = 25) -> DataFrame:
-    """(a, b), a < b, of texts that agree in a whole band."""
+    """(a, b), a < b, of texts that agree in a whole band: of Jaccard J with a chance of 1 - (1 - J^rows)^bands, by default 2 % at 0.8 and 31 % at 0.9."""
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * rows + 1, F.lit(rows))))
     banded = signatures.select("pos", F.explode(keys).alias("band"))
     a, b = (banded.select(F.col("pos").alias(p), "band") for p in "ab")
