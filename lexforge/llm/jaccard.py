@@ -1,17 +1,24 @@
 """N-gram Jaccard join by chosen paths.
 
-A text's set is its distinct five-word shingles. Texts with equal sets form one class, and only classes are joined.
-In each run a class walks down a path: on every level it samples one of its shingles by a minimum over a hash that
-all classes share, and classes that sampled the same one stay together. Buckets of one class end there; buckets of
-at most SPLIT_ABOVE classes are compared by brute force; larger ones are split by the next sample, LEVELS times at most.
-A pair of similarity J stays together with probability J a level. Runs are repeated, for the classes concerned,
-until a pair at the threshold would be missed with a probability of at most 1 - TARGET_RECALL.
-
-Brute force has two parts. Sketches (parts of all sampled minima) reject pairs far below the threshold; then
-the texts of the classes that have a pair left are fetched, and their sets are intersected exactly. A pair is
-counted only in the first run whose bucket holds both, so that no pair has to be written down to be counted once.
-A bucket over BLOCK classes is compared in pairs of blocks, each a group of its own. Tasks return a row for each class:
-its links, and the least class of its connected part of the group; never pairs.
+A text's set is its distinct five-word shingles. Texts with equal sets form one class, and only classes are joined; sets
+of fewer than four shingles have no partner but their equals.
+
+In each run the classes walk down a tree of buckets. At the root a class samples its two least shingles by a hash of the
+run; below, each shingle with a chance of SPREAD / size by a hash of the bucket it is in. It goes on in the bucket of every
+shingle it sampled, so that two classes stay together wherever they sampled a shared one. A bucket of at most SPLIT_ABOVE
+classes ends there and is compared by brute force. In a larger one, each class whose mean similarity to a sample of the
+bucket is CLOSE or more, so that no shingle would part it from the others, is compared with all of them and leaves; the
+others walk on, however deep. That ends: their mean overlap times SPREAD is about one at most, and buckets shrink.
+
+miss() bounds the chance that a pair at the threshold is in no common bucket of a run, by the depth reached. Four runs
+suffice where no class walked on; runs are repeated for the classes that did, until the chance is at most 1 - TARGET_RECALL.
+
+Brute force has two parts. Sketches (16 bits of each of SKETCH minima) reject pairs far below the threshold; then
+the sets of the classes that have a pair left are fetched, and they are intersected exactly. A pair counts only in the
+first bucket that compares it, which the lists of both sides' buckets tell, so that no pair has to be written down.
+A bucket over BLOCK classes or BLOCK_SHINGLES shingles is dealt in blocks by a hash, and each pair of blocks is a group of
+its own. Tasks return a row for each class: its links, and the least class of its connected part of the group; never pairs.
+A group of m near copies that nothing parts is compared in m * m / 2 pairs, and its sets are read m / BLOCK times.
 
 Classes linked by a chain form a group; labels spread along links with pointer jumping until none changes.
 
@@ -24,6 +31,7 @@ left alone.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +42,28 @@ from lexforge.llm.common import materialize, scratch
 from lexforge.llm.substring import Prefix, _sliced, mix, words_of
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5  # at least 4/5
-RUNS, RUNS_AT_ONCE, LEVELS, TARGET_RECALL = 32, 8, 3, 0.99999
-SPLIT_ABOVE, BLOCK, BLOCK_SHINGLES = 1024, 1024, 1 << 20
-#: Sketches agree in 0.8 of their places on average at the threshold; under 0.5 means a chance below 1e-9.
-SKETCH_LEAST = RUNS * LEVELS // 2
+RUNS, RUNS_AT_ONCE, SPREAD, CLOSE, TARGET_RECALL = 32, 4, 1.6, 0.55, 0.99999
+SPLIT_ABOVE, BLOCK, BLOCK_SHINGLES, SAMPLE = 1024, 1024, 1 << 20, 32
+#: Sketches agree in 0.8 of their places on average at the threshold; in fewer than 30 of 64 with a chance below 1e-7.
+SKETCH, SKETCH_LEAST = 64, 30
+LEAST_SIZE = NUMERATOR  # a smaller set reaches 4/5 with its equal only
 _U = np.uint64
-_ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) | 1) % (1 << 64) for k in range(RUNS * LEVELS)], np.uint64)
-_ADD = mix(np.arange(1, RUNS * LEVELS + 1, dtype=np.uint64))
+_ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) | 1) % (1 << 64) for k in range(SKETCH)], np.uint64)
+_ADD = mix(np.arange(1, SKETCH + 1, dtype=np.uint64))
+_NODE_BITS = 57
+
+
+def miss(depth: int) -> float:
+    """A bound of the chance that a run parts a pair at the threshold, whose classes walked down to this depth.
+
+    At the root both take two of their shingles; they share none, one or two of them with chances of at most 0.04, and 0.32
+    and 0.64 (a set inside the other; sets of one size are better off). Below, the shared ones sampled number at least
+    SPREAD * 4/5 on average, and no more than with Poisson's chance none.
+    """
+    alive = 1.0
+    for _ in range(depth - 1):
+        alive = 1 - exp(-SPREAD * NUMERATOR / DENOMINATOR * alive)
+    return 0.04 + 0.32 * (1 - alive) + 0.64 * (1 - alive) ** 2
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -61,97 +84,161 @@ def fingerprint(s: np.ndarray) -> bytes:
     return np.array([mix(s).sum(dtype=np.uint64), mix(s + _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + _U(len(s))], np.uint64).tobytes()
 
 
-def minima(sets: list[np.ndarray]) -> np.ndarray:
-    """(sets, RUNS * LEVELS): the least value of each hash over each set; none of the sets is empty."""
-    flat, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
-    out = np.empty((len(sets), RUNS * LEVELS), np.uint64)
-    for k in range(RUNS * LEVELS):
+def node_id(run: int, name: np.ndarray) -> np.ndarray:
+    """A bucket's number: its run, then a hash. Buckets are in order of their runs."""
+    return (_U(run << _NODE_BITS) | (name & _U((1 << _NODE_BITS) - 1))).view(np.int64)
+
+
+def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches (sets, SKETCH), and the root buckets of the first runs (sets, RUNS_AT_ONCE, 2); none of the sets is empty.
+
+    A set of one shingle has its bucket twice.
+    """
+    size = np.array([len(s) for s in sets])
+    flat, starts = np.concatenate(sets), np.cumsum(size) - size
+    out, root = np.empty((len(sets), SKETCH), np.uint16), np.empty((len(sets), RUNS_AT_ONCE, 2), np.int64)
+    for k in range(SKETCH):
         x = (flat ^ _ADD[k]) * _ODD[k]
-        out[:, k] = np.minimum.reduceat(x ^ (x >> _U(32)), starts)
-    return out
+        x ^= x >> _U(32)
+        least = np.minimum.reduceat(x, starts)
+        out[:, k] = least >> _U(16)
+        if k < RUNS_AT_ONCE:
+            x[x == np.repeat(least, size)] = ~_U(0)
+            root[:, k, 0] = node_id(k, mix(least))
+            root[:, k, 1] = np.where(size > 1, node_id(k, mix(np.minimum.reduceat(x, starts))), root[:, k, 0])
+    return out, root
 
 
-def paths(least: np.ndarray) -> np.ndarray:
-    """(sets, RUNS, LEVELS): the path down to each level; a path's name has its run and all samples so far in it."""
-    out = np.empty((len(least), RUNS, LEVELS), np.uint64)
-    name = np.broadcast_to(mix(np.arange(1, RUNS + 1, dtype=np.uint64)), (len(least), RUNS))
-    for k in range(LEVELS):
-        name = out[:, :, k] = mix(name * _ODD[0] + least[:, k::LEVELS])
-    return out
+def roots_of(s: np.ndarray, run: int) -> np.ndarray:
+    """The root buckets of one set in a later run."""
+    return node_id(run, mix(np.sort(mix(s ^ mix(np.array([run], np.uint64))))[:2]))
+
+
+def children(s: np.ndarray, node: int) -> np.ndarray:
+    """The buckets below a bucket that a set goes on in: those of the shingles it samples there."""
+    h = mix(s ^ mix(np.array([node], np.int64).view(np.uint64)))
+    return node_id(node >> _NODE_BITS, mix(h[h <= _U(min(int(SPREAD / len(s) * 2.0**64), 2**64 - 1))] + _U(1)))
 
 
 def _set_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, fp, size, paths, sketch) of every row; fp null for texts without words."""
+    """(key, th, fp, size, root, sketch) of every row; th is a hash of the text, fp null for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for low, end, texts in _sliced(b):
                 sets = shingle_sets(texts)
                 own = [k for k, s in enumerate(sets) if len(s)]
-                fps, ways, sketches = ([None] * len(sets) for _ in range(3))
+                fps, ways, short = ([None] * len(sets) for _ in range(3))
                 if own:
-                    least = minima([sets[k] for k in own])
-                    walk = paths(least).reshape(len(own), -1).view(np.int64)
-                    short = (least >> _U(16)).astype(np.uint16)
+                    sketch, root = sketches([sets[k] for k in own])
                     for i, k in enumerate(own):
-                        fps[k], ways[k], sketches[k] = fingerprint(sets[k]), walk[i], short[i].tobytes()
-                out = [pa.array(fps, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(ways, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-                yield pa.RecordBatch.from_arrays([b.column(0)[low:end], *out], ["key", "fp", "size", "paths", "sketch"])
+                        fps[k], ways[k], short[k] = fingerprint(sets[k]), root[i].ravel(), sketch[i].tobytes()
+                out = [pa.array(fps, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(ways, pa.list_(pa.int64())), pa.array(short, pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0)[low:end], b.column(2)[low:end], *out], ["key", "th", "fp", "size", "root", "sketch"])
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, fp binary, size long, paths array<long>, sketch binary")
+    return _texts(docs, key, text).mapInArrow(run, f"key {kind}, th long, fp binary, size long, root array<long>, sketch binary")
+
+
+def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(docs[key].alias("key"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("th"))
+
+
+def _sets_of(docs: DataFrame, key: str, text: str, classes: DataFrame) -> DataFrame:
+    """(fp, shingles) of classes (fp, rep, th): the text is found by the key and the hash of one document of the class."""
+    texts, asked = _texts(docs, key, text), classes.select("fp", "rep", F.col("th").alias("asked"))
+    held = texts.join(asked, texts["key"].eqNullSafe(F.col("rep")) & (F.col("th") == F.col("asked"))).select("fp", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for low, end, texts in _sliced(b):
+                sets = shingle_sets(texts)
+                fps = b.column(0)[low:end].to_pylist()
+                own = [k for k, s in enumerate(sets) if len(s) and fingerprint(s) == fps[k]]
+                yield pa.RecordBatch.from_arrays([pa.array([fps[k] for k in own], pa.binary()), pa.array([sets[k].tobytes() for k in own], pa.binary())], ["fp", "shingles"])
+
+    return held.mapInArrow(run, "fp binary, shingles binary").groupBy("fp").agg(F.first("shingles").alias("shingles"))
 
 
 # ---- paths
 
 
-def _leaves(classes: DataFrame, first_run: int) -> tuple[DataFrame, DataFrame]:
-    """Of some runs: (path, run, fp, size, n, total) of the buckets to compare, and (fp, miss): the chance to miss a pair at the threshold."""
-    spark = classes.sparkSession
-    runs = F.sequence(F.lit(first_run), F.lit(first_run + RUNS_AT_ONCE - 1))
-    rows = classes.select("fp", "size", "paths", F.explode(runs).alias("run"))
-    rows = rows.select("fp", "size", "run", F.slice("paths", F.col("run") * LEVELS + 1, F.lit(LEVELS)).alias("way"))
-    stay = NUMERATOR / DENOMINATOR
-    leaves, deep = [], []
-    for level in range(LEVELS):
-        here = rows.withColumn("path", F.get("way", F.lit(level)))
-        counts = materialize(here.groupBy("path").agg(F.count("*").alias("n"), F.sum("size").alias("total")).filter("n > 1"))
-        here = here.join(counts, "path")
-        large = F.col("n") > SPLIT_ABOVE
-        last = level == LEVELS - 1
-        leaves.append((here if last else here.filter(~large)).select("path", "run", "fp", "size", "n", "total"))
-        if last or counts.filter(large).isEmpty():
-            break
-        rows = materialize(here.filter(large).select("fp", "size", "run", "way"))
-        # one more level for these: the factor by which the chance to miss grows in this run
-        deep.append(rows.select("fp", F.lit(float(np.log((1 - stay ** (level + 2)) / (1 - stay ** (level + 1))))).alias("more")))
-    out = leaves[0]
-    for x in leaves[1:]:
-        out = out.unionByName(x)
-    if not deep:
-        return materialize(out), spark.createDataFrame([], "fp binary, more double")
-    more = deep[0]
-    for x in deep[1:]:
-        more = more.unionByName(x)
-    return materialize(out), materialize(more.groupBy("fp").agg(F.sum("more").alias("more")))
-
-
-def leaves(classes: DataFrame) -> DataFrame:
-    """The buckets of all runs that are needed."""
-    done, at = None, 0
-    active, behind = classes, None  # behind: (fp, log of the chance to miss so far)
-    base = RUNS_AT_ONCE * float(np.log(1 - NUMERATOR / DENOMINATOR))
+def _judged(large: DataFrame, classes: DataFrame) -> DataFrame:
+    """large with full: whether a class is close to a sample of its bucket, of about SAMPLE classes by a hash."""
+    known = large.join(classes.select("fp", "sketch"), "fp")
+    drawn = known.filter(F.pmod(F.xxhash64("fp", "node"), F.col("n")) < SAMPLE)
+    drawn = materialize(drawn.groupBy("node").agg(F.array_join(F.collect_list(F.hex("sketch")), "").alias("drawn")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            full, own = [], b.column(b.num_columns - 2)
+            for k, x in enumerate(b.column(b.num_columns - 1)):
+                sample = np.frombuffer(bytes.fromhex(x.as_py() or ""), np.uint16).reshape(-1, SKETCH)
+                full.append(bool(len(sample)) and float((sample == np.frombuffer(own[k].as_py(), np.uint16)).mean()) >= CLOSE)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(full, pa.bool_())], ["node", "fp", "size", "n", "total", "full"])
+
+    joined = known.join(drawn, "node", "left").select("node", "fp", "size", "n", "total", "sketch", "drawn")
+    return joined.mapInArrow(run, "node long, fp binary, size long, n long, total long, full boolean")
+
+
+def _below(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, fp, size) of the next level; a node of run r that is negative asks for the root buckets of run -r."""
+    asked = rest.groupBy("fp").agg(F.collect_list("node").alias("nodes")).join(sets, "fp").select("fp", "nodes", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            new, size = [np.empty(0, np.int64)], []
+            for nodes, s in zip(b.column(1), b.column(2), strict=True):
+                s = np.frombuffer(s.as_buffer(), np.uint64)
+                new.append(np.unique(np.concatenate([children(s, n) if n >= 0 else roots_of(s, -n) for n in nodes.as_py()])))
+                size.append(len(s))
+            times = np.array([len(x) for x in new[1:]], np.int64)
+            fps = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), times)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(new)), fps, pa.array(np.repeat(np.array(size, np.int64), times))], ["node", "fp", "size"])
+
+    return asked.mapInArrow(run, "node long, fp binary, size long")
+
+
+def _walk(rows: DataFrame, classes: DataFrame, sets) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """From root rows (node, fp, size): the members (node, fp, size, n, total, full) of the buckets to compare, and (fp, more):
+    how much the log of the chance to miss a pair grows by the walks of a class. sets: gives the sets of classes (fp)."""
+    found, deeper, depth, known = None, None, 1, None
     while True:
-        found, more = _leaves(active, at)
-        done = found if done is None else done.unionByName(found)
-        at += RUNS_AT_ONCE
-        miss = F.lit(base) + F.col("more")
-        behind = more.select("fp", miss.alias("miss")) if behind is None else behind.join(more, "fp", "left").select("fp", (F.col("miss") + base + F.coalesce("more", F.lit(0.0))).alias("miss"))
-        behind = materialize(behind.filter(F.col("miss") > float(np.log(1 - TARGET_RECALL))))
-        if at >= RUNS or behind.isEmpty():
-            return done
-        active = classes.join(behind.select("fp"), "fp", "left_semi")
+        counts = materialize(rows.groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("total")).filter("n > 1"))
+        here = rows.join(counts, "node").select("node", "fp", "size", "n", "total")
+        small = here.filter(F.col("n") <= SPLIT_ABOVE).withColumn("full", F.lit(True))
+        found = small if found is None else found.unionByName(small)
+        if counts.filter(F.col("n") > SPLIT_ABOVE).isEmpty():
+            return found, deeper, known
+        judged = materialize(_judged(here.filter(F.col("n") > SPLIT_ABOVE), classes))
+        mixed = judged.groupBy("node").agg(F.max("full").alias("some")).filter("some").select("node")
+        found = found.unionByName(judged.join(materialize(mixed), "node", "left_semi"))
+        rest = judged.filter(~F.col("full"))
+        grown = log(miss(depth + 1) / miss(depth))
+        more = rest.select("fp", F.shiftright("node", _NODE_BITS).alias("run")).distinct().select("fp", F.lit(grown).alias("more"))
+        deeper = more if deeper is None else deeper.unionByName(more)
+        known = known or sets(rest.select("fp").distinct())
+        rows, depth = materialize(_below(rest, known)), depth + 1
+
+
+def buckets(classes: DataFrame, sets) -> DataFrame:
+    """The members of all buckets to compare, of as many runs as are needed."""
+    roots = classes.select("fp", "size", F.explode(F.array_distinct("root")).alias("node"))
+    found, deeper, known = _walk(roots, classes, sets)
+    base, enough, at, behind = RUNS_AT_ONCE * log(miss(1)), log(1 - TARGET_RECALL), RUNS_AT_ONCE, None
+    while deeper is not None and at < RUNS:
+        more = deeper.groupBy("fp").agg(F.sum("more").alias("more"))
+        if behind is None:
+            behind = more.select("fp", (F.lit(base) + F.col("more")).alias("miss"))
+        else:
+            behind = behind.join(more, "fp", "left").select("fp", (F.col("miss") + base + F.coalesce("more", F.lit(0.0))).alias("miss"))
+        behind = materialize(behind.filter(F.col("miss") > enough))
+        if behind.isEmpty():
+            break
+        asked = behind.select("fp", F.explode(F.array(*[F.lit(-r).cast("long") for r in range(at, at + RUNS_AT_ONCE)])).alias("node"))
+        new, deeper, _ = _walk(materialize(_below(asked, known)), classes, lambda _: known)
+        found, at = found.unionByName(new), at + RUNS_AT_ONCE
+    return found
 
 
 # ---- brute force
@@ -177,135 +264,153 @@ def _by_group(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[tuple
         yield now, pa.Table.from_batches(held)
 
 
-def _candidate_pairs(low: int, high: int, side: np.ndarray, run: int, buckets: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b): pairs of a group's members that no earlier run holds together and that sizes and sketches let pass.
-
-    Of two blocks only pairs across count; of one block, all its pairs.
-    """
-    left, right = (np.flatnonzero(side == low), np.flatnonzero(side == high)) if low != high else (np.arange(len(side)),) * 2
-    aa, bb = [], []
-    step = max(1, (1 << 18) // max(len(right), 1))
-    for at in range(0, len(left), step):
-        a, b = (x.ravel() for x in np.meshgrid(left[at : at + step], right, indexing="ij"))
-        if low == high:
-            a, b = a[a < b], b[a < b]
-        fit = np.minimum(size[a], size[b]) * DENOMINATOR >= np.maximum(size[a], size[b]) * NUMERATOR
-        a, b = a[fit], b[fit]
-        for r in range(run):
-            if not len(a):
-                break
-            apart = (buckets[a, r] != buckets[b, r]) | (buckets[a, r] == 0)
-            a, b = a[apart], b[apart]
-        for c in range(0, len(a), 1 << 15):
-            x, y = a[c : c + (1 << 15)], b[c : c + (1 << 15)]
-            like = (sketch[x] == sketch[y]).sum(1) >= SKETCH_LEAST
-            aa.append(x[like])
-            bb.append(y[like])
-    none = np.empty(0, np.int64)
-    return (np.concatenate(aa), np.concatenate(bb)) if aa else (none, none)
-
-
-def _columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """side, buckets (members x RUNS), size, sketch."""
-    buckets = np.stack(t.column("buckets").to_pandas().to_numpy()).astype(np.int64)
-    sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(t.num_rows, -1)
-    return t.column("side").to_numpy(), buckets, t.column("size").to_numpy(), sketch
-
-
-def exact_pairs(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which of the pairs reach the threshold, by their whole sets."""
-    size = np.array([len(s) for s in sets])
-    if len(a) <= 64 or len(a) * 40 < size.sum():
-        both = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
-    else:  # shingles as columns of a 0/1 matrix, some thousand at a time; those of one member only add nothing
-        _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(len(sets)), size)
-        shared = times[place] > 1
-        column = (np.cumsum(times > 1) - 1)[place[shared]]
-        owner, width = owner[shared], 2048
+class Group:
+    """The members of one pair of blocks of a bucket, and its pairs to compare."""
+
+    def __init__(self, node: int, low: int, high: int, t: pa.Table):
+        side = t.column("side").to_numpy()
+        self.across = low != high
+        self.left, self.right = (np.flatnonzero(side == low), np.flatnonzero(side == high)) if self.across else (np.arange(len(side)),) * 2
+        self.size = t.column("size").to_numpy()
+        self.sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(t.num_rows, -1)
+        lists = t.column("held").combine_chunks()
+        place, owner = lists.flatten().to_numpy(), np.repeat(np.arange(t.num_rows), lists.value_lengths().to_numpy())
+        # an entry is twice a bucket's number, and one more where its member is compared with all of it
+        number, full = place >> 1, (place & 1).astype(bool)
+        self.full = np.zeros(t.num_rows, bool)
+        self.full[owner[full & (number == node)]] = True
+        earlier = number < node
+        _, column, times = np.unique(number[earlier], return_inverse=True, return_counts=True)
+        shared = times[column] > 1
+        self._cover(owner[earlier][shared], (np.cumsum(times > 1) - 1)[column[shared]], full[earlier][shared], t.num_rows)
+
+    def _cover(self, owner: np.ndarray, column: np.ndarray, full: np.ndarray, n: int, width: int = 2048) -> None:
+        """covered: the pairs of left and right that an earlier bucket compares; so many buckets at a time."""
+        self.covered = np.zeros((len(self.left), len(self.right)), bool)
         order = np.argsort(column, kind="stable")
-        owner, column = owner[order], column[order]
-        common = np.zeros((len(sets), len(sets)), np.float32)
+        owner, column, full = owner[order], column[order], full[order]
         for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
             low, high = np.searchsorted(column, [first, first + width])
+            there, whole = (np.zeros((n, min(width, int(column[-1]) + 1 - first)), np.float32) for _ in range(2))
+            there[owner[low:high], column[low:high] - first] = 1
+            whole[owner[low:high][full[low:high]], column[low:high][full[low:high]] - first] = 1
+            self.covered |= whole[self.left] @ there[self.right].T + there[self.left] @ whole[self.right].T > 0
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(a, b), some at a time: pairs that no earlier bucket compares and that sizes and sketches let pass."""
+        step = max(1, (1 << 18) // max(len(self.right), 1))
+        right, small = self.right, self.size * DENOMINATOR
+        for at in range(0, len(self.left), step):
+            left = self.left[at : at + step]
+            fit = self.full[left][:, None] | self.full[right]
+            fit &= (small[left][:, None] >= self.size[right] * NUMERATOR) & (small[right] >= self.size[left][:, None] * NUMERATOR)
+            if not self.across:
+                fit &= left[:, None] < right
+            fit &= ~self.covered[at : at + step]
+            a, b = np.nonzero(fit)
+            a, b = left[a], right[b]
+            like = [np.empty(0, bool)]
+            for c in range(0, len(a), 1 << 14):
+                like.append((self.sketch[a[c : c + (1 << 14)]] == self.sketch[b[c : c + (1 << 14)]]).sum(1) >= SKETCH_LEAST)
+            like = np.concatenate(like)
+            if like.any():
+                yield a[like], b[like]
+
+
+class Common:
+    """How many shingles the members of a group share, pair by pair: products of 0/1 matrices, some shingles at a time."""
+
+    def __init__(self, group: Group, sets: list[np.ndarray], width: int = 2048):
+        self.row, self.column = np.empty(len(sets), np.int64), np.empty(len(sets), np.int64)
+        self.row[group.left], self.column[group.right] = np.arange(len(group.left)), np.arange(len(group.right))
+        size = np.array([len(s) for s in sets])
+        _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = times[place] > 1  # the shingles of one member add nothing
+        owner, place = np.repeat(np.arange(len(sets)), size)[shared], (np.cumsum(times > 1) - 1)[place[shared]]
+        order = np.argsort(place, kind="stable")
+        owner, place = owner[order], place[order]
+        self.both = np.zeros((len(group.left), len(group.right)), np.float32)
+        for first in range(0, int(place[-1]) + 1 if len(place) else 0, width):
+            low, high = np.searchsorted(place, [first, first + width])
             m = np.zeros((len(sets), width), np.float32)
-            m[owner[low:high], column[low:high] - first] = 1
-            common += m @ m.T
-        both = common[a, b].astype(np.int64)
-    return both * DENOMINATOR >= (size[a] + size[b] - both) * NUMERATOR
+            m[owner[low:high], place[low:high] - first] = 1
+            self.both += m[group.left] @ m[group.right].T
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.both[self.row[a], self.column[b]].astype(np.int64)
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least member of each member's connected part."""
-    root = np.arange(n)
+def _roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least member of each member's connected part, if root is that of the links so far."""
     while True:
         low = np.minimum(root[a], root[b])
         new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = np.minimum(new, new[new])
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
         if (new == root).all():
             return root
         root = new
 
 
-def _grouped(leaf: DataFrame, classes: DataFrame) -> DataFrame:
-    """(path, low, high, side, run, fp, size, n_docs, sketch, buckets): the members of every group to compare."""
-    own = leaf.groupBy("fp").agg(F.collect_list(F.struct("run", "path", "n", "total")).alias("own"))
-    known = classes.select("fp", "size", "n_docs", "sketch").join(own, "fp")
-    by_run = F.map_from_entries(F.transform("own", lambda x: F.struct(x.getField("run"), x.getField("path"))))
-    held = F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.coalesce(F.try_element_at(F.col("by_run"), r), F.lit(0).cast("long")))
-    rows = known.withColumn("by_run", by_run).withColumn("buckets", held).select("fp", "size", "n_docs", "sketch", "buckets", F.explode("own").alias("o"))
+def _grouped(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, low, high, side, fp, size, n_docs, sketch, held): the members of every group to compare.
+
+    held lists twice the number of each bucket of a class, and one more where the class is compared with all of it.
+    """
+    entry = F.shiftleft("node", 1) + F.col("full").cast("long")
+    own = members.groupBy("fp").agg(F.collect_list(F.struct(entry.alias("entry"), "n", "total")).alias("own"))  # as many as a class's paths
+    rows = classes.select("fp", "size", "n_docs", "sketch").join(own, "fp")
+    rows = rows.select("*", F.transform("own", lambda x: x.getField("entry")).alias("held"), F.explode("own").alias("o"))
     blocks = F.greatest(F.ceil(F.col("o.n") / BLOCK), F.ceil(F.col("o.total") / BLOCK_SHINGLES)).cast("int")
-    rows = rows.select("*", blocks.alias("blocks")).withColumn("side", F.pmod(F.xxhash64("fp", "o.run"), F.col("blocks")).cast("int"))
+    rows = rows.select("*", F.shiftright("o.entry", 1).alias("node"), blocks.alias("blocks"))
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("fp", "node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select(F.col("o.path").alias("path"), F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", F.col("o.run").alias("run"), "fp", "size", "n_docs", "sketch", "buckets")
+    return rows.select("node", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "fp", "size", "n_docs", "sketch", "held")
 
 
-_GROUP = "path long, low int, high int, side int, run int, fp binary, size long, n_docs long, sketch binary, buckets array<long>"
+_GROUP = "node long, low int, high int, side int, fp binary, size long, n_docs long, sketch binary, held array<long>"
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
-    return rows.repartition("path", "low", "high").sortWithinPartitions("path", "low", "high", "fp")
+    return rows.repartition("node", "low", "high").sortWithinPartitions("node", "low", "high", "fp")
 
 
 def _with_candidates(groups: DataFrame) -> DataFrame:
     """The members of groups that have a candidate there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, low, high), t in _by_group(batches, 3):
+        for where, t in _by_group(batches, 3):
             if t.num_rows > 1:
-                a, b = _candidate_pairs(low, high, t.column("side").to_numpy(), t.column("run")[0].as_py(), *_columns(t)[1:])
-                if len(a):
-                    yield from t.take(pa.array(np.unique(np.concatenate([a, b])))).combine_chunks().to_batches()
+                some = np.zeros(t.num_rows, bool)
+                for a, b in Group(*where, t).pairs():
+                    some[a] = some[b] = True
+                if some.any():
+                    yield from t.filter(pa.array(some)).combine_chunks().to_batches()
 
     return _dealt(groups).mapInArrow(run, _GROUP)
 
 
 def _verified(members: DataFrame) -> DataFrame:
-    """(fp, links, root): of each member with its text, the documents it is linked with in its group, and the least member it hangs together with."""
+    """(fp, links, root): of each member with its set, the documents it is linked with in its group, and the least member it hangs together with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, low, high), t in _by_group(batches, 3):
-            sets = shingle_sets(t.column("text").to_pylist())
-            fps = t.column("fp").to_pylist()
-            # of rows that share the key of a class's first document, only those with its set
-            true = [k for k, (s, f) in enumerate(zip(sets, fps, strict=True)) if len(s) and fingerprint(s) == f and (k == 0 or fps[k - 1] != f or not len(sets[k - 1]) or fingerprint(sets[k - 1]) != f)]
-            if len(true) < 2:
-                continue
-            t, sets = t.take(pa.array(true)), [sets[k] for k in true]
-            side, buckets, size, sketch = _columns(t)
-            a, b = _candidate_pairs(low, high, side, t.column("run")[0].as_py(), buckets, size, sketch)
-            if not len(a):
-                continue
-            good = exact_pairs(sets, a, b)
-            a, b = a[good], b[good]
-            n = t.column("n_docs").to_numpy()
-            links = np.bincount(a, n[b], len(sets)) + np.bincount(b, n[a], len(sets))
+        for where, t in _by_group(batches, 3):
+            group, links, root, common = Group(*where, t), np.zeros(t.num_rows, np.int64), np.arange(t.num_rows), None
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in t.column("shingles").chunks for x in c]
+            n, size = t.column("n_docs").to_numpy(), group.size
+            for a, b in group.pairs():
+                if common is None and len(a) * 40 > sum(map(len, sets)):
+                    common = Common(group, sets)
+                both = common(a, b) if common else np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
+                good = both * DENOMINATOR >= (size[a] + size[b] - both) * NUMERATOR
+                a, b = a[good], b[good]
+                links += np.bincount(a, n[b], len(links)).astype(np.int64) + np.bincount(b, n[a], len(links)).astype(np.int64)
+                root = _roots(root, a, b)
             some = np.flatnonzero(links)
             if len(some):
                 fp = t.column("fp").combine_chunks()
-                yield pa.RecordBatch.from_arrays([fp.take(pa.array(some)), pa.array(links[some].astype(np.int64)), fp.take(pa.array(_roots(len(sets), a, b)[some]))], ["fp", "links", "root"])
+                yield pa.RecordBatch.from_arrays([fp.take(pa.array(some)), pa.array(links[some]), fp.take(pa.array(root[some]))], ["fp", "links", "root"])
 
     return _dealt(members).mapInArrow(run, "fp binary, links long, root binary")
 
@@ -341,15 +446,13 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def _classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """The rows with their fingerprints, and (class_fp, class_id, n_links)."""
     rows = materialize(_set_rows(docs, key, text))
-    own = [F.min("key").alias("rep"), F.count("*").alias("n_docs"), F.first("size").alias("size"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch")]
-    classes = materialize(rows.filter("fp is not null").groupBy("fp").agg(*own))
-    members = materialize(_with_candidates(_grouped(leaves(classes), classes)))
-    asked = members.groupBy("fp").agg(F.collect_list(F.struct(*[c for c in members.columns if c != "fp"])).alias("groups"))
-    asked = classes.select("fp", "rep").join(asked, "fp")
-    texts = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    held = texts.join(asked, texts["key"].eqNullSafe(F.col("rep"))).select("fp", "text", F.explode("groups").alias("g"))
-    held = held.select(*[F.col("fp") if c == "fp" else F.col(f"g.{c}") for c in members.columns], "text")
-    found = materialize(_verified(held))
+    least = F.min(F.when(F.col("key").isNotNull(), F.struct("key", "th")))
+    own = [F.coalesce(least, F.min(F.struct("key", "th"))).alias("rep"), F.count("*").alias("n_docs"), F.first("size").alias("size"), F.first("root").alias("root"), F.first("sketch").alias("sketch")]
+    classes = materialize(rows.filter("fp is not null").groupBy("fp").agg(*own).select("fp", "rep.key", "rep.th", "n_docs", "size", "root", "sketch").withColumnRenamed("key", "rep"))
+    joined = classes.filter(F.col("size") >= LEAST_SIZE)
+    sets = lambda some: materialize(_sets_of(docs, key, text, classes.join(some, "fp", "left_semi")))
+    members = materialize(_with_candidates(_grouped(materialize(buckets(joined, sets)), joined)))
+    found = materialize(_verified(members.join(sets(members.select("fp").distinct()), "fp").select(*members.columns, "shingles")))
     links = found.groupBy("fp").agg(F.sum("links").alias("links"))
     labels = components(found, "fp", "root").withColumnRenamed("v", "fp")
     linked = materialize(classes.select("fp", "rep").join(labels, "fp"))

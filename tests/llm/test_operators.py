@@ -252,6 +252,59 @@ def test_jaccard_join(spark, monkeypatch, seed, split, block):
         assert jaccard.join(df.limit(0)).count() == 0
 
 
+def test_jaccard_join_of_null_and_shared_keys_and_long_texts(spark):
+    r = random.Random(12)
+    base = [f"w{r.randrange(10**6)}" for _ in range(60_000)]
+    other = base[:]
+    other[7] = "x"
+    short = "a b c d e f g h i"
+    rows = [(None, " ".join(base)), (4, " ".join(other)), (4, short), (4, short), (None, short), (None, "nobody else has this text here"), (None, None), (9, "")]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["class_id"] or 0, r["key"] or 0, r["n_links"]) for r in got) == sorted([(4, 0, 1), (4, 4, 1), (4, 4, 2), (4, 4, 2), (4, 0, 2), (0, 0, 0), (0, 0, 0), (9, 9, 0)])
+
+
+def test_jaccard_join_of_a_large_bucket(spark):
+    """Over SPLIT_ABOVE classes share a passage, and over BLOCK ones are near copies: production parameters, recall against all pairs."""
+    r = random.Random(4)
+    passage = [f"p{r.randrange(10**6)}" for _ in range(40)]
+    texts = []
+    for _ in range(900):
+        base = passage + [f"v{r.randrange(10**6)}" for _ in range(r.randint(8, 60))]
+        for _ in range(r.choice([1, 1, 2])):
+            w = base[:]
+            w[r.randrange(len(w))] = f"e{r.randrange(10**6)}"
+            texts.append(" ".join(w))
+    copy = [f"c{r.randrange(10**6)}" for _ in range(200)]
+    for _ in range(1300):
+        w = copy[:]
+        for _ in range(2):
+            w[r.randrange(200)] = f"e{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    sets = jaccard.shingle_sets(texts)
+    _, place = np.unique(np.concatenate(sets), return_inverse=True)
+    m = np.zeros((len(sets), place.max() + 1), np.float32)
+    m[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), place] = 1
+    both, size = m @ m.T, np.array([len(s) for s in sets])
+    near = 5 * both >= 4 * (size[:, None] + size - both)
+    want = near.sum(1) - 1
+    got = np.zeros(len(texts), int)
+    for x in jaccard.join(frame(spark, texts)).collect():
+        got[x["key"]] = x["n_links"]
+    assert (got <= want).all() and got.sum() >= 0.9999 * want.sum() and want.max() > 1024
+
+
+def test_chance_to_miss():
+    r = np.random.default_rng(6)
+    for a, b in ((20, 0), (10, 10)):  # Jaccard 0.8: 80 shared of 100
+        lost = 0
+        for _ in range(4000):
+            s = r.integers(0, 2**63, 100).astype(np.uint64)
+            _, root = jaccard.sketches([s[: 80 + a], np.concatenate([s[:80], s[80 + a : 80 + a + b]])])
+            lost += not set(root[0, 0].tolist()) & set(root[1, 0].tolist())
+        assert lost / 4000 <= jaccard.miss(1) + 0.01
+    assert jaccard.miss(1) ** jaccard.RUNS_AT_ONCE <= 1 - jaccard.TARGET_RECALL and jaccard.miss(60) ** jaccard.RUNS <= 1 - jaccard.TARGET_RECALL
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(f"{k:03d}", f"{k + 1:03d}") for k in range(40)] + [("900", "901"), ("901", "900")], "a string, b string")
     got = {r["v"]: r["label"] for r in jaccard.components(edges).collect()}
