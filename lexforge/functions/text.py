@@ -181,3 +181,43 @@ def detokenised(text: Column) -> Column:
     text = F.regexp_replace(text, r" ([.,;:!?%)\]])", "$1")
     text = F.regexp_replace(text, r"([(\[]) ", "$1")
     return F.regexp_replace(text, r" ('(?:s|re|ve|ll|d|m)|n't)\b", "$1")
+
+
+def model_input(title: Column, text: Column) -> Column:
+    """What classifiers read: the title, a line end and the text, without white space around."""
+    none = F.lit("")
+    return stripped(F.concat(stripped(F.coalesce(title, none)), F.lit("\n"), F.coalesce(text, none)))
+
+
+def first_words(text: Column, n: int = 15) -> Column:
+    """The first n words: what a search engine is asked."""
+    return F.array_join(F.slice(F.filter(F.split(text, r"[ \t\n\r\f\x0B]+"), lambda w: w != ""), 1, n), " ")
+
+
+def keyword_query(text: Column) -> Column:
+    """The distinct words that are no function words, in their order; the text itself if there are none."""
+    found = F.array_join(F.array_distinct(without_stopwords(word_tokens(text))), " ")
+    return F.when(found != "", found).otherwise(text)
+
+
+#: Bounds of the sentences that may be quoted as evidence, and how many of a page are looked at.
+SENTENCE_LEAST, SENTENCE_MOST, SENTENCES = 25, 600, 200
+
+
+def quotable_sentences(text: Column) -> Column:
+    """The first SENTENCES sentences of SENTENCE_LEAST to SENTENCE_MOST characters, trimmed."""
+    trimmed = F.transform(sentences(text), stripped)
+    return F.slice(F.filter(trimmed, lambda s: F.length(s).between(SENTENCE_LEAST, SENTENCE_MOST)), 1, SENTENCES)
+
+
+# Words that would show that a source's marks survived the preparation.
+LEAK_WORDS = (
+    "reuters", "featured", "image", "getty", "pic", "twitter", "com", "http", "https", "www",
+    "video", "via", "wire", "21st", "century", "21wire", "read", "images", "ap", "afp", "bbc", "cnn",
+    "breitbart", "follow", "photo", "screenshot", "screengrab", "york times", "nytimes", "politico",
+)
+
+
+def leaks(term: Column) -> Column:
+    """Whether a word of a term is a leak word. Terms are split at blanks, so an entry of two words never holds."""
+    return F.arrays_overlap(F.split(F.lower(term), r"[ \t\n]+"), F.array(*map(F.lit, LEAK_WORDS)))

@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from lexforge.functions import text as X
+from lexforge.storage import materialize
 
 MIN_TOKENS, NEAR, SEED = 20, 0.9, 42
 
@@ -45,61 +47,79 @@ def drop_exact(df: DataFrame, pos: str, text: str = "text") -> DataFrame:
 
 
 def shingle_frame(df: DataFrame, pos: str, text: str = "text", k: int = 5) -> DataFrame:
-    """(pos, h, size): a row for each distinct shingle, by its hash."""
+    """(pos, size, h): a row for each distinct shingle, by its hash."""
     s = df.select(F.col(pos).alias("pos"), F.array_distinct(F.transform(X.shingles(X.key_words(F.col(text)), k), lambda x: F.xxhash64(x))).alias("s"))
     return s.select("pos", F.size("s").alias("size"), F.explode("s").alias("h"))
 
 
-def near_pairs(df: DataFrame, pos: str, text: str = "text", threshold: float = NEAR) -> DataFrame:
-    """(a, b, jaccard) of distinct texts with a < b at the threshold or above; exact copies are to be dropped before.
+def _ranked_sets(rows: DataFrame, threshold: float, by: tuple[str, ...] = ("pos",)) -> DataFrame:
+    """(by..., size, shared, prefix) of sets given as rows (by..., size, h), written once.
 
-    Shingles are ordered by rarity; two sets at the threshold share one of their first size - ceil(t * size) + 1. Shingles that
-    occur once never match. Candidates are then verified by counting common shingles.
+    shared: the shingles that occur in other sets too, the rarest first. Two sets at the threshold share one of their first
+    size - ceil(t * size) + 1, counting those that occur once, which come before all: prefix is what is left of these.
     """
-    rows = shingle_frame(df, pos, text)
     counts = rows.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = rows.join(counts, "h")
-    order = W.Window.partitionBy("pos").orderBy("df", "h")
-    alone = F.col("size") - F.count("*").over(W.Window.partitionBy("pos"))  # rarest of all: they come first
-    prefix = shared.withColumn("rank", F.row_number().over(order) + alone).filter(F.col("rank") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1)
-    left, right = (prefix.select(F.col("pos").alias(p), F.col("size").alias(f"n_{p}"), "h") for p in "ab")
-    fits = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b"))
-    found = left.join(right, "h").filter(fits).select("a", "b", "n_a", "n_b").distinct()
-    sa, sb = (shared.select(F.col("pos").alias(p), "h") for p in "ab")
-    common = found.join(sa, "a").join(sb, ["b", "h"]).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("common"))
-    jaccard = F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))
-    return common.select("a", "b", jaccard.alias("jaccard")).filter(F.col("jaccard") >= threshold)
+    own = rows.join(counts, "h").groupBy(*by, "size").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("x"))  # of one text at a time
+    room = F.size("x") - F.ceil(F.lit(threshold) * F.col("size")).cast("int") + 1
+    return materialize(own.select(*by, "size", F.col("x.h").alias("shared"), F.slice(F.col("x.h"), F.lit(1), F.greatest(room, F.lit(0))).alias("prefix")))
+
+
+def _verified(found: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) at the threshold or above, of candidates (a, b): the sets are met pair by pair, not shingle by shingle."""
+    sa, sb = left.select(F.col("pos").alias("a"), F.col("size").alias("n_a"), F.col("shared").alias("s_a")), right.select(F.col("pos").alias("b"), F.col("size").alias("n_b"), F.col("shared").alias("s_b"))
+    common = F.size(F.array_intersect("s_a", "s_b"))
+    pairs = found.join(sa, "a").join(sb, "b").select("a", "b", (common / (F.col("n_a") + F.col("n_b") - common)).alias("jaccard"))
+    return pairs.filter(F.col("jaccard") >= threshold)
+
+
+def _candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, n_a, n_b) of sets whose prefixes share a shingle and whose sizes allow the threshold; repeated for each shared one."""
+    one, two = (x.select(F.col("pos").alias(p), F.col("size").alias(f"n_{p}"), F.explode("prefix").alias("h")) for x, p in ((left, "a"), (right, "b")))
+    return one.join(two, "h").filter(F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b"))
+
+
+def near_pairs(df: DataFrame, pos: str, text: str = "text", threshold: float = NEAR) -> DataFrame:
+    """(a, b, jaccard) of distinct texts with a < b at the threshold or above; exact copies are to be dropped before."""
+    sets = _ranked_sets(shingle_frame(df, pos, text), threshold)
+    found = _candidates(sets, sets, threshold).filter("a < b").select("a", "b").distinct()
+    return _verified(found, sets, sets, threshold)
+
+
+#: Links that one task decides in order; more are decided in rounds first.
+LOCAL_LINKS = 2_000_000
 
 
 def greedy_drops(pairs: DataFrame) -> DataFrame:
     """(pos) dropped by a first-wins scan: a row goes if it is near an earlier row that stays.
 
-    Each round decides all rows whose earlier neighbours are decided: rows next to a kept one go; rows all of whose earlier
-    neighbours are gone stay. Edges shrink each round; checkpoints cut the lineage.
+    Beyond LOCAL_LINKS links, each round decides all rows whose earlier neighbours are decided: rows next to a kept one
+    go; rows all of whose earlier neighbours are gone stay. The links left shrink each round, the least row of a link is always
+    kept, and so rounds end. Up to LOCAL_LINKS links are scanned in order in one task, however long their chains are.
     """
     spark = pairs.sparkSession
-    _checkpoint_dir(spark)
-    edges = pairs.select("a", "b").checkpoint()
-    gone = spark.createDataFrame([], f"pos {dict(edges.dtypes)['a']}")
-    while not edges.isEmpty():  # ends: the least row of an edge is kept in each round
+    kind = dict(pairs.dtypes)["a"]
+    edges = materialize(pairs.select("a", "b").distinct())
+    gone = spark.createDataFrame([], f"pos {kind}")
+    while (n := edges.count()) > LOCAL_LINKS:
         waiting = edges.select(F.col("b").alias("a")).distinct()
         kept = edges.select("a").distinct().join(waiting, "a", "left_anti")  # nothing earlier is near
-        drop = edges.join(kept, "a", "left_semi").select(F.col("b").alias("pos")).distinct().checkpoint()
-        gone = gone.union(drop)
+        drop = materialize(edges.join(kept, "a", "left_semi").select(F.col("b").alias("pos")).distinct())
+        left = edges.join(kept, "a", "left_anti")
         for side in ("a", "b"):
-            edges = edges.join(drop.withColumnRenamed("pos", side), side, "left_anti")
-        edges = edges.join(kept, "a", "left_anti").select("a", "b").checkpoint()
-    return gone.distinct()
-
+            left = left.join(drop.withColumnRenamed("pos", side), side, "left_anti")
+        edges, gone = materialize(left.select("a", "b")), gone.union(drop)
+    if not n:
+        return gone
 
-def _checkpoint_dir(spark) -> None:
-    """spark.checkpoint.dir is set on clusters; a local session without it gets a temporary folder."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir")
-        import tempfile
+    def scan(links: pd.DataFrame) -> pd.DataFrame:
+        out: set = set()
+        for b, near in links.sort_values(["b", "a"]).groupby("b", sort=False)["a"]:
+            if not out.issuperset(near):
+                out.add(b)
+        return pd.DataFrame({"pos": sorted(out)}, dtype=links["b"].dtype)
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexforge-"))
+    rest = edges.groupBy(F.lit(0).alias("one")).applyInPandas(lambda links: scan(links), f"pos {kind}")
+    return gone.union(rest)
 
 
 def drop_near(df: DataFrame, pos: str, text: str = "text", threshold: float = NEAR) -> DataFrame:
@@ -194,6 +214,38 @@ def cross_split_overlap(df: DataFrame, text: str = "text", split: str = "split",
     return others.join(found, "split", "left").select("split", F.coalesce("n", F.lit(0)).alias("shared"))
 
 
+def quotas(counts: dict[str, int], n: int) -> dict[str, int]:
+    """n rows dealt to the classes in proportion, what is left by largest remainder, of equals by name."""
+    total = sum(counts.values()) or 1
+    out = {c: n * m // total for c, m in counts.items()}
+    for c in sorted(counts, key=lambda c: (-(n * counts[c] % total), c))[: min(n, total) - sum(out.values())]:
+        out[c] += 1
+    return out
+
+
+def stratified_subset(df: DataFrame, label: str, key: str, n: int, seed: int = SEED) -> DataFrame:
+    """n rows that keep the shares of the classes, in hash order."""
+    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}  # a row for each class
+    quota = F.lit(0)
+    for c, q in quotas(counts, n).items():
+        quota = F.when(F.col(label).eqNullSafe(F.lit(c)), q).otherwise(quota)
+    return ranked(df, label, key, seed, "__rank").filter(F.col("__rank") <= quota).drop("__rank")
+
+
+def near_across_splits(df: DataFrame, pos: str, text: str = "text", split: str = "split", of: str = "train", threshold: float = NEAR) -> DataFrame:
+    """(split, rows, near): how many rows of each other split are exact or near copies of a row of the training split."""
+    others = df.filter(F.col(split) != of)
+    found = corpus_difference(others, df.filter(F.col(split) == of), pos, text, threshold)
+    return others.select(F.col(pos).alias("pos"), F.col(split).alias("split")).join(found, "pos").groupBy("split").agg(F.count("*").alias("rows"), F.count_if(F.col("how") != "new").alias("near"))
+
+
+def require_disjoint(overlap: DataFrame, counted: str) -> None:
+    """Raises if a split shares anything with the training split."""
+    bad = overlap.filter(F.col(counted) > 0).collect()  # a row for each split
+    if bad:
+        raise ValueError("splits overlap: " + ", ".join(f"{r['split']}: {r[counted]}" for r in bad))
+
+
 def balanced_sample(df: DataFrame, label: str, key: str, n: int, labels: Iterable[str], seed: int = SEED) -> DataFrame:
     """n // L rows of each label, one more of the first n % L labels in sorted order, in hash order."""
     ordered = sorted(labels)
@@ -215,10 +267,11 @@ def corpus_difference(df: DataFrame, other: DataFrame, pos: str, text: str = "te
     """(pos, how): exact, near or new, of each row against another corpus."""
     own = df.select(F.col(pos).alias("pos"), F.col(text).alias("text"), F.sha1(X.word_key(F.col(text))).alias("h"))
     keys = other.select(F.sha1(X.word_key(F.col(text))).alias("h")).distinct()
-    exact = own.join(keys, "h", "left_semi").select("pos")
-    mine, theirs = (shingle_frame(x, "pos", "text") for x in (own, other.select(F.monotonically_increasing_id().alias("pos"), F.col(text).alias("text"))))
-    theirs = theirs.select(F.col("pos").alias("other"), F.col("size").alias("n_other"), "h")
-    common = mine.join(theirs, "h").groupBy("pos", "other", "size", "n_other").agg(F.count("*").alias("c"))
-    near = common.filter(F.col("c") / (F.col("size") + F.col("n_other") - F.col("c")) >= threshold).select("pos").distinct()
+    exact = materialize(own.join(keys, "h", "left_semi").select("pos"))
+    theirs = other.select(F.monotonically_increasing_id().alias("pos"), F.col(text).alias("text"))
+    rows = shingle_frame(own, "pos").withColumn("mine", F.lit(True)).unionByName(shingle_frame(theirs, "pos").withColumn("mine", F.lit(False)))
+    sets = _ranked_sets(rows, threshold, ("mine", "pos"))
+    left, right = sets.filter("mine").join(exact, "pos", "left_anti"), sets.filter("NOT mine")
+    near = _verified(_candidates(left, right, threshold).select("a", "b").distinct(), left, right, threshold).select(F.col("a").alias("pos")).distinct()
     marks = exact.select("pos", F.lit(0).alias("m")).unionByName(near.select("pos", F.lit(1).alias("m"))).groupBy("pos").agg(F.min("m").alias("m"))
     return own.select("pos").join(marks, "pos", "left").select("pos", F.when(F.col("m") == 0, "exact").when(F.col("m") == 1, "near").otherwise("new").alias("how"))

@@ -1,7 +1,7 @@
 """The registered queries and their DuckDB SQL."""
 
-from lexforge.plans import analysis, preparation, relational, verification
+from lexforge.plans import analysis, preparation, relational, reports, verification
 
-_MODULES = (analysis, preparation, relational, verification)
+_MODULES = (analysis, preparation, relational, reports, verification)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

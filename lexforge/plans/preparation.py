@@ -148,29 +148,30 @@ BALANCED = "SELECT doc_id, label FROM (SELECT doc_id, CASE quality WHEN 1 THEN '
 
 
 def class_topup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _labelled(spark, sf_dir).select("doc_id", "label")
-    return P.class_topup(own.filter("doc_id % 3 = 0"), own.filter("doc_id % 3 <> 1"), "label", "doc_id", 140)
+    """The toxic labelled documents, filled up from all labelled ones."""
+    own = _labelled(spark, sf_dir).select("doc_id", "label", "toxic")
+    return P.class_topup(own.filter("toxic = 1").drop("toxic"), own.drop("toxic"), "label", "doc_id", 140)
 
 
 TOPUP = """
-WITH l AS (SELECT doc_id, CASE quality WHEN 1 THEN 'real' ELSE 'fake' END AS label FROM labels JOIN documents USING (doc_id)), have AS (SELECT * FROM l WHERE doc_id % 3 = 0),
-need AS (SELECT label, 140 - count(*) AS k FROM have GROUP BY 1), extra AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha1(doc_id || ':42'), doc_id) AS r FROM l WHERE doc_id % 3 = 2)
+WITH l AS (SELECT doc_id, CASE quality WHEN 1 THEN 'real' ELSE 'fake' END AS label, toxic FROM labels JOIN documents USING (doc_id)), have AS (SELECT doc_id, label FROM l WHERE toxic = 1),
+need AS (SELECT label, 140 - count(*) AS k FROM have GROUP BY 1), extra AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY sha1(doc_id || ':42'), doc_id) AS r FROM l WHERE toxic = 0)
 SELECT * FROM have UNION ALL SELECT extra.doc_id, extra.label FROM extra LEFT JOIN need USING (label) WHERE r <= coalesce(k, 140)
 """
 
 
 def corpus_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents against those of the even ids among them, as another corpus: exact, near or new."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return P.corpus_difference(d.filter("doc_id % 2 = 1"), d.filter("doc_id % 2 = 0"), "doc_id", "text", 0.8).withColumnRenamed("pos", "doc_id")
+    """The labelled documents against the others, as another corpus: exact, near or new."""
+    d, known = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id")
+    return P.corpus_difference(d.join(known, "doc_id", "left_semi"), d.join(known, "doc_id", "left_anti"), "doc_id", "text", 0.8).withColumnRenamed("pos", "doc_id")
 
 
 DIFFERENCE = rf"""
-WITH k AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')) AS u, {_KEY.format('text')} AS k FROM documents),
-s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 4, 1))) AS i FROM (SELECT doc_id, string_split(k, ' ') AS w FROM k WHERE k <> ''))),
+WITH k AS (SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS mine, trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')) AS u, {_KEY.format('text')} AS k FROM documents),
+s AS (SELECT DISTINCT doc_id, mine, array_to_string(w[i + 1 : i + 5], ' ') AS g FROM (SELECT doc_id, mine, w, unnest(range(greatest(len(w) - 4, 1))) AS i FROM (SELECT doc_id, mine, string_split(k, ' ') AS w FROM k WHERE k <> ''))),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
-near AS (SELECT DISTINCT a FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id % 2 = 1 AND y.doc_id % 2 = 0 GROUP BY ALL) JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE c / (p.n + q.n - c)::DOUBLE >= 0.8)
-SELECT doc_id, CASE WHEN u IN (SELECT u FROM k WHERE doc_id % 2 = 0) THEN 'exact' WHEN doc_id IN (SELECT a FROM near) THEN 'near' ELSE 'new' END AS how FROM k WHERE doc_id % 2 = 1
+near AS (SELECT DISTINCT a FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.mine AND NOT y.mine GROUP BY ALL) JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE c / (p.n + q.n - c)::DOUBLE >= 0.8)
+SELECT doc_id, CASE WHEN u IN (SELECT u FROM k WHERE NOT mine) THEN 'exact' WHEN doc_id IN (SELECT a FROM near) THEN 'near' ELSE 'new' END AS how FROM k WHERE mine
 """
 
 
