@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last return the columns of
 documents; n_chars follows a changed text. There is no oracle: optimal buckets and shard order are not SQL, so tests
 hold the result against a brute-force version.
+
+Defined cases, in every stage: a null or empty text fails the quality rules and goes there; a stage that gets one all the same
+keeps it as it is (null stays null). Null keys are kept; of a group of near copies the rows of its least key stay, and a group
+of null keys alone stays whole. Repeated rows are judged alike; as a group of near copies under one key they stay together.
+Very long texts are worked on whole. Empty tables give empty tables, and further columns, whatever their names, stay as they
+are up to the last stage, which returns its own.
 """
 
 from __future__ import annotations
@@ -12,8 +18,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import jaccard, packing, quality, secrets, substring
-from lexforge.llm.common import materialize, table
+from lexforge.llm import jaccard, quality, queries, secrets, substring
+from lexforge.llm.common import discard, materialize, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -43,8 +49,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in length buckets and batches."""
-    return packing.pack(docs).withColumnRenamed("key", "doc_id")
+    """The token ids of all documents, in pieces, length buckets and batches. A text that lost all its words has a piece of none."""
+    return queries.pack(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -59,6 +65,11 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        kept = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return kept
+        before, docs = docs, materialize(kept)
+        if k:
+            discard(before)
+    return docs

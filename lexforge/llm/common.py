@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import gc
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexforge.storage import delete_path, discard, materialize, parts_for, scratch, shared_dir
+
+__all__ = ["WORD", "delete_path", "discard", "let", "materialize", "parts_for", "scratch", "shared_dir", "slices", "table"]
+
 #: A word: a run of anything but ASCII white space. Java, RE2 and Python read it alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -30,65 +28,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder's name below spark.checkpoint.dir, which all executors reach.
-
-    Only a local master may run without that setting: then a temporary folder takes its place.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="lexforge-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-    return f"{root.rstrip('/')}/lexforge-{uuid.uuid4().hex}"
-
-
-_scratch: list[list[DataFrame]] = []
-
-
-@contextmanager
-def scratch():
-    """Tables that materialize() makes inside are discarded at the end, but for those given to the keep function."""
-    held: list[DataFrame] = []
-    _scratch.append(held)
-    kept: list[DataFrame] = []
-    try:
-        yield kept.append
-    finally:
-        _scratch.pop()
-        discard(*[t for t in held if not any(t is k for k in kept)])
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read again: lineage ends there, and a lost executor costs nothing.
-
-    Unlike checkpoint(), which runs its last stage twice and stores rows unpacked, this runs once and is columnar.
-    """
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._lexforge_path = path
-    for held in _scratch[-1:]:
-        held.append(out)
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables of materialize() that are no longer needed, and lets Spark drop the shuffle files of finished jobs.
-
-    Spark does that once the driver's garbage collector has seen that no plan refers to them, which may take long.
-    """
-    spark = None
-    for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t._lexforge_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    if spark is not None:
-        gc.collect()
-        spark._jvm.System.gc()
-
-
 def slices(sizes, limit: int):
     """(first, end) of consecutive items whose sizes sum to limit at most, or single items beyond it."""
     first, total = 0, 0

@@ -38,8 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import materialize, scratch
-from lexforge.llm.substring import Prefix, _sliced, mix, words_of
+from lexforge.llm.common import materialize, scratch, slices
+from lexforge.llm.substring import Prefix, _sliced, mix, names_of
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5  # at least 4/5
 RUNS, RUNS_AT_ONCE, SPREAD, CLOSE, TARGET_RECALL = 32, 4, 1.6, 0.55, 0.99999
@@ -66,16 +66,22 @@ def miss(depth: int) -> float:
     return 0.04 + 0.32 * (1 - alive) + 0.64 * (1 - alive) ** 2
 
 
-def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array | list[str | None]) -> list[np.ndarray]:
     """The sorted distinct shingles of each text, as 64-bit hashes."""
-    _, names, starts = words_of(texts)
-    prefix, out = Prefix(names, 0), []
-    for first, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-        if end == first:
-            out.append(np.empty(0, np.uint64))
-            continue
-        begin = np.arange(first, max(end - SHINGLE, first) + 1)
-        out.append(np.unique(prefix.of(begin, np.minimum(begin + SHINGLE, end))))
+    names, starts = names_of(texts)
+    out, sizes = [], np.diff(starts)
+    for low, high in slices(sizes.tolist(), 1 << 14):  # as many as stay in a core's cache
+        prefix = Prefix(names[starts[low] : starts[high]], 0)
+        first = starts[low:high] - starts[low]
+        begin = np.arange(len(prefix.sums) - 1)
+        whole = prefix.of(begin, np.minimum(begin + SHINGLE, len(begin)))
+        for at, n in zip(first.tolist(), sizes[low:high].tolist(), strict=True):
+            if n >= SHINGLE:
+                out.append(np.unique(whole[at : at + n - SHINGLE + 1]))
+            elif n:
+                out.append(prefix.of(np.array([at]), np.array([at + n])))
+            else:
+                out.append(np.empty(0, np.uint64))
     return out
 
 
@@ -94,18 +100,22 @@ def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
     A set of one shingle has its bucket twice.
     """
-    size = np.array([len(s) for s in sets])
-    flat, starts = np.concatenate(sets), np.cumsum(size) - size
     out, root = np.empty((len(sets), SKETCH), np.uint16), np.empty((len(sets), RUNS_AT_ONCE, 2), np.int64)
-    for k in range(SKETCH):
-        x = (flat ^ _ADD[k]) * _ODD[k]
-        x ^= x >> _U(32)
-        least = np.minimum.reduceat(x, starts)
-        out[:, k] = least >> _U(16)
-        if k < RUNS_AT_ONCE:
-            x[x == np.repeat(least, size)] = ~_U(0)
-            root[:, k, 0] = node_id(k, mix(least))
-            root[:, k, 1] = np.where(size > 1, node_id(k, mix(np.minimum.reduceat(x, starts))), root[:, k, 0])
+    for first, end in slices([len(s) for s in sets], 1 << 14):  # as many as stay in a core's cache
+        size = np.array([len(s) for s in sets[first:end]])
+        flat, starts = np.concatenate(sets[first:end]), np.cumsum(size) - size
+        x, high = np.empty_like(flat), np.empty_like(flat)
+        for k in range(SKETCH):
+            np.bitwise_xor(flat, _ADD[k], out=x)
+            np.multiply(x, _ODD[k], out=x)
+            np.right_shift(x, _U(32), out=high)
+            np.bitwise_xor(x, high, out=x)
+            least = np.minimum.reduceat(x, starts)
+            out[first:end, k] = least >> _U(16)
+            if k < RUNS_AT_ONCE:
+                x[x == np.repeat(least, size)] = ~_U(0)
+                root[first:end, k, 0] = node_id(k, mix(least))
+                root[first:end, k, 1] = np.where(size > 1, node_id(k, mix(np.minimum.reduceat(x, starts))), root[first:end, k, 0])
     return out, root
 
 
@@ -225,19 +235,23 @@ def buckets(classes: DataFrame, sets) -> DataFrame:
     """The members of all buckets to compare, of as many runs as are needed."""
     roots = classes.select("fp", "size", F.explode(F.array_distinct("root")).alias("node"))
     found, deeper, known = _walk(roots, classes, sets)
-    base, enough, at, behind = RUNS_AT_ONCE * log(miss(1)), log(1 - TARGET_RECALL), RUNS_AT_ONCE, None
+    one, enough, at, behind = log(miss(1)), log(1 - TARGET_RECALL), RUNS_AT_ONCE, None
     while deeper is not None and at < RUNS:
         more = deeper.groupBy("fp").agg(F.sum("more").alias("more"))
         if behind is None:
-            behind = more.select("fp", (F.lit(base) + F.col("more")).alias("miss"))
+            behind = more.select("fp", F.lit(at).alias("runs"), (at * F.lit(one) + F.col("more")).alias("miss"))
         else:
-            behind = behind.join(more, "fp", "left").select("fp", (F.col("miss") + base + F.coalesce("more", F.lit(0.0))).alias("miss"))
-        behind = materialize(behind.filter(F.col("miss") > enough))
-        if behind.isEmpty():
+            behind = behind.join(more, "fp", "left").select("fp", "runs", (F.col("miss") + F.coalesce("more", F.lit(0.0))).alias("miss"))
+        # as many runs as lack at the rate so far
+        need = F.least(F.ceil((F.lit(enough) - F.col("miss")) * F.col("runs") / F.col("miss")).cast("int"), F.lit(RUNS - at))
+        behind = materialize(behind.filter(F.col("miss") > enough).withColumn("need", need))
+        most = behind.agg(F.max("need")).first()[0]
+        if most is None:
             break
-        asked = behind.select("fp", F.explode(F.array(*[F.lit(-r).cast("long") for r in range(at, at + RUNS_AT_ONCE)])).alias("node"))
+        asked = behind.select("fp", F.explode(F.sequence(F.lit(at), at + F.col("need") - 1)).alias("run")).select("fp", (-F.col("run")).cast("long").alias("node"))
         new, deeper, _ = _walk(materialize(_below(asked, known)), classes, lambda _: known)
-        found, at = found.unionByName(new), at + RUNS_AT_ONCE
+        behind = behind.select("fp", (F.col("runs") + F.col("need")).alias("runs"), (F.col("miss") + F.col("need") * one).alias("miss"))
+        found, at = found.unionByName(new), at + most
     return found
 
 
@@ -433,14 +447,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         state = new.select("v", "label")
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, class_id, n_links) of every row: the least key of its group, and how many other rows are as similar as the threshold."""
+def _joined(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, th, class_id, n_links) of every row."""
     with scratch() as keep:
         rows, known = _classes(docs, key, text)
         keep(rows)
         keep(known)
-    out = rows.select("key", "fp").join(known, F.col("fp") == F.col("class_fp"), "left")
-    return out.select("key", F.coalesce("class_id", "key").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = rows.select("key", "th", "fp").join(known, F.col("fp") == F.col("class_fp"), "left")
+    return out.select("key", "th", F.coalesce("class_id", "key").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, class_id, n_links) of every row: the least key of its group, and how many other rows are as similar as the threshold."""
+    return _joined(docs, key, text).drop("th")
 
 
 def _classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -463,6 +482,6 @@ def _classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs whose key is the least of their group, with all their columns. Rows that share that key stay."""
-    found = join(docs, key, text).filter(F.col("class_id").eqNullSafe(F.col("key"))).select(F.col("key").alias("kept_key")).distinct()
-    return docs.join(found, docs[key].eqNullSafe(found["kept_key"]), "left_semi")
+    """The rows of docs whose key is the least of their group, with all their columns. Rows of the group that share that key stay."""
+    found = _joined(docs, key, text).filter(F.col("class_id").eqNullSafe(F.col("key"))).select(F.col("key").alias("kept_key"), F.col("th").alias("kept_th")).distinct()
+    return docs.join(found, docs[key].eqNullSafe(found["kept_key"]) & (F.xxhash64(docs[text]) == found["kept_th"]), "left_semi")

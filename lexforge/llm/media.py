@@ -2,11 +2,15 @@
 
 A media column holds whole WAV files. mu-law and A-law expand by 256-entry tables that are built from the codecs'
 segment rule. ADPCM blocks start with their own state, so that numpy decodes one nibble of all blocks of a slice at
-a time. PCM is resampled by linear interpolation in integers, the same on any machine, and can be kept in a column.
+a time. PCM is resampled by linear interpolation in integers, the same on any machine.
+
+kept() writes the media column, reads it back, writes the resampled PCM as a column beside the digests of what was read,
+and deletes the media files as it goes, in up to GROUPS groups of files, so that both are never there as a whole.
+described() computes the feature from the stored PCM.
 
 Defined cases: a null payload counts as empty and is padded like any other; a null or broken WAV file has null
 results; equal payloads give equal files and values; an empty table gives an empty table; other columns don't
-matter. Memory is bounded by slices of SLICE_BYTES beside the largest single payload.
+matter. Memory is bounded by slices of SLICE_BYTES beside the largest single payload and its PCM.
 """
 
 from __future__ import annotations
@@ -20,10 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lexforge.llm.common import slices
+from lexforge.llm.common import delete_path, shared_dir, slices
 
 RATE, TARGET_RATE, UNIT, BLOCK = 8000, 16000, 576, 288
-SLICE_BYTES = 8 << 20
+SLICE_BYTES, GROUPS = 2 << 20, 8
+#: How the columns are packed: PCM repeats what the media repeats, at greater distances.
+PACKING = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6"}
 #: WAVE format tags.
 TAGS = {"mulaw": 7, "alaw": 6, "adpcm": 17}
 
@@ -179,23 +185,10 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def decoded(media: DataFrame, to: int = TARGET_RATE) -> DataFrame:
-    """(key, pcm): the media column as 16-bit little-endian PCM at the target rate."""
-    kind = media.schema["key"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for first, end in slices([len(x.as_py() or b"") for x in b.column(1)], SLICE_BYTES):
-                pcm = decode([x.as_py() for x in b.column(1)[first:end]], to)
-                yield pa.RecordBatch.from_arrays([b.column(0)[first:end], pa.array([None if x is None else x.astype("<i2").tobytes() for x in pcm], pa.binary())], ["key", "pcm"])
-
-    return media.select("key", "media").mapInArrow(run, f"key {kind}, pcm binary")
-
-
-def described(media: DataFrame, to: int = TARGET_RATE) -> DataFrame:
-    """(key, n_bytes, payload and media digests, codec, feature) of what a media column really holds."""
+    """(key, n_bytes, payload and media digests, codec, pcm) of what a media column really holds; pcm is 16-bit little-endian at the target rate."""
     kind = media.schema["key"].dataType.simpleString()
-    names = ["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "codec", "feature"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+    names = ["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "codec", "pcm"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -207,9 +200,42 @@ def described(media: DataFrame, to: int = TARGET_RATE) -> DataFrame:
                     if p is None:
                         rows.append((None,) * 7)
                         continue
-                    rows.append((len(p[2]), hashlib.sha256(p[2]).hexdigest(), zlib.crc32(p[2][-32:]), len(f), hashlib.sha256(f).hexdigest(), p[0], f"{p[0]}:{feature(pcm)}"))
+                    rows.append((len(p[2]), hashlib.sha256(p[2]).hexdigest(), zlib.crc32(p[2][-32:]), len(f), hashlib.sha256(f).hexdigest(), p[0], pcm.astype("<i2").tobytes()))
                 out = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0)[first:end], b.column(1)[first:end], *out], names)
 
-    schema = f"key {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, feature string"
+    schema = f"key {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, pcm binary"
     return media.select("key", "n_bytes", "media").mapInArrow(run, schema)
+
+
+def kept(media: DataFrame, to: int = TARGET_RATE) -> DataFrame:
+    """decoded() as a stored table, of a media column that is written and read back first."""
+    spark, here, there = media.sparkSession, shared_dir(media.sparkSession), shared_dir(media.sparkSession)
+    media.write.options(**PACKING).parquet(here)
+    files = sorted(spark.read.schema(media.schema).parquet(here).inputFiles())
+    step = max(1, -(-len(files) // GROUPS), min(len(files), spark.sparkContext.defaultParallelism))
+    for at in range(0, len(files), step):
+        own = files[at : at + step]
+        decoded(spark.read.schema(media.schema).parquet(*own), to).write.mode("append").options(**PACKING).parquet(there)
+        for f in own:
+            delete_path(spark, f)
+    delete_path(spark, here)
+    schema = decoded(media, to).schema
+    return spark.read.schema(schema).parquet(there) if files else spark.createDataFrame([], schema)
+
+
+def described(held: DataFrame) -> DataFrame:
+    """The columns of kept() with pcm_bytes, pcm_sha256 and the feature of the stored PCM in its place."""
+    names = [c for c in held.columns if c != "pcm"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for codec, x in zip(b.column(len(names) - 1), b.column(len(names)), strict=True):
+                pcm = x.as_buffer() if x.is_valid else None
+                rows.append((None,) * 3 if pcm is None else (len(pcm), hashlib.sha256(pcm).hexdigest(), f"{codec}:{feature(np.frombuffer(pcm, '<i2'))}"))
+            out = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *out], [*names, "pcm_bytes", "pcm_sha256", "feature"])
+
+    schema = ", ".join(f"{c} {held.schema[c].dataType.simpleString()}" for c in names)
+    return held.select(*names, "pcm").mapInArrow(run, f"{schema}, pcm_bytes long, pcm_sha256 string, feature string")

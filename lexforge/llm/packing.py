@@ -1,30 +1,36 @@
 """Packing with optimal length buckets.
 
-Texts are cut into pieces of at most MAX_TOKENS tokens. One aggregation gives the histogram of piece lengths, at most
-MAX_TOKENS cells whatever the corpus holds. Dynamic programming over the cells chooses BUCKETS upper bounds so that
-the padding of all pieces to their bucket's bound is the least possible. Inside each bucket, pieces form batches of
-as many as the token budget holds when each is padded to the bound.
-
-A piece's place in its bucket needs a running number over all pieces. The bucket is divided into SHARDS by the row
-key; counts by (bucket, shard), at most BUCKETS x SHARDS rows, give each shard's offset, and rows are numbered inside
-their shard. No bucket meets in one task, and the result does not depend on the partitioning.
-
-Defined cases: a null text, and one without a token, has one piece of no tokens in bucket 0 with no batch; null keys
-count as shard 0; equal rows get neighbouring places in either order; an empty table gives an empty table. Columns of
-docs beyond key and text aren't kept.
+Texts are encoded, and their token ids cut into pieces of at most MAX_TOKENS. One aggregation gives the histogram of piece
+lengths, at most MAX_TOKENS cells whatever the corpus holds. Dynamic programming over the cells chooses BUCKETS upper
+bounds so that the padding of all pieces to their bucket's bound is the least possible. Inside each bucket, pieces form
+batches of as many as the token budget holds when each is padded to the bound; batches() lays each out as a padded matrix.
+
+A piece's place in its bucket needs a running number over all pieces. The bucket is divided into SHARDS by a hash of the
+piece and its key; counts by (bucket, shard), at most BUCKETS x SHARDS rows, give each shard's offset, and rows are numbered
+inside their shard. No bucket and no key meets in one task, and the result does not depend on the partitioning.
+
+Defined cases: a null or empty text has one piece of no tokens in bucket 0 with no batch; null and shared keys are keys like
+others; equal rows get neighbouring places in either order; an empty table gives an empty table. Columns of docs beyond key
+and text aren't kept, so their names can't clash.
 """
 
 from __future__ import annotations
 
+import base64
+from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import tiktoken
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from lexforge.llm.common import WORD, materialize
+from lexforge.llm.common import materialize, slices
 
-MAX_TOKENS, BUCKETS, BATCH_TOKENS, SHARDS = 2048, 16, 32_768, 1024
+MAX_TOKENS, BUCKETS, BATCH_TOKENS, SHARDS, SLICE_BYTES = 2048, 16, 32_768, 1024, 1 << 20
 
 
 def optimal_bounds(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int]:
@@ -64,35 +70,61 @@ def optimal_bounds(histogram: dict[int, int], buckets: int = BUCKETS) -> list[in
     return bounds[::-1]
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD))
-
-
-def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """(key, piece, start, n_tokens): consecutive pieces of each text. Rows are thin; texts stay where they are."""
-    sized = docs.select(F.col(key).alias("key"), tokens(F.col(text)).alias("n"))
-    cut = sized.select("key", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / max_tokens).cast("int") - 1, F.lit(0)))).alias("piece"))
-    start = F.col("piece") * max_tokens
-    return cut.select("key", "piece", start.cast("long").alias("start"), F.least(F.col("n") - start, F.lit(max_tokens)).cast("long").alias("n_tokens"))
-
-
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS, batch_tokens: int = BATCH_TOKENS, shards: int = SHARDS) -> DataFrame:
-    """(key, piece, start, n_tokens, bucket, padded_to, batch, place): bucket from 1, batch from 0 inside the bucket."""
-    cut = materialize(pieces(docs, key, text, max_tokens))  # counted, then numbered: texts are read once
+@lru_cache(maxsize=4)
+def encoding(path: str, pattern: str) -> tiktoken.Encoding:
+    """The encoding of a rank file (base64 of a token's bytes, and its id)."""
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(k) for token, k in map(bytes.split, f)}
+    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def pieces(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """(key, piece, start, n_tokens, ids): consecutive pieces of each whole text."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoding(path, pattern).encode_ordinary
+        for b in batches:
+            texts = b.column(1)
+            for low, end in slices([len(t.as_buffer()) if t.is_valid else 0 for t in texts], SLICE_BYTES):
+                ids = [np.array(encode(t.as_py() or ""), np.int32) for t in texts[low:end]]
+                size = np.array([len(x) for x in ids], np.int64)
+                times = np.maximum(-(-size // max_tokens), 1)
+                owner = np.repeat(np.arange(len(ids)), times)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(times) - times, times)
+                n = np.minimum(size[owner] - piece * max_tokens, max_tokens)
+                flat = np.concatenate(ids)
+                ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                columns = [b.column(0).take(pa.array(owner + low)), pa.array(piece.astype(np.int32)), pa.array(piece * max_tokens), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "piece", "start", "n_tokens", "ids"])
+
+    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, f"key {kind}, piece int, start long, n_tokens long, ids array<int>")
+
+
+def pack(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS, batch_tokens: int = BATCH_TOKENS, shards: int = SHARDS) -> DataFrame:
+    """(key, piece, start, n_tokens, bucket, padded_to, batch, place, ids): bucket from 1, batch from 0 inside the bucket."""
+    cut = materialize(pieces(docs, path, pattern, key, text, max_tokens))  # counted, then numbered: texts are read once
     histogram = {r["n_tokens"]: r["n"] for r in cut.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}  # max_tokens + 1 rows at most
     bounds = optimal_bounds(histogram, buckets)
     case = F.when(F.col("n_tokens") == 0, F.lit(0))
     limit = F.when(F.col("n_tokens") == 0, F.lit(0))
     for k, b in enumerate(bounds, 1):
         case, limit = case.when(F.col("n_tokens") <= b, F.lit(k)), limit.when(F.col("n_tokens") <= b, F.lit(b))
-    shard = F.coalesce(F.pmod(F.xxhash64(F.col("key")), F.lit(shards)), F.lit(0)).cast("int")
+    shard = F.pmod(F.xxhash64("key", "piece", "ids"), F.lit(shards)).cast("int")
     placed = cut.withColumns({"bucket": case.cast("int"), "padded_to": limit.cast("long"), "shard": shard})
     counts = placed.groupBy("bucket", "shard").agg(F.count("*").alias("n"))
     before = W.Window.partitionBy("bucket").orderBy("shard").rowsBetween(W.Window.unboundedPreceding, -1)
     offsets = counts.select("bucket", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))  # shards rows a bucket
-    inside = W.Window.partitionBy("bucket", "shard").orderBy("key", "piece", "n_tokens")
+    inside = W.Window.partitionBy("bucket", "shard").orderBy("key", "piece", "n_tokens", F.xxhash64("ids"))
     numbered = placed.withColumn("row", F.row_number().over(inside) - 1)
     room = F.greatest(F.floor(F.lit(batch_tokens) / F.greatest(F.col("padded_to"), F.lit(1))), F.lit(1))
     at = F.when(F.col("bucket") > 0, F.col("offset") + F.col("row"))
     joined = numbered.join(F.broadcast(offsets), ["bucket", "shard"])  # buckets x shards rows at most
-    return joined.select("key", "piece", "start", "n_tokens", "bucket", "padded_to", F.floor(at / room).cast("long").alias("batch"), F.pmod(at, room).cast("long").alias("place"))
+    return joined.select("key", "piece", "start", "n_tokens", "bucket", "padded_to", F.floor(at / room).cast("long").alias("batch"), F.pmod(at, room).cast("long").alias("place"), "ids")
+
+
+def batches(packed: DataFrame, pad: int = -1) -> DataFrame:
+    """(bucket, batch, padded_to, keys, lengths, ids): the rows of each batch in place order, padded. batch_tokens ids at most."""
+    row = F.struct("place", "key", "n_tokens", F.concat("ids", F.array_repeat(F.lit(pad), (F.col("padded_to") - F.col("n_tokens")).cast("int"))).alias("ids"))
+    rows = packed.filter("bucket > 0").groupBy("bucket", "batch", "padded_to").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    return rows.select("bucket", "batch", "padded_to", F.col("rows.key").alias("keys"), F.col("rows.n_tokens").alias("lengths"), F.col("rows.ids").alias("ids"))

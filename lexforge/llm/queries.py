@@ -27,6 +27,13 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def pack(docs: DataFrame) -> DataFrame:
+    """docs in batches, with the ids of the 50,256-token byte vocabulary."""
+    import public_tokenizers
+
+    return packing.pack(docs, tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).withColumnRenamed("key", "doc_id")
+
+
 def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     warc.write(table(spark, sf_dir, "pages"), path)
@@ -35,7 +42,7 @@ def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.described(media.store(table(spark, sf_dir, "documents"))).withColumnRenamed("key", "doc_id")
+    return media.described(media.kept(media.store(table(spark, sf_dir, "documents")))).withColumnRenamed("key", "doc_id")
 
 
 def op3_sentencepiece_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +66,7 @@ def op7_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+    return pack(table(spark, sf_dir, "documents"))
 
 
 def op9_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:

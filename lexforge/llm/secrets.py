@@ -1,12 +1,12 @@
 """Secret scans by a trigram inverted index, in DataFrame functions alone.
 
 From each rule's pattern a Boolean query over lower-case trigrams is derived on the driver: a text that matches must
-satisfy it. The index holds postings (trigram, row key) for the trigrams that some query names. Postings are
-intersected by OR-ing each key's trigrams to a bit mask, with map-side combination, and testing every query on it.
+satisfy it. The index holds postings (trigram, row id) for the trigrams that some query names. Postings are
+intersected by OR-ing each row's trigrams to a bit mask, with map-side combination, and testing every query on it.
 Candidates are then verified with the pattern itself. A rule without a mandatory trigram (a bare run of hex digits)
 scans every text.
 
-Defined cases: a null text has no spans; null and repeated keys only widen the candidates, which are verified one by
+Defined cases: a null text has no spans; rows of one key and text share their candidates, which are verified one by
 one; an empty table gives an empty table; other columns don't matter. Equal rows give equal results.
 """
 
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import let
+from lexforge.llm.common import let, parts_for
 
 _parser = re._parser  # the standard library's own parser: one tree for every rule
 
@@ -58,6 +58,8 @@ MORE = (
     Secret("cloud", "AIza[A-Za-z0-9_-]{35}"),
 )
 RULES = BASE + MORE
+#: Matches that are folded at once.
+CHUNK = 64
 
 # ---- Boolean queries: True (anything), ("and", parts), ("or", parts) or a trigram
 
@@ -140,22 +142,30 @@ def vocabulary(rules: tuple[Secret, ...] = RULES) -> list[str]:
     return sorted(set().union(*(trigrams(query(r.pattern)) for r in rules)))
 
 
+def row_id(key: Column, text: Column) -> Column:
+    """What postings name a row by: rows that share a key are told apart by their texts, so that no key is hot.
+
+    Rows of one id share their candidates, which only widens these.
+    """
+    return F.xxhash64(key, text)
+
+
 def postings(docs: DataFrame, grams: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(gram, key): the inverted index over the trigrams named. A posting for each gram and text, whatever its count there."""
-    low = docs.select(F.col(key).alias("key"), F.lower(F.col(text)).alias("low"))
+    """(gram, id): the inverted index over the trigrams named. A posting for each gram and text, whatever its count there."""
+    low = docs.select(row_id(F.col(key), F.col(text)).alias("id"), F.lower(F.col(text)).alias("low"))
     held = F.array_compact(F.array(*[F.when(F.contains(F.col("low"), F.lit(g)), F.lit(k)) for k, g in enumerate(grams)]))
-    return low.select("key", F.explode(held).alias("gram"))
+    return low.select("id", F.explode(held).alias("gram"))
 
 
 def candidates(index: DataFrame, grams: list[str], rules: tuple[Secret, ...] = RULES) -> DataFrame:
-    """(key, may): of each key that meets some rule's query, a mask of those rules. Only masks of grams are shuffled."""
+    """(id, may): of each row id that meets some rule's query, a mask of those rules. Only masks of grams are shuffled."""
     width = 60
     bit = {g: (f"held{k // width}", k % width) for k, g in enumerate(grams)}
     one = lambda at: F.expr(f"if(gram div {width} = {at}, shiftleft(1L, gram % {width}), 0L)")
-    masks = index.groupBy("key").agg(*[F.bit_or(one(at)).alias(f"held{at}") for at in range(-(-len(grams) // width))])
+    masks = index.groupBy("id").agg(*[F.bit_or(one(at)).alias(f"held{at}") for at in range(-(-len(grams) // width))])
     asked = [(k, query(r.pattern)) for k, r in enumerate(rules)]
     may = sum((F.when(_holds(q, bit), F.lit(1 << k)).otherwise(F.lit(0)) for k, q in asked if q is not True), F.lit(0))
-    return masks.select("key", may.cast("long").alias("may")).filter("may > 0")
+    return masks.select("id", may.cast("long").alias("may")).filter("may > 0")
 
 
 # ---- verification
@@ -169,22 +179,35 @@ def _none(k: int) -> Column:
 def _spans(text: Column, rule: Secret, k: int) -> Column:
     """All matches of a rule as structs (start, k, end) in code points, leftmost first.
 
-    The pattern goes on where the last match ended (\\G) and takes the gap before the next match along, so that
-    lengths add up to places and no part of the text is read twice.
+    The pattern goes on where the last match ended (\\G) and takes the gap before the next match along, so that lengths
+    add up to places. A fold copies what it has gathered at each step; so matches are folded CHUNK by CHUNK, each chunk from
+    the sum of those before, and many matches cost little more than few.
     """
     whole = F.lit(rf"\G([\s\S]*?)({rule.pattern})")
     length = lambda group: F.transform(F.regexp_extract_all(text, whole, F.lit(group)), F.length)
-    sizes = F.arrays_zip(length(1).alias("gap"), length(2).alias("hit"), length(rule.value + 2 if rule.value else 2).alias("value"))
-    start = F.struct(F.lit(0).alias("at"), _none(k).alias("found"))
+    sizes = [length(1).alias("gap"), length(2).alias("hit")]
+    if rule.value:
+        sizes.append(length(rule.value + 2).alias("value"))
+    long_enough = lambda x: (x.getField("value") >= rule.at_least) if rule.value else F.lit(True)
 
     def step(a: Column, x: Column) -> Column:
         begin = a.getField("at") + x.getField("gap")
         end = begin + x.getField("hit")
         hit = F.array(F.struct(begin.alias("start"), F.lit(k).alias("k"), end.alias("end")))
-        found = F.when(x.getField("value") >= rule.at_least, F.concat(a.getField("found"), hit)).otherwise(a.getField("found"))
+        found = F.when(long_enough(x), F.concat(a.getField("found"), hit)).otherwise(a.getField("found"))
         return F.struct(end.alias("at"), found.alias("found"))
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(sizes, start, step, lambda a: a.getField("found"))).otherwise(_none(k))
+    def placed(all_: Column) -> Column:
+        cut = lambda c: F.slice(all_, c * CHUNK + 1, F.lit(CHUNK))
+        chunks = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / CHUNK).cast("int"))
+        width = lambda c: F.aggregate(cut(c), F.lit(0), lambda a, x: a + x.getField("gap") + x.getField("hit"))
+        # the sums before each chunk, the last one first
+        before = lambda: F.aggregate(chunks, F.array(F.lit(0)), lambda a, c: F.concat(F.array(F.get(a, F.lit(0)) + width(c)), a))
+        own = lambda sums: F.transform(chunks, lambda c: F.aggregate(cut(c), F.struct(F.get(sums, F.size(sums) - 1 - c).alias("at"), _none(k).alias("found")), step, lambda a: a.getField("found")))
+        few = F.aggregate(all_, F.struct(F.lit(0).alias("at"), _none(k).alias("found")), step, lambda a: a.getField("found"))
+        return F.when(F.size(all_) <= CHUNK, few).otherwise(F.flatten(let(before(), own)))
+
+    return F.when(text.rlike(rule.pattern), let(F.arrays_zip(*sizes), placed)).otherwise(_none(k))
 
 
 def verify(text: Column, may: Column, rules: tuple[Secret, ...] = RULES) -> Column:
@@ -198,12 +221,23 @@ def verify(text: Column, may: Column, rules: tuple[Secret, ...] = RULES) -> Colu
     return F.array_sort(F.concat(*found))
 
 
+def _unused(name: str, columns: list[str]) -> str:
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def _with(docs: DataFrame, key: str, text: str, rules: tuple[Secret, ...], mask: str, own: str) -> DataFrame:
+    """docs with their ids as own and their rules' mask, null where a row is no candidate. Partitions grow with the input."""
+    grams, parts = vocabulary(rules), parts_for(docs)
+    may = candidates(postings(docs, grams, key, text), grams, rules).withColumnsRenamed({"id": own, "may": mask})
+    return docs.withColumn(own, row_id(F.col(key), F.col(text))).repartition(parts, own).join(may.repartition(parts, own), own, "left")
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Secret, ...] = RULES) -> DataFrame:
     """(key, body, spans): spans as array<struct<start, k, end>>, k the rule's number. One row for each row of docs."""
-    grams = vocabulary(rules)
-    may = candidates(postings(docs, grams, key, text), grams, rules)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("body"))
-    joined = rows.join(may.withColumnRenamed("key", "found_key"), rows["key"].eqNullSafe(F.col("found_key")), "left")
+    joined = _with(rows, "key", "body", rules, "may", "id")
     return joined.select("key", "body", verify(F.col("body"), F.coalesce(F.col("may"), F.lit(0)), rules).alias("spans"))
 
 
@@ -212,13 +246,13 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tupl
 
     Overlapping spans are replaced as one. Other columns and the order of columns stay.
     """
-    grams = vocabulary(rules)
-    may = candidates(postings(docs, grams, key, text), grams, rules)
-    joined = docs.join(may, docs[key].eqNullSafe(may["key"]), "left")
-    spans = verify(docs[text], F.coalesce(may["may"], F.lit(0)), rules)
+    names = docs.columns
+    mask, own = _unused("may", names), _unused("id", names)
+    joined = _with(docs, key, text, rules, mask, own)
+    spans = verify(F.col(text), F.coalesce(F.col(mask), F.lit(0)), rules)
 
     def cut(s: Column) -> Column:
-        body = docs[text]
+        body = F.col(text)
         start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
         def step(a: Column, x: Column) -> Column:
@@ -230,5 +264,5 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tupl
         tail = lambda a: F.concat(a.getField("out"), F.substring(body, a.getField("at") + 1, F.length(body)))
         return F.when(F.size(s) == 0, body).otherwise(F.aggregate(s, start, step, tail))
 
-    out = F.when(docs[text].isNull(), docs[text]).otherwise(let(spans, cut))
-    return joined.select(*[(out.alias(c) if c == text else docs[c]) for c in docs.columns])
+    out = F.when(F.col(text).isNull(), F.col(text)).otherwise(let(spans, cut))
+    return joined.select(*[(out.alias(c) if c == text else F.col(f"`{c}`")) for c in names])

@@ -6,7 +6,7 @@ _BODY = "SELECT doc_id, coalesce(text, '') AS body FROM documents"
 
 
 def _quality() -> str:
-    rules = " OR ".join(f"({r.rejects})" for r in quality.RULES).replace("regexp_count(body, ", "regexp_hits(body, ")
+    rules = " OR ".join(f"({r.sql})" for r in quality.RULES).replace("regexp_count(body, ", "regexp_hits(body, ")
     for chars in ("[A-Z]", "!", "[0-9]"):
         rules = rules.replace(f"regexp_hits(body, '{chars}')", f"len(regexp_extract_all(body, '{chars}'))")
     return rf"""

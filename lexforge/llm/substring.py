@@ -33,13 +33,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm.common import discard, materialize, slices
 
-WINDOW, ROUNDS, SLICE_CHARS, MOST_WORDS = 20, 3, 2 << 20, 500_000
+WINDOW, ROUNDS, SLICE_CHARS = 20, 3, 2 << 20
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _U = np.uint64
 BASES = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
@@ -54,26 +54,57 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-class _Names(dict):
-    """Level-0 names of words."""
+def _byte_values() -> np.ndarray:
+    """What a byte counts for in a word's name; the white space between words counts for nothing."""
+    out = mix(np.arange(1, 257, dtype=np.uint64) * BASES[1])
+    out[[9, 10, 11, 12, 13, 32]] = 0
+    return out
 
-    def __missing__(self, word: str) -> int:
-        name = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) < MOST_WORDS and len(word) <= 40:
-            self[word] = name
-        return name
 
+CHUNK_BYTES = 1 << 15  # so that a chunk's arrays stay in a core's cache
+_VALUE = _byte_values()
+_SPACE = _VALUE == 0
 
-_names = _Names()
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n, BASES[0]), np.full(n, INVERSES[0])
+    up[:1] = down[:1] = 1
+    return np.cumprod(up), np.cumprod(down)
 
-def words_of(texts: list[str | None]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
-    """The words of each text, the names of all of them end to end, and where each text begins (one more at the end)."""
-    words = [_WORD.findall(t) if t else [] for t in texts]
-    starts = np.zeros(len(words) + 1, np.int64)
-    np.cumsum([len(w) for w in words], out=starts[1:])
-    names = np.fromiter((x for w in words for x in map(_names.__getitem__, w)), np.uint64, int(starts[-1]))
-    return words, names, starts
+
+_UP, _DOWN = _powers(CHUNK_BYTES)
+
+
+def names_of(texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The names of all words of all texts end to end, and where each text begins (one more at the end).
+
+    A word's name is a polynomial fingerprint of its bytes, found for all words of a chunk at once, without a string of their own.
+    """
+    if isinstance(texts, list):
+        texts = pa.array(texts, pa.string())
+    if texts.null_count:
+        texts = texts.fill_null("")
+    if not len(texts):
+        return np.empty(0, np.uint64), np.zeros(1, np.int64)
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    at = np.frombuffer(texts.buffers()[1], wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.empty(0, np.uint8)
+    names, counts = [np.empty(0, np.uint64)], np.zeros(len(texts) + 1, np.int64)
+    for first, end in slices(np.diff(at).tolist(), CHUNK_BYTES):
+        own = data[at[first] : at[end]]
+        if not len(own):
+            continue
+        up, down = (_UP, _DOWN) if len(own) <= CHUNK_BYTES else _powers(len(own))
+        space, rows = _SPACE[own], at[first:end] - at[first]
+        begins = ~space
+        begins[1:] &= space[:-1]
+        heads = rows[rows < len(own)]
+        begins[heads] = ~space[heads]
+        begin = np.flatnonzero(begins)
+        if len(begin):
+            names.append(mix(np.add.reduceat(_VALUE[own] * up[: len(own)], begin) * down[begin]))
+        counts[first + 1 : end + 1] = np.diff(np.searchsorted(begin, np.append(rows, len(own))))
+    return np.concatenate(names), np.cumsum(counts)
 
 
 class Prefix:
@@ -166,10 +197,10 @@ def anchors(names: np.ndarray, starts: np.ndarray, window: int = WINDOW, rounds:
 # ---- the four steps
 
 
-def _sliced(b: pa.RecordBatch, column: int = 1) -> Iterator[tuple[int, int, list[str | None]]]:
+def _sliced(b: pa.RecordBatch, column: int = 1) -> Iterator[tuple[int, int, pa.Array]]:
     texts = b.column(column)
-    for first, end in slices([len(t.as_buffer()) if t.is_valid else 0 for t in texts], SLICE_CHARS):
-        yield first, end, texts[first:end].to_pylist()
+    for first, end in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), SLICE_CHARS):
+        yield first, end, texts[first:end]
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -186,7 +217,7 @@ def anchor_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for low, _, texts in _sliced(b):
-                _, names, starts = words_of(texts)
+                names, starts = names_of(texts)
                 k, owner, first, n = anchors(names, starts, window)
                 at = first + starts[owner]
                 stretch = Prefix(names, 1).of(at, at + n + window - 1)
@@ -204,7 +235,7 @@ def window_rows(docs: DataFrame, runs: DataFrame, key: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for low, _, texts in _sliced(b):
-                _, names, starts = words_of(texts)
+                names, starts = names_of(texts)
                 one, two = Prefix(names, 0), Prefix(names, 1)
                 owners, begins = [], []
                 for k in range(len(texts)):
@@ -269,16 +300,13 @@ def _marked(docs: DataFrame, marks: DataFrame, key: str, row: Column) -> DataFra
     return own.join(marks.withColumnRenamed("key", "mark_key"), own["key"].eqNullSafe(F.col("mark_key")), "left").select("key", "row", "marked")
 
 
-def _cut(b: pa.RecordBatch, texts: list[str | None], low: int) -> Iterator[tuple[list[str], np.ndarray | None]]:
-    """The words of each text, and which go (None: none)."""
-    for k, t in enumerate(texts):
-        words = _WORD.findall(t) if t else []
+def _cut(b: pa.RecordBatch, texts: pa.Array, low: int) -> Iterator[np.ndarray | None]:
+    """Which words of each text go (None: none)."""
+    names, starts = names_of(texts)
+    for k in range(len(texts)):
         marks = b.column(2)[low + k]
-        if not marks.is_valid or not len(marks.values):
-            yield words, None
-            continue
-        names = np.fromiter(map(_names.__getitem__, words), np.uint64, len(words))
-        yield words, removed(names, *(marks.values.field(c).to_numpy() for c in range(3)))
+        none = not marks.is_valid or not len(marks.values)
+        yield None if none else removed(names[starts[k] : starts[k + 1]], *(marks.values.field(c).to_numpy() for c in range(3)))
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -289,7 +317,8 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
         for b in batches:
             for low, end, texts in _sliced(b):
                 rows = []
-                for words, gone in _cut(b, texts, low):
+                for t, gone in zip(texts.to_pylist(), _cut(b, texts, low), strict=True):
+                    words = _WORD.findall(t or "")
                     kept = words if gone is None else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                     rows.append((len(words), len(words) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
                 out = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)]
@@ -319,7 +348,7 @@ def apply_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for low, end, texts in _sliced(b):
-                new = [t if gone is None else shortened(t, gone) for t, (_, gone) in zip(texts, _cut(b, texts, low), strict=True)]
+                new = [t if gone is None else shortened(t, gone) for t, gone in zip(texts.to_pylist(), _cut(b, texts, low), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()), b.column(3)[low:end]], ["text", "rest"])
 
     out = joined.mapInArrow(run, f"text string, rest {joined.schema['rest'].dataType.simpleString()}")

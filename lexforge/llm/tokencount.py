@@ -5,6 +5,11 @@ as one token are proved whole. On the executors a pre-token that is such a strin
 is merged. Counts equal the library's: special strings count one each, texts between them are normalised (NFC, white
 space, lower case by character) and cut by the file's pattern.
 
+The library's Unicode tables may be older or newer than Python's. So the driver also tries every assigned code point up to
+LAST in many contexts (alone, doubled, between letters, symbols and digits, at apostrophes, among accents, decomposed) and
+keeps those that this module and the library cut alike. A text that holds any other character is normalised and cut by the
+library itself, and its pre-tokens are counted here like all others.
+
 Defined cases: null and empty texts have no tokens; repeated rows give equal rows; an empty table gives an empty
 table; only key and text are read.
 """
@@ -24,6 +29,7 @@ from pyspark.sql import DataFrame
 
 #: Pre-tokens that a worker keeps beside the whole ones.
 MOST_WORDS = 400_000
+LAST = 0x1FFFF
 
 
 def _byte_names() -> list[str]:
@@ -36,8 +42,10 @@ def _byte_names() -> list[str]:
 class Counter(dict):
     """Tokens of pre-tokens, by the text of the pre-token."""
 
-    def __init__(self, path: str, whole: frozenset[str] | None = None):
+    def __init__(self, path: str, whole: frozenset[str] | None = None, known: str = ""):
+        """whole: the proved strings; known: a character class of what both sides cut alike, '' for ASCII only."""
         super().__init__()
+        self.path, self.other, self._library = path, re.compile(f"[^\\x00-\\x7f{known}]"), None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         steps = spec["pre_tokenizer"]["pretokenizers"]
@@ -107,12 +115,27 @@ class Counter(dict):
             self[word] = n
         return n
 
-    def _plain(self, text: str) -> int:
+    def cuts(self, text: str) -> list[str]:
+        """The pre-tokens of a text of known characters."""
         text = unicodedata.normalize("NFC", text)
         low = text.lower()
         if "Σ" in text:  # its lower case must not depend on its place
             low = "".join(c.lower() for c in text)
-        return sum(map(self.__getitem__, self.cut.findall(low)))
+        return self.cut.findall(low)
+
+    def library_cuts(self, text: str) -> list[str]:
+        """The pre-tokens of any text, by the library."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            model = Tokenizer.from_file(self.path)
+            self._library = model.normalizer.normalize_str, model.pre_tokenizer.pre_tokenize_str, {c: b for b, c in enumerate(self.names)}
+        normal, cut, byte = self._library
+        return [bytes(map(byte.__getitem__, x)).decode() for x, _ in cut(normal(text))]
+
+    def _plain(self, text: str) -> int:
+        known = text.isascii() or not self.other.search(text)
+        return sum(map(self.__getitem__, (self.cuts if known else self.library_cuts)(text)))
 
     def count(self, text: str | None) -> int:
         if not text:
@@ -123,15 +146,52 @@ class Counter(dict):
         return len(parts) - 1 + sum(map(self._plain, parts))
 
 
+def contexts(c: str) -> str:
+    """A character in the company that its class, case, marks and composition show in."""
+    apart = unicodedata.normalize("NFD", c)
+    if apart == c and unicodedata.category(c) == "Lo":  # no case, no mark, no parts: a letter or not
+        return f" {c} a{c}a 1{c}#{c}1 '{c}'ll{c}'s a\u0301{c}\u0323 "
+    return f" {c} {c}{c} a{c}a #{c}# 1{c}1 '{c} {c}'ll A{c}'s ×{c}× é{c}º a\u0301{c}\u0323 a{c}\u0301 a\u0323{c}\u0301 {apart} {apart}\u0301 a{apart}b "
+
+
+def known_characters(counter: Counter) -> str:
+    """A character class, without brackets, of the code points that cuts() and library_cuts() treat alike."""
+    good, bad = [], set()
+
+    def tried(points: list[int]) -> None:
+        text = "".join(contexts(chr(p)) for p in points)
+        if counter.cuts(text) == counter.library_cuts(text):
+            good.extend(points)
+        elif len(points) > 1:
+            tried(points[: len(points) // 2])
+            tried(points[len(points) // 2 :])
+        else:  # nor may its parts come together in a text
+            bad.update(map(ord, unicodedata.normalize("NFD", chr(points[0]))))
+
+    points = [p for p in range(128, LAST + 1) if unicodedata.category(chr(p)) not in ("Cn", "Cs", "Co")]
+    for at in range(0, len(points), 64):
+        tried(points[at : at + 64])
+    good = [p for p in good if p not in bad]
+    out, at = [], 0
+    while at < len(good):
+        end = at
+        while end + 1 < len(good) and good[end + 1] == good[end] + 1:
+            end += 1
+        out.append(f"\\U{good[at]:08x}-\\U{good[end]:08x}")
+        at = end + 1
+    return "".join(out)
+
+
 @lru_cache(maxsize=4)
-def prove(path: str) -> frozenset[str]:
-    """The vocabulary strings that encode alone as one token. Bounded by the vocabulary; computed once on the driver."""
-    return Counter(path).whole
+def prove(path: str) -> tuple[frozenset[str], str]:
+    """The vocabulary strings that encode alone as one token, and the known characters. Bounded by the vocabulary and Unicode; once on the driver."""
+    counter = Counter(path)
+    return counter.whole, known_characters(counter)
 
 
 @lru_cache(maxsize=4)
-def _load(path: str, whole: frozenset[str]) -> Counter:
-    return Counter(path, whole)
+def _load(path: str, whole: frozenset[str], known: str) -> Counter:
+    return Counter(path, whole, known)
 
 
 def counts(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -140,7 +200,7 @@ def counts(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: st
     proved = docs.sparkSession.sparkContext.broadcast(prove(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _load(path, proved.value)
+        counter = _load(path, *proved.value)
         for b in batches:
             texts = [t.as_py() or "" for t in b.column(1)]
             n = [counter.count(t) for t in texts]

@@ -11,8 +11,10 @@ member that breaks off, what was unpacked so far is searched for whole records f
 
 Defined cases: a null payload counts as empty; null ids are written as such and come back as null, and never
 are a response that others revisit unless no id is there at all (then each is a response); repeated rows give as many
-records; an empty table gives no archive and no record; further columns are ignored. An archive is handled in one
-task's memory: ARCHIVE_BYTES beside the largest single record.
+records; an empty table gives no archive and no record; columns of other names are ignored. No bytes make read() fail: what
+doesn't parse, numbers beyond 15 digits and heads of over HEAD_LINES lines included, is part of a gap, and a digest or id that
+isn't one is null. An archive is handled in one task's memory: ARCHIVE_BYTES, the largest single record, and what one member
+unpacks to, MEMBER_BYTES at most; of a larger member, the records before that stand, and it counts as a gap.
 """
 
 from __future__ import annotations
@@ -31,17 +33,20 @@ from pyspark.sql import functions as F
 
 from lexforge.llm.common import materialize
 
-LEAST, ARCHIVE_BYTES = 1000, 8 << 20
+LEAST, ARCHIVE_BYTES, MEMBER_BYTES = 1000, 8 << 20, 256 << 20
+HEAD_LINES, GZIP_HEAD_BYTES = 256, 4096
 VERSION = b"WARC/1.1\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-NOBODY = uuid.UUID(int=(1 << 64) - 1 << 64)
-_HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]+\r\n)*)\r\n")
+NOBODY = uuid.UUID(int=(1 << 64) - 1 << 64)  # of a null id
+_HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]{1,65536}\r\n){0,%d})\r\n" % HEAD_LINES)
+_NUMBER = re.compile(r"[0-9]{1,15}")
+_HTTP_LENGTH = re.compile(rb"(?i)\ncontent-length:[ \t]{0,64}([0-9]{1,15})[ \t]{0,64}\r?(?:\n|$)")
 _MEMBER = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]")
 DATE = "2024-01-01T00:00:00Z"
 
 
 def record_id(key: int | None) -> str:
-    """A record's id holds the row's id in its low 64 bits."""
+    """A record's id holds the row's id in its low 64 bits; the others are 0."""
     return f"<urn:uuid:{NOBODY if key is None else uuid.UUID(int=key & (1 << 64) - 1)}>"
 
 
@@ -50,7 +55,7 @@ def key_of(record: str | None) -> int | None:
         number = uuid.UUID((record or "").strip().removeprefix("<urn:uuid:").removesuffix(">")).int
     except ValueError:
         return None
-    return None if number == NOBODY.int else number - (1 << 64) if number >> 63 & 1 else number
+    return None if number >> 64 else number - (1 << 64) if number >> 63 else number  # another writer's id isn't a row's
 
 
 def record(key: int | None, uri: str | None, payload: bytes, revisits: int | None) -> bytes:
@@ -147,15 +152,15 @@ def _one(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
         if not colon:
             return "head"
         head[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    if not head.get("content-length", "").isdigit():
+    if not _NUMBER.fullmatch(head.get("content-length", "")):
         return "length"
     end = m.end() + int(head["content-length"])
     if data[end : end + 4] != b"\r\n\r\n":
         return "length"
     block = data[m.end() : end]
     payload = _payload(head, block)
-    claimed, http = head.get("warc-payload-digest", ""), re.search(rb"(?i)\ncontent-length:\s*(\d+)", block.partition(b"\r\n\r\n")[0])
-    if http:
+    claimed = head.get("warc-payload-digest", "")
+    if http := _HTTP_LENGTH.search(block.partition(b"\r\n\r\n")[0]):
         head["http content-length"] = http[1].decode()
     if head.get("warc-type") == "response" and claimed.startswith("sha1:") and base64.b32encode(hashlib.sha1(payload).digest()).decode() != claimed[5:]:
         return "digest"
@@ -203,19 +208,41 @@ def _before(unpack, step: bytes) -> bytes:
     return b"".join(out)
 
 
+def _gzip_head(data: bytes, at: int) -> bool:
+    """Whether a gzip header of at most GZIP_HEAD_BYTES stands at a byte: its optional parts must end in time."""
+    if data[at + 2 : at + 3] != b"\x08" or len(data) < at + 10 or data[at + 3] > 31:
+        return False
+    flags, end, most = data[at + 3], at + 10, at + GZIP_HEAD_BYTES
+    if flags & 4:
+        end += 2 + int.from_bytes(data[end : end + 2], "little")
+    for bit in (8, 16):  # a name and a comment, each up to a zero byte
+        if flags & bit:
+            if end >= most or (zero := data.find(b"\0", end, most)) < 0:
+                return False
+            end = zero + 1
+    return end + 2 * (flags >> 1 & 1) <= min(most, len(data))
+
+
 def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
-    """What the gzip member at a byte unpacks to, its end, and what is wrong ('' if nothing). Output before an error is kept."""
-    unpack, out = zlib.decompressobj(31), []
-    step = 1 << 16
-    for k in range(at, len(data), step):
+    """What the gzip member at a byte unpacks to, its end, and what is wrong ('' if nothing). Output before an error is kept.
+
+    Steps grow, so that bytes that only look like a member cost little.
+    """
+    if not _gzip_head(data, at):
+        return b"", at, "member"
+    unpack, out, size, k, step = zlib.decompressobj(31), [], 0, at, 1 << 10
+    while k < len(data):
         kept = unpack.copy()
         try:
             out.append(unpack.decompress(data[k : k + step]))
         except zlib.error:
             out.append(_before(kept, data[k : k + step]))
             return b"".join(out), at, "member"
+        k, step, size = k + step, min(2 * step, 1 << 16), size + len(out[-1])
         if unpack.eof:
-            return b"".join(out), min(k + step, len(data)) - len(unpack.unused_data), ""
+            return b"".join(out), min(k, len(data)) - len(unpack.unused_data), ""
+        if size > MEMBER_BYTES:
+            return b"".join(out), at, "member too large"
     return b"".join(out), at, "member breaks off"
 
 
@@ -310,9 +337,10 @@ def _fields(f: Found, payloads: bool) -> tuple:
     claimed = head.get("warc-payload-digest", "")
     digest = hashlib.sha1(f.payload).hexdigest()
     if f.kind == "revisit":
+        size = int(head["http content-length"]) if "http content-length" in head else None
         try:
-            size, digest = int(head.get("http content-length", "")), base64.b32decode(claimed.removeprefix("sha1:")).hex()
+            digest = base64.b32decode(claimed.removeprefix("sha1:")).hex()
         except ValueError:
-            size, digest = None, None
+            digest = None
     return f.kind, key_of(head.get("warc-record-id")), head.get("warc-target-uri"), size, digest, key_of(head.get("warc-refers-to")), f.payload if payloads else None, f.reason or None
 

@@ -4,6 +4,8 @@ import hashlib
 import re
 from itertools import combinations
 
+import public_tokenizers
+
 from lexforge.llm import packing, secrets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -117,17 +119,18 @@ def redacted(text, mark="[SECRET]"):
 
 
 def packed(docs, max_tokens, buckets, batch_tokens):
-    """[(key, piece, start, n_tokens, bucket, padded_to)] and the number of batches of each bucket."""
+    """[(key, piece, start, n_tokens, bucket, padded_to, ids)] and the bounds of the buckets."""
+    encode = packing.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).encode_ordinary
     rows, histogram = [], {}
     for key, text in docs:
-        n = len(WORD.findall(text or ""))
-        for p in range(max(-(-n // max_tokens), 1)):
-            size = min(n - p * max_tokens, max_tokens)
-            rows.append((key, p, p * max_tokens, size))
-            histogram[size] = histogram.get(size, 0) + 1
+        ids = encode(text or "")
+        for p in range(max(-(-len(ids) // max_tokens), 1)):
+            own = ids[p * max_tokens : (p + 1) * max_tokens]
+            rows.append((key, p, p * max_tokens, len(own), own))
+            histogram[len(own)] = histogram.get(len(own), 0) + 1
     bounds = packing.optimal_bounds(histogram, buckets)
     place = lambda n: (0, 0) if n == 0 else next((k, b) for k, b in enumerate(bounds, 1) if n <= b)
-    return [(*r, *place(r[3])) for r in rows], bounds
+    return [(*r[:4], *place(r[3]), r[4]) for r in rows], bounds
 
 
 def sha(text):

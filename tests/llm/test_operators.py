@@ -1,6 +1,8 @@
 """Each operator against its plain version, on fixtures with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
+import hashlib
 import random
+import struct
 import zlib
 from itertools import combinations
 
@@ -12,7 +14,7 @@ from lexforge.llm import factorisation, jaccard, media, packing, quality, querie
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
-PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
+PIECES, WORDS, RANKS = (public_tokenizers.path(x) for x in ("piece_bpe_32k.model", "word_bpe_49k.json", "byte_bpe_50k.tiktoken"))
 
 
 def frame(spark, texts, keys=None):
@@ -98,9 +100,96 @@ def test_warc_salvage_keeps_whole_records_of_a_large_member(late):
     assert [f.reason for f in found if f.kind is None] == ["member"]
 
 
+def test_warc_read_survives_any_bytes(spark):
+    good = zlib.decompress(warc.record(7, "http://h/7", b"x" * 1500, None), 31)
+    head = b"WARC/1.1\r\nWARC-Type: %s\r\nWARC-Record-ID: %s\r\nContent-Length: %s\r\n\r\n%s\r\n\r\n"
+    ours = warc.record_id(5).encode()
+    revisit = b"HTTP/1.1 200 OK\r\nContent-Length: %s\r\n\r\n"
+    many = revisit % b"99999999999999999999999"
+    bad = [
+        head % (b"response", ours, "²".encode(), b"x"), head % (b"response", ours, b"9" * 5000, b"x"), head % (b"response", ours, b"-1", b"x"),
+        head % (b"revisit", ours, str(len(many)).encode(), many), head % (b"x", b"<urn:uuid:ffffffff-ffff-4fff-8fff-ffffffffffff>", b"1", b"x"),
+        b"WARC/1.1\r\n" * 5000, b"\x1f\x8b\x08\x1f" * 40_000, b"\x1f\x8b\x08\x00" * 40_000, b"\xff\xfe\x00WARC/1.1\r\n\xff: \xff\r\n\r\n",
+        head.replace(b"\r\nContent-Length", b"\r\nWARC-Payload-Digest: sha1:\xc2\xb2\r\nContent-Length") % (b"revisit", ours, b"1", b"x"), b"", None,
+    ]
+    r = random.Random(9)
+    for _ in range(60):
+        x = bytearray(warc.record(1, "u", bytes(r.choices(b"ab\r\n", k=300)), r.choice([None, 4])) + good)
+        for _ in range(r.randint(1, 12)):
+            at = r.randrange(len(x))
+            x[at : at + r.randint(0, 4)] = bytes(r.choices(range(256), k=r.randint(0, 4)))
+        bad.append(bytes(x))
+    rows = [(str(k), None if x is None else x + b"\r\n\r\n" + good) for k, x in enumerate(bad)]
+    stored = spark.createDataFrame(rows, "archive string, content binary").selectExpr("content", "1 AS payload", "archive", "2 AS key")
+    got = warc.read(stored).collect()
+    assert {x["archive"] for x in got if x["key"] == 7 and x["payload_bytes"] == 1500} == {str(k) for k, x in enumerate(bad) if x is not None}
+    by = {(x["archive"], x["record_type"]): x for x in got}
+    assert by["3", "revisit"]["payload_bytes"] is None and by["4", "x"]["key"] is None and by["9", "revisit"]["payload_digest"] is None
+
+
+def test_warc_member_that_unpacks_without_end(monkeypatch):
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 1 << 22)
+    first = zlib.decompress(warc.record(1, "u", b"a" * 2000, None), 31)
+    pack = zlib.compressobj(9, zlib.DEFLATED, 31)
+    bomb = pack.compress(first + bytes(64 << 20)) + pack.flush()
+    found = list(warc.salvage(bomb + warc.record(2, "u", b"b" * 2000, None)))
+    assert {warc.key_of(f.head["warc-record-id"]) for f in found if f.kind} == {1, 2} and [f.reason for f in found if not f.kind] == ["member too large"]
+
+
+def test_warc_of_null_and_repeated_ids_and_clashing_columns(spark):
+    body = "z" * 1200
+    rows = [(None, "u", body), (None, "u", body), (3, "u", body), (3, "u", body), (9, "u", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("1 AS key", "html", "2 AS payload", "page_id", "url", "3 AS digest", "4 AS response")
+    got = warc.read(warc.archives(warc.planned(df, "page_id", "url", "html"))).collect()
+    assert sorted((r["key"] or 0, r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got) == [(0, "revisit", 3, 1200)] * 2 + [(3, "response", None, 1200)] * 2 + [(9, "response", None, 0)]
+
+
 # ---- 2
 
 
+def plain_feature(payload, codec):
+    """The feature of a payload, sample by sample."""
+    pcm = []
+    for at in range(0, len(payload), media.BLOCK if codec == "adpcm" else len(payload)):
+        if codec != "adpcm":
+            pcm = [int((media.MULAW if codec == "mulaw" else media.ALAW)[x]) for x in payload]
+            break
+        block = payload[at : at + media.BLOCK]
+        value, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+        pcm.append(value)
+        for nibble in (n for x in block[4:] for n in (x & 15, x >> 4)):
+            step = int(media.STEPS[index])
+            d = (step >> 3) + (step if nibble & 4 else 0) + (step >> 1 if nibble & 2 else 0) + (step >> 2 if nibble & 1 else 0)
+            value = max(-32768, min(32767, value - d if nibble & 8 else value + d))
+            index = max(0, min(88, index + [-1, -1, -1, -1, 2, 4, 6, 8][nibble & 7]))
+            pcm.append(value)
+    twice = [y for x, z in zip(pcm, pcm[1:] + pcm[-1:], strict=True) for y in (x, (x + z) >> 1)]
+    n, steps = len(twice), list(zip(twice, twice[1:], strict=False))
+    data = struct.pack(f"<{n}h", *twice)
+    return data, f"{codec}:{n}:{sum(x * x for x in twice) // n}:{sum((a < 0) != (b < 0) for a, b in steps)}:{max(map(abs, twice))}:{sum(abs(b - a) for a, b in steps) // n}"
+
+
+def test_media_query_against_a_plain_version(spark):
+    r = random.Random(5)
+    texts = [None, "", "ä" * 700, "a" * 576, "b" * 577, "same", "same", "long " * 4000, *("".join(r.choices("abc é\n日", k=r.randint(1, 900))) for _ in range(40))]
+    df = frame(spark, texts).selectExpr("1 AS media", "doc_id", "text", "2 AS key", "3 AS pcm")
+    got = {x["key"]: x.asDict() for x in media.described(media.kept(media.store(df))).collect()}
+    codecs = set()
+    for k, t in enumerate(texts):
+        raw = (t or "").encode()
+        p = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
+        codec = sorted(media.TAGS)[zlib.crc32(p) % 3]
+        codecs.add(codec)
+        file = media.wav(p, codec)
+        data, want = plain_feature(p, codec)
+        assert got[k] == {
+            "key": k, "n_bytes": len(raw), "payload_bytes": len(p), "payload_sha256": hashlib.sha256(p).hexdigest(), "tail_crc32": zlib.crc32(p[-32:]), "media_bytes": len(file),
+            "media_sha256": hashlib.sha256(file).hexdigest(), "codec": codec, "feature": want, "pcm_bytes": len(data), "pcm_sha256": hashlib.sha256(data).hexdigest(),
+        }
+        assert file[:4] == b"RIFF" and int.from_bytes(file[4:8], "little") == len(file) - 8 and file.endswith(p)
+    assert codecs == set(media.TAGS) and media.described(media.kept(media.store(df.limit(0)))).count() == 0
+
+
 def test_media(spark):
     assert media.MULAW[0] == -32124 and media.MULAW[128] == 32124 and media.MULAW[255] == 0 and media.ALAW[0xD5] == 8 and media.ALAW[0xAA] == 32256
     r = random.Random(1)
@@ -117,16 +206,14 @@ def test_media(spark):
                 want.append(value)
         assert got.tolist() == want
     texts = [None, "", "ä" * 700, "a" * 576, "b" * 577, "same", "same", "long " * 40_000]
-    got = {x["key"]: x for x in media.described(media.store(frame(spark, texts))).collect()}
-    for k, t in enumerate(texts):
-        raw = (t or "").encode()
-        p = media.padded(raw)
-        assert (got[k]["n_bytes"], got[k]["payload_bytes"], got[k]["tail_crc32"]) == (len(raw), len(p), zlib.crc32(p[-32:])) and got[k]["payload_bytes"] % 576 == 0
+    for t in texts:
+        p = media.padded((t or "").encode())
         for codec in media.TAGS:
             assert media.parse(media.wav(p, codec)) == (codec, media.RATE, p)
-    assert got[5]["feature"] == got[6]["feature"] and media.parse(b"RIFFxx") is None and media.parse(None) is None
+    assert media.parse(b"RIFFxx") is None and media.parse(None) is None
     assert media.resample(np.array([0, 10, 20], np.int16), 8000, 16000).tolist() == [0, 5, 10, 15, 20, 20] and media.resample(np.array([0, 30], np.int16), 8000, 24000).tolist() == [0, 10, 20, 30, 30, 30]
-    assert media.decoded(media.store(frame(spark, texts))).filter("pcm is null").count() == 0
+    broken = spark.createDataFrame([(1, 2, b"RIFFxx"), (2, 0, None)], "key long, n_bytes long, media binary")
+    assert {(x["key"], x["n_bytes"], x["feature"], x["payload_sha256"]) for x in media.described(media.kept(broken)).collect()} == {(1, 2, None, None), (2, 0, None, None)}
 
 
 # ---- 3 and 6
@@ -159,6 +246,17 @@ def test_token_counts_are_the_librarys(spark):
     want = [len(x.ids) for x in model.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     assert [own.count(t) for t in texts] == want
     assert all(len(model.encode(w, add_special_tokens=False).ids) == 1 for w in sorted(own.whole)[::500] if w.strip() and w == w.lower())
+    full, r = tokencount.Counter(WORDS, *tokencount.prove(WORDS)), random.Random(11)
+    cases = ["к\u209d", "\u058b'LL", "\u00d7\u208f", "\u00ba\u208f", "\ua7cb", "\ua7dc", "\U0001e5d0", "\U00016d63\U00016d67", "<|endoftext|>\ua7cb<|startoftext|>x"]
+    odd = [chr(p) for p in range(0x110000) if not 0xD800 <= p < 0xE000]
+    common = ["a", "É", "'s", "'LL", "#", "×", "1", "²", "\u0301", "\u0323", " ", "İ", "Σ"]
+    cases += ["".join(r.choices(odd, k=r.randint(1, 4)) + r.choices(common, k=r.randint(0, 4))) for _ in range(30_000)]
+    low = [c for c in odd[128:0x3400] if tokencount.unicodedata.category(c) != "Cn"]
+    cases += ["".join(r.choices(low, k=r.randint(1, 6)) + r.choices(common, k=2) + r.choices(low, k=3)) for _ in range(60_000)]
+    wrong = [(t, full.count(t), len(x.ids)) for t, x in zip(cases, model.encode_batch(cases, add_special_tokens=False), strict=True) if full.count(t) != len(x.ids)]
+    assert not wrong, wrong[:5]
+    clash = frame(spark, texts[:20]).selectExpr("1 AS n_tokens", "text", "2 AS key", "doc_id")
+    assert {r["key"]: r["n_tokens"] for r in tokencount.counts(clash, WORDS, 100).collect()} == dict(enumerate(want[:20])) and tokencount.counts(clash.limit(0), WORDS, 1).count() == 0
     got = {r["key"]: r for r in tokencount.counts(frame(spark, texts[:20]), WORDS, 100).collect()}
     assert [got[k]["n_tokens"] for k in range(20)] == want[:20] and all(got[k]["over_limit"] == (want[k] > 100) for k in range(20))
 
@@ -172,6 +270,9 @@ def test_quality(spark):
     for k, t in enumerate(texts):
         want = brute.measures(t) | {"kept": brute.kept(t)}
         assert {n: got[k][n] for n in want} == want, t
+    order = quality.order_rules(frame(spark, texts), rules=quality.BASE + quality.RULES, on_demand=True)
+    assert {r.name for r, _, _ in order} == {r.name for r in quality.BASE + quality.RULES} and all(cost > 0 for _, cost, _ in order) and any(share for _, _, share in order)
+    assert [-s / c for _, c, s in order] == sorted(-s / c for _, c, s in order)
     shuffled = tuple(reversed(quality.RULES))
     assert {r["key"] for r in quality.judge(frame(spark, texts), rules=shuffled).filter("kept").collect()} == {k for k in got if got[k]["kept"]}
     clash = frame(spark, texts).selectExpr("doc_id", "text", "1 AS n_words", "2 AS key", "3 AS body", "4 AS kept")
@@ -207,9 +308,25 @@ def test_substring_dedup_of_null_and_shared_keys(spark):
     assert sorted((r["key"] is not None, r["n_removed"]) for r in got) == [(False, 0), (False, 0), (True, 30), (True, 30), (True, 30)]
 
 
+def test_names_of_words():
+    r = random.Random(2)
+    texts = [None, "", " ", "a", "é\n日 😀\x85x\x0b\x0cb", "x" * 70_000 + " x", *("".join(r.choice("ab \n\té日\x1f") for _ in range(r.randint(0, 60))) for _ in range(3000))]
+    names, starts = substring.names_of(texts)
+    seen = {}
+    for k, t in enumerate(texts):
+        words = brute.WORD.findall(t or "")
+        assert starts[k + 1] - starts[k] == len(words)
+        for w, n in zip(words, names[starts[k] : starts[k + 1]].tolist(), strict=True):
+            assert seen.setdefault(w, n) == n
+    assert len(set(seen.values())) == len(seen)
+    some, where = substring.names_of(substring.pa.array(texts)[3:7])
+    assert some.tolist() == names[starts[3] : starts[7]].tolist() and where.tolist() == (starts[3:8] - starts[3]).tolist()
+
+
 def test_equal_windows_have_equal_anchors():
     texts = [t for t in texts_with_repeats(9) if t]
-    words, names, starts = substring.words_of(texts)
+    words = [brute.WORD.findall(t) for t in texts]
+    names, starts = substring.names_of(texts)
     key, owner, first, n = substring.anchors(names, starts)
     at = {}
     for k, o, f, m in zip(key.tolist(), owner.tolist(), first.tolist(), n.tolist(), strict=True):
@@ -324,15 +441,24 @@ def test_packing(spark):
         bounds = packing.optimal_bounds(h, k)
         assert len(bounds) <= k and padding(bounds) == best
     assert packing.optimal_bounds({}, 3) == []
-    texts = [None, "", *(" ".join("w" * r.randint(1, 90)) for _ in range(80)), "w " * 300, "w " * 300]
-    got = packing.pack(frame(spark, texts), max_tokens=64, buckets=5, batch_tokens=256, shards=4).collect()
-    want, bounds = brute.packed(list(enumerate(texts)), 64, 5, 256)
-    assert sorted((x["key"], x["piece"], x["start"], x["n_tokens"], x["bucket"], x["padded_to"]) for x in got) == sorted(want)
+    texts = [None, "", " ", *(" ".join(r.choices(("word", "é", "12 #", "\n"), k=r.randint(1, 90))) for _ in range(80)), "w " * 300, "w " * 300]
+    keys = [None, None, *range(len(texts) - 4), 7, 7]
+    df = frame(spark, texts, keys).selectExpr("1 AS piece", "doc_id", "2 AS key", "text", "3 AS ids")
+    packed = packing.pack(df, RANKS, public_tokenizers.PATTERN, max_tokens=64, buckets=5, batch_tokens=256, shards=4)
+    got = packed.collect()
+    want, bounds = brute.packed(list(zip(keys, texts, strict=True)), 64, 5, 256)
+    assert sorted(map(repr, ((x["key"], x["piece"], x["start"], x["n_tokens"], x["bucket"], x["padded_to"], x["ids"]) for x in got))) == sorted(map(repr, want))
     for k, b in enumerate(bounds, 1):
         own = sorted((x["batch"], x["place"]) for x in got if x["bucket"] == k)
         room = max(256 // b, 1)
         assert own == [(i // room, i % room) for i in range(len(own))]
-    assert all(x["batch"] is None for x in got if x["bucket"] == 0) and packing.pack(frame(spark, texts).limit(0)).count() == 0
+    rows = packing.batches(packed, pad=-7).collect()
+    assert sum(len(x["keys"]) for x in rows) == sum(x["bucket"] > 0 for x in got) and all(len(i) == x["padded_to"] and len(i) * len(x["ids"]) <= 256 and list(i[n:]) == [-7] * (len(i) - n) for x in rows for i, n in zip(x["ids"], x["lengths"], strict=True))
+    place = {(x["bucket"], x["batch"], x["place"]): x for x in got}
+    assert all(list(i[:n]) == place[x["bucket"], x["batch"], k]["ids"] for x in rows for k, (i, n) in enumerate(zip(x["ids"], x["lengths"], strict=True)))
+    assert all(x["batch"] is None for x in got if x["bucket"] == 0) and packing.pack(df.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+    ids = packing.encoding(RANKS, public_tokenizers.PATTERN)
+    assert all(ids.decode([i for x in sorted((x for x in got if x["key"] == k), key=lambda x: x["piece"]) for i in x["ids"]]) == texts[k + 2] for k in (0, 1, 30))
 
 
 # ---- 9
@@ -370,6 +496,8 @@ def test_secret_spans(spark):
     assert out.columns == clash.columns and {x["doc_id"]: x["text"] for x in out.collect()} == {k: brute.redacted(t) for k, t in enumerate(texts)}
     twice = spark.createDataFrame([(None, "token = abcdefgh"), (None, "x"), (1, "secret:abcdef"), (1, "y")], "doc_id long, text string")
     assert sorted(len(x["spans"]) for x in secrets.scan(twice).collect()) == [0, 0, 1, 1] and secrets.scan(df.limit(0)).count() == 0
+    many = [" é ".join(f"token={'x' * (6 + k % 3)}" for k in range(n)) for n in (63, 64, 65, 128, 129, 5000)]
+    assert {x["key"]: [tuple(s) for s in x["spans"]] for x in secrets.scan(frame(spark, many)).collect()} == {k: brute.spans(t) for k, t in enumerate(many)}
 
 
 def test_no_line_of_a_key_block_is_left(spark):
