@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexforge.functions.text import let
+
 # ---- Fixed values: the 26 text patterns and the title patterns, in order, with the parts that several of them share.
 MONTH = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 CAP = r"[A-Z][\w'’&-]*(?:\.(?!\w))?"
@@ -99,16 +101,31 @@ def strip_title(title: Column) -> Column:
 
 def counts(text: Column) -> list[Column]:
     """Occurrences of each pattern in the text as it is: the features of the leakage classifier."""
-    return [F.regexp_count(text, F.lit(_java(p))).alias(name) for name, p in TEXT_PATTERNS]
+    return [F.when(_may_match(text, name), F.regexp_count(text, F.lit(_java(p)))).otherwise(0).alias(name) for name, p in TEXT_PATTERNS]
+
+
+#: What a text must hold for a pattern to match at all: plain words are searched for much faster than a pattern.
+NEEDS = {
+    "dateline": "Reuters", "reuters": "Reuters", "continue_story": "Continue th", "tweet_stamp": "(", "email": "@", "handle": "@", "paren_photo": "hoto", "getty": "Getty",
+    "heres_video": "Here", "follow_twitter": "Twitter", "byline": " is ", "email_tips": "mail", "empty_parens": "(", "image_credit": "redit",
+}
+
+
+def _may_match(text: Column, name: str) -> Column:
+    return F.contains(text, F.lit(NEEDS[name])) if name in NEEDS else F.lit(True)
 
 
 def _step(state: Column, name: str, pattern: str) -> Column:
-    """One pattern applied to (text so far, names so far). A lambda binds the state once; plain columns would be copied and grow with 2 ** steps."""
+    """One pattern applied to (text so far, names so far). A lambda binds the state once; plain columns would be copied and grow with 2 ** steps.
+
+    No pattern matches a single blank alone, so a text that has a match differs from what is left of it.
+    """
     def apply(s: Column) -> Column:
-        t, h = s.getField("t"), s.getField("h")
-        return F.struct(F.regexp_replace(t, pattern, " ").alias("t"), F.when(t.rlike(pattern), F.concat(h, F.array(F.lit(name)))).otherwise(h).alias("h"))
+        old, h = s.getField("t"), s.getField("h")
+        new = F.when(_may_match(old, name), F.regexp_replace(old, pattern, " ")).otherwise(old)
+        return let(new, lambda t: F.struct(t.alias("t"), F.when(t != old, F.concat(h, F.array(F.lit(name)))).otherwise(h).alias("h")))
 
-    return F.transform(F.array(state), apply).getItem(0)
+    return let(state, apply)
 
 
 def strip_frame(df: DataFrame, text: str = "text", title: str | None = "title") -> DataFrame:

@@ -95,6 +95,21 @@ def names_conflict(claim: Column, passage: Column) -> Column:
     return (F.size(claim) > 0) & (F.size(passage) > 0) & ~overlap
 
 
+def mismatch_headline(title: Column, body: Column, stance: Column, cfg: Fusion | None = None) -> tuple[Column, Column]:
+    """(flag, p): whether the body refutes its own headline with enough probability, and that probability where it refutes at all.
+
+    stance: struct of probabilities of the body's first 2,000 characters towards the title. Inputs without both, or with
+    the same text in both, never mismatch.
+    """
+    cfg = cfg or Fusion()
+    none = F.lit("")
+    t, b = (F.trim(F.coalesce(x, none)) for x in (title, body))
+    supports, refutes, neutral = (stance.getField(x) for x in ("SUPPORTS", "REFUTES", "NEUTRAL"))
+    refuted = (t != "") & (b != "") & (t != b) & (argmax_stance(supports, refutes, neutral) == "REFUTES")
+    p = F.when(refuted, F.round(refutes, 4))
+    return F.coalesce(refuted & (refutes >= cfg.mismatch_p), F.lit(False)), p
+
+
 def out_of_context(evidence: DataFrame, keys: list[str]) -> DataFrame:
     """keys, out_of_context: two or more supporting passages conflict with the claim in places or years."""
     conflict = names_conflict(F.col("claim_places"), F.col("places")) | names_conflict(F.col("claim_years"), F.col("years"))
@@ -178,7 +193,6 @@ REASONS = {
     "LANG": "English-only in this version.",
     "R0": "The input originates from a satire / known-hoax site.",
     "R1": "No reliable evidence for or against the main claim was found. This does not mean the claim is false.",
-    "R2": "A fact-checker (Tier-1) rates a matching claim as false.",
     "R5": "The main claim is supported, but another important claim is refuted.",
     "R6": "The important claims are split: some supported, some refuted.",
     "R9": "The evidence is inconclusive.",
@@ -189,12 +203,14 @@ RETRIEVED_ONLY = "Based on the retrieved evidence only; evidence dates are shown
 
 
 def reason(fused: DataFrame) -> DataFrame:
-    """fused with reason."""
+    """fused with reason. fc_source names the fact-checker of R2, where it is known."""
     c = F.col
+    checker = F.coalesce("fc_source", F.lit("Tier-1")) if "fc_source" in fused.columns else F.lit("Tier-1")
     n = c("e_1").cast("string")
     flags = F.concat_ws(", ", F.when(c("old_news"), "old news"), F.when(c("out_of_context"), "out of context"), F.when(c("mismatch_headline"), "mismatch headline"))
     tie = F.when(c("verdict") == "FAKE", "One reliable source refutes the main claim; the style classifier breaks the tie.").when(c("verdict") == "REAL", "One reliable source supports the main claim; the style classifier breaks the tie.").otherwise("Only one source was found; this result could change as more coverage appears.")
     case = F.when(c("rule") == "R3", F.concat(n, F.lit(" reliable sources contradict the main claim."))).when(c("rule") == "R4", F.concat(F.lit("The main claim is supported, but "), flags, F.lit(" was detected.")))
+    case = case.when(c("rule") == "R2", F.concat(F.lit("A fact-checker ("), checker, F.lit(") rates a matching claim as false.")))
     case = case.when(c("rule") == "R7", F.concat(n, F.lit(" reliable sources support the main claim."))).when(c("rule") == "R8", tie)
     for rule, words in REASONS.items():
         case = case.when(c("rule") == rule, words)

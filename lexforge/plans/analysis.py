@@ -11,6 +11,7 @@ from lexforge.operators import metrics as M
 from lexforge.operators import ml as L
 from lexforge.operators import profile as P
 from lexforge.session import table
+from lexforge.storage import materialize, shared_dir
 
 _N = r"len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f\x0B]+'))"
 _STOP = ", ".join(f"'{x}'" for x in X.STOPWORDS)
@@ -53,6 +54,10 @@ def ngrams_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.top_ngrams(_labelled(spark, sf_dir), "label", 2, 25)
 
 
+def unigrams_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.top_ngrams(_labelled(spark, sf_dir), "label", 1, 25)
+
+
 def leakage_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.class_ratio(P.class_doc_freq(_labelled(spark, sf_dir), "doc_id", "label", min_df=3), "fake", "real")
 
@@ -123,10 +128,10 @@ def length_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _docs(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = d.count()
-    tf = T.term_counts(d, "doc_id", "text", 1)
-    return T.tfidf(tf, T.vocabulary(tf, n, 2, 0.95, 20_000))
+    """The production parameters: 1-2-grams of words without accents, MAX_FEATURES terms."""
+    d = _docs(spark, sf_dir).select("doc_id", X.unaccented(F.lower(F.coalesce("text", F.lit("")))).alias("text"))
+    tf = T.term_counts(d, "doc_id", "text", 2)
+    return T.tfidf(tf, T.vocabulary(tf, d.count()))
 
 
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,45 +145,18 @@ def tfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nearest_neighbour_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest other document of every fiftieth one."""
-    w = _weights(spark, sf_dir)
+    w = materialize(_weights(spark, sf_dir))
     found = T.nearest(w.filter("doc % 50 = 0"), w)
     return found.select("doc", F.round("cosine", 4).alias("cosine"))
 
 
+#: 1-2-grams without accents, MAX_FEATURES terms.
 _TFIDF = f"""
-t AS (SELECT doc_id AS doc, unnest({_TOK.replace("text", "coalesce(text, '')")}) AS term FROM documents), tf AS (SELECT doc, term, count(*) AS tf FROM t GROUP BY ALL),
-n AS (SELECT count(*) AS n FROM documents),
-v AS (SELECT term, df, ln((1 + n) / (1 + df)::DOUBLE) + 1 AS idf FROM (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1), n WHERE df >= 2 AND df <= 0.95 * n ORDER BY total DESC, term LIMIT 20000),
-r AS (SELECT doc, term, (1 + ln(tf)) * idf AS raw FROM tf JOIN v USING (term)), w AS (SELECT doc, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc)) AS w FROM r)"""
-
-#: The same of 1-2-grams without accents and of MAX_FEATURES terms.
-_TFIDF_FULL = f"""
 u AS (SELECT doc_id AS doc, {_TOK.replace("lower(text)", "strip_accents(lower(coalesce(text, '')))")} AS u FROM documents),
-t AS (SELECT doc, unnest(u) AS term FROM u UNION ALL SELECT doc, u[i] || ' ' || u[i + 1] FROM (SELECT doc, u, unnest(range(1, len(u))) AS i FROM u)), """ + _TFIDF[_TFIDF.index("tf AS") :].replace("LIMIT 20000", f"LIMIT {T.MAX_FEATURES}")
-
-
-def _weights_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The production parameters: 1-2-grams of words without accents, MAX_FEATURES terms."""
-    d = _docs(spark, sf_dir).select("doc_id", X.unaccented(F.lower(F.coalesce("text", F.lit("")))).alias("text"))
-    n = d.count()
-    tf = T.term_counts(d, "doc_id", "text", 2)
-    return T.tfidf(tf, T.vocabulary(tf, n))
-
-
-def tfidf_weights_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _weights_full(spark, sf_dir)
-    return w.groupBy("doc").agg(F.count("*").alias("n_terms"), F.round(F.sum("w"), 4).alias("sum_w"), F.round(F.max("w"), 5).alias("max_w"))
-
-
-def tfidf_top_terms_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.top_terms(_weights_full(spark, sf_dir), 5).select("doc", "term", F.col("rank").cast("long").alias("rank"))
-
-
-def nearest_neighbour_tfidf_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest other document of every fiftieth one."""
-    w = _weights_full(spark, sf_dir)
-    found = T.nearest(w.filter("doc % 50 = 0"), w)
-    return found.select("doc", F.round("cosine", 4).alias("cosine"))
+t AS (SELECT doc, unnest(u) AS term FROM u UNION ALL SELECT doc, u[i] || ' ' || u[i + 1] FROM (SELECT doc, u, unnest(range(1, len(u))) AS i FROM u)),
+tf AS (SELECT doc, term, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents),
+v AS (SELECT term, df, ln((1 + n) / (1 + df)::DOUBLE) + 1 AS idf FROM (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1), n WHERE df >= 2 AND df <= 0.95 * n ORDER BY total DESC, term LIMIT {T.MAX_FEATURES}),
+r AS (SELECT doc, term, (1 + ln(tf)) * idf AS raw FROM tf JOIN v USING (term)), w AS (SELECT doc, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc)) AS w FROM r)"""
 
 
 # ---- metrics: quality as gold, made-up predictions
@@ -242,6 +220,34 @@ def error_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrong.select(kind.alias("category"), "doc_id").groupBy("category").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
+# The cues and limits of the error categories.
+FIRST_PERSON = r"\b(i|me|my|we|our|us)\b"
+SATIRE = r"\b(satire|satirical|parody|the onion|humou?r)\b"
+OPINION = r"\b(op-ed|opinion|commentary|editorial|column)\b"
+REAL_CUES = r"\b(reuters|associated press|breitbart|said on (monday|tuesday|wednesday|thursday|friday))\b"
+WIRE = r"\b(reuters|associated press)\b|\(ap\)"
+FAKE_CUES = r"\b(via|watch|video|twitter|breaking|hillary)\b"
+NEAR_COPY, SHORT_WORDS, PER_HUNDRED, MAX_LEN = 0.8, 80, 2, 512
+
+
+def error_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Naive Bayes' mistakes on the held-out documents, each with its nearest training document's label and the first category that fits."""
+    own = _labelled(spark, sf_dir).select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))
+    wrong = materialize(own.join(nb_train_eval(spark, sf_dir), "doc_id").filter(F.col("label") != F.col("pred")))
+    w = materialize(_weights(spark, sf_dir))
+    train = own.filter("doc_id % 5 <> 0")
+    near = T.nearest(w.join(wrong.select(F.col("doc_id").alias("doc")), "doc", "left_semi"), w.join(train.select(F.col("doc_id").alias("doc")), "doc", "left_semi"))
+    near = near.join(train.select(F.col("doc_id").alias("neighbour"), F.col("label").alias("nn_label")), "neighbour").select(F.col("doc").alias("doc_id"), F.round("cosine", 4).alias("cosine"), "nn_label")
+    low, head = F.lower("text"), F.lower(F.substring("text", 1, 300))
+    n, first = X.n_tokens(F.col("text")), F.regexp_count(low, F.lit(FIRST_PERSON))
+    cue = F.when(F.col("pred") == "real", low.rlike(REAL_CUES)).otherwise(low.rlike(FAKE_CUES))
+    kind = (
+        F.when((F.coalesce("cosine", F.lit(0.0)) >= NEAR_COPY) & (F.col("nn_label") != F.col("label")), "label noise").when(n > 2 * MAX_LEN, "truncation").when(n < SHORT_WORDS, "short")
+        .when((F.col("label") == "fake") & head.rlike(WIRE), "wire copy").when(low.rlike(SATIRE), "satire").when((100 * first >= PER_HUNDRED * n) | head.rlike(OPINION), "opinion").when(cue, "wrong cue").otherwise("style")
+    )
+    return wrong.join(near, "doc_id", "left").select("doc_id", F.col("label").alias("gold"), "pred", F.round("cosine", 3).alias("cosine"), "nn_label", kind.alias("category"))
+
+
 def nb_train_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _labelled(spark, sf_dir).select("doc_id", "label", "text")
     return L.naive_bayes(own.filter("doc_id % 5 <> 0"), own.filter("doc_id % 5 = 0"), "doc_id", "label").withColumnRenamed("doc", "doc_id")
@@ -260,17 +266,45 @@ SELECT doc_id, label AS pred FROM s QUALIFY row_number() OVER (PARTITION BY doc_
 
 
 def _xy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _labelled(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("quality").cast("double").alias("y"))
+    """Labelled documents: title (the first line) and text in one, y 1 for fakes."""
+    both = X.model_input(F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)), F.col("text"))
+    return _labelled(spark, sf_dir).select("doc_id", both.alias("text"), "label", (F.col("label") == "fake").cast("double").alias("y"))
 
 
-def lr_train_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _evaluated(spark: SparkSession, sf_dir: str, name: str, value: float) -> DataFrame:
     d = _xy(spark, sf_dir)
-    return M.summary(L.fit_predict(L.text_pipeline(L.logistic(10.0)), d.filter("doc_id % 5 <> 0"), d.filter("doc_id % 5 = 0"), "doc_id"), ["0", "1"])
+    f = L.Features.fit(d.filter("doc_id % 5 <> 0"), "doc_id")
+    train, test = f.vectors(d.filter("doc_id % 5 <> 0")), f.vectors(d.filter("doc_id % 5 = 0"))
+    return M.summary(L.predicted(L.classifier(name, value, train.count()).fit(train), test, "doc_id"), ["0", "1"])
+
+
+def lr_train_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evaluated(spark, sf_dir, "lr", 10.0)
 
 
 def svm_train_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evaluated(spark, sf_dir, "svm", 1.0)
+
+
+def saved_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features and model are written, read back, and predict alike."""
     d = _xy(spark, sf_dir)
-    return M.summary(L.fit_predict(L.text_pipeline(L.svm(1.0)), d.filter("doc_id % 5 <> 0"), d.filter("doc_id % 5 = 0"), "doc_id"), ["0", "1"])
+    f = L.Features.fit(d.filter("doc_id % 5 <> 0"), "doc_id")
+    model = L.classifier("lr", 10.0, d.count()).fit(f.vectors(d.filter("doc_id % 5 <> 0")))
+    path = shared_dir(spark)
+    L.save(f, model, path)
+    again, loaded = L.load(spark, path)
+    test = d.filter("doc_id % 5 = 0")
+    one, two = L.predicted(model, f.vectors(test), "doc_id"), L.predicted(loaded, again.vectors(test), "doc_id").select("doc_id", F.col("pred").alias("again"))
+    return one.join(two, "doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("pred") == F.col("again")).alias("same"))
+
+
+def top_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms that speak most for fakes and for the rest, and whether they hold a leak word."""
+    d = _xy(spark, sf_dir)
+    f = L.Features.fit(d, "doc_id")
+    found = L.top_coefficients(L.classifier("lr", 10.0, d.count()).fit(f.vectors(d)), f, 25)
+    return found.select("rank", "fake_term", F.round("fake_weight", 3).alias("fake_weight"), X.leaks(F.col("fake_term")).alias("fake_leaks"), "real_term", F.round("real_weight", 3).alias("real_weight"), X.leaks(F.col("real_term")).alias("real_leaks"))
 
 
 def artefact_only_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,10 +312,21 @@ def artefact_only_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.grid_search(_xy(spark, sf_dir), "doc_id", {"C": [0.1, 1.0]}, L.logistic, k=3)
-
-
-QUERIES = {f.__name__: f for f in (class_balance, length_percentiles, length_histogram, ecdf_lengths, fit_share, ngrams_top, leakage_tokens, watch_list, vocab_overlap, oov_rate, label_crosstab_margins, monthly_counts, subject_explode, speaker_false_share, drop_reason_cube, hyperparam_marginals, mean_and_error, length_correlation, tfidf_weights, tfidf_top_terms, nearest_neighbour_tfidf, tfidf_weights_full, tfidf_top_terms_full, nearest_neighbour_tfidf_full, confusion_matrix, classification_report, metric_summary, roc_auc, roc_curve, cohen_kappa, specific_agreement, flag_metrics, class_weights, majority_baseline, error_categories, nb_train_eval, lr_train_eval, svm_train_eval, artefact_only_lr, grid_search)}
+    """Each model's three values in five folds, over the default features."""
+    return L.grid_search(_xy(spark, sf_dir), "doc_id", tfidf_grid=[L.TFIDF_DEFAULT])
+
+
+_ASCII = lambda x: f"regexp_replace({x}, '[^\\x00-\\x7F]', 'x', 'g')"
+ERRORS = f"""
+WITH nbp AS ({NB}), {_L}, e AS (SELECT l.doc_id, label, pred, coalesce(text, '') AS text FROM l JOIN nbp USING (doc_id) WHERE label <> pred), {_TFIDF},
+c AS (SELECT a.doc, b.doc AS o, round(sum(a.w * b.w), 6) AS c FROM w a JOIN w b ON a.term = b.term WHERE a.doc IN (SELECT doc_id FROM e) AND b.doc IN (SELECT doc_id FROM l WHERE doc_id % 5 <> 0) GROUP BY ALL),
+b AS (SELECT doc, round(c, 4) AS cosine, label AS nn_label FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc ORDER BY c DESC, o) = 1) JOIN l ON l.doc_id = o),
+x AS (SELECT e.*, b.cosine, b.nn_label, {_N} AS n, {_ASCII("lower(text)")} AS low, {_ASCII("lower(text[1:300])")} AS head FROM e LEFT JOIN b ON b.doc = e.doc_id)
+SELECT doc_id, label AS gold, pred, round(cosine, 3) AS cosine, nn_label, CASE WHEN cosine >= {NEAR_COPY} AND nn_label <> label THEN 'label noise' WHEN n > {2 * MAX_LEN} THEN 'truncation' WHEN n < {SHORT_WORDS} THEN 'short'
+  WHEN label = 'fake' AND regexp_matches(head, '{WIRE}') THEN 'wire copy' WHEN regexp_matches(low, '{SATIRE}') THEN 'satire' WHEN 100 * len(regexp_extract_all(low, '{FIRST_PERSON}')) >= {PER_HUNDRED} * n OR regexp_matches(head, '{OPINION}') THEN 'opinion'
+  WHEN CASE pred WHEN 'real' THEN regexp_matches(low, '{REAL_CUES}') ELSE regexp_matches(low, '{FAKE_CUES}') END THEN 'wrong cue' ELSE 'style' END AS category FROM x
+"""
+QUERIES = {f.__name__: f for f in (class_balance, length_percentiles, length_histogram, ecdf_lengths, fit_share, ngrams_top, unigrams_top, leakage_tokens, watch_list, vocab_overlap, oov_rate, label_crosstab_margins, monthly_counts, subject_explode, speaker_false_share, drop_reason_cube, hyperparam_marginals, mean_and_error, length_correlation, tfidf_weights, tfidf_top_terms, nearest_neighbour_tfidf, confusion_matrix, classification_report, metric_summary, roc_auc, roc_curve, cohen_kappa, specific_agreement, flag_metrics, class_weights, majority_baseline, error_categories, error_analysis, nb_train_eval, lr_train_eval, svm_train_eval, saved_model, top_coefficients, artefact_only_lr, grid_search)}
 _PCT = ", ".join(f"round(quantile_cont(n, {q}), 6) AS p{round(100 * q):02d}" for q in P.PERCENTILES)
 _TERMS = lambda where, t="documents": f"SELECT term, count(*) AS n FROM (SELECT unnest({_TOK}) AS term FROM {t} {where}) GROUP BY 1"
 _LABELS = "(VALUES ('fake'), ('real'), ('other')) AS x(label)"
@@ -293,6 +338,7 @@ ORACLES = {
     "ecdf_lengths": f"SELECT value, n, round(sum(n) OVER (ORDER BY value) / sum(n) OVER ()::DOUBLE, 6) AS share FROM (SELECT {_N}::BIGINT AS value, count(*) AS n FROM documents GROUP BY 1)",
     "fit_share": f"SELECT m::INT AS max_len, round(avg((n <= m)::INT), 6) AS fits, round(quantile_cont(least(n, m) / n::DOUBLE, 0.5), 6) AS kept FROM (SELECT {_N} AS n FROM documents), (VALUES (128), (256), (512)) AS v(m) WHERE n > 0 GROUP BY 1",
     "ngrams_top": f"WITH {_L}, w AS (SELECT label, list_filter({_TOK}, lambda x: x NOT IN ({_STOP})) AS w FROM l), g AS (SELECT label, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT label, w, unnest(range(1, len(w))) AS i FROM w)) SELECT label, gram, count(*) AS n FROM g GROUP BY label, gram QUALIFY row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, gram) <= 25",
+    "unigrams_top": f"WITH {_L}, w AS (SELECT label, unnest({_TOK}) AS gram FROM l) SELECT label, gram, count(*) AS n FROM w WHERE gram NOT IN ({_STOP}) GROUP BY label, gram QUALIFY row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, gram) <= 25",
     "leakage_tokens": f"WITH {_L}, t AS (SELECT DISTINCT doc_id, label, unnest({_TOK}) AS term FROM l), f AS (SELECT term, label, count(*) AS df FROM t WHERE term NOT IN ({_STOP}) GROUP BY ALL HAVING count(*) >= 3), p AS (SELECT term, coalesce(sum(df) FILTER (label = 'fake'), 0)::BIGINT AS df_a, coalesce(sum(df) FILTER (label = 'real'), 0)::BIGINT AS df_b FROM f GROUP BY 1) SELECT *, round(log2((df_a + 0.5) / (df_b + 0.5)), 6) AS log2_ratio FROM p",
     "watch_list": f"WITH t AS ({_TERMS('')}) SELECT w.term, coalesce(n, 0) AS n FROM (VALUES {', '.join(f'({chr(39)}{w}{chr(39)})' for w in WATCH)}) AS w(term) LEFT JOIN t ON t.term = w.term",
     "vocab_overlap": f"WITH a AS (SELECT term FROM ({_TERMS(chr(87) + 'HERE lang = ' + chr(39) + 'fr' + chr(39))}) ORDER BY n DESC, term LIMIT 500), b AS (SELECT term FROM ({_TERMS('WHERE lang = ' + chr(39) + 'es' + chr(39))}) ORDER BY n DESC, term LIMIT 500) SELECT count(*) FILTER (a.term IS NOT NULL AND b.term IS NOT NULL) AS n_common, count(*) AS n_union, round(count(*) FILTER (a.term IS NOT NULL AND b.term IS NOT NULL) / count(*)::DOUBLE, 6) AS jaccard FROM a FULL JOIN b ON a.term = b.term",
@@ -308,9 +354,6 @@ ORACLES = {
     "tfidf_weights": f"WITH {_TFIDF} SELECT doc, count(*) AS n_terms, round(sum(w), 4) AS sum_w, round(max(w), 5) AS max_w FROM w GROUP BY 1",
     "tfidf_top_terms": f"WITH {_TFIDF} SELECT doc, term, row_number() OVER (PARTITION BY doc ORDER BY round(w, 9) DESC, term) AS rank FROM w QUALIFY rank <= 5",
     "nearest_neighbour_tfidf": f"WITH {_TFIDF} SELECT doc, round(max(c), 4) AS cosine FROM (SELECT a.doc, b.doc AS o, round(sum(a.w * b.w), 6) AS c FROM w a JOIN w b ON a.term = b.term AND a.doc <> b.doc WHERE a.doc % 50 = 0 GROUP BY ALL) GROUP BY 1",
-    "tfidf_weights_full": f"WITH {_TFIDF_FULL} SELECT doc, count(*) AS n_terms, round(sum(w), 4) AS sum_w, round(max(w), 5) AS max_w FROM w GROUP BY 1",
-    "tfidf_top_terms_full": f"WITH {_TFIDF_FULL} SELECT doc, term, row_number() OVER (PARTITION BY doc ORDER BY round(w, 9) DESC, term) AS rank FROM w QUALIFY rank <= 5",
-    "nearest_neighbour_tfidf_full": f"WITH {_TFIDF_FULL} SELECT doc, round(max(c), 4) AS cosine FROM (SELECT a.doc, b.doc AS o, round(sum(a.w * b.w), 6) AS c FROM w a JOIN w b ON a.term = b.term AND a.doc <> b.doc WHERE a.doc % 50 = 0 GROUP BY ALL) GROUP BY 1",
     "confusion_matrix": f"WITH {_PRED} SELECT g.label AS gold, p.label AS pred, (SELECT count(*) FROM m WHERE gold = g.label AND pred = p.label) AS n FROM {_LABELS.replace('x(', 'g(')}, {_LABELS.replace('x(', 'p(')}",
     "classification_report": f"WITH {_PRED}, r AS ({_REPORT}) SELECT label, support, predicted, CASE WHEN predicted = 0 THEN 0 ELSE round(h / predicted::DOUBLE, 6) END AS precision, CASE WHEN support = 0 THEN 0 ELSE round(h / support::DOUBLE, 6) END AS recall, CASE WHEN support + predicted = 0 THEN 0 ELSE round(2 * h / (support + predicted)::DOUBLE, 6) END AS f1 FROM r",
     "metric_summary": f"WITH {_PRED}, r AS ({_REPORT}) SELECT (SELECT count(*) FROM m) AS n, (SELECT round(avg((gold = pred)::INT), 6) FROM m) AS accuracy, round(avg(2 * h / (support + predicted)::DOUBLE), 6) AS macro_f1 FROM r WHERE label <> 'other'",
@@ -323,4 +366,6 @@ ORACLES = {
     "majority_baseline": f"WITH {_L} SELECT label, round(count(*) / (SELECT count(*) FROM l)::DOUBLE, 6) AS share FROM l GROUP BY 1 ORDER BY count(*) DESC, label LIMIT 1",
     "error_categories": rf"WITH {_PRED}, e AS (SELECT m.doc_id, text, {_N} AS n, len(regexp_extract_all(regexp_replace(lower(text), '[^\x00-\x7F]', 'x', 'g'), '\b(i|we|my|our)\b')) AS f FROM m JOIN documents USING (doc_id) WHERE gold <> pred) SELECT CASE WHEN n > 512 THEN 'long' WHEN n < 80 THEN 'short' WHEN regexp_matches(text, '[!]{{2}}') THEN 'shouting' WHEN 100 * f >= 2 * n THEN 'first person' ELSE 'style' END AS category, count(*) AS n, min(doc_id) AS first_doc FROM e GROUP BY 1",
     "nb_train_eval": NB,
+    "error_analysis": ERRORS,
+    "saved_model": "SELECT count(*) AS n, count(*) AS same FROM labels JOIN documents USING (doc_id) WHERE doc_id % 5 = 0",
 }

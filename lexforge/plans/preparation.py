@@ -41,12 +41,12 @@ FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
 
 
 def clean_drop_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows in, empty, short, exact copies and out: one pass over flags."""
+    """Rows in, empty, short, exact copies and out: texts are read once, and only counts by key and reason are shuffled."""
     flags = P.clean_flags(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    left = P.exact_flags(flags.filter("drop_reason IS NULL"), "doc_id")
-    kept = left.agg(F.count("*").alias("clean"), F.count_if(F.col("doc_id") != F.col("first_pos")).alias("exact_copies"))
-    all_ = flags.agg(F.count("*").alias("rows_in"), F.count_if(F.col("drop_reason") == "empty").alias("empty"), F.count_if(F.col("drop_reason") == "short").alias("short"))
-    return all_.crossJoin(kept).select("rows_in", "empty", "short", "exact_copies", (F.col("clean") - F.col("exact_copies")).alias("rows_out"))
+    cells = flags.select("drop_reason", F.when(F.col("drop_reason").isNull(), X.key_hash(F.col("text"))).alias("h")).groupBy("drop_reason", "h").agg(F.count("*").alias("n"))
+    of = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    kept = F.count_if(F.col("drop_reason").isNull())
+    return cells.agg(of(F.lit(True)).alias("rows_in"), of(F.col("drop_reason") == "empty").alias("empty"), of(F.col("drop_reason") == "short").alias("short"), (of(F.col("drop_reason").isNull()) - kept).alias("exact_copies"), kept.alias("rows_out"))
 
 
 ACCOUNT = f"""
@@ -241,28 +241,35 @@ _PTB = ["A man -LRB- born 1950 -RRB- said , `` no '' .", "It 's the firm 's plan
 
 
 def ptb_detok(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(_PTB)), "id long, text string")
-    return rows.select("id", X.detokenised(F.col("text")).alias("text"))
+    """Sentences with every escape, and the texts of all turns and benchmark items with brackets escaped."""
+    rows = spark.createDataFrame([(f"s{k}", x) for k, x in enumerate(_PTB)], "id string, text string")
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("_", F.lit("c"), "conv_id", "turn").alias("id"), "text")
+    items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("id"), "text")
+    escaped = turns.unionByName(items).withColumn("text", F.replace(F.replace("text", F.lit(","), F.lit(" , -LRB- ")), F.lit("."), F.lit(" -RRB- . ``")))
+    return rows.unionByName(escaped).select("id", F.sha1(X.detokenised(F.col("text"))).alias("sha1"))
 
 
 _P = "text"
 for _t, _v in (("-LRB-", "("), ("-RRB-", ")"), ("-LSB-", "["), ("-RSB-", "]"), ("-COLON-", ":"), ("``", '"'), ("''''", '"')):
     _P = f"replace({_P}, '{_t}', '{_v}')"
-_VALUES = ", ".join(f"({k}, '{x.replace(chr(39), chr(39) * 2)}')" for k, x in enumerate(_PTB))
+_VALUES = ", ".join(f"('s{k}', '{x.replace(chr(39), chr(39) * 2)}')" for k, x in enumerate(_PTB))
 PTB = rf"""
-SELECT id::BIGINT AS id, regexp_replace(regexp_replace(regexp_replace({_P}, ' ([.,;:!?%)\]])', '\1', 'g'), '([(\[]) ', '\1', 'g'), ' (''(?:s|re|ve|ll|d|m)|n''t)\b', '\1', 'g') AS text FROM (VALUES {_VALUES}) AS v(id, text)
+WITH v AS (SELECT * FROM (VALUES {_VALUES}) AS v(id, text) UNION ALL SELECT id, replace(replace(text, ',', ' , -LRB- '), '.', ' -RRB- . ``') FROM (SELECT 'c_' || conv_id || '_' || turn AS id, text FROM conversations UNION ALL SELECT 'b' || item_id, text FROM benchmark))
+SELECT id, sha1(regexp_replace(regexp_replace(regexp_replace({_P}, ' ([.,;:!?%)\]])', '\1', 'g'), '([(\[]) ', '\1', 'g'), ' (''(?:s|re|ve|ll|d|m)|n''t)\b', '\1', 'g')) AS sha1 FROM v
 """
 
 _RATINGS = ["True", "Mostly True", "Pants on Fire!", "half true", "False. A hoax", "No evidence for it", "Unproven", "correct attribution", "Fake", "", "Misleading", "accurate!"]
 
 
 def rating_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literal ratings, and the first words of all turns, of which any may come."""
     rows = spark.createDataFrame([(x,) for x in _RATINGS], "name string")
+    rows = rows.unionByName(table(spark, sf_dir, "conversations").select(F.concat(F.element_at(F.array(*map(F.lit, ("", "False: ", "true ", "no evidence "))), (F.col("turn") % 4 + 1).cast("int")), F.substring("text", 1, 24)).alias("name")))
     return rows.select("name", X.rating3(F.col("name")).alias("by_words"), X.review_rating3(F.col("name")).alias("by_review"))
 
 
 RATINGS = rf"""
-WITH r AS (SELECT name, lower(regexp_replace(trim(name), '[.!]+$', '')) AS n FROM (VALUES {", ".join(f"('{x}')" for x in _RATINGS)}) AS v(name)),
+WITH r AS (SELECT name, lower(regexp_replace(trim(name), '[.!]+$', '')) AS n FROM (SELECT * FROM (VALUES {", ".join(f"('{x}')" for x in _RATINGS)}) AS v(name) UNION ALL SELECT ['', 'False: ', 'true ', 'no evidence '][turn % 4 + 1] || text[1:24] FROM conversations)),
 f AS (SELECT *, regexp_replace(string_split_regex(n, '[ \t\n]+')[1], '^[.,:;!]+|[.,:;!]+$', '', 'g') AS w FROM r)
 SELECT name, CASE WHEN trim(name) = '' THEN NULL WHEN regexp_matches(trim(name), '(?i){X.RATING_TRUE}') THEN 'TRUE' WHEN regexp_matches(trim(name), '(?i){X.RATING_FALSE}') THEN 'FALSE' ELSE 'MIXED' END AS by_words,
   CASE WHEN n = '' OR regexp_matches(n, '{X.REVIEW_NONE}') THEN NULL WHEN n IN ({", ".join(f"'{x}'" for x in X.REVIEW_TRUE)}) THEN 'TRUE' WHEN n IN ({", ".join(f"'{x}'" for x in X.REVIEW_FALSE)}) OR w IN ('false', 'fake') THEN 'FALSE' ELSE 'MIXED' END AS by_review FROM f
@@ -282,13 +289,17 @@ _TITLES = ["[VIDEO] A story", "A story (IMAGES)", "A story - The New York Times"
 
 
 def title_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literal titles, and the first lines of all documents with a suffix that depends on the id."""
     rows = spark.createDataFrame([(x,) for x in _TITLES], "title string")
+    first = F.substring(F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)), 1, 80)
+    suffix = F.element_at(F.array(*map(F.lit, ("", " - CNN", " [VIDEO]", " | Fox News", " (Again)"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    rows = rows.unionByName(table(spark, sf_dir, "documents").select(F.concat(first, suffix).alias("title")))
     return rows.select("title", A.strip_title(F.col("title")).alias("stripped"))
 
 
 _U = r"[\s]"
 TITLES = rf"""
-WITH t AS (SELECT title, regexp_replace(regexp_replace(title, '{A.FORMAT_TAG.replace("(?iu)", "(?i)").replace("'", "''")}', ' ', 'g'), '{A.TITLE_PATTERNS[1][1].replace("(?iu)", "(?i)").replace("'", "''")}', ' ', 'g') AS s FROM (VALUES {", ".join(f"('{x}')" for x in _TITLES)}) AS v(title)),
+WITH t AS (SELECT title, regexp_replace(regexp_replace(title, '{A.FORMAT_TAG.replace("(?iu)", "(?i)").replace("'", "''")}', ' ', 'g'), '{A.TITLE_PATTERNS[1][1].replace("(?iu)", "(?i)").replace("'", "''")}', ' ', 'g') AS s FROM (SELECT * FROM (VALUES {", ".join(f"('{x}')" for x in _TITLES)}) AS v(title) UNION ALL SELECT split_part(coalesce(text, ''), chr(10), 1)[1:80] || ['', ' - CNN', ' [VIDEO]', ' | Fox News', ' (Again)'][doc_id % 5 + 1] FROM documents)),
 u AS (SELECT title, regexp_replace(trim(regexp_replace(s, '[ \t]{{2,}}', ' ', 'g')), '{A.DANGLING}', '') AS s FROM t)
 SELECT title, trim(regexp_replace(s, '[ \t]{{2,}}', ' ', 'g')) AS stripped FROM u
 """

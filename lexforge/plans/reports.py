@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.functions import text as X
@@ -13,12 +13,15 @@ from lexforge.session import table
 
 _TRIM = r"regexp_replace({0}, '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g')"
 _STOP = ", ".join(f"'{x}'" for x in X.STOPWORDS)
-_BODY = F.coalesce("text", F.lit(""))
+
+
+def _body() -> Column:
+    return F.coalesce("text", F.lit(""))
 
 
 def classifier_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title (the first line) and text in one."""
-    both = X.model_input(F.split_part(_BODY, F.lit("\n"), F.lit(1)), F.col("text"))
+    both = X.model_input(F.split_part(_body(), F.lit("\n"), F.lit(1)), F.col("text"))
     return _docs(spark, sf_dir).select("doc_id", F.sha1(both).alias("sha1"), F.length(both).cast("long").alias("n_chars"))
 
 
@@ -36,7 +39,7 @@ NUMBERS = "SELECT id, try_cast(regexp_replace(id, '^doc_', '') AS INT) AS number
 
 
 def quotable_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = X.quotable_sentences(_BODY)
+    s = X.quotable_sentences(_body())
     return _docs(spark, sf_dir).select("doc_id", F.size(s).cast("long").alias("n"), F.sha1(F.array_join(s, "|")).alias("digest"))
 
 
@@ -61,25 +64,25 @@ DATES = "SELECT o_orderstatus, min(d) AS first, max(d) AS last, count(*) AS n, D
 def yearly_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by year, a column for each class."""
     o = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"), "o_orderstatus")
-    return o.groupBy("year").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count("*")).na.fill(0).select("year", *[F.col(c).alias(f"n_{c.lower()}") for c in "FOP"])
+    return o.groupBy("year").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1))).na.fill(0).select("year", *[F.col(c).alias(f"n_{c.lower()}") for c in "FOP"])
 
 
 YEARLY = "SELECT year(o_orderdate)::INT AS year, count(*) FILTER (o_orderstatus = 'F') AS n_f, count(*) FILTER (o_orderstatus = 'O') AS n_o, count(*) FILTER (o_orderstatus = 'P') AS n_p FROM orders GROUP BY 1"
 
 
 def large_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of sources with at least 150 of them, by language."""
+    """Documents of languages with at least 150 of them, by source."""
     d = _docs(spark, sf_dir)
-    kept = d.groupBy("source").agg(F.count("*").alias("n")).filter("n >= 150").select("source")
-    return d.join(kept, "source", "left_semi").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    kept = d.groupBy("lang").agg(F.count("*").alias("n")).filter("n >= 150").select("lang")
+    return d.join(kept, "lang", "left_semi").groupBy("source", "lang").agg(F.count("*").alias("n"))
 
 
-LARGE = "SELECT source, lang, count(*) AS n FROM documents WHERE source IN (SELECT source FROM documents GROUP BY 1 HAVING count(*) >= 150) GROUP BY ALL"
+LARGE = "SELECT source, lang, count(*) AS n FROM documents WHERE lang IN (SELECT lang FROM documents GROUP BY 1 HAVING count(*) >= 150) GROUP BY ALL"
 
 
 def numbers_per_thousand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers a thousand tokens of each language: a ratio of sums, not a mean of ratios."""
-    own = _docs(spark, sf_dir).select("lang", F.regexp_count(_BODY, F.lit("[0-9]+")).alias("x"), X.n_tokens(_BODY).alias("n"))
+    own = _docs(spark, sf_dir).select("lang", F.regexp_count(_body(), F.lit("[0-9]+")).alias("x"), X.n_tokens(_body()).alias("n"))
     return own.groupBy("lang").agg(F.round(F.try_divide(F.sum("x") * 1000, F.sum("n")), 6).alias("rate"))
 
 
@@ -106,7 +109,7 @@ COVERAGE = "SELECT c_mktsegment, round(avg((done IS NOT NULL)::INT), 6) AS any_o
 def why_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxic documents that the flag missed, by the first reason that holds."""
     own = _predicted(spark, sf_dir).filter("toxic = 1 AND pred <> 'fake'").join(_docs(spark, sf_dir).select("doc_id", "text", "lang"), "doc_id")
-    n = X.n_tokens(_BODY)
+    n = X.n_tokens(_body())
     reason = F.when(n == 0, "no text").when(F.col("lang") != "en", "other language").when(n < 20, "short").when(F.col("p") < 0.5, "low score").otherwise("rule")
     return own.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
@@ -126,7 +129,7 @@ ONE_CLASS = f"WITH {_L}, c AS (SELECT source, count(*) FILTER (label = 'fake') A
 def raw_texts_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Processed rows with the raw title and text in place of their own, by id; ids without raw rows keep null."""
     done = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    raw = _docs(spark, sf_dir).filter("lang <> 'de'").select("doc_id", F.split_part(_BODY, F.lit("\n"), F.lit(1)).alias("title"), "text")
+    raw = _docs(spark, sf_dir).filter("lang <> 'de'").select("doc_id", F.split_part(_body(), F.lit("\n"), F.lit(1)).alias("title"), "text")
     return done.join(raw, "doc_id", "left").select("doc_id", "quality", F.sha1("title").alias("title_sha1"), F.sha1("text").alias("text_sha1"))
 
 
@@ -136,7 +139,7 @@ RAW = RAW.replace("sha1(split_part(coalesce(text, ''), chr(10), 1))", "CASE WHEN
 
 def leak_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All bigrams of the corpus that hold a leak word, with their counts."""
-    grams = X.let(X.word_tokens(_BODY), lambda w: X.ngrams(w, 2))
+    grams = X.let(X.word_tokens(_body()), lambda w: X.ngrams(w, 2))
     return _docs(spark, sf_dir).select(F.explode(grams).alias("term")).groupBy("term").agg(F.count("*").alias("n")).filter(X.leaks(F.col("term")))
 
 
@@ -145,7 +148,7 @@ LEAKS = f"WITH w AS (SELECT {_TOK.replace('text', 'coalesce(text, ' + chr(39) *
 
 def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What search engines would be asked about a document: its first fifteen words, and its content words."""
-    return _docs(spark, sf_dir).select("doc_id", X.first_words(_BODY).alias("first_words"), F.sha1(X.keyword_query(_BODY)).alias("keywords_sha1"))
+    return _docs(spark, sf_dir).select("doc_id", X.first_words(_body()).alias("first_words"), F.sha1(X.keyword_query(_body())).alias("keywords_sha1"))
 
 
 _WORDS = f"list_filter({_TOK.replace('text', 'coalesce(text, ' + chr(39) * 2 + ')')}, lambda x: x NOT IN ({_STOP}))"
@@ -158,7 +161,7 @@ SELECT doc_id, array_to_string(list_filter(string_split_regex(text, '[ \t\n\r\f\
 
 def string_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capitals, contains, prefix and slices of the texts, by language."""
-    b = _BODY
+    b = _body()
     flags = {"shouts": b.rlike(r"[A-Z]{5}"), "has_token": F.contains(b, F.lit("token")), "the_first": b.startswith("The "), "long": F.length(b) > 2000, "lower_head": F.substring(b, 1, 10) == F.lower(F.substring(b, 1, 10))}
     return _docs(spark, sf_dir).groupBy("lang").agg(*[F.count_if(c).alias(k) for k, c in flags.items()])
 
@@ -168,7 +171,7 @@ PREDICATES = "SELECT lang, count(*) FILTER (regexp_matches(b, '[A-Z]{5}')) AS sh
 
 def distinct_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many word pairs a text has, and how many distinct ones."""
-    pairs = X.ngrams(X.word_tokens(_BODY), 2)
+    pairs = X.ngrams(X.word_tokens(_body()), 2)
     return _docs(spark, sf_dir).select("doc_id", F.size(pairs).cast("long").alias("n"), F.size(F.array_distinct(pairs)).cast("long").alias("n_distinct"))
 
 
@@ -189,7 +192,7 @@ SELECT doc_id, l.label FROM (SELECT *, row_number() OVER (PARTITION BY label ORD
 
 def sign_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often two measures lie on the same side of their fixed middles, by language."""
-    own = _docs(spark, sf_dir).select("lang", F.signum(X.n_tokens(_BODY) - 300.0).alias("a"), F.signum(F.regexp_count(_BODY, F.lit("[.]")) - 20.0).alias("b"))
+    own = _docs(spark, sf_dir).select("lang", F.signum(X.n_tokens(_body()) - 300.0).alias("a"), F.signum(F.regexp_count(_body(), F.lit("[.]")) - 20.0).alias("b"))
     return own.groupBy("lang").agg(F.round(F.avg((F.col("a") == F.col("b")).cast("int")), 6).alias("agreement"))
 
 
@@ -203,11 +206,11 @@ def near_across_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ACROSS = rf"""
-WITH {_SPLIT}, k AS (SELECT doc_id, split, trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')) AS u, {_KEY.format('text')} AS k FROM s JOIN documents USING (doc_id)),
-g AS (SELECT DISTINCT doc_id, split, array_to_string(w[i + 1 : i + 5], ' ') AS g FROM (SELECT doc_id, split, w, unnest(range(greatest(len(w) - 4, 1))) AS i FROM (SELECT doc_id, split, string_split(k, ' ') AS w FROM k WHERE k <> ''))),
+WITH {_SPLIT}, txt AS (SELECT doc_id, split, trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')) AS u, {_KEY.format('text')} AS k FROM s JOIN documents USING (doc_id)),
+g AS (SELECT DISTINCT doc_id, split, array_to_string(w[i + 1 : i + 5], ' ') AS g FROM (SELECT doc_id, split, w, unnest(range(greatest(len(w) - 4, 1))) AS i FROM (SELECT doc_id, split, string_split(k, ' ') AS w FROM txt WHERE k <> ''))),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
 near AS (SELECT DISTINCT a FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.split <> 'train' AND y.split = 'train' GROUP BY ALL) JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE c / (p.n + q.n - c)::DOUBLE >= 0.8)
-SELECT split, count(*) AS rows, count(*) FILTER (u IN (SELECT u FROM k WHERE split = 'train') OR doc_id IN (SELECT a FROM near)) AS near FROM k WHERE split <> 'train' GROUP BY 1
+SELECT split, count(*) AS rows, count(*) FILTER (u IN (SELECT u FROM txt WHERE split = 'train') OR doc_id IN (SELECT a FROM near)) AS near FROM txt WHERE split <> 'train' GROUP BY 1
 """
 
 

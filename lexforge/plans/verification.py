@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from lexforge.functions import text as X
 from lexforge.functions import vectors as VV
 from lexforge.functions.urls import domain_of, norm_url, with_tier
+from lexforge.operators import evidence as E
 from lexforge.operators import retrieve as R
 from lexforge.operators import verify as V
 from lexforge.session import table
@@ -70,7 +72,7 @@ def _fusion_sql(cfgs: str) -> str:
     return f"""
 WITH cfg(cfg, tau, me) AS (VALUES {cfgs}), {_EVIDENCE},
 i AS (
-  SELECT c.cfg, c.tau, c.me, input_id, max(s) FILTER (claim_no = 1) AS raw, coalesce(max(e) FILTER (claim_no = 1), 0) AS e_1, coalesce(max(pw) FILTER (claim_no = 1), 0) AS pw, coalesce(max(q) FILTER (claim_no = 1), 0) AS q,
+  SELECT c.cfg, c.tau, c.me, input_id, max(s) FILTER (claim_no = 1) AS raw, coalesce(max(e) FILTER (claim_no = 1), 0) AS e_1, coalesce(max(n) FILTER (claim_no = 1), 0) AS n_1, coalesce(max(pw) FILTER (claim_no = 1), 0) AS pw, coalesce(max(q) FILTER (claim_no = 1), 0) AS q,
     coalesce(bool_or(fc) FILTER (claim_no = 1), false) AS fc, coalesce(bool_or(claim_no > 1 AND round(s, 4) <= -tau AND e >= me), false) AS against, coalesce(bool_or(claim_no > 1 AND round(s, 4) >= tau AND e >= me), false) AS pro
   FROM cl, cfg c GROUP BY ALL),
 m AS (SELECT *, coalesce(round(raw, 4), 0) AS s_1, CASE WHEN coalesce(raw, 0) >= tau THEN 'SUPPORTS' WHEN coalesce(raw, 0) <= -tau THEN 'REFUTES' ELSE 'NEUTRAL' END AS main_stance,
@@ -91,29 +93,70 @@ SELECT input_id, cfg::INT AS cfg, s_1, e_1::BIGINT AS e_1, main_stance, rule, ve
 """
 
 
-def fusion_grid_tune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict counts of each configuration, against a made-up gold verdict, with macro F1, best first."""
-    many = V.grid([0.3, 0.45, 0.6, 0.8, 1.0], [1, 2, 3], [6.0])
-    out = fused(spark, sf_dir, many).withColumn("gold", F.element_at(F.array(*map(F.lit, V_LABELS)), (F.col("input_id") % 5 + 1).cast("int")))
-    cells = out.groupBy("cfg", "cfg_tau", "cfg_min_evidence", "gold", "verdict").agg(F.count("*").alias("n"))  # 15 x 25 rows at most
-    sides = cells.select("cfg", "cfg_tau", "cfg_min_evidence", F.explode(F.array(
-        F.struct(F.col("gold").alias("label"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted"), F.when(F.col("gold") == F.col("verdict"), F.col("n")).otherwise(0).alias("hits")),
-        F.struct(F.col("verdict").alias("label"), F.lit(0).cast("long").alias("support"), F.col("n").alias("predicted"), F.lit(0).cast("long").alias("hits")))).alias("x")).select("cfg", "cfg_tau", "cfg_min_evidence", "x.*")
-    per = sides.groupBy("cfg", "cfg_tau", "cfg_min_evidence", "label").agg(F.sum("support").alias("s"), F.sum("predicted").alias("p"), F.sum("hits").alias("h"))
+# The grids of thresholds.
+TAUS, LEAST, MONTHS = [0.3, 0.45, 0.6, 0.8, 1.0], [1, 2, 3], [3.0, 6.0, 12.0]
+V_LABELS = ["REAL", "FAKE", "MISLEADING", "PARTIALLY TRUE", "UNVERIFIABLE"]
+
+
+def _grid(spark: SparkSession, switches: list[tuple[int, int]]) -> DataFrame:
+    """A row for each point: thresholds, whether claims' own dates count (explicit), and dates named in the evidence (named)."""
+    many = [(f, x) for x in switches for f in V.grid(TAUS, LEAST, MONTHS)]
+    extra = spark.createDataFrame([(k, *x) for k, (_, x) in enumerate(many)], "cfg int, explicit int, named int")
+    return V.configs(spark, [f for f, _ in many]).join(F.broadcast(extra), "cfg")  # 180 rows at most
+
+
+def _tuned(spark: SparkSession, sf_dir: str, switches: list[tuple[int, int]]) -> DataFrame:
+    """Each point's macro F1, accuracy and false alarms among controls, against made-up dates and verdicts, ranked."""
+    claims = V.claim_signals(events_as_evidence(spark, sf_dir), ["input_id", "claim_no"]).withColumn("score", F.lit(1.0))
+    inputs = contexts(V.input_signals(claims, "input_id")).crossJoin(F.broadcast(_grid(spark, switches)))  # a row for each point
+    i = F.col("input_id")
+    gap = F.when(F.col("named") == 1, i * 7 % 20).otherwise(i % 15)
+    old = ((i % 2 == 0) & (gap >= F.col("cfg_months"))) | ((F.col("explicit") == 1) & (i % 3 == 0) & (i % 13 >= F.col("cfg_months")))
+    out = V.fuse(inputs.withColumn("old_news", old)).withColumn("gold", F.element_at(F.array(*map(F.lit, V_LABELS)), (i % 5 + 1).cast("int")))
+    point = ["cfg", "cfg_tau", "cfg_min_evidence", "cfg_months", "explicit", "named"]
+    cells = out.groupBy(*point, "gold", "verdict").agg(F.count("*").alias("n"), F.count_if(F.col("old_news") & (i % 5 == 1)).alias("alarms"))  # points x 25 rows at most
+    zero = F.lit(0).cast("long")
+    sides = cells.select(*point, F.explode(F.array(
+        F.struct(F.col("gold").alias("label"), F.col("n").alias("support"), zero.alias("predicted"), F.when(F.col("gold") == F.col("verdict"), F.col("n")).otherwise(0).alias("hits"), F.col("alarms").alias("alarms")),
+        F.struct(F.col("verdict").alias("label"), zero.alias("support"), F.col("n").alias("predicted"), zero.alias("hits"), zero.alias("alarms")))).alias("x")).select(*point, "x.*")
+    per = sides.groupBy(*point, "label").agg(F.sum("support").alias("s"), F.sum("predicted").alias("p"), F.sum("hits").alias("h"), F.sum("alarms").alias("a"))
     f1 = F.coalesce(F.try_divide(2 * F.col("h"), F.col("s") + F.col("p")), F.lit(0.0))
-    return per.groupBy("cfg", "cfg_tau", "cfg_min_evidence").agg(F.round(F.sum(f1) / F.lit(5.0), 6).alias("macro_f1"), F.round(F.sum("h") / F.sum("s"), 6).alias("accuracy")).select("cfg", F.col("cfg_tau").alias("tau"), F.col("cfg_min_evidence").cast("int").alias("min_evidence"), "macro_f1", "accuracy")
+    base = V.Fusion()
+    far = F.abs(F.col("cfg_tau") - base.tau) + F.abs(F.col("cfg_min_evidence") - base.min_evidence) + F.abs(F.col("cfg_months") - base.months) / 6 + F.col("explicit") + F.col("named")
+    rows = per.groupBy(*point).agg(F.round(F.sum(f1) / F.lit(5.0), 6).alias("macro_f1"), F.round(F.sum("h") / F.sum("s"), 6).alias("accuracy"), F.sum("a").alias("control_fp")).withColumn("dist", F.round(far, 3))
+    order = W.Window.orderBy(F.col("macro_f1").desc(), "control_fp", F.col("accuracy").desc(), "dist", "cfg")  # 180 rows at most
+    return rows.select("cfg", F.col("cfg_tau").alias("tau"), F.col("cfg_min_evidence").cast("int").alias("min_evidence"), F.col("cfg_months").cast("int").alias("months"), "explicit", "named", "macro_f1", "accuracy", "control_fp", "dist", F.row_number().over(order).cast("long").alias("place"))
 
 
-V_LABELS = ["REAL", "FAKE", "MISLEADING", "PARTIALLY TRUE", "UNVERIFIABLE"]
-_GRID = ", ".join(f"({k}, {t}::DOUBLE, {m})" for k, (t, m) in enumerate((t, m) for t in (0.3, 0.45, 0.6, 0.8, 1.0) for m in (1, 2, 3)))
-TUNE_SQL = _fusion_sql(_GRID) + """,
-g AS (SELECT cfg, tau, me, ['REAL', 'FAKE', 'MISLEADING', 'PARTIALLY TRUE', 'UNVERIFIABLE'][input_id % 5 + 1] AS gold, verdict FROM f),
+def fusion_grid_tune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first grid: 45 points."""
+    return _tuned(spark, sf_dir, [(0, 0)])
+
+
+def fusion_grid_tune_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second grid: 180 points, with the two switches of date checks."""
+    return _tuned(spark, sf_dir, [(x, n) for x in (0, 1) for n in (0, 1)])
+
+
+def _tune_sql(switches: list[tuple[int, int]]) -> str:
+    points = [(t, m, o, x, n) for x, n in switches for t in TAUS for m in LEAST for o in MONTHS]
+    rows = ", ".join(f"({k}, {t}::DOUBLE, {m}, {o}::DOUBLE, {x}, {n})" for k, (t, m, o, x, n) in enumerate(points))
+    old = "((input_id % 2 = 0 AND CASE named WHEN 1 THEN input_id * 7 % 20 ELSE input_id % 15 END >= mo) OR (explicit = 1 AND input_id % 3 = 0 AND input_id % 13 >= mo))"
+    base = _fusion_sql(rows).replace("cfg(cfg, tau, me)", "cfg(cfg, tau, me, mo, explicit, named)").replace("c.cfg, c.tau, c.me,", "c.cfg, c.tau, c.me, c.mo, c.explicit, c.named,")
+    base = base.replace("input_id % 7 = 0 OR input_id % 31 = 0 AS flagged", f"{old} OR input_id % 31 = 0 AS flagged, {old} AS old")
+    return base + """,
+g AS (SELECT cfg, tau, me, mo, explicit, named, ['REAL', 'FAKE', 'MISLEADING', 'PARTIALLY TRUE', 'UNVERIFIABLE'][input_id % 5 + 1] AS gold, verdict, old AND input_id % 5 = 1 AS alarm FROM f),
 l AS (SELECT unnest(['REAL', 'FAKE', 'MISLEADING', 'PARTIALLY TRUE', 'UNVERIFIABLE']) AS label),
-per AS (SELECT cfg, tau, me, label, count(*) FILTER (gold = label) AS s, count(*) FILTER (verdict = label) AS p, count(*) FILTER (gold = label AND verdict = label) AS h FROM g, l GROUP BY ALL)
-SELECT cfg::INT AS cfg, tau, me::INT AS min_evidence, round(sum(CASE WHEN s + p = 0 THEN 0 ELSE 2.0::DOUBLE * h / (s + p) END) / 5, 6) AS macro_f1, round(sum(h)::DOUBLE / sum(s), 6) AS accuracy FROM per GROUP BY ALL
+per AS (SELECT cfg, tau, me, mo, explicit, named, label, count(*) FILTER (gold = label) AS s, count(*) FILTER (verdict = label) AS p, count(*) FILTER (gold = label AND verdict = label) AS h, count(*) FILTER (gold = label AND alarm) AS a FROM g, l GROUP BY ALL),
+t AS (SELECT cfg, tau, me, mo, explicit, named, round(sum(CASE WHEN s + p = 0 THEN 0 ELSE 2.0::DOUBLE * h / (s + p) END) / 5, 6) AS macro_f1, round(sum(h)::DOUBLE / sum(s), 6) AS accuracy, sum(a)::BIGINT AS control_fp,
+  round(abs(tau - 0.8::DOUBLE) + abs(me - 3) + abs(mo - 6) / 6 + explicit + named, 3)::DOUBLE AS dist FROM per GROUP BY ALL)
+SELECT cfg::INT AS cfg, tau, me::INT AS min_evidence, mo::INT AS months, explicit::INT AS explicit, named::INT AS named, macro_f1, accuracy, control_fp, dist, row_number() OVER (ORDER BY macro_f1 DESC, control_fp, accuracy DESC, dist, cfg) AS place FROM t
 """
 
 
+TUNE_SQL, TUNE_DATES_SQL = _tune_sql([(0, 0)]), _tune_sql([(x, n) for x in (0, 1) for n in (0, 1)])
+
+
 def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused(spark, sf_dir, TWO).groupBy("cfg", "rule", "verdict").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
 
@@ -122,17 +165,42 @@ RULES_SQL = _fusion_sql("(0, 0.6::DOUBLE, 2), (1, 0.8::DOUBLE, 3)") + "SELECT cf
 
 
 def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = V.uncertainty(V.reason(fused(spark, sf_dir, TWO).withColumns({"event_date": F.lit("2024-01-05").cast("date"), "gap_months": F.lit(7.5)})))
-    return out.select("input_id", "cfg", "rule", "reason", "uncertainty")
+    """Reason, explanation and uncertainty note of each verdict; names, quotations and dates are made up from ids."""
+    i, text = F.col("input_id"), lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y.cast("string") for y in x])
+    out = fused(spark, sf_dir, TWO).withColumns({
+        "event_date": F.lit("2024-01-05").cast("date"), "input_date": F.lit("2024-08-20").cast("date"), "gap_months": F.lit(7.5), "mismatch_p": F.lit(None).cast("double"), "claim": text("Claim ", i, " holds.."),
+        "n_sup": (i % 4).cast("int"), "n_ref": (i % 3).cast("int"), "sup_sources": F.when(i % 4 > 0, text("s", i % 4, ".org, x.org")).otherwise(""), "ref_sources": text("r", i % 3, ".org"), "summary": text(i % 4, " supporting"),
+        "refuted_text": text("Part ", i % 6, "."), "refuted_n": (i % 2 + 1).cast("int"), "supported_text": text("Side ", i % 8), "domain": F.when(i % 2 == 0, "hoax.example").otherwise(""),
+        "fc_source": text("check", i % 2, ".org"), "fc_snippet": text("Moon ", i % 9, "."), "fc_cosine": F.lit(0.75) + (i % 4) / F.lit(16.0), "fc_rating": F.lit("false"),
+    })
+    out = V.uncertainty(V.explanation(V.reason(out)))
+    return out.select("input_id", "cfg", "rule", "reason", "explanation", "uncertainty")
 
 
+_C = "'\"Claim ' || input_id || ' holds\"'"
+_CHECK = "'check' || input_id % 2 || '.org'"
 EXPLAIN_SQL = _fusion_sql("(0, 0.6::DOUBLE, 2), (1, 0.8::DOUBLE, 3)") + f"""
 SELECT input_id, cfg::INT AS cfg, rule, CASE rule
   {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in V.REASONS.items())}
+  WHEN 'R2' THEN 'A fact-checker (' || {_CHECK} || ') rates a matching claim as false.'
   WHEN 'R3' THEN e_1 || ' reliable sources contradict the main claim.' WHEN 'R7' THEN e_1 || ' reliable sources support the main claim.'
   WHEN 'R4' THEN 'The main claim is supported, but ' || concat_ws(', ', CASE WHEN input_id % 7 = 0 THEN 'old news' END, CASE WHEN input_id % 31 = 0 THEN 'out of context' END) || ' was detected.'
   ELSE CASE verdict WHEN 'FAKE' THEN 'One reliable source refutes the main claim; the style classifier breaks the tie.' WHEN 'REAL' THEN 'One reliable source supports the main claim; the style classifier breaks the tie.'
     ELSE 'Only one source was found; this result could change as more coverage appears.' END END AS reason,
+  CASE rule WHEN 'LANG' THEN 'Marked UNVERIFIABLE: this version only analyses English text.'
+  WHEN 'R0' THEN 'Marked FAKE because the input comes from a satire / known-hoax site' || CASE WHEN input_id % 2 = 0 THEN ' (hoax.example)' ELSE '' END || '.'
+  WHEN 'R1' THEN 'Marked UNVERIFIABLE because no reliable evidence for or against ' || {_C} || ' was found' || CASE WHEN n_1 > 0 THEN ' (' || n_1 || ' retrieved item' || CASE n_1 WHEN 1 THEN '' ELSE 's' END || ', none taking a side)' ELSE '' END || '.'
+  WHEN 'R2' THEN 'Marked FAKE because ' || {_CHECK} || ' rated a matching statement ("Moon ' || input_id % 9 || '", similarity ' || format('{{:.2f}}', 0.75 + (input_id % 4) / 16.0::DOUBLE) || ') as "false".'
+  WHEN 'R3' THEN 'Marked FAKE because ' || input_id % 3 || ' reliable sources (r' || input_id % 3 || '.org) contradict ' || {_C} || '.'
+  WHEN 'R4' THEN 'Marked MISLEADING: ' || {_C} || ' is supported by ' || input_id % 4 || ' source' || CASE input_id % 4 WHEN 1 THEN '' ELSE 's' END || ', but'
+    || CASE WHEN input_id % 7 = 0 THEN ' the supporting reports are dated 2024-01-05 while the input is dated 2024-08-20 (7.5 months apart)' ELSE '' END
+    || CASE WHEN input_id % 31 = 0 THEN ' the places or years in the claim do not match those in the supporting reports' ELSE '' END || '.'
+  WHEN 'R5' THEN 'Marked PARTIALLY TRUE: the main claim ' || {_C} || ' is supported by ' || input_id % 4 || ' source' || CASE input_id % 4 WHEN 1 THEN '' ELSE 's' END || ', but "Part ' || input_id % 6 || '" is contradicted by ' || input_id % 2 + 1 || ' source' || CASE input_id % 2 WHEN 0 THEN '' ELSE 's' END || '.'
+  WHEN 'R6' THEN 'Marked PARTIALLY TRUE: the important claims are split - "Side ' || input_id % 8 || '" is supported, while "Part ' || input_id % 6 || '" is contradicted.'
+  WHEN 'R7' THEN 'Marked REAL because ' || input_id % 4 || ' reliable sources (' || CASE WHEN input_id % 4 > 0 THEN 's' || input_id % 4 || '.org, x.org' ELSE '' END || ') support ' || {_C} || '.'
+  WHEN 'R8' THEN 'Only one reliable source (' || CASE WHEN input_id % 4 > 0 THEN 's' || input_id % 4 || '.org, x.org' ELSE 'r' || input_id % 3 || '.org' END || ') ' || CASE WHEN input_id % 4 > 0 THEN 'supports ' ELSE 'contradicts ' END || {_C}
+    || CASE verdict WHEN 'UNVERIFIABLE' THEN '; the writing-style classifier (p_fake = ' || p_fake || ') is not decisive, so the result stays UNVERIFIABLE' ELSE '; the writing-style classifier (p_fake = ' || p_fake || ') breaks the tie, giving ' || verdict END || '.'
+  WHEN 'R9' THEN 'Marked UNVERIFIABLE: the evidence about ' || {_C} || ' is inconclusive (' || input_id % 4 || ' supporting).' END AS explanation,
   CASE WHEN verdict = 'UNVERIFIABLE' THEN '{V.NO_EVIDENCE}' WHEN e_1 = 1 THEN '{V.ONE_SOURCE}'
     WHEN input_id % 7 = 0 THEN 'The underlying event is verified, but the supporting reports date from 2024-01-05, 7.5 months before this input.' ELSE '{V.RETRIEVED_ONLY}' END AS uncertainty
 FROM f
@@ -279,16 +347,21 @@ FROM l
 
 
 def sentence_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three longest sentences of each conversation, in their order, and the largest length."""
-    t = table(spark, sf_dir, "conversations").select("conv_id", F.posexplode(X.sentences(F.concat_ws(" ", F.lit("-"), "text"))).alias("p", "sentence"), "turn")
-    own = t.select("conv_id", (F.col("turn") * 10_000 + F.col("p")).alias("pos"), "sentence", F.length("sentence").cast("double").alias("sim"))
+    """Of each conversation the three sentences most like its first turn, in their order, and the largest likeness."""
+    c = table(spark, sf_dir, "conversations")
+    t = c.select("conv_id", F.posexplode(X.sentences(F.concat_ws(" ", F.lit("-"), "text"))).alias("p", "sentence"), "turn")
+    first = c.groupBy("conv_id").agg(F.min_by(F.coalesce("text", F.lit("")), "turn").alias("claim"))
+    own = t.join(first, "conv_id").select("conv_id", (F.col("turn") * 10_000 + F.col("p")).alias("pos"), "sentence", F.round(E.shared_words(F.col("sentence"), F.col("claim")), 6).alias("sim"))
     return R.best_sentences(own, "conv_id").select("conv_id", "passage", "top")
 
 
+_LIKE = "coalesce(round(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0)::DOUBLE, 6), 0)"
 BEST_SQL = rf"""
 WITH s AS (SELECT conv_id, turn, unnest({_SENT.replace("coalesce(text, '')", "concat_ws(' ', '-', text)")}) AS sentence, generate_subscripts({_SENT.replace("coalesce(text, '')", "concat_ws(' ', '-', text)")}, 1) - 1 AS p FROM conversations),
-k AS (SELECT *, turn * 10000 + p AS pos, row_number() OVER (PARTITION BY conv_id ORDER BY length(sentence) DESC, turn * 10000 + p) AS r FROM s)
-SELECT conv_id, string_agg(sentence, ' ' ORDER BY pos) AS passage, max(length(sentence))::DOUBLE AS top FROM k WHERE r <= 3 GROUP BY 1
+f AS (SELECT conv_id, list_distinct(regexp_extract_all(lower(min_by(coalesce(text, ''), turn)), '[\p{{L}}\p{{N}}_]{{2,}}')) AS b FROM conversations GROUP BY 1),
+l AS (SELECT s.*, turn * 10000 + p AS pos, list_distinct(regexp_extract_all(lower(sentence), '[\p{{L}}\p{{N}}_]{{2,}}')) AS a, b FROM s JOIN f USING (conv_id)),
+k AS (SELECT *, {_LIKE} AS sim, row_number() OVER (PARTITION BY conv_id ORDER BY {_LIKE} DESC, pos) AS r FROM l)
+SELECT conv_id, string_agg(sentence, ' ' ORDER BY pos) AS passage, max(sim)::DOUBLE AS top FROM k WHERE r <= 3 GROUP BY 1
 """
 
 
@@ -315,9 +388,50 @@ def evidence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 SUMMARY_SQL = f"WITH {_EVIDENCE}, c AS (SELECT input_id, count(*) FILTER (stance = 'SUPPORTS') AS n_sup, count(*) FILTER (stance = 'REFUTES') AS n_ref, count(*) FILTER (stance = 'NEUTRAL') AS n_neu FROM kept GROUP BY 1) SELECT *, format('{{}} supporting, {{}} refuting, {{}} neutral', n_sup, n_ref, n_neu) AS summary FROM c"
 
 
-QUERIES = {f.__name__: f for f in (fusion_verdicts, fusion_grid_tune, rule_counts, explanations, evidence_rank, claim_signals, old_news, stance_override, vector_topk, vector_dedupe_greedy, domain_tiers, url_normalise, leakage_guard, claim_scores, sentence_topk, context_conflict, evidence_summary)}
+def evidence_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence of benchmark items from made-up hits, of which a third come twice, with document texts as pages, reviews, extracts and ratings."""
+    claims = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("claim"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("i"), "text")
+    i, text = F.col("i"), lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y.cast("string") for y in x])
+    host = F.element_at(F.array(*map(F.lit, ("www.snopes.com", "reuters.com", "en.wikipedia.org", "x.example"))), (i % 4 + 1).cast("int"))
+    web = d.select((i % 20).alias("query_id"), "i", text("https://", host, "/p", i).alias("url"), "text")
+    one = web.select("query_id", i.alias("pos"), "url", text("T", i).alias("title"), F.substring("text", 1, 200).alias("snippet"))
+    two = web.filter(i % 3 == 0).select("query_id", (i + 1_000_000).alias("pos"), "url", text("U", i).alias("title"), F.substring("text", 101, 200).alias("snippet"))
+    pages = web.filter(i % 5 > 0).select("url", "text", F.expr("date_add(DATE'2024-01-01', cast(i % 100 AS int))").alias("date"))
+    reviews = web.filter(i % 8 == 0).select("url", F.substring("text", 1, 60).alias("claim_reviewed"), F.lit("False").alias("rating"), F.when(i % 16 == 0, "FALSE").alias("rating3"), F.when(i % 3 > 0, F.lit("2023-05-05").cast("date")).alias("date"), text("c", i).alias("canonical"))
+    own = claims.join(d, F.col("query_id") + 1 == F.col("i")).withColumn("pos", F.col("query_id") + 2_000_000)
+    extracts = own.select("query_id", "pos", text("https://en.wikipedia.org/wiki/", F.col("query_id")).alias("url"), F.lit("W").alias("title"), "text")
+    ratings = own.filter("query_id % 2 = 0").select("query_id", (F.col("pos") + 1).alias("pos"), F.lit("").alias("url"), F.lit("pub").alias("publisher"), F.substring("claim", 1, 50).alias("claim_reviewed"), F.lit("Mostly true").alias("rating"), F.lit("2022-02-02").cast("date").alias("date"))
+    out = E.assemble(claims, one.unionByName(two), pages, reviews, extracts, ratings, E.shared_words)
+    return out.select("query_id", "pos", "origin", "source", "url", "title", F.sha1("snippet").alias("snippet_sha1"), F.col("date").cast("string").alias("date"), "tier", "cosine", "rating", "rating3", "is_factcheck", "canonical")
+
+
+_TOKENS = r"list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]{{2,}}'))"
+_SHARED = "coalesce(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0)::DOUBLE, 0)"
+_GOOD = _SENT.replace("list_filter(string_split", "list_filter(list_transform(list_filter(string_split").replace("lambda x: x <> '')", r"lambda x: x <> ''), lambda x: regexp_replace(x, '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g')), lambda x: length(x) BETWEEN 25 AND 600)[1:200]")
+ASSEMBLY_SQL = rf"""
+WITH q AS (SELECT item_id AS query_id, text AS claim, {_TOKENS.format("text")} AS b FROM benchmark),
+w AS (SELECT doc_id % 20 AS query_id, doc_id AS i, text, ['www.snopes.com', 'reuters.com', 'en.wikipedia.org', 'x.example'][doc_id % 4 + 1] AS host FROM documents),
+h AS (SELECT w.query_id, i, i AS pos, 'https://' || host || '/p' || i AS url, regexp_replace(host, '^www\.', '') AS source, CASE i % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 4 END AS tier,
+  CASE WHEN i % 3 = 0 THEN 'U' ELSE 'T' END || i AS title, CASE WHEN i % 3 = 0 THEN text[101:300] ELSE text[1:200] END AS snippet, text, row_number() OVER (PARTITION BY w.query_id ORDER BY i) AS place FROM w JOIN q USING (query_id)),
+f AS (SELECT *, CASE WHEN place <= 5 AND i % 5 > 0 THEN text END AS p_text, CASE WHEN place <= 5 AND i % 5 > 0 THEN DATE '2024-01-01' + (i % 100)::INT END AS p_date, i % 8 = 0 AS reviewed FROM h),
+rated AS (SELECT query_id, pos, 'web' AS origin, source, url, title, trim(regexp_replace(text[1:60], '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g')) AS snippet, coalesce(CASE WHEN i % 3 > 0 THEN DATE '2023-05-05' END, p_date) AS date, tier, i FROM f WHERE i % 16 = 0 AND trim(coalesce(text[1:60], '')) <> ''),
+texts AS (SELECT query_id, pos, 'web' AS origin, source, url, title, coalesce(nullif(p_text, ''), snippet) AS text, CASE WHEN source <> 'en.wikipedia.org' THEN p_date END AS date, tier, CASE WHEN reviewed THEN 'c' || i END AS canonical FROM f WHERE pos NOT IN (SELECT pos FROM rated)
+  UNION ALL SELECT query_id, query_id + 2000000, 'encyclopaedia', 'en.wikipedia.org', 'https://en.wikipedia.org/wiki/' || query_id, 'W', text, NULL, 3, NULL FROM q JOIN documents ON doc_id = query_id + 1),
+s AS (SELECT query_id, pos, unnest({_GOOD}) AS sentence, generate_subscripts({_GOOD}, 1) AS p FROM texts),
+l AS (SELECT s.*, {_TOKENS.format("sentence")} AS a, b FROM s JOIN q USING (query_id)),
+k AS (SELECT *, {_SHARED} AS sim, row_number() OVER (PARTITION BY query_id, pos ORDER BY {_SHARED} DESC, p) AS r FROM l),
+passage AS (SELECT query_id, pos, string_agg(sentence, ' ' ORDER BY p) AS snippet, max(sim) AS top FROM k WHERE r <= 3 GROUP BY ALL),
+o AS (SELECT query_id, pos, origin, source, url, title, snippet, date, tier, (SELECT {_SHARED} FROM (SELECT {_TOKENS.format("rated.snippet")} AS a, q.b)) AS c, 'False' AS rating, 'FALSE' AS rating3, true AS is_factcheck, 'c' || i AS canonical FROM rated JOIN q USING (query_id)
+  UNION ALL SELECT query_id, pos, origin, source, url, title, passage.snippet, date, tier, top, NULL, NULL, false, canonical FROM texts JOIN passage USING (query_id, pos)
+  UNION ALL SELECT query_id, query_id + 2000001, 'factcheck', 'pub', 'pub', 'pub', claim[1:50], DATE '2022-02-02', 4, (SELECT {_SHARED} FROM (SELECT {_TOKENS.format("q.claim[1:50]")} AS a, q.b)), 'Mostly true', 'TRUE', true, NULL FROM q JOIN documents ON doc_id = query_id + 1 WHERE query_id % 2 = 0 AND claim <> '')
+SELECT query_id, pos, origin, source, url, title, sha1(snippet) AS snippet_sha1, date::DATE::VARCHAR AS date, tier::INT AS tier, round(c, 4)::DOUBLE AS cosine, rating, rating3, is_factcheck, canonical FROM o
+"""
+
+
+QUERIES = {f.__name__: f for f in (fusion_verdicts, fusion_grid_tune, fusion_grid_tune_dates, rule_counts, explanations, evidence_rank, claim_signals, old_news, stance_override, vector_topk, vector_dedupe_greedy, domain_tiers, url_normalise, leakage_guard, claim_scores, sentence_topk, context_conflict, evidence_summary, evidence_assembly)}
 ORACLES = {
-    "fusion_verdicts": FUSION_SQL, "fusion_grid_tune": TUNE_SQL, "rule_counts": RULES_SQL, "explanations": EXPLAIN_SQL, "evidence_rank": RANK_SQL, "claim_signals": SIGNALS_SQL, "old_news": OLD_NEWS_SQL,
+    "fusion_verdicts": FUSION_SQL, "fusion_grid_tune": TUNE_SQL, "fusion_grid_tune_dates": TUNE_DATES_SQL, "rule_counts": RULES_SQL, "explanations": EXPLAIN_SQL, "evidence_rank": RANK_SQL, "claim_signals": SIGNALS_SQL, "old_news": OLD_NEWS_SQL,
     "stance_override": OVERRIDE_SQL, "vector_topk": TOPK_SQL, "vector_dedupe_greedy": GREEDY_SQL, "domain_tiers": TIERS_SQL, "url_normalise": NORM_SQL, "leakage_guard": GUARD_SQL, "claim_scores": SCORES_SQL,
-    "sentence_topk": BEST_SQL, "context_conflict": CONTEXT_SQL, "evidence_summary": SUMMARY_SQL,
+    "sentence_topk": BEST_SQL, "context_conflict": CONTEXT_SQL, "evidence_summary": SUMMARY_SQL, "evidence_assembly": ASSEMBLY_SQL,
 }

@@ -1,6 +1,7 @@
 """Operators on inline rows."""
 
 import itertools
+import json
 import math
 import random
 import re
@@ -15,7 +16,9 @@ from lexforge.functions import dates as D
 from lexforge.functions import html as H
 from lexforge.functions import text as X
 from lexforge.functions import urls as U
+from lexforge.operators import evidence
 from lexforge.operators import metrics as M
+from lexforge.operators import ml as L
 from lexforge.operators import prep as P
 from lexforge.operators import retrieve as R
 from lexforge.operators import verify as V
@@ -281,27 +284,94 @@ def test_streams(spark, tmp_path):
 
 
 def test_every_query_has_a_name_and_most_an_oracle():
-    assert set(ORACLES) <= set(QUERIES) and len(QUERIES) >= 90 and len(QUERIES) - len(ORACLES) <= 8
-
-
-def test_greedy_goes_on_to_the_last_edge(spark, monkeypatch):
-    monkeypatch.setattr(P, "range", lambda n: [0], raising=False)  # a bound on the rounds ends after one
-    chain = spark.createDataFrame([(k, k + 1) for k in range(7)], "a long, b long")
-    assert {x["pos"] for x in P.greedy_drops(chain).collect()} == {1, 3, 5, 7}
+    assert set(ORACLES) <= set(QUERIES) and len(QUERIES) >= 90 and len(QUERIES) - len(ORACLES) <= 9
+
+
+@pytest.mark.parametrize(("links", "size"), [(2, 40), (2_000_000, 3000)])
+def test_greedy_decides_chains_of_any_length(spark, monkeypatch, links, size):
+    monkeypatch.setattr(P, "LOCAL_LINKS", links)
+    chain = spark.createDataFrame([(k, k + 1) for k in range(size - 1)], "a long, b long")
+    assert {x["pos"] for x in P.greedy_drops(chain).collect()} == {*range(1, size, 2)}
+    assert P.greedy_drops(chain.limit(0)).count() == 0
+
+
+def test_near_across_splits_raises(spark):
+    words = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, words, "train"), (2, words.upper() + "!", "val"), (3, words + " more", "test"), (4, "quite another text of some words here", "test")]
+    found = P.near_across_splits(spark.createDataFrame(rows, "pos long, text string, split string"), "pos")
+    assert {(r["split"], r["rows"], r["near"]) for r in found.collect()} == {("val", 1, 1), ("test", 2, 1)}
+    with pytest.raises(ValueError, match="overlap"):
+        P.require_disjoint(found, "near")
+    P.require_disjoint(found.filter("near = 0"), "near")
+    assert P.quotas({"a": 600, "b": 400}, 100) == {"a": 60, "b": 40} and P.quotas({"a": 1, "b": 1, "c": 1}, 2) == {"a": 1, "b": 1, "c": 0} and P.quotas({"a": 3}, 10) == {"a": 3}
+
+
+def test_review_parser(spark):
+    page = lambda *blobs: "".join(f'<script type="application/ld+json">{b}</script>' for b in blobs)
+    review = lambda name, **rating: json.dumps({"@type": ["Thing", "ClaimReview"], "claimReviewed": [[" a claim "]], "datePublished": "2020-01-02T03:04", "reviewRating": {"alternateName": name, **rating}})
+    deep = "[" * 60_000 + "]" * 60_000
+    nested = '{"a":' * 400 + review("Nested") + "}" * 400
+    cases = {
+        1: (page(review("False")), "False"), 2: (page("{broken", deep, review("True")), "True"), 3: (page(nested), "Nested"),
+        4: (page(json.dumps({"@graph": [json.loads(review("first")), {"x": json.loads(review("last"))}]})), "last"), 5: (page(review("one"), review("two")), "two"),
+        6: (page(review(None, ratingValue="4", worstRating=1, bestRating=5)), "mixed"), 7: (page(review("", ratingValue=5, worstRating=1, bestRating=5)), "true"), 8: (page(review(None, ratingValue=1, worstRating=1, bestRating="5")), "false"),
+        9: (page(review(None, ratingValue=1, worstRating=1, bestRating=1)), None), 10: (page(review(None, ratingValue="x", worstRating=1, bestRating=2)), None), 11: ("<p>no review</p>", None), 12: (None, None),
+        13: ('<div class="pf-statement-quote"><p>A <b>quoted</b>\nclaim</p></div><div class="pf-statement-meter"><img src="m" alt="pants-fire"></div>', "pants fire"), 14: (page(json.dumps([[]]), json.dumps({"@type": "ClaimReview", "reviewRating": []})), None),
+    }
+    df = spark.createDataFrame([(k, html) for k, (html, _) in cases.items()], "k int, html string")
+    got = {r["k"]: r["r"] for r in df.select("k", H.review(F.col("html")).alias("r")).collect()}
+    assert {k: got[k]["rating"] for k in cases} == {k: rating for k, (_, rating) in cases.items()}
+    assert got[1]["claim_reviewed"] == "a claim" and got[1]["date"] == "2020-01-02" and got[13]["claim_reviewed"] == "A quoted claim" and got[13]["date"] is None
+
+
+def test_evidence_assembly(spark):
+    claims = spark.createDataFrame([(1, "the moon is made of green cheese")], "query_id long, claim string")
+    body = "The moon is made of rock and dust, they say. Green cheese was never found on the moon by anybody at all. Short one. The weather is fine today in all of the town here."
+    hits = spark.createDataFrame([(1, 0, "https://a.example/x", "old", "s"), (1, 1, "https://www.snopes.com/y", "t", "s"), (1, 2, "https://a.example/x", "new", "z"), (1, 3, None, "t", "s"), (1, 4, "https://en.wikipedia.org/w", "w", "s")], "query_id long, pos long, url string, title string, snippet string")
+    pages = spark.createDataFrame([("https://a.example/x", body, "2020-01-01"), ("https://www.snopes.com/y", body, "2020-01-02"), ("https://en.wikipedia.org/w", body, "2020-01-03")], "url string, text string, d string").selectExpr("url", "text", "to_date(d) AS date")
+    reviews = spark.createDataFrame([("https://www.snopes.com/y", " Moon made of cheese ", "False", "FALSE", None, "c"), ("https://a.example/x", "no first tier", "False", "FALSE", None, "c")], "url string, claim_reviewed string, rating string, rating3 string, date date, canonical string")
+    extracts = spark.createDataFrame([(1, 9, "https://en.wikipedia.org/m", "M", body)], "query_id long, pos long, url string, title string, text string")
+    ratings = spark.createDataFrame([(1, 10, "", "pub", "cheese moon", "Mostly True", None), (1, 11, "u", "pub", None, "x", None)], "query_id long, pos long, url string, publisher string, claim_reviewed string, rating string, date date")
+    got = {r["pos"]: r for r in evidence.assemble(claims, hits, pages, reviews, extracts, ratings).collect()}
+    assert {k: r["origin"] for k, r in got.items()} == {0: "web", 1: "web", 4: "web", 9: "encyclopaedia", 10: "factcheck"}
+    assert got[0]["title"] == "new" and not got[0]["is_factcheck"] and str(got[0]["date"]) == "2020-01-01" and "Short one" not in got[0]["snippet"]
+    assert got[1]["snippet"] == "Moon made of cheese" and got[1]["rating3"] == "FALSE" and got[1]["canonical"] == "c" and str(got[1]["date"]) == "2020-01-02" and got[4]["date"] is None
+    assert got[10]["rating3"] == "TRUE" and got[10]["url"] == "pub"
+    plain = {r["pos"]: r["is_factcheck"] for r in evidence.assemble(claims, hits, pages, reviews, extracts, ratings, evidence.shared_words, use_reviews=False).collect()}
+    assert plain[1] is False and plain[10] is True
+
+
+def test_headline_mismatch(spark):
+    rows = [(1, "t", "b", 0.1, 0.8, 0.1), (2, "t", "b", 0.1, 0.6, 0.3), (3, "t", " t ", 0.1, 0.8, 0.1), (4, None, "b", 0.1, 0.8, 0.1), (5, "t", "b", 0.9, 0.05, 0.05)]
+    df = spark.createDataFrame(rows, "k int, t string, b string, s double, r double, n double")
+    flag, p = V.mismatch_headline(F.col("t"), F.col("b"), F.struct(F.col("s").alias("SUPPORTS"), F.col("r").alias("REFUTES"), F.col("n").alias("NEUTRAL")))
+    assert {x["k"]: (x["f"], x["p"]) for x in df.select("k", flag.alias("f"), p.alias("p")).collect()} == {1: (True, 0.8), 2: (False, 0.6), 3: (False, None), 4: (False, None), 5: (False, None)}
+
+
+def test_grids_are_whole():
+    assert len(L.TFIDF_GRID) == 12 and sum(len(L.TFIDF_GRID if m != "nb" else [x for x in L.TFIDF_GRID if x[2]]) * len(v) for m, v in L.CLASSIFIERS.items()) == 90
+
+
+def test_vector_topk_ties_and_widths(spark):
+    rows = [(k, [1.0, 0.0]) for k in range(20)] + [(20, [0.0, 1.0]), (21, None), (22, [1.0, 0.0, 0.0])]
+    index = spark.createDataFrame(rows, "record_id long, embedding array<double>").repartition(4)
+    asked = spark.createDataFrame([(1, [2.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [0.0])], "query_id long, embedding array<double>")
+    got = [(r["query_id"], r["record_id"], r["rank"]) for r in R.vector_topk(index, asked, 3).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 0, 1), (1, 1, 2), (1, 2, 3), (2, 22, 1)]
 
 
 def test_full_tfidf_takes_two_word_terms_and_more_than_20000(spark, tmp_path):
     words = [f"w{k}" for k in range(15_000)]
     texts = [" ".join(words), " ".join(words), "Été deux deux", "ete deux", "été deux ete", "deux", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["doc"]: r for r in QUERIES["tfidf_weights_full"](spark, str(tmp_path)).collect()}
+    got = {r["doc"]: r for r in QUERIES["tfidf_weights"](spark, str(tmp_path)).collect()}
     assert got[0]["n_terms"] == got[1]["n_terms"] == 29_999 and [got[k]["n_terms"] for k in (2, 3, 4)] == [3, 3, 3]
     idf = {"ete": math.log(8 / 4) + 1, "deux": math.log(8 / 5) + 1, "ete deux": math.log(8 / 4) + 1}
     raw = {t: (1 + math.log(2 if t == "deux" else 1)) * x for t, x in idf.items()}
     assert got[2]["max_w"] == round(max(raw.values()) / math.sqrt(sum(x * x for x in raw.values())), 5)
-    top = {(r["doc"], r["rank"]): r["term"] for r in QUERIES["tfidf_top_terms_full"](spark, str(tmp_path)).collect()}
+    top = {(r["doc"], r["rank"]): r["term"] for r in QUERIES["tfidf_top_terms"](spark, str(tmp_path)).collect()}
     assert (top[2, 1], top[3, 1], top[3, 2], top[3, 3]) == ("deux", "ete", "ete deux", "deux")
-    assert {r["doc"]: r["cosine"] for r in QUERIES["nearest_neighbour_tfidf_full"](spark, str(tmp_path)).collect()} == {0: 1.0}
+    assert {r["doc"]: r["cosine"] for r in QUERIES["nearest_neighbour_tfidf"](spark, str(tmp_path)).collect()} == {0: 1.0}
 
 
 # ---- engine
