@@ -8,10 +8,12 @@ run; below, each shingle with a chance of SPREAD / size by a hash of the bucket
 shingle it sampled, so that two classes stay together wherever they sampled a shared one. A bucket of at most SPLIT_ABOVE
 classes ends there and is compared by brute force. In a larger one, each class whose mean similarity to a sample of the
 bucket is CLOSE or more, so that no shingle would part it from the others, is compared with all of them and leaves; the
-others walk on, however deep. That ends: their mean overlap times SPREAD is about one at most, and buckets shrink.
+others walk on, STRIDE levels at a time and however deep. That ends: their mean overlap times SPREAD is about one at most,
+and buckets shrink.
 
-miss() bounds the chance that a pair at the threshold is in no common bucket of a run, by the depth reached. Four runs
-suffice where no class walked on; runs are repeated for the classes that did, until the chance is at most 1 - TARGET_RECALL.
+miss() bounds the chance that a pair at the threshold is in no common bucket of a run, by the depth reached. FIRST_RUNS
+suffice where no class walked on; those that did get runs up to WALK_RUNS at once, and then as many more as it takes until the
+chance is at most 1 - TARGET_RECALL.
 
 Brute force has two parts. Sketches (16 bits of each of SKETCH minima) reject pairs far below the threshold; then
 the sets of the classes that have a pair left are fetched, and they are intersected exactly. A pair counts only in the
@@ -42,10 +44,11 @@ from lexforge.llm.common import materialize, scratch, slices
 from lexforge.llm.substring import Prefix, _sliced, mix, names_of
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5  # at least 4/5
-RUNS, RUNS_AT_ONCE, SPREAD, CLOSE, TARGET_RECALL = 32, 4, 1.6, 0.55, 0.99999
+FIRST_RUNS, WALK_RUNS, RUNS, STRIDE, SPREAD, CLOSE, TARGET_RECALL = 4, 10, 32, 2, 1.6, 0.55, 0.99999
 SPLIT_ABOVE, BLOCK, BLOCK_SHINGLES, SAMPLE = 1024, 1024, 1 << 20, 32
 #: Sketches agree in 0.8 of their places on average at the threshold; in fewer than 30 of 64 with a chance below 1e-7.
 SKETCH, SKETCH_LEAST = 64, 30
+LAZY_PAIRS = 4096
 LEAST_SIZE = NUMERATOR  # a smaller set reaches 4/5 with its equal only
 _U = np.uint64
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) | 1) % (1 << 64) for k in range(SKETCH)], np.uint64)
@@ -96,11 +99,11 @@ def node_id(run: int, name: np.ndarray) -> np.ndarray:
 
 
 def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sketches (sets, SKETCH), and the root buckets of the first runs (sets, RUNS_AT_ONCE, 2); none of the sets is empty.
+    """Sketches (sets, SKETCH), and the root buckets of the first runs (sets, FIRST_RUNS, 2); none of the sets is empty.
 
     A set of one shingle has its bucket twice.
     """
-    out, root = np.empty((len(sets), SKETCH), np.uint16), np.empty((len(sets), RUNS_AT_ONCE, 2), np.int64)
+    out, root = np.empty((len(sets), SKETCH), np.uint16), np.empty((len(sets), FIRST_RUNS, 2), np.int64)
     for first, end in slices([len(s) for s in sets], 1 << 14):  # as many as stay in a core's cache
         size = np.array([len(s) for s in sets[first:end]])
         flat, starts = np.concatenate(sets[first:end]), np.cumsum(size) - size
@@ -112,7 +115,7 @@ def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
             np.bitwise_xor(x, high, out=x)
             least = np.minimum.reduceat(x, starts)
             out[first:end, k] = least >> _U(16)
-            if k < RUNS_AT_ONCE:
+            if k < FIRST_RUNS:
                 x[x == np.repeat(least, size)] = ~_U(0)
                 root[first:end, k, 0] = node_id(k, mix(least))
                 root[first:end, k, 1] = np.where(size > 1, node_id(k, mix(np.minimum.reduceat(x, starts))), root[first:end, k, 0])
@@ -130,6 +133,14 @@ def children(s: np.ndarray, node: int) -> np.ndarray:
     return node_id(node >> _NODE_BITS, mix(h[h <= _U(min(int(SPREAD / len(s) * 2.0**64), 2**64 - 1))] + _U(1)))
 
 
+def below(s: np.ndarray, node: int) -> list[int]:
+    """The buckets of a set STRIDE levels below a bucket."""
+    nodes = [node]
+    for _ in range(STRIDE):
+        nodes = [c for x in nodes for c in children(s, x).tolist()]
+    return sorted(set(nodes))
+
+
 def _set_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, th, fp, size, root, sketch) of every row; th is a hash of the text, fp null for texts without words."""
 
@@ -173,86 +184,95 @@ def _sets_of(docs: DataFrame, key: str, text: str, classes: DataFrame) -> DataFr
 # ---- paths
 
 
-def _judged(large: DataFrame, classes: DataFrame) -> DataFrame:
-    """large with full: whether a class is close to a sample of its bucket, of about SAMPLE classes by a hash."""
-    known = large.join(classes.select("fp", "sketch"), "fp")
-    drawn = known.filter(F.pmod(F.xxhash64("fp", "node"), F.col("n")) < SAMPLE)
+def _judged(large: DataFrame, known: DataFrame) -> DataFrame:
+    """large with full, whether a class is close to a sample of its bucket of about SAMPLE classes by a hash, and else its buckets below."""
+    places = F.collect_list(F.struct("node", "n", "total", "depth")).alias("places")  # as many as a class's paths
+    walkers = materialize(large.groupBy("fp").agg(places).join(known, "fp").select("fp", "size", "sketch", "shingles", "places"))
+    each = walkers.select("*", F.explode("places").alias("p")).select("p.*", "fp", "size", "sketch", "shingles")
+    drawn = each.filter(F.pmod(F.xxhash64("fp", "node"), F.col("n")) < SAMPLE)
     drawn = materialize(drawn.groupBy("node").agg(F.array_join(F.collect_list(F.hex("sketch")), "").alias("drawn")))
+    names = ["node", "n", "total", "depth", "fp", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, sample = None, None
         for b in batches:
-            full, own = [], b.column(b.num_columns - 2)
-            for k, x in enumerate(b.column(b.num_columns - 1)):
-                sample = np.frombuffer(bytes.fromhex(x.as_py() or ""), np.uint16).reshape(-1, SKETCH)
-                full.append(bool(len(sample)) and float((sample == np.frombuffer(own[k].as_py(), np.uint16)).mean()) >= CLOSE)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(full, pa.bool_())], ["node", "fp", "size", "n", "total", "full"])
+            full, ways = [], []
+            for node, own, s, x in zip(b.column(0).to_pylist(), b.column(6), b.column(7), b.column(8), strict=True):
+                if node != last:
+                    last, sample = node, np.frombuffer(bytes.fromhex(x.as_py() or ""), np.uint16).reshape(-1, SKETCH)
+                close = bool(len(sample)) and float((sample == np.frombuffer(own.as_buffer(), np.uint16)).mean()) >= CLOSE
+                full.append(close)
+                ways.append([] if close else below(np.frombuffer(s.as_buffer(), np.uint64), node))
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(full, pa.bool_()), pa.array(ways, pa.list_(pa.int64()))], [*names, "full", "below"])
 
-    joined = known.join(drawn, "node", "left").select("node", "fp", "size", "n", "total", "sketch", "drawn")
-    return joined.mapInArrow(run, "node long, fp binary, size long, n long, total long, full boolean")
+    joined = each.join(drawn, "node", "left").select(*names, "sketch", "shingles", "drawn")
+    return joined.mapInArrow(run, "node long, n long, total long, depth int, fp binary, size long, full boolean, below array<long>")
 
 
-def _below(rest: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, fp, size) of the next level; a node of run r that is negative asks for the root buckets of run -r."""
-    asked = rest.groupBy("fp").agg(F.collect_list("node").alias("nodes")).join(sets, "fp").select("fp", "nodes", "shingles")
+def _later_roots(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(node, fp, size, depth): the root buckets of classes (fp, low, high) in the runs from low to before high."""
+    rows = asked.join(known.select("fp", "size", "shingles"), "fp").select("fp", "size", "low", "high", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            new, size = [np.empty(0, np.int64)], []
-            for nodes, s in zip(b.column(1), b.column(2), strict=True):
+            ways = []
+            for low, high, s in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), strict=True):
                 s = np.frombuffer(s.as_buffer(), np.uint64)
-                new.append(np.unique(np.concatenate([children(s, n) if n >= 0 else roots_of(s, -n) for n in nodes.as_py()])))
-                size.append(len(s))
-            times = np.array([len(x) for x in new[1:]], np.int64)
-            fps = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), times)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(new)), fps, pa.array(np.repeat(np.array(size, np.int64), times))], ["node", "fp", "size"])
+                ways.append(np.unique(np.concatenate([roots_of(s, r) for r in range(low, high)])))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ways, pa.list_(pa.int64()))], ["fp", "size", "below"])
+
+    return rows.mapInArrow(run, "fp binary, size long, below array<long>").select(F.explode("below").alias("node"), "fp", "size", F.lit(1).alias("depth"))
 
-    return asked.mapInArrow(run, "node long, fp binary, size long")
 
+def buckets(classes: DataFrame, sets) -> DataFrame:
+    """(node, fp, size, n, total, full): the members of all buckets to compare, of as many runs as are needed.
 
-def _walk(rows: DataFrame, classes: DataFrame, sets) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """From root rows (node, fp, size): the members (node, fp, size, n, total, full) of the buckets to compare, and (fp, more):
-    how much the log of the chance to miss a pair grows by the walks of a class. sets: gives the sets of classes (fp)."""
-    found, deeper, depth, known = None, None, 1, None
+    sets: gives (fp, shingles) of classes (fp).
+    """
+    rows = classes.select(F.explode(F.array_distinct("root")).alias("node"), "fp", "size", F.lit(1).alias("depth"))
+    small, large_ones, known, at, enough = [], [], None, WALK_RUNS, log(1 - TARGET_RECALL)
     while True:
         counts = materialize(rows.groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("total")).filter("n > 1"))
-        here = rows.join(counts, "node").select("node", "fp", "size", "n", "total")
-        small = here.filter(F.col("n") <= SPLIT_ABOVE).withColumn("full", F.lit(True))
-        found = small if found is None else found.unionByName(small)
-        if counts.filter(F.col("n") > SPLIT_ABOVE).isEmpty():
-            return found, deeper, known
-        judged = materialize(_judged(here.filter(F.col("n") > SPLIT_ABOVE), classes))
-        mixed = judged.groupBy("node").agg(F.max("full").alias("some")).filter("some").select("node")
-        found = found.unionByName(judged.join(materialize(mixed), "node", "left_semi"))
-        rest = judged.filter(~F.col("full"))
-        grown = log(miss(depth + 1) / miss(depth))
-        more = rest.select("fp", F.shiftright("node", _NODE_BITS).alias("run")).distinct().select("fp", F.lit(grown).alias("more"))
-        deeper = more if deeper is None else deeper.unionByName(more)
-        known = known or sets(rest.select("fp").distinct())
-        rows, depth = materialize(_below(rest, known)), depth + 1
-
-
-def buckets(classes: DataFrame, sets) -> DataFrame:
-    """The members of all buckets to compare, of as many runs as are needed."""
-    roots = classes.select("fp", "size", F.explode(F.array_distinct("root")).alias("node"))
-    found, deeper, known = _walk(roots, classes, sets)
-    one, enough, at, behind = log(miss(1)), log(1 - TARGET_RECALL), RUNS_AT_ONCE, None
-    while deeper is not None and at < RUNS:
-        more = deeper.groupBy("fp").agg(F.sum("more").alias("more"))
-        if behind is None:
-            behind = more.select("fp", F.lit(at).alias("runs"), (at * F.lit(one) + F.col("more")).alias("miss"))
-        else:
-            behind = behind.join(more, "fp", "left").select("fp", "runs", (F.col("miss") + F.coalesce("more", F.lit(0.0))).alias("miss"))
-        # as many runs as lack at the rate so far
-        need = F.least(F.ceil((F.lit(enough) - F.col("miss")) * F.col("runs") / F.col("miss")).cast("int"), F.lit(RUNS - at))
-        behind = materialize(behind.filter(F.col("miss") > enough).withColumn("need", need))
-        most = behind.agg(F.max("need")).first()[0]
+        here = materialize(rows.join(counts, "node").select("node", "fp", "size", "depth", "n", "total"))
+        small.append(here.filter(F.col("n") <= SPLIT_ABOVE))
+        large = here.filter(F.col("n") > SPLIT_ABOVE)
+        if not large.isEmpty():
+            first = known is None
+            if first:
+                some = materialize(large.select("fp").distinct())
+                known = materialize(sets(some).join(classes.select("fp", "size", "sketch"), "fp"))
+            judged = materialize(_judged(large, known))
+            large_ones.append(judged)
+            rest = judged.filter(~F.col("full"))
+            rows = rest.select(F.explode("below").alias("node"), "fp", "size", (F.col("depth") + STRIDE).alias("depth"))
+            if first:
+                walking = rest.select("fp").distinct().select("fp", F.lit(FIRST_RUNS).alias("low"), F.lit(WALK_RUNS).alias("high"))
+                rows = rows.unionByName(materialize(_later_roots(walking, known)))
+            continue
+        if known is None or at >= RUNS:
+            break
+        # all paths end: which classes lack runs, at the rate so far?
+        deep = large_ones[0]
+        for x in large_ones[1:]:
+            deep = deep.unionByName(x)
+        deep = deep.filter(~F.col("full")).groupBy("fp", F.shiftright("node", _NODE_BITS).alias("run")).agg(F.max("depth").alias("depth"))
+        depths = F.create_map(*[x for d in range(1, 200) for x in (F.lit(d), F.lit(log(miss(d))))])
+        worse = F.coalesce(F.try_element_at(depths, F.col("depth") + STRIDE), F.lit(log(miss(200)))) - log(miss(1))
+        lacks = deep.groupBy("fp").agg((at * F.lit(log(miss(1))) + F.sum(worse)).alias("miss")).filter(F.col("miss") > enough)
+        need = F.least(F.ceil((F.lit(enough) - F.col("miss")) * at / F.col("miss")).cast("int"), F.lit(RUNS - at))
+        asked = materialize(lacks.select("fp", F.lit(at).alias("low"), (at + need).alias("high")))
+        most = asked.agg(F.max("high")).first()[0]
         if most is None:
             break
-        asked = behind.select("fp", F.explode(F.sequence(F.lit(at), at + F.col("need") - 1)).alias("run")).select("fp", (-F.col("run")).cast("long").alias("node"))
-        new, deeper, _ = _walk(materialize(_below(asked, known)), classes, lambda _: known)
-        behind = behind.select("fp", (F.col("runs") + F.col("need")).alias("runs"), (F.col("miss") + F.col("need") * one).alias("miss"))
-        found, at = found.unionByName(new), at + most
-    return found
+        rows, at = materialize(_later_roots(asked, known)), most
+    out = small[0]
+    for x in small[1:]:
+        out = out.unionByName(x)
+    out = out.drop("depth").withColumn("full", F.lit(True))
+    for x in large_ones:  # of those where some class is compared with all
+        mixed = materialize(x.filter("full").select("node").distinct())
+        out = out.unionByName(x.join(mixed, "node", "left_semi").select(out.columns))
+    return out
 
 
 # ---- brute force
@@ -282,53 +302,70 @@ class Group:
     """The members of one pair of blocks of a bucket, and its pairs to compare."""
 
     def __init__(self, node: int, low: int, high: int, t: pa.Table):
-        side = t.column("side").to_numpy()
+        self.node, self.t, side = node, t, t.column("side").to_numpy()
         self.across = low != high
         self.left, self.right = (np.flatnonzero(side == low), np.flatnonzero(side == high)) if self.across else (np.arange(len(side)),) * 2
         self.size = t.column("size").to_numpy()
         self.sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(t.num_rows, -1)
-        lists = t.column("held").combine_chunks()
-        place, owner = lists.flatten().to_numpy(), np.repeat(np.arange(t.num_rows), lists.value_lengths().to_numpy())
+        self._compared: np.ndarray | None = None
+
+    def compared(self) -> np.ndarray:
+        """Which pairs of left and right this bucket is the first to compare."""
+        if self._compared is not None:
+            return self._compared
+        n = self.t.num_rows
+        lists = self.t.column("held").combine_chunks()
+        place, owner = lists.flatten().to_numpy(), np.repeat(np.arange(n), lists.value_lengths().to_numpy())
         # an entry is twice a bucket's number, and one more where its member is compared with all of it
         number, full = place >> 1, (place & 1).astype(bool)
-        self.full = np.zeros(t.num_rows, bool)
-        self.full[owner[full & (number == node)]] = True
-        earlier = number < node
-        _, column, times = np.unique(number[earlier], return_inverse=True, return_counts=True)
-        shared = times[column] > 1
-        self._cover(owner[earlier][shared], (np.cumsum(times > 1) - 1)[column[shared]], full[earlier][shared], t.num_rows)
-
-    def _cover(self, owner: np.ndarray, column: np.ndarray, full: np.ndarray, n: int, width: int = 2048) -> None:
-        """covered: the pairs of left and right that an earlier bucket compares; so many buckets at a time."""
-        self.covered = np.zeros((len(self.left), len(self.right)), bool)
+        whole_here = np.zeros(n, bool)
+        whole_here[owner[full & (number == self.node)]] = True
+        self._compared = whole_here[self.left][:, None] | whole_here[self.right]
+        earlier = number < self.node
+        if earlier.any():
+            _, column, times = np.unique(number[earlier], return_inverse=True, return_counts=True)
+            shared = times[column] > 1
+            self._compared &= ~self._before(owner[earlier][shared], (np.cumsum(times > 1) - 1)[column[shared]], full[earlier][shared])
+        return self._compared
+
+    def _before(self, owner: np.ndarray, column: np.ndarray, full: np.ndarray, width: int = 2048) -> np.ndarray:
+        """The pairs of left and right that an earlier bucket compares; so many buckets at a time."""
+        out = np.zeros((len(self.left), len(self.right)), bool)
         order = np.argsort(column, kind="stable")
         owner, column, full = owner[order], column[order], full[order]
         for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
             low, high = np.searchsorted(column, [first, first + width])
-            there, whole = (np.zeros((n, min(width, int(column[-1]) + 1 - first)), np.float32) for _ in range(2))
+            there, whole = (np.zeros((self.t.num_rows, min(width, int(column[-1]) + 1 - first)), np.float32) for _ in range(2))
             there[owner[low:high], column[low:high] - first] = 1
             whole[owner[low:high][full[low:high]], column[low:high][full[low:high]] - first] = 1
-            self.covered |= whole[self.left] @ there[self.right].T + there[self.left] @ whole[self.right].T > 0
+            out |= whole[self.left] @ there[self.right].T + there[self.left] @ whole[self.right].T > 0
+        return out
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(a, b), some at a time: pairs that no earlier bucket compares and that sizes and sketches let pass."""
-        step = max(1, (1 << 18) // max(len(self.right), 1))
-        right, small = self.right, self.size * DENOMINATOR
+        """(a, b), some at a time: pairs that no earlier bucket compares and that sizes and sketches let pass.
+
+        In a small group, most often none passes, and only then the lists of buckets are looked at.
+        """
+        step, small = max(1, (1 << 18) // max(len(self.right), 1)), len(self.left) * len(self.right) <= LAZY_PAIRS
+        right, size = self.right, self.size * DENOMINATOR
         for at in range(0, len(self.left), step):
             left = self.left[at : at + step]
-            fit = self.full[left][:, None] | self.full[right]
-            fit &= (small[left][:, None] >= self.size[right] * NUMERATOR) & (small[right] >= self.size[left][:, None] * NUMERATOR)
+            fit = (size[left][:, None] >= self.size[right] * NUMERATOR) & (size[right] >= self.size[left][:, None] * NUMERATOR)
             if not self.across:
                 fit &= left[:, None] < right
-            fit &= ~self.covered[at : at + step]
+            if not small:
+                fit &= self.compared()[at : at + step]
             a, b = np.nonzero(fit)
-            a, b = left[a], right[b]
             like = [np.empty(0, bool)]
             for c in range(0, len(a), 1 << 14):
-                like.append((self.sketch[a[c : c + (1 << 14)]] == self.sketch[b[c : c + (1 << 14)]]).sum(1) >= SKETCH_LEAST)
+                like.append((self.sketch[left[a[c : c + (1 << 14)]]] == self.sketch[right[b[c : c + (1 << 14)]]]).sum(1) >= SKETCH_LEAST)
             like = np.concatenate(like)
-            if like.any():
-                yield a[like], b[like]
+            a, b = a[like], b[like]
+            if small and len(a):
+                first = self.compared()[at : at + step][a, b]
+                a, b = a[first], b[first]
+            if len(a):
+                yield left[a], right[b]
 
 
 class Common:

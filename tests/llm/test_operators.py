@@ -419,7 +419,7 @@ def test_chance_to_miss():
             _, root = jaccard.sketches([s[: 80 + a], np.concatenate([s[:80], s[80 + a : 80 + a + b]])])
             lost += not set(root[0, 0].tolist()) & set(root[1, 0].tolist())
         assert lost / 4000 <= jaccard.miss(1) + 0.01
-    assert jaccard.miss(1) ** jaccard.RUNS_AT_ONCE <= 1 - jaccard.TARGET_RECALL and jaccard.miss(60) ** jaccard.RUNS <= 1 - jaccard.TARGET_RECALL
+    assert jaccard.miss(1) ** jaccard.FIRST_RUNS <= 1 - jaccard.TARGET_RECALL and jaccard.miss(60) ** jaccard.RUNS <= 1 - jaccard.TARGET_RECALL
 
 
 def test_components_of_a_chain(spark):
