@@ -101,6 +101,15 @@ def shingles(words: Column, k: int = 5) -> Column:
     return let(words, of)
 
 
+def hashed_shingles(words: Column, k: int = 5) -> Column:
+    """The shingles as distinct 64-bit hashes of their words, without strings of their own."""
+    def of(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, F.lit(k))))
+        return F.when(F.size(w) > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+
+    return let(words, of)
+
+
 def sentences(text: Column) -> Column:
     """Split after a full stop, exclamation or question mark and white space; empty parts go."""
     return F.filter(F.split(text, r"(?<=[.!?])[ \t\n\r\f\x0B]+"), lambda s: s != "")

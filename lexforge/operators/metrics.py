@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from lexforge.storage import materialize
+
 
 def confusion(df: DataFrame, labels: Sequence[str], gold: str = "gold", pred: str = "pred") -> DataFrame:
     """(gold, pred, n) for all pairs of labels, zeros included."""
@@ -42,8 +44,9 @@ def cumulative(counts: DataFrame, parts: int = 64) -> DataFrame:
     """counts with tp and fp: sums over all scores at least as high.
 
     Scores are dealt by range to parts; sums inside a part are offset by those of the parts above, so that no task holds all.
+    The parts are written once, as their bounds are sampled and a lost task might deal otherwise.
     """
-    dealt = counts.repartitionByRange(parts, F.col("score").desc()).withColumn("part", F.spark_partition_id()).persist()
+    dealt = materialize(counts.repartitionByRange(parts, F.col("score").desc()).withColumn("part", F.spark_partition_id()))
     tops = dealt.groupBy("part").agg(F.max("score").alias("top"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     above = W.Window.orderBy(F.col("top").desc()).rowsBetween(W.Window.unboundedPreceding, -1)  # parts rows
     offsets = tops.select("part", F.coalesce(F.sum("p").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n0"))

@@ -48,7 +48,7 @@ def drop_exact(df: DataFrame, pos: str, text: str = "text") -> DataFrame:
 
 def shingle_frame(df: DataFrame, pos: str, text: str = "text", k: int = 5) -> DataFrame:
     """(pos, size, h): a row for each distinct shingle, by its hash."""
-    s = df.select(F.col(pos).alias("pos"), F.array_distinct(F.transform(X.shingles(X.key_words(F.col(text)), k), lambda x: F.xxhash64(x))).alias("s"))
+    s = df.select(F.col(pos).alias("pos"), X.hashed_shingles(X.key_words(F.col(text)), k).alias("s"))
     return s.select("pos", F.size("s").alias("size"), F.explode("s").alias("h"))
 
 
@@ -128,8 +128,8 @@ def drop_near(df: DataFrame, pos: str, text: str = "text", threshold: float = NE
 
 def minhash(df: DataFrame, pos: str, text: str = "text", perms: int = 128, seed: int = 1) -> DataFrame:
     """(pos, sig): minima of perms hashes over the shingles, by seeds of a built-in hash; no Python."""
-    own = F.array_distinct(X.shingles(X.key_words(F.col(text))))
-    sig = X.let(F.transform("s", lambda x: F.xxhash64(x)), lambda s: F.transform(F.sequence(F.lit(0), F.lit(perms - 1)), lambda i: F.array_min(F.transform(s, lambda x: F.xxhash64(x, i + seed * 100_000)))))
+    own = X.hashed_shingles(X.key_words(F.col(text)))
+    sig = X.let(F.col("s"), lambda s: F.transform(F.sequence(F.lit(0), F.lit(perms - 1)), lambda i: F.array_min(F.transform(s, lambda x: F.xxhash64(x, i + seed * 100_000)))))
     return df.select(F.col(pos).alias("pos"), own.alias("s")).filter(F.size("s") > 0).select("pos", sig.alias("sig"))
 
 

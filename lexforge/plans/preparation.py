@@ -276,13 +276,50 @@ SELECT name, CASE WHEN trim(name) = '' THEN NULL WHEN regexp_matches(trim(name),
 """
 
 
+#: Letters beyond ASCII, which the oracle's patterns would not take for letters; both sides compare with x in their place.
+_LETTERS = "[À-ÖØ-öø-ɏͰ-ϿЀ-ӿ]"
+
+
 def artefact_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = A.strip_frame(table(spark, sf_dir, "documents").select("doc_id", "text"), title=None)
-    return s.select("doc_id", F.sha1("text").alias("sha1"), F.array_join("hits", ",").alias("hits"))
+    return s.select("doc_id", F.sha1(F.regexp_replace("text", _LETTERS, "x")).alias("sha1"), F.array_join("hits", ",").alias("hits"))
 
 
 def artefact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", *A.counts(F.coalesce("text", F.lit(""))))
+    return table(spark, sf_dir, "documents").select("doc_id", *[c.cast("long").alias(n) for c, (n, _) in zip(A.counts(F.coalesce("text", F.lit(""))), A.TEXT_PATTERNS, strict=True)])
+
+
+def artefact_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of each class's documents that a pattern matches."""
+    own = _labelled(spark, sf_dir).select("label", *A.counts(F.coalesce("text", F.lit(""))))
+    names = [n for n, _ in A.TEXT_PATTERNS]
+    shares = own.groupBy("label").agg(*[F.round(F.avg((F.col(n) > 0).cast("int")), 6).alias(n) for n in names])
+    return shares.select("label", F.explode(F.array(*[F.struct(F.lit(n).alias("pattern"), F.col(n).alias("share")) for n in names])).alias("x")).select("label", "x.pattern", "x.share")
+
+
+def _plain_pattern(pattern: str) -> tuple[str, str]:
+    """A pattern without lookaround, and what it leaves in its place: the neighbour that it takes along, and a blank."""
+    p, left = pattern.replace("(?iu)", "(?i)").replace("(?ium)", "(?im)").replace("'", "''"), " "
+    flags = p[: p.index(")") + 1] if p.startswith("(?i") or p.startswith("(?m") else ""
+    body = p[len(flags):] if flags and not flags.endswith(":)") else p
+    if "(?<![" in body:
+        seen = "\\w" if "(?<![\\w])" in body else "A-Za-z"
+        body, left = f"(^|[^{seen}])(?:" + body.replace(f"(?<![{seen}])", "") + ")", "\\1 "
+    body = body.replace("(?!\\w)", "\\B")  # after a full stop these are one
+    if body.endswith("(?![\\w/])"):
+        body, left = body.removesuffix("(?![\\w/])") + "([^\\w/]|$)", " \\1"
+    return flags + body, left
+
+
+_PLAIN = [(n, *_plain_pattern(p)) for n, p in A.TEXT_PATTERNS]
+_XTEXT = f"regexp_replace(coalesce(text, ''), '{_LETTERS}', 'x', 'g')"
+_HITS = ", ".join(f"len(regexp_extract_all(t, '{p}'))::BIGINT AS {n}" for n, p, _ in _PLAIN)
+COUNTS = f"SELECT doc_id, {_HITS} FROM (SELECT doc_id, {_XTEXT} AS t FROM documents)"
+SHARES = f"WITH l AS (SELECT CASE quality WHEN 1 THEN 'real' ELSE 'fake' END AS label, {_XTEXT} AS t FROM documents JOIN labels USING (doc_id)) " + " UNION ALL ".join(f"SELECT label, '{n}' AS pattern, round(avg(regexp_matches(t, '{p}')::INT), 6) AS share FROM l GROUP BY 1" for n, p, _ in _PLAIN)
+_STEPS = [f"s0 AS (SELECT doc_id, {_XTEXT} AS t, []::VARCHAR[] AS hits FROM documents)"]
+for _k, (_n, _p, _l) in enumerate(_PLAIN):
+    _STEPS.append(f"s{_k + 1} AS (SELECT doc_id, regexp_replace(t, '{_p}', '{_l}', 'g') AS t, CASE WHEN regexp_matches(t, '{_p}') THEN list_append(hits, '{_n}') ELSE hits END AS hits FROM s{_k})")
+STRIPPED = f"WITH {', '.join(_STEPS)} SELECT doc_id, sha1(regexp_replace(regexp_replace(t, '[ \\t]{{2,}}', ' ', 'g'), '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g')) AS sha1, array_to_string(hits, ',') AS hits FROM s{len(_PLAIN)}"
 
 
 _TITLES = ["[VIDEO] A story", "A story (IMAGES)", "A story - The New York Times", "A story | CNN", "A story (Again)", "Senator (R-TX) speaks", "Plain title -", "A – Breitbart News", "[WATCH/TWEETS] Go  on"]
@@ -310,9 +347,10 @@ def claimreview_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", H.review(F.col("html")).alias("r")).select("page_id", "r.*")
 
 
-QUERIES = {f.__name__: f for f in (unify_documents, clean_drop_accounting, normalised_text, exact_dedup, near_dup_pairs, near_dedup_greedy, minhash_lsh_candidates, stratified_split, split_report, cross_split_overlap, balanced_sample, class_topup, corpus_difference, token_counts, style_features, shingle_counts, html_title_text, english_filter, ptb_detok, rating_labels, artefact_strip, artefact_counts, title_strip, claimreview_parse)}
+QUERIES = {f.__name__: f for f in (unify_documents, clean_drop_accounting, normalised_text, exact_dedup, near_dup_pairs, near_dedup_greedy, minhash_lsh_candidates, stratified_split, split_report, cross_split_overlap, balanced_sample, class_topup, corpus_difference, token_counts, style_features, shingle_counts, html_title_text, english_filter, ptb_detok, rating_labels, artefact_strip, artefact_counts, artefact_shares, title_strip, claimreview_parse)}
 ORACLES = {
     "unify_documents": UNIFY, "clean_drop_accounting": ACCOUNT, "normalised_text": NORMALISED, "exact_dedup": EXACT, "near_dup_pairs": PAIRS, "near_dedup_greedy": GREEDY, "stratified_split": SPLIT, "split_report": REPORT,
     "cross_split_overlap": OVERLAP, "balanced_sample": BALANCED, "class_topup": TOPUP, "corpus_difference": DIFFERENCE, "token_counts": TOKENS, "style_features": STYLE, "shingle_counts": SHINGLES, "html_title_text": HTML,
     "english_filter": ENGLISH, "ptb_detok": PTB, "rating_labels": RATINGS, "title_strip": TITLES,
+    "artefact_strip": STRIPPED, "artefact_counts": COUNTS, "artefact_shares": SHARES,
 }

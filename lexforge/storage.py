@@ -68,13 +68,13 @@ def scratch():
         discard(*[t for t in held if not any(t is k for k in kept)])
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read again: lineage ends there, and a lost executor costs nothing.
+def materialize(df: DataFrame, **options: str) -> DataFrame:
+    """df written once to the shared folder and read again: lineage ends there, and a lost executor costs nothing. options: the writer's.
 
     Unlike checkpoint(), which runs its last stage twice and stores rows unpacked, this runs once and is columnar.
     """
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._lexforge_path = path
     for held in _scratch[-1:]:
