@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 from lexforge.llm.common import delete_path, shared_dir, slices
 
 RATE, TARGET_RATE, UNIT, BLOCK = 8000, 16000, 576, 288
-SLICE_BYTES, GROUPS = 2 << 20, 8
+SLICE_BYTES, GROUPS = 1 << 19, 8
 #: How the columns are packed: PCM repeats what the media repeats, at greater distances.
-PACKING = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6"}
+PACKING = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6", "parquet.block.size": str(32 << 20)}
 #: WAVE format tags.
 TAGS = {"mulaw": 7, "alaw": 6, "adpcm": 17}
 
