@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from lexforge.llm.common import materialize, slices
+from lexforge.llm.common import materialize, parts_for, slices
 
-MAX_TOKENS, BUCKETS, BATCH_TOKENS, SHARDS, SLICE_BYTES = 2048, 16, 32_768, 1024, 1 << 20
+MAX_TOKENS, BUCKETS, BATCH_TOKENS, SHARDS, SLICE_BYTES, PART_BYTES = 2048, 16, 32_768, 1024, 1 << 20, 32 << 20
 
 
 def optimal_bounds(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int]:
@@ -103,7 +103,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
 
 def pack(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS, batch_tokens: int = BATCH_TOKENS, shards: int = SHARDS) -> DataFrame:
     """(key, piece, start, n_tokens, bucket, padded_to, batch, place, ids): bucket from 1, batch from 0 inside the bucket."""
-    cut = materialize(pieces(docs, path, pattern, key, text, max_tokens))  # counted, then numbered: texts are read once
+    cut = materialize(pieces(docs, path, pattern, key, text, max_tokens), compression="zstd")  # counted, then numbered: texts are read once
     histogram = {r["n_tokens"]: r["n"] for r in cut.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}  # max_tokens + 1 rows at most
     bounds = optimal_bounds(histogram, buckets)
     case = F.when(F.col("n_tokens") == 0, F.lit(0))
@@ -112,11 +112,12 @@ def pack(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: st
         case, limit = case.when(F.col("n_tokens") <= b, F.lit(k)), limit.when(F.col("n_tokens") <= b, F.lit(b))
     shard = F.pmod(F.xxhash64("key", "piece", "ids"), F.lit(shards)).cast("int")
     placed = cut.withColumns({"bucket": case.cast("int"), "padded_to": limit.cast("long"), "shard": shard})
+    dealt = placed.repartition(parts_for(cut, PART_BYTES), "bucket", "shard")
     counts = placed.groupBy("bucket", "shard").agg(F.count("*").alias("n"))
     before = W.Window.partitionBy("bucket").orderBy("shard").rowsBetween(W.Window.unboundedPreceding, -1)
     offsets = counts.select("bucket", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))  # shards rows a bucket
     inside = W.Window.partitionBy("bucket", "shard").orderBy("key", "piece", "n_tokens", F.xxhash64("ids"))
-    numbered = placed.withColumn("row", F.row_number().over(inside) - 1)
+    numbered = dealt.withColumn("row", F.row_number().over(inside) - 1)
     room = F.greatest(F.floor(F.lit(batch_tokens) / F.greatest(F.col("padded_to"), F.lit(1))), F.lit(1))
     at = F.when(F.col("bucket") > 0, F.col("offset") + F.col("row"))
     joined = numbered.join(F.broadcast(offsets), ["bucket", "shard"])  # buckets x shards rows at most
