@@ -4,7 +4,7 @@ Words are level-0 symbols. A first round names runs of equal symbols; further ro
 symbols to a left and a right class by a hash of their name, and a left symbol followed by a right one becomes one
 symbol. Names are 64-bit hashes of what they stand for, so every Spark task gives equal things equal names
 without an exchange, and equal substrings get the same symbols inside, away from their ends. With each symbol goes its
-context: the stretch of words that its being there depends on.
+context: the stretch of words that its being there depends on. Rounds go on until no context lies inside a window.
 
 A window of WINDOW words is known by an anchor: of the symbols whose context lies inside it, on the highest level that
 has one, that of the least name. Equal windows have equal anchors. The work goes in four steps:
@@ -12,17 +12,19 @@ has one, that of the least name. Equal windows have equal anchors. The work goes
 1. Every run of windows with the same anchor gives one row (anchor, stretch, document, windows); the stretch is a
    fingerprint of all words that the run's windows cover.
 2. Anchors that occur once are dropped: their windows occur once.
-3. Of equal stretches all but the first are marked as a whole. Windows of the first ones can only recur where an anchor
-   has two or more different stretches; those are verified window by window with 128-bit fingerprints, and
-   all but the first occurrence of each are marked.
+3. Of equal stretches (of one anchor and one fingerprint, two hashes of different bases) all but the first are marked as
+   a whole. Windows of the first ones can only recur where an anchor has two or more different stretches; those are
+   verified window by window with 128-bit fingerprints, and all but the first occurrence of each are marked.
 4. Words covered by marked windows are removed.
 
 All steps deal by anchor, fingerprint or document, with counts combined before the exchange and joins whose
 skewed side can be split; nothing is capped, and copies are never paired with each other.
 
+A document is named by its key and a hash of its text, so that no key, null or other, is hot.
+
 Defined cases: null and empty texts, and those shorter than a window, lose nothing. Order is by key, nulls first. Rows
-that share a key count as one document: a window is also removed where another of them has it at an earlier word, and
-equal rows fare alike. An empty table gives an empty table; in apply_dedup() all columns stay, whatever their names.
+that share a key are in order of their texts' hashes; equal rows count as one document and fare alike. An
+empty table gives an empty table; in apply_dedup() all columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,12 +41,14 @@ from pyspark.sql import functions as F
 
 from lexforge.llm.common import discard, materialize, slices
 
-WINDOW, ROUNDS, SLICE_CHARS = 20, 3, 2 << 20
+WINDOW, SLICE_CHARS = 20, 2 << 20
+#: Beyond any round: each one lengthens a context by a word at least.
+LEVELS = 64
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _U = np.uint64
 BASES = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
 #: Each round deals the classes anew.
-CLASSES = tuple(_U((k + 1) * int(BASES[0]) % (1 << 64)) for k in range(16))
+CLASSES = tuple(_U((k + 1) * int(BASES[0]) % (1 << 64)) for k in range(LEVELS))
 INVERSES = tuple(_U(pow(int(b), -1, 1 << 64)) for b in BASES)
 
 
@@ -122,7 +126,7 @@ class Prefix:
         return mix((self.sums[end] - self.sums[first]) * self.back[first] + (end - first).astype(np.uint64))
 
 
-def levels(names: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def levels(names: np.ndarray, starts: np.ndarray, rounds: int = LEVELS - 2) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(names, lo, hi) of the symbols after each round; [lo, hi) is a symbol's context, beyond all windows if a text's end is in it."""
     n, far = len(names), len(names) + 4 * WINDOW
     text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
@@ -155,7 +159,7 @@ def levels(names: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS) -> Itera
         yield s, lo, hi
 
 
-def anchors(names: np.ndarray, starts: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(names: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, text, first, n): runs of n windows of a text, from the word first, that share an anchor."""
     count = np.maximum(np.diff(starts) - window + 1, 0)
     text = np.repeat(np.arange(len(count)), count)
@@ -166,12 +170,16 @@ def anchors(names: np.ndarray, starts: np.ndarray, window: int = WINDOW, rounds:
     prefix = Prefix(names, 0)
     key = np.zeros(len(begin), np.uint64)
     mark = np.full(len(begin), -1, np.int64)
-    for level, (s, lo, hi) in reversed(list(enumerate(levels(names, starts, rounds)))):
-        open_ = np.flatnonzero(mark < 0)
+    fitting = []
+    for s, lo, hi in levels(names, starts):
         fit = np.flatnonzero((hi - lo <= window) & (lo >= 0) & (hi <= len(names)))
-        if not len(open_) or not len(fit):
-            continue
-        s, lo, hi = s[fit], lo[fit], hi[fit]
+        if not len(fit):
+            break  # contexts only grow
+        fitting.append((s[fit], lo[fit], hi[fit]))
+    for level, (s, lo, hi) in reversed(list(enumerate(fitting))):
+        open_ = np.flatnonzero(mark < 0)
+        if not len(open_):
+            break
         at = begin[open_]
         a, b = np.searchsorted(lo, at), np.searchsorted(hi, at + window, side="right")
         some = b > a
@@ -184,10 +192,10 @@ def anchors(names: np.ndarray, starts: np.ndarray, window: int = WINDOW, rounds:
             less = value < least[more]
             best[more[less]], least[more[less]] = a[more[less]] + d, value[less]
         key[open_] = prefix.of(lo[best], hi[best]) + _U(level)
-        mark[open_] = lo[best] * (rounds + 2) + level
+        mark[open_] = lo[best] * LEVELS + level
     alone = np.flatnonzero(mark < 0)
-    key[alone] = prefix.of(begin[alone], begin[alone] + window) + _U(rounds + 1)
-    mark[alone] = begin[alone] * (rounds + 2) + rounds + 1
+    key[alone] = prefix.of(begin[alone], begin[alone] + window) + _U(LEVELS - 1)
+    mark[alone] = begin[alone] * LEVELS + LEVELS - 1
     new = np.ones(len(mark), bool)
     new[1:] = (mark[1:] != mark[:-1]) | (text[1:] != text[:-1])
     first = np.flatnonzero(new)
@@ -207,8 +215,17 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
+def _identity(docs: DataFrame, key: str, text: str) -> Column:
+    """What names a document: its key, for the order, and a hash of its text."""
+    return F.struct(docs[key].alias("key"), F.xxhash64(docs[text]).alias("th"))
+
+
+def _same(a: str, b: str) -> Column:
+    return F.col(f"{a}.key").eqNullSafe(F.col(f"{b}.key")) & (F.col(f"{a}.th") == F.col(f"{b}.th"))
+
+
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(docs[key].alias("key"), docs[text].alias("text"))
+    return docs.select(_identity(docs, key, text).alias("key"), docs[text].alias("text"))
 
 
 def anchor_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -223,14 +240,14 @@ def anchor_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", window
                 stretch = Prefix(names, 1).of(at, at + n + window - 1)
                 yield pa.RecordBatch.from_arrays([_signed(k), _signed(stretch), b.column(0).take(pa.array(owner + low)), pa.array(first, pa.int32()), pa.array(n, pa.int32())], ["anchor", "stretch", "key", "first", "n"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return _rows(docs, key, text).mapInArrow(run, f"anchor long, stretch long, key {kind}, first int, n int")
+    rows = _rows(docs, key, text)
+    return rows.mapInArrow(run, f"anchor long, stretch long, key {rows.schema['key'].dataType.simpleString()}, first int, n int")
 
 
 def window_rows(docs: DataFrame, runs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(h1, h2, key, pos) of the windows in runs (key, runs array<struct<first, n>>)."""
     rows = _rows(docs, key, text)
-    joined = rows.join(runs.withColumnRenamed("key", "run_key"), rows["key"].eqNullSafe(F.col("run_key"))).select("key", "text", "runs")
+    joined = rows.join(runs.withColumnRenamed("key", "run_key"), _same("key", "run_key")).select("key", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -242,7 +259,7 @@ def window_rows(docs: DataFrame, runs: DataFrame, key: str = "doc_id", text: str
                     own = b.column(2)[low + k].values
                     first, n = (own.field(c).to_numpy().astype(np.int64) for c in (0, 1))
                     pos = np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-                    pos = pos[pos <= starts[k + 1] - starts[k] - window]  # of rows that share a key, the longer one's runs
+                    pos = pos[pos <= starts[k + 1] - starts[k] - window]
                     owners.append(np.full(len(pos), k))
                     begins.append(pos)
                 owner, pos = np.concatenate(owners), np.concatenate(begins)
@@ -251,8 +268,7 @@ def window_rows(docs: DataFrame, runs: DataFrame, key: str = "doc_id", text: str
                     part = slice(c, c + (1 << 17))
                     yield pa.RecordBatch.from_arrays([_signed(one.of(at[part], at[part] + window)), _signed(two.of(at[part], at[part] + window)), b.column(0).take(pa.array(owner[part] + low)), pa.array(pos[part], pa.int32())], ["h1", "h2", "key", "pos"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return joined.mapInArrow(run, f"h1 long, h2 long, key {kind}, pos int")
+    return joined.mapInArrow(run, f"h1 long, h2 long, key {rows.schema['key'].dataType.simpleString()}, pos int")
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -284,7 +300,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
 
 
 def removed(names: np.ndarray, first: np.ndarray, n: np.ndarray, h: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Which words of a text are covered by its marked runs. Runs that belong to another row with its key don't fit and are left out."""
+    """Which words of a text are covered by its marked runs. Runs whose fingerprint isn't that of the words there are left out."""
     delta = np.zeros(len(names) + 1, np.int64)
     first, end = first.astype(np.int64), first.astype(np.int64) + n + window - 1
     own = (first >= 0) & (end <= len(names))
@@ -295,11 +311,6 @@ def removed(names: np.ndarray, first: np.ndarray, n: np.ndarray, h: np.ndarray,
     return np.cumsum(delta[:-1]) > 0
 
 
-def _marked(docs: DataFrame, marks: DataFrame, key: str, row: Column) -> DataFrame:
-    own = docs.select(docs[key].alias("key"), row.alias("row"))
-    return own.join(marks.withColumnRenamed("key", "mark_key"), own["key"].eqNullSafe(F.col("mark_key")), "left").select("key", "row", "marked")
-
-
 def _cut(b: pa.RecordBatch, texts: pa.Array, low: int) -> Iterator[np.ndarray | None]:
     """Which words of each text go (None: none)."""
     names, starts = names_of(texts)
@@ -311,7 +322,8 @@ def _cut(b: pa.RecordBatch, texts: pa.Array, low: int) -> Iterator[np.ndarray |
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(key, n_words, n_removed, kept_sha256) of every row; kept words are joined by one space."""
-    joined = _marked(docs, repeats(docs, key, text, window), key, docs[text])
+    marks = repeats(docs, key, text, window).withColumnRenamed("key", "mark_key")
+    joined = _rows(docs, key, text).join(marks, _same("key", "mark_key"), "left").select(F.col("key.key").alias("key"), F.col("text").alias("row"), "marked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -342,8 +354,8 @@ def apply_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     """docs with repeated words taken out of text. Texts without any stay as they are, and so do other columns."""
     rest = F.struct(F.lit(0).alias("none"), *[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text])
     marks = repeats(docs, key, text, window).withColumnRenamed("key", "mark_key")
-    own = docs.select(docs[key].alias("key"), docs[text].alias("row"), rest.alias("rest"))
-    joined = own.join(marks, own["key"].eqNullSafe(F.col("mark_key")), "left").select("key", "row", "marked", "rest")
+    own = docs.select(_identity(docs, key, text).alias("key"), docs[text].alias("row"), rest.alias("rest"))
+    joined = own.join(marks, _same("key", "mark_key"), "left").select("key", "row", "marked", "rest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
