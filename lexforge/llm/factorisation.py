@@ -6,7 +6,7 @@ sum of |v_i x_i|^2. Texts are featurised on the executors; the machine is fitted
 a bounded sample of labelled rows (SAMPLE_ROWS, a documented parameter); every row is scored.
 
 Defined cases: null and empty texts have the features of an empty text and are scored like others; repeated rows get
-equal scores; an empty table gives an empty table; without any labelled row all scores are 0.5; rows without a label
+equal scores; repeated labels of a key count once, the larger one if they differ; an empty table gives an empty table; without any labelled row all scores are 0.5; rows without a label
 only get scores. Labels, language, source and ids are never features.
 """
 
@@ -111,7 +111,7 @@ def laid(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndar
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(text, y) of sample_rows labelled rows at most, none of the held-out fold, picked by a hash of the key."""
     fold = F.crc32(F.col(key).cast("string")) % FOLDS
-    own = labels.filter(F.col(label).isNotNull() & (fold != HELD_OUT_FOLD)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("y"))
+    own = labels.filter(F.col(label).isNotNull() & (fold != HELD_OUT_FOLD)).groupBy(F.col(key).alias("key")).agg(F.max(F.col(label).cast("int")).alias("y"))
     own = own.orderBy(F.xxhash64("key"), "y").limit(sample_rows)  # a top-k: each task keeps so many thin rows
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return rows.join(F.broadcast(own), "key").select("text", "y")  # sample_rows thin rows at most
@@ -121,7 +121,7 @@ def fit(rows: DataFrame, epochs: int = EPOCHS) -> bytes | None:
     """A pickled Machine fitted in one executor task on rows (text, y), which are bounded; None without rows."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = sorted(range(len(pdf)), key=lambda k: zlib.crc32((pdf["text"].iloc[k] or "").encode()))  # whatever way the rows came
+        order = sorted(range(len(pdf)), key=lambda k: (zlib.crc32((pdf["text"].iloc[k] or "").encode()), pdf["text"].iloc[k] or "", pdf["y"].iloc[k]))  # whatever way the rows came
         machine = Machine().fit([features(pdf["text"].iloc[k]) for k in order], pdf["y"].to_numpy(float)[order], epochs)
         return pd.DataFrame({"model": [pickle.dumps((machine.w0, machine.w, machine.v))]})
 

@@ -9,6 +9,7 @@ from itertools import combinations
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from lexforge.llm import factorisation, jaccard, media, packing, quality, queries, secrets, sentencepiece, substring, tokencount, warc
 from tests.llm import brute
@@ -481,6 +482,16 @@ def test_factorisation_machine(spark):
     assert {r["score"] for r in factorisation.classify(docs, none).collect()} == {0.5} and factorisation.classify(docs.limit(0), none).count() == 0
 
 
+def test_factorisation_machine_does_not_depend_on_the_order_of_rows(spark):
+    texts = [f"word{k % 7} {'good plain text here' if k % 3 else '### $$$ !!!'} {k % 5}" for k in range(60)] + ["tie", "tie", None, ""]
+    docs = frame(spark, texts).selectExpr("1 AS score", "doc_id", "2 AS key", "text", "3 AS y")
+    rows = [(k, k % 2, 0) for k in range(64)] + [(4, 0, 1), (4, 1, 0), (5, None, 0)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int").selectExpr("quality", "doc_id", "toxic", "9 AS y", "8 AS key")
+    assert factorisation.training_rows(docs, labels).count() == sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(64))
+    one, two = ({r["key"]: r["score"] for r in factorisation.classify(d, x).collect()} for d, x in ((docs, labels), (docs.repartition(7).orderBy(F.desc("doc_id")), labels.repartition(5))))
+    assert one == two and one[60] == one[61] and one[62] == one[63] and len(one) == 64
+
+
 # ---- 10
 
 
