@@ -8,8 +8,8 @@ run; below, each shingle with a chance of SPREAD / size by a hash of the bucket
 shingle it sampled, so that two classes stay together wherever they sampled a shared one. A bucket of at most SPLIT_ABOVE
 classes ends there and is compared by brute force. In a larger one, each class whose mean similarity to a sample of the
 bucket is CLOSE or more, so that no shingle would part it from the others, is compared with all of them and leaves; the
-others walk on, STRIDE levels at a time and however deep. That ends: their mean overlap times SPREAD is about one at most,
-and buckets shrink.
+others walk on, however deep, from buckets over FAR_ABOVE two levels at a time. That ends: their mean overlap times SPREAD is
+under one, and buckets shrink.
 
 miss() bounds the chance that a pair at the threshold is in no common bucket of a run, by the depth reached. FIRST_RUNS
 suffice where no class walked on; those that did get runs up to WALK_RUNS at once, and then as many more as it takes until the
@@ -44,8 +44,8 @@ from lexforge.llm.common import materialize, scratch, slices
 from lexforge.llm.substring import Prefix, _sliced, mix, names_of
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5  # at least 4/5
-FIRST_RUNS, WALK_RUNS, RUNS, STRIDE, SPREAD, CLOSE, TARGET_RECALL = 4, 10, 32, 2, 1.6, 0.55, 0.99999
-SPLIT_ABOVE, BLOCK, BLOCK_SHINGLES, SAMPLE = 1024, 1024, 1 << 20, 32
+FIRST_RUNS, WALK_RUNS, RUNS, SPREAD, CLOSE, TARGET_RECALL = 4, 13, 240, 1.25, 0.55, 0.99999
+SPLIT_ABOVE, FAR_ABOVE, BLOCK, BLOCK_SHINGLES, SAMPLE = 1024, 4096, 1024, 1 << 20, 32
 #: Sketches agree in 0.8 of their places on average at the threshold; in fewer than 30 of 64 with a chance below 1e-7.
 SKETCH, SKETCH_LEAST = 64, 30
 LAZY_PAIRS = 4096
@@ -53,7 +53,7 @@ LEAST_SIZE = NUMERATOR  # a smaller set reaches 4/5 with its equal only
 _U = np.uint64
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) | 1) % (1 << 64) for k in range(SKETCH)], np.uint64)
 _ADD = mix(np.arange(1, SKETCH + 1, dtype=np.uint64))
-_NODE_BITS = 57
+_NODE_BITS = 54  # the run above them, below 256
 
 
 def miss(depth: int) -> float:
@@ -133,10 +133,10 @@ def children(s: np.ndarray, node: int) -> np.ndarray:
     return node_id(node >> _NODE_BITS, mix(h[h <= _U(min(int(SPREAD / len(s) * 2.0**64), 2**64 - 1))] + _U(1)))
 
 
-def below(s: np.ndarray, node: int) -> list[int]:
-    """The buckets of a set STRIDE levels below a bucket."""
+def below(s: np.ndarray, node: int, stride: int) -> list[int]:
+    """The buckets of a set so many levels below a bucket."""
     nodes = [node]
-    for _ in range(STRIDE):
+    for _ in range(stride):
         nodes = [c for x in nodes for c in children(s, x).tolist()]
     return sorted(set(nodes))
 
@@ -185,28 +185,29 @@ def _sets_of(docs: DataFrame, key: str, text: str, classes: DataFrame) -> DataFr
 
 
 def _judged(large: DataFrame, known: DataFrame) -> DataFrame:
-    """large with full, whether a class is close to a sample of its bucket of about SAMPLE classes by a hash, and else its buckets below."""
-    places = F.collect_list(F.struct("node", "n", "total", "depth")).alias("places")  # as many as a class's paths
+    """large with full, whether a class is close to a sample of its bucket of about SAMPLE classes by a hash, and else its buckets below and how deep they are."""
+    stride = F.when(F.col("n") > FAR_ABOVE, 2).otherwise(1)
+    places = F.collect_list(F.struct("node", "n", "total", "depth", stride.alias("stride"))).alias("places")  # as many as a class's paths
     walkers = materialize(large.groupBy("fp").agg(places).join(known, "fp").select("fp", "size", "sketch", "shingles", "places"))
     each = walkers.select("*", F.explode("places").alias("p")).select("p.*", "fp", "size", "sketch", "shingles")
     drawn = each.filter(F.pmod(F.xxhash64("fp", "node"), F.col("n")) < SAMPLE)
     drawn = materialize(drawn.groupBy("node").agg(F.array_join(F.collect_list(F.hex("sketch")), "").alias("drawn")))
-    names = ["node", "n", "total", "depth", "fp", "size"]
+    names = ["node", "n", "total", "depth", "stride", "fp", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, sample = None, None
         for b in batches:
             full, ways = [], []
-            for node, own, s, x in zip(b.column(0).to_pylist(), b.column(6), b.column(7), b.column(8), strict=True):
+            for node, far, own, s, x in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), *b.columns[7:], strict=True):
                 if node != last:
                     last, sample = node, np.frombuffer(bytes.fromhex(x.as_py() or ""), np.uint16).reshape(-1, SKETCH)
                 close = bool(len(sample)) and float((sample == np.frombuffer(own.as_buffer(), np.uint16)).mean()) >= CLOSE
                 full.append(close)
-                ways.append([] if close else below(np.frombuffer(s.as_buffer(), np.uint64), node))
-            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(full, pa.bool_()), pa.array(ways, pa.list_(pa.int64()))], [*names, "full", "below"])
+                ways.append([] if close else below(np.frombuffer(s.as_buffer(), np.uint64), node, far))
+            yield pa.RecordBatch.from_arrays([*b.columns[:7], pa.array(full, pa.bool_()), pa.array(ways, pa.list_(pa.int64()))], [*names, "full", "below"])
 
     joined = each.join(drawn, "node", "left").select(*names, "sketch", "shingles", "drawn")
-    return joined.mapInArrow(run, "node long, n long, total long, depth int, fp binary, size long, full boolean, below array<long>")
+    return joined.mapInArrow(run, "node long, n long, total long, depth int, stride int, fp binary, size long, full boolean, below array<long>")
 
 
 def _later_roots(asked: DataFrame, known: DataFrame) -> DataFrame:
@@ -244,7 +245,7 @@ def buckets(classes: DataFrame, sets) -> DataFrame:
             judged = materialize(_judged(large, known))
             large_ones.append(judged)
             rest = judged.filter(~F.col("full"))
-            rows = rest.select(F.explode("below").alias("node"), "fp", "size", (F.col("depth") + STRIDE).alias("depth"))
+            rows = rest.select(F.explode("below").alias("node"), "fp", "size", (F.col("depth") + F.col("stride")).alias("depth"))
             if first:
                 walking = rest.select("fp").distinct().select("fp", F.lit(FIRST_RUNS).alias("low"), F.lit(WALK_RUNS).alias("high"))
                 rows = rows.unionByName(materialize(_later_roots(walking, known)))
@@ -255,9 +256,9 @@ def buckets(classes: DataFrame, sets) -> DataFrame:
         deep = large_ones[0]
         for x in large_ones[1:]:
             deep = deep.unionByName(x)
-        deep = deep.filter(~F.col("full")).groupBy("fp", F.shiftright("node", _NODE_BITS).alias("run")).agg(F.max("depth").alias("depth"))
+        deep = deep.filter(~F.col("full")).groupBy("fp", F.shiftright("node", _NODE_BITS).alias("run")).agg(F.max(F.col("depth") + F.col("stride")).alias("depth"))
         depths = F.create_map(*[x for d in range(1, 200) for x in (F.lit(d), F.lit(log(miss(d))))])
-        worse = F.coalesce(F.try_element_at(depths, F.col("depth") + STRIDE), F.lit(log(miss(200)))) - log(miss(1))
+        worse = F.coalesce(F.try_element_at(depths, F.col("depth")), F.lit(log(miss(200)))) - log(miss(1))
         lacks = deep.groupBy("fp").agg((at * F.lit(log(miss(1))) + F.sum(worse)).alias("miss")).filter(F.col("miss") > enough)
         need = F.least(F.ceil((F.lit(enough) - F.col("miss")) * at / F.col("miss")).cast("int"), F.lit(RUNS - at))
         asked = materialize(lacks.select("fp", F.lit(at).alias("low"), (at + need).alias("high")))

@@ -359,6 +359,7 @@ def near_copies(seed):
 def test_jaccard_join(spark, monkeypatch, seed, split, block):
     monkeypatch.setattr(jaccard, "SPLIT_ABOVE", split)
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "FAR_ABOVE", 2 * split)
     texts = near_copies(seed)
     want = brute.classes(list(enumerate(texts)))
     got = {r["key"]: (r["class_id"], r["n_links"]) for r in jaccard.join(frame(spark, texts)).collect()}
@@ -420,7 +421,7 @@ def test_chance_to_miss():
             _, root = jaccard.sketches([s[: 80 + a], np.concatenate([s[:80], s[80 + a : 80 + a + b]])])
             lost += not set(root[0, 0].tolist()) & set(root[1, 0].tolist())
         assert lost / 4000 <= jaccard.miss(1) + 0.01
-    assert jaccard.miss(1) ** jaccard.FIRST_RUNS <= 1 - jaccard.TARGET_RECALL and jaccard.miss(60) ** jaccard.RUNS <= 1 - jaccard.TARGET_RECALL
+    assert jaccard.miss(1) ** jaccard.FIRST_RUNS <= 1 - jaccard.TARGET_RECALL and jaccard.miss(3) ** jaccard.WALK_RUNS <= 1 - jaccard.TARGET_RECALL and jaccard.miss(40) ** jaccard.RUNS <= 1 - jaccard.TARGET_RECALL
 
 
 def test_components_of_a_chain(spark):
