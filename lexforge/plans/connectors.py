@@ -167,8 +167,29 @@ def source_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHECKSUMS = "SELECT item_id::INT AS item, length('item ' || item_id || ' of the manifest') + 1 AS length, sha256('item ' || item_id || ' of the manifest' || chr(10)) AS sha256 FROM benchmark WHERE item_id < 3"
 
 
-QUERIES = {f.__name__: f for f in (source_numbered_news, source_paired_news, source_six_way_statements, source_claim_lines, source_gold_evidence, source_tweeted_news, sink_corpus, sink_split_csv, sink_json_log, sink_cache, source_checksums)}
+def sink_error_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark)
+    S.table_csv(_own(spark, sf_dir).select("doc_id", "title", F.length("text").alias("n")), path, "doc_id")
+    return spark.read.options(header=True, escape='"').schema("doc_id long, title string, n int").csv(path)
+
+
+ERRORS_CSV = f"WITH {_OWN} SELECT doc_id, title, length(text)::INT AS n FROM o"
+
+
+def sink_config_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three versions of some thresholds, of which the last one counts."""
+    path = shared_dir(spark)
+    nations = table(spark, sf_dir, "nation")
+    for v in range(3):
+        S.config_version(nations.filter(F.col("n_nationkey") % 3 >= v).select(F.col("n_name").alias("name"), (F.col("n_nationkey") + 100.0 * v).alias("value")), path, v)
+    return S.latest_config(spark, path)
+
+
+CONFIGS = "SELECT n_name AS name, n_nationkey + 100.0::DOUBLE * (n_nationkey % 3) AS value FROM nation"
+
+
+QUERIES = {f.__name__: f for f in (source_numbered_news, source_paired_news, source_six_way_statements, source_claim_lines, source_gold_evidence, source_tweeted_news, sink_corpus, sink_split_csv, sink_json_log, sink_cache, sink_error_csv, sink_config_versions, source_checksums)}
 ORACLES = {
     "source_numbered_news": NUMBERED, "source_paired_news": PAIRED, "source_six_way_statements": SIX_WAY, "source_claim_lines": LINES, "source_gold_evidence": GOLD, "source_tweeted_news": TWEETED,
-    "sink_corpus": CORPUS, "sink_split_csv": SPLITS, "sink_json_log": LOG, "sink_cache": CACHE, "source_checksums": CHECKSUMS,
+    "sink_corpus": CORPUS, "sink_split_csv": SPLITS, "sink_json_log": LOG, "sink_cache": CACHE, "sink_error_csv": ERRORS_CSV, "sink_config_versions": CONFIGS, "source_checksums": CHECKSUMS,
 }

@@ -306,6 +306,7 @@ def _plain_pattern(pattern: str) -> tuple[str, str]:
         seen = "\\w" if "(?<![\\w])" in body else "A-Za-z"
         body, left = f"(^|[^{seen}])(?:" + body.replace(f"(?<![{seen}])", "") + ")", "\\1 "
     body = body.replace("(?!\\w)", "\\B")  # after a full stop these are one
+    body = body.replace("(?![a-z])", "\\b")  # and so are these after a letter, but where digits or capitals follow
     if body.endswith("(?![\\w/])"):
         body, left = body.removesuffix("(?![\\w/])") + "([^\\w/]|$)", " \\1"
     return flags + body, left

@@ -207,6 +207,42 @@ FROM f
 """
 
 
+def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of all inputs with parts left out: temporal checks, the classifier's score, or both."""
+    claims = V.claim_signals(events_as_evidence(spark, sf_dir), ["input_id", "claim_no"]).withColumn("score", F.lit(1.0))
+    variants = spark.createDataFrame([("full", True, True), ("no_temporal", False, True), ("no_classifier", True, False), ("rules_only", False, False)], "variant string, t boolean, c boolean")
+    inputs = contexts(V.input_signals(claims, "input_id")).crossJoin(F.broadcast(variants))  # four rows for each input
+    inputs = inputs.withColumns({"old_news": F.col("old_news") & F.col("t"), "out_of_context": F.col("out_of_context") & F.col("t"), "p_fake": F.when(F.col("c"), F.col("p_fake"))})
+    out = V.fuse(inputs.crossJoin(F.broadcast(V.configs(spark, TWO))))
+    return out.groupBy("variant", "cfg", "verdict").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+
+
+_TWO_SQL = _fusion_sql("(0, 0.6::DOUBLE, 2), (1, 0.8::DOUBLE, 3)")
+_FLAGS, _SCORE = "input_id % 7 = 0 OR input_id % 31 = 0 AS flagged", "(input_id * 37 % 100) / 100.0::DOUBLE AS p_fake"
+ABLATION_SQL = " UNION ALL ".join(
+    f"SELECT '{v}' AS variant, cfg::INT AS cfg, verdict, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM ({_TWO_SQL.replace(_FLAGS, 'false AS flagged' if not t else _FLAGS).replace(_SCORE, 'NULL::DOUBLE AS p_fake' if not c else _SCORE)} SELECT * FROM f) GROUP BY ALL"
+    for v, t, c in (("full", True, True), ("no_temporal", False, True), ("no_classifier", True, False), ("rules_only", False, False))
+)
+
+
+def leak_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How verdicts change if leaked items are taken out of the saved evidence and the rules run again; without any evidence an input is unverifiable."""
+    ev = events_as_evidence(spark, sf_dir)
+
+    def verdicts(rows: DataFrame, name: str) -> DataFrame:
+        claims = V.claim_signals(rows, ["input_id", "claim_no"]).withColumn("score", F.lit(1.0))
+        return V.fuse(contexts(V.input_signals(claims, "input_id")).crossJoin(F.broadcast(V.configs(spark, TWO)))).select("input_id", "cfg", F.col("verdict").alias(name))
+
+    both = verdicts(ev, "before").join(verdicts(ev.filter("event_id % 10 <> 0"), "after"), ["input_id", "cfg"], "left")
+    return both.groupBy("cfg", "before", F.coalesce("after", F.lit("UNVERIFIABLE")).alias("after")).agg(F.count("*").alias("n"))
+
+
+STRIP_SQL = f"""
+WITH a AS ({_TWO_SQL} SELECT input_id, cfg, verdict FROM f), b AS ({_TWO_SQL.replace("FROM kept GROUP BY ALL", "FROM kept WHERE event_id % 10 <> 0 GROUP BY ALL")} SELECT input_id, cfg, verdict FROM f)
+SELECT a.cfg::INT AS cfg, a.verdict AS before, coalesce(b.verdict, 'UNVERIFIABLE') AS after, count(*) AS n FROM a LEFT JOIN b ON b.input_id = a.input_id AND b.cfg = a.cfg GROUP BY ALL
+"""
+
+
 def evidence_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_as_evidence(spark, sf_dir).select("input_id", "claim_no", "event_id", "stance", F.round(F.col("cosine") * F.col("w"), 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -429,9 +465,9 @@ SELECT query_id, pos, origin, source, url, title, sha1(snippet) AS snippet_sha1,
 """
 
 
-QUERIES = {f.__name__: f for f in (fusion_verdicts, fusion_grid_tune, fusion_grid_tune_dates, rule_counts, explanations, evidence_rank, claim_signals, old_news, stance_override, vector_topk, vector_dedupe_greedy, domain_tiers, url_normalise, leakage_guard, claim_scores, sentence_topk, context_conflict, evidence_summary, evidence_assembly)}
+QUERIES = {f.__name__: f for f in (fusion_verdicts, fusion_grid_tune, fusion_grid_tune_dates, rule_counts, explanations, ablation, leak_strip, evidence_rank, claim_signals, old_news, stance_override, vector_topk, vector_dedupe_greedy, domain_tiers, url_normalise, leakage_guard, claim_scores, sentence_topk, context_conflict, evidence_summary, evidence_assembly)}
 ORACLES = {
-    "fusion_verdicts": FUSION_SQL, "fusion_grid_tune": TUNE_SQL, "fusion_grid_tune_dates": TUNE_DATES_SQL, "rule_counts": RULES_SQL, "explanations": EXPLAIN_SQL, "evidence_rank": RANK_SQL, "claim_signals": SIGNALS_SQL, "old_news": OLD_NEWS_SQL,
+    "fusion_verdicts": FUSION_SQL, "fusion_grid_tune": TUNE_SQL, "fusion_grid_tune_dates": TUNE_DATES_SQL, "rule_counts": RULES_SQL, "explanations": EXPLAIN_SQL, "ablation": ABLATION_SQL, "leak_strip": STRIP_SQL, "evidence_rank": RANK_SQL, "claim_signals": SIGNALS_SQL, "old_news": OLD_NEWS_SQL,
     "stance_override": OVERRIDE_SQL, "vector_topk": TOPK_SQL, "vector_dedupe_greedy": GREEDY_SQL, "domain_tiers": TIERS_SQL, "url_normalise": NORM_SQL, "leakage_guard": GUARD_SQL, "claim_scores": SCORES_SQL,
     "sentence_topk": BEST_SQL, "context_conflict": CONTEXT_SQL, "evidence_summary": SUMMARY_SQL, "evidence_assembly": ASSEMBLY_SQL,
 }

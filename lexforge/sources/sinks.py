@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,6 +41,30 @@ def markdown(df: DataFrame, digits: int = 4, most: int = 1000) -> str:
     return "\n".join([*head, *(f"| {' | '.join(map(shown, r))} |" for r in rows)])
 
 
+def json_summary(df: DataFrame, most: int = 1000) -> str:
+    """A small frame, of most rows at most, as one JSON array of objects."""
+    rows = df.toJSON().take(most + 1)
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    return "[" + ", ".join(rows) + "]"
+
+
+def table_csv(df: DataFrame, path: str, order: str) -> None:
+    """Errors or predictions as CSV in order of a column, quoted where needed."""
+    df.orderBy(order).write.mode("overwrite").options(header=True, escape='"').csv(path)
+
+
+def config_version(values: DataFrame, path: str, version: int) -> None:
+    """Thresholds (name, value) as a new version beside the old ones; a configuration is never edited in place."""
+    values.select("name", "value", F.lit(version).alias("version")).write.mode("append").parquet(path)
+
+
+def latest_config(spark: SparkSession, path: str) -> DataFrame:
+    """(name, value) of each name's latest version."""
+    rows = spark.read.schema("name string, value double, version int").parquet(path)
+    return rows.groupBy("name").agg(F.max_by("value", "version").alias("value"))
+
+
 def vector_index(df: DataFrame, path: str, partitions: int = 64) -> None:
     """record_id, embedding and meta as Parquet, dealt by id."""
     df.repartition(partitions, "record_id").write.mode("overwrite").parquet(path)
