@@ -217,8 +217,9 @@ def cross_split_overlap(df: DataFrame, text: str = "text", split: str = "split",
 def quotas(counts: dict[str, int], n: int) -> dict[str, int]:
     """n rows dealt to the classes in proportion, what is left by largest remainder, of equals by name."""
     total = sum(counts.values()) or 1
+    n = min(n, sum(counts.values()))
     out = {c: n * m // total for c, m in counts.items()}
-    for c in sorted(counts, key=lambda c: (-(n * counts[c] % total), c))[: min(n, total) - sum(out.values())]:
+    for c in sorted(counts, key=lambda c: (-(n * counts[c] % total), c))[: n - sum(out.values())]:
         out[c] += 1
     return out
 

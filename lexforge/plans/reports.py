@@ -185,7 +185,7 @@ def stratified_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SUBSET = """
 WITH l AS (SELECT doc_id, CASE quality WHEN 1 THEN 'real' ELSE 'fake' END AS label FROM labels JOIN documents USING (doc_id)), c AS (SELECT label, count(*) AS m, sum(count(*)) OVER () AS t FROM l GROUP BY 1),
-q AS (SELECT label, 100 * m // t + CASE WHEN row_number() OVER (ORDER BY 100 * m % t DESC, label) <= least(100, t) - sum(100 * m // t) OVER () THEN 1 ELSE 0 END AS k FROM c)
+q AS (SELECT label, least(100, t) * m // t + CASE WHEN row_number() OVER (ORDER BY least(100, t) * m % t DESC, label) <= least(100, t) - sum(least(100, t) * m // t) OVER () THEN 1 ELSE 0 END AS k FROM c)
 SELECT doc_id, l.label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha1(doc_id || ':42'), doc_id) AS r FROM l) l JOIN q ON q.label = l.label WHERE r <= k
 """
 

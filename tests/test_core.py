@@ -321,7 +321,7 @@ def test_review_parser(spark):
     df = spark.createDataFrame([(k, html) for k, (html, _) in cases.items()], "k int, html string")
     got = {r["k"]: r["r"] for r in df.select("k", H.review(F.col("html")).alias("r")).collect()}
     assert {k: got[k]["rating"] for k in cases} == {k: rating for k, (_, rating) in cases.items()}
-    assert got[1]["claim_reviewed"] == "a claim" and got[1]["date"] == "2020-01-02" and got[13]["claim_reviewed"] == "A quoted claim" and got[13]["date"] is None
+    assert got[1]["claim_reviewed"] == "a claim" and got[1]["date"] == "2020-01-02" and got[13]["claim_reviewed"] == "A  quoted  claim" and got[13]["date"] is None
 
 
 def test_evidence_assembly(spark):
