@@ -18,6 +18,7 @@ from lexforge.functions.dates import parse_date, years_named
 from lexforge.functions.urls import domain_of, with_tier
 from lexforge.operators import retrieve as R
 from lexforge.operators import verify as V
+from lexforge.storage import materialize
 
 TOP_CLAIMS, TEXT_CHARS, TITLE_CHARS, SAME_CLAIM, MIN_COSINE, INDEX_HITS = 5, 20_000, 1000, 0.85, 0.55, 5
 
@@ -85,10 +86,9 @@ def analyze(inputs: DataFrame, index: DataFrame, cfg: V.Fusion | None = None, ex
     own = with_tier(own, "url").withColumnRenamed("tier", "input_tier").drop("weight")
     whole = F.concat_ws(" ", "title", "text")
     own = own.withColumns({"english": C.scorer("english")(whole), "satire": F.col("url").isNotNull() & (F.col("input_tier") == 0), "recency_cue": X.has_recency_cue(whole), "input_date": parse_date(F.col("published")), "domain": domain_of(F.col("url"))})
-    mismatch, mismatch_p = V.mismatch_headline(F.col("title"), F.col("text"), C.scorer("stance")(F.substring(F.coalesce("text", F.lit("")), 1, 2000), F.coalesce("title", F.lit(""))), cfg)
-    own = own.withColumns({"mismatch_headline": mismatch, "mismatch_p": mismatch_p})
     claims = identify_claims(own.filter("english AND NOT satire"))
-    ev = assign_stance(gather_evidence(claims, index, excluded, least=least), cfg)
+    claims = materialize(claims)
+    ev = materialize(assign_stance(gather_evidence(claims, index, excluded, least=least), cfg))  # both are read many times below
     if not use_evidence:
         ev = ev.limit(0)
     ev = ev.withColumn("date", parse_date(F.col("date")))
@@ -107,7 +107,7 @@ def analyze(inputs: DataFrame, index: DataFrame, cfg: V.Fusion | None = None, ex
         out = out.join(part, "input_id", "left")
     out = V.temporal(out, main_ev, ["input_id"], cfg)
     flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if use_temporal else F.lit(False)
-    out = out.withColumns({"old_news": flag("old_news"), "out_of_context": flag("out_of_context"), "mismatch_headline": flag("mismatch_headline")}).na.fill(0, ["n_sup", "n_ref", "n_neu", "n_1"]).na.fill("", ["sup_sources", "ref_sources"])
+    out = out.withColumns({"old_news": flag("old_news"), "out_of_context": flag("out_of_context"), "mismatch_headline": F.lit(False), "mismatch_p": F.lit(None).cast("double")}).na.fill(0, ["n_sup", "n_ref", "n_neu", "n_1"]).na.fill("", ["sup_sources", "ref_sources"])
     fused = V.fuse(out.withColumns(cfg.columns()))
     return V.uncertainty(V.explanation(V.reason(fused))).select("input_id", "rule", "verdict", "confidence", V.confidence_band(F.col("confidence")).alias("band"), "main_stance", "s_1", "e_1", "n_sup", "n_ref", "p_fake", "old_news", "gap_months", "reason", "explanation", "uncertainty")
 
