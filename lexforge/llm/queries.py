@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import factorisation, jaccard, media, packing, quality, secrets, sentencepiece, substring, tokencount, warc
+from lexforge.llm import factorisation, jaccard, media, packing, quality, resampling, secrets, sentencepiece, substring, tokencount, warc
 from lexforge.llm.common import shared_dir, table
 from lexforge.llm.sql import ORACLES
 
@@ -82,7 +82,18 @@ def op10_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), *map(count, range(len(secrets.BASE))), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc_salvage, op2_telephony_audio, op3_sentencepiece_prefix_table, op4_quality_cascade, op5_recompression_dedup, op6_whole_token_counts, op7_chosen_path_join, op8_length_buckets, op9_factorisation_machine, op10_secret_spans)}
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("key").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_warc_salvage, op2_telephony_audio, op3_sentencepiece_prefix_table, op4_quality_cascade, op5_recompression_dedup, op6_whole_token_counts, op7_chosen_path_join,
+        op8_length_buckets, op9_factorisation_machine, op10_secret_spans, op13_importance_resampling,
+    )
+}
 
 
 def queries() -> dict[str, Query]:

@@ -76,4 +76,30 @@ SELECT d.doc_id, m.class_id, (SELECT count(*) FROM e WHERE e.a = d.k)::BIGINT AS
 FROM d JOIN (SELECT r.a, min(x.doc_id) AS class_id FROM r JOIN d x ON x.k = r.b GROUP BY r.a) m ON m.a = d.k
 """
 
-ORACLES = {"op7_chosen_path_join": _JACCARD, "op5_recompression_dedup": _SUBSTRING, "op1_warc_salvage": _WARC, "op4_quality_cascade": _quality(), "op10_secret_spans": _secrets()}
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: CRC-32 over half bytes, the low one first: a table of 16 entries, each four steps of the polynomial.
+_RESAMPLING = f"""
+WITH RECURSIVE steps AS (SELECT n, n AS c, 0 AS i FROM range(16) AS t(n) UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i + 1 FROM steps WHERE i < 4),
+half AS (SELECT list(c ORDER BY n) AS h FROM steps WHERE i = 4),
+d AS (SELECT row_number() OVER () AS k, doc_id, {_WORDS} AS words FROM documents),
+b AS (SELECT {_WORDS} AS words FROM benchmark),
+lengths AS (SELECT unnest([1, 2, 3]) AS n),
+df AS (SELECT k, array_to_string(words[i + 1 : i + n], ' ') AS f FROM (SELECT k, words, n, unnest(range(len(words) - n + 1)) AS i FROM d, lengths WHERE len(words) >= n)),
+bf AS (SELECT array_to_string(words[i + 1 : i + n], ' ') AS f FROM (SELECT words, n, unnest(range(len(words) - n + 1)) AS i FROM b, lengths WHERE len(words) >= n)),
+names AS (SELECT f, hex(f) AS x FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+halves AS (SELECT f, flatten(list_transform(range(1, length(x), 2), lambda i: [instr('123456789ABCDEF', x[i + 1]), instr('123456789ABCDEF', x[i])])) AS v FROM names),
+crc AS (SELECT f, xor(list_reduce(list_prepend(4294967295, v), lambda c, y: xor(c >> 4, h[(xor(c, y) & 15) + 1])), 4294967295) % 10000 AS bucket FROM halves, half),
+s AS (SELECT bucket, count(*) AS n FROM df JOIN crc USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM bf JOIN crc USING (f) GROUP BY bucket),
+sums AS (SELECT (SELECT coalesce(sum(n), 0) FROM s)::DOUBLE AS own, (SELECT coalesce(sum(n), 0) FROM t)::DOUBLE AS target),
+g AS (SELECT s.bucket, floor(1000 * ln(((coalesce(t.n, 0) + 1)::DOUBLE * (own + 10000)) / ((s.n + 1)::DOUBLE * (target + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), sums),
+w AS (SELECT k, count(*)::BIGINT AS n_features, sum(gain)::BIGINT AS weight FROM df JOIN crc USING (f) JOIN g USING (bucket) GROUP BY k),
+z AS (SELECT k, doc_id, len(words) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || sha256(concat('42:', doc_id))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN w USING (k)),
+r AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM z WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN place END::BIGINT AS rank FROM z LEFT JOIN r USING (k)
+"""
+
+ORACLES = {"op13_importance_resampling": _RESAMPLING, "op7_chosen_path_join": _JACCARD, "op5_recompression_dedup": _SUBSTRING, "op1_warc_salvage": _WARC, "op4_quality_cascade": _quality(), "op10_secret_spans": _secrets()}
