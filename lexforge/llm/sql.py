@@ -102,4 +102,17 @@ r AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN place END::BIGINT AS rank FROM z LEFT JOIN r USING (k)
 """
 
-ORACLES = {"op13_importance_resampling": _RESAMPLING, "op7_chosen_path_join": _JACCARD, "op5_recompression_dedup": _SUBSTRING, "op1_warc_salvage": _WARC, "op4_quality_cascade": _quality(), "op10_secret_spans": _secrets()}
+_BENCHMARK = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_WORDS} AS words FROM documents),
+b AS (SELECT item_id, {_WORDS} AS words FROM benchmark),
+w AS (SELECT DISTINCT item_id, array_to_string(words[i + 1 : i + 10], ' ') AS gram, least(len(words), 10) AS n FROM (SELECT item_id, words, unnest(range(greatest(len(words) - 9, 1))) AS i FROM b WHERE len(words) > 0)),
+u AS (SELECT DISTINCT gram, n FROM w),
+g AS (SELECT k, n, i, array_to_string(words[i + 1 : i + n], ' ') AS gram FROM (SELECT k, words, n, unnest(range(len(words) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM u) WHERE len(words) >= n)),
+m AS (SELECT k, i, g.n, gram FROM g JOIN u USING (gram)),
+h AS (SELECT k, count(DISTINCT i + j)::BIGINT AS n_hit FROM (SELECT k, i, unnest(range(n)) AS j FROM m) GROUP BY k),
+t AS (SELECT k, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT k, item_id::VARCHAR AS item FROM m JOIN w USING (gram) WHERE item_id IS NOT NULL) GROUP BY k)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (k) LEFT JOIN t USING (k)
+"""
+
+ORACLES = {"op12_benchmark_decontamination": _BENCHMARK, "op13_importance_resampling": _RESAMPLING, "op7_chosen_path_join": _JACCARD, "op5_recompression_dedup": _SUBSTRING, "op1_warc_salvage": _WARC, "op4_quality_cascade": _quality(), "op10_secret_spans": _secrets()}
