@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import decontamination, factorisation, jaccard, media, packing, quality, resampling, secrets, sentencepiece, substring, tokencount, warc
+from lexforge.llm import balltree, decontamination, factorisation, jaccard, media, packing, quality, resampling, secrets, sentencepiece, substring, tokencount, warc
 from lexforge.llm.common import shared_dir, table
 from lexforge.llm.sql import ORACLES
 
@@ -82,6 +82,12 @@ def op10_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), *map(count, range(len(secrets.BASE))), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return balltree.mine(moved, F.col("key") % 50 == 0)
+
+
 def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     listed = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
@@ -97,7 +103,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_warc_salvage, op2_telephony_audio, op3_sentencepiece_prefix_table, op4_quality_cascade, op5_recompression_dedup, op6_whole_token_counts, op7_chosen_path_join,
-        op8_length_buckets, op9_factorisation_machine, op10_secret_spans, op12_benchmark_decontamination, op13_importance_resampling,
+        op8_length_buckets, op9_factorisation_machine, op10_secret_spans, op11_hard_negatives, op12_benchmark_decontamination, op13_importance_resampling,
     )
 }
 

@@ -115,4 +115,14 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN h USING (k) LEFT JOIN t USING (k)
 """
 
-ORACLES = {"op12_benchmark_decontamination": _BENCHMARK, "op13_importance_resampling": _RESAMPLING, "op7_chosen_path_join": _JACCARD, "op5_recompression_dedup": _SUBSTRING, "op1_warc_salvage": _WARC, "op4_quality_cascade": _quality(), "op10_secret_spans": _secrets()}
+_NEGATIVES = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+n AS (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)::INT AS rank, other AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT * FROM n WHERE rank <= 3
+"""
+
+ORACLES = {"op11_hard_negatives": _NEGATIVES, "op12_benchmark_decontamination": _BENCHMARK, "op13_importance_resampling": _RESAMPLING, "op7_chosen_path_join": _JACCARD, "op5_recompression_dedup": _SUBSTRING, "op1_warc_salvage": _WARC, "op4_quality_cascade": _quality(), "op10_secret_spans": _secrets()}

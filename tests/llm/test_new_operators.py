@@ -9,7 +9,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from lexforge.llm import decontamination, resampling
+from lexforge.llm import balltree, decontamination, resampling
 
 FOLDED = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -150,3 +150,73 @@ def test_hot_key_of_a_window(spark):
     items = spark.range(50).select(F.col("id").alias("item_id"), F.concat(F.lit(f"{passage} item "), F.col("id").cast("string")).alias("text"))
     got = decontamination.report(docs, items).groupBy("n_hit", F.size("items").alias("n")).count().collect()
     assert [tuple(r) for r in got] == [(20, 50, 400)]
+
+
+# ---- 11
+
+
+def plain_negatives(rows, positives=5, negatives=3):
+    """rows: (key, label, whole numbers)."""
+    score = lambda a, b: sum(x * y for x, y in zip(a, b))  # noqa: B905, E731
+    out = []
+    for key, label, v in rows:
+        if key % 50 == 0:
+            all_ = sorted(((score(v, w), -k, m) for k, m, w in rows if k != key), reverse=True)
+            for s, k, _ in [x for x in all_ if x[2] == label][:positives]:
+                own = [x for x in all_ if x[2] != label and 50 * s <= 100 * x[0] <= 95 * s]
+                out += [(key, -k, n, -x[1], s, x[0]) for n, x in enumerate(own[:negatives], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("seed", "block", "chunk", "leaf"), [(1, 16_384, 1024, 64), (2, 60, 3, 8)])
+def test_hard_negatives(spark, monkeypatch, seed, block, chunk, leaf):
+    """Clusters, ties, repeated rows, odd rows, vectors of other lengths and very large ones; blocks of several trees."""
+    for name, x in (("BLOCK", block), ("CHUNK", chunk), ("LEAF", leaf)):
+        monkeypatch.setattr(balltree, name, x)
+    r = random.Random(seed)
+    centres = [[r.gauss(0, 1) for _ in range(6)] for _ in range(5)]
+    rows = []
+    for k in range(0, 1500, 2):
+        c = r.choice(centres)
+        v = [r.choice([x, float(round(x)), x + r.gauss(0, 0.4)]) for x in c]
+        rows.append((k, r.choice([0, 0, 0, 1, 2, 7, -1]), v[: r.choice([6, 6, 6, 4])]))
+    rows += [(50_000, 1, [2e5, -4e5, 6e4]), (50_050, 1, [2e5, -4e5, 1.0]), (50_051, 2, [1.6e5, -3.4e5, 9.0]), (50_052, 2, [1.8e5, -3.4e5]), (50_100, 3, []), (50_150, 9, [0.0] * 6)]
+    odd = [(51_000, None, [1.0]), (51_050, 1, None), (51_100, 1, [1.0, None]), (51_150, 1, [float("nan")]), (51_200, 1, [float("inf"), 1.0]), (None, 1, [1.0]), (51_250, 1, [1e30])]
+    table = spark.createDataFrame([(*x, "x", 1) for x in rows + odd + rows[:40]], "vec_id long, label int, embedding array<double>, key string, block int").repartition(3)
+    got = sorted(tuple(x) for x in balltree.mine(table, F.col("key") % 50 == 0).collect())
+    want = plain_negatives([(k, m, [math.floor(256 * x) for x in v]) for k, m, v in rows])
+    assert got == want and len(got) > 60 and any(x[0] == 50_000 for x in got)
+
+
+def test_hard_negatives_of_few_rows(spark):
+    rows = [(0, 1, [1.0, 1.0]), (1, 1, [1.0, 1.0]), (2, 2, [0.75, 0.75]), (3, 2, [0.75, 0.75]), (50, 5, [1.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    assert sorted(tuple(x)[:4] for x in balltree.mine(table, F.col("key") % 50 == 0).collect()) == [(0, 1, 1, 2), (0, 1, 2, 3), (0, 1, 3, 50)]
+    assert balltree.mine(table.limit(0), F.col("key") % 50 == 0).count() == 0
+    # a key names one row: the least label and vector counts
+    twice = table.union(spark.createDataFrame([(2, 1, [0.5, 0.5])], table.schema))
+    assert sorted(tuple(x)[:4] for x in balltree.mine(twice, F.col("key") % 50 == 0).collect()) == [(0, 1, 1, 3), (0, 1, 2, 50)]
+
+
+def test_ball_tree_prunes_and_is_exact():
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    rows = np.concatenate([r.normal(c, 0.05, (400, 8)) for c in r.normal(0, 1, (20, 8))])
+    whole = np.floor(256 * rows).astype(np.int64)
+    tree = balltree.BallTree.build(np.arange(len(whole)), whole)
+    again = balltree.BallTree.of_row(*tree.row().values())
+    q = whole[::97]
+    s = q @ whole.T
+    low, high = np.percentile(s, 40, axis=1).astype(np.int64)[:, None], np.percentile(s, 90, axis=1).astype(np.int64)[:, None]
+    scored = []
+    held = balltree.Best.add
+    balltree.Best.add = lambda self, a, *rest: (scored.append(len(a)), held(self, a, *rest))[1]
+    try:
+        best = again.search(q, low, high, 3)
+    finally:
+        balltree.Best.add = held
+    for k in range(len(q)):
+        own = sorted((-x, i) for i, x in enumerate(s[k].tolist()) if low[k, 0] <= x <= high[k, 0])[:3]
+        assert [(-x, i) for x, i in zip(best.score[k].tolist(), best.key[k].tolist(), strict=True)] == own
+    assert sum(scored) < s.size / 10
