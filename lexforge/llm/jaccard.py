@@ -44,7 +44,7 @@ from lexforge.llm.common import materialize, scratch, slices
 from lexforge.llm.substring import Prefix, _sliced, mix, names_of
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5  # at least 4/5
-FIRST_RUNS, WALK_RUNS, RUNS, SPREAD, CLOSE, TARGET_RECALL = 4, 13, 240, 1.25, 0.55, 0.99999
+FIRST_RUNS, WALK_RUNS, SPREAD, CLOSE, TARGET_RECALL = 4, 13, 1.25, 0.55, 0.99999
 SPLIT_ABOVE, FAR_ABOVE, BLOCK, BLOCK_SHINGLES, SAMPLE = 1024, 4096, 1024, 1 << 20, 32
 #: Sketches agree in 0.8 of their places on average at the threshold; in fewer than 30 of 64 with a chance below 1e-7.
 SKETCH, SKETCH_LEAST = 64, 30
@@ -53,7 +53,8 @@ LEAST_SIZE = NUMERATOR  # a smaller set reaches 4/5 with its equal only
 _U = np.uint64
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) | 1) % (1 << 64) for k in range(SKETCH)], np.uint64)
 _ADD = mix(np.arange(1, SKETCH + 1, dtype=np.uint64))
-_NODE_BITS = 54  # the run above them, below 256
+_NODE_BITS = 47  # the run above them
+RUNS = 1 << 62 - _NODE_BITS  # as many as have a number; far more than any depth asks for
 
 
 def miss(depth: int) -> float:
@@ -250,7 +251,7 @@ def buckets(classes: DataFrame, sets) -> DataFrame:
                 walking = rest.select("fp").distinct().select("fp", F.lit(FIRST_RUNS).alias("low"), F.lit(WALK_RUNS).alias("high"))
                 rows = rows.unionByName(materialize(_later_roots(walking, known)))
             continue
-        if known is None or at >= RUNS:
+        if known is None:
             break
         # all paths end: which classes lack runs, at the rate so far?
         deep = large_ones[0]
@@ -260,11 +261,13 @@ def buckets(classes: DataFrame, sets) -> DataFrame:
         depths = F.create_map(*[x for d in range(1, 200) for x in (F.lit(d), F.lit(log(miss(d))))])
         worse = F.coalesce(F.try_element_at(depths, F.col("depth")), F.lit(log(miss(200)))) - log(miss(1))
         lacks = deep.groupBy("fp").agg((at * F.lit(log(miss(1))) + F.sum(worse)).alias("miss")).filter(F.col("miss") > enough)
-        need = F.least(F.ceil((F.lit(enough) - F.col("miss")) * at / F.col("miss")).cast("int"), F.lit(RUNS - at))
+        need = F.ceil((F.lit(enough) - F.col("miss")) * at / F.col("miss")).cast("int")
         asked = materialize(lacks.select("fp", F.lit(at).alias("low"), (at + need).alias("high")))
         most = asked.agg(F.max("high")).first()[0]
         if most is None:
             break
+        if most > RUNS:
+            raise RuntimeError(f"{most} runs are needed, {RUNS} can be numbered")
         rows, at = materialize(_later_roots(asked, known)), most
     out = small[0]
     for x in small[1:]:

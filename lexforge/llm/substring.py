@@ -2,7 +2,7 @@
 
 Words are level-0 symbols. A first round names runs of equal symbols; further rounds name pairs: each round deals all
 symbols to a left and a right class by a hash of their name, and a left symbol followed by a right one becomes one
-symbol. Names are 64-bit hashes of what they stand for, so every Spark task gives equal things equal names
+symbol. Names are hashes of what they stand for (64 bits, and 64 others for what verifies), so every Spark task gives equal things equal names
 without an exchange, and equal substrings get the same symbols inside, away from their ends. With each symbol goes its
 context: the stretch of words that its being there depends on. Rounds go on until no context lies inside a window.
 
@@ -14,7 +14,7 @@ has one, that of the least name. Equal windows have equal anchors. The work goes
 2. Anchors that occur once are dropped: their windows occur once.
 3. Of equal stretches (of one anchor and one fingerprint, two hashes of different bases) all but the first are marked as
    a whole. Windows of the first ones can only recur where an anchor has two or more different stretches; those are
-   verified window by window with 128-bit fingerprints, and all but the first occurrence of each are marked.
+   verified window by window with 128-bit fingerprints, both halves of names of their own, and all but the first occurrence of each are marked.
 4. Words covered by marked windows are removed.
 
 All steps deal by anchor, fingerprint or document, with counts combined before the exchange and joins whose
@@ -58,47 +58,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-def _byte_values() -> np.ndarray:
+def _byte_values(base: np.uint64) -> np.ndarray:
     """What a byte counts for in a word's name; the white space between words counts for nothing."""
-    out = mix(np.arange(1, 257, dtype=np.uint64) * BASES[1])
+    out = mix(np.arange(1, 257, dtype=np.uint64) * base)
     out[[9, 10, 11, 12, 13, 32]] = 0
     return out
 
 
 CHUNK_BYTES = 1 << 15  # so that a chunk's arrays stay in a core's cache
-_VALUE = _byte_values()
-_SPACE = _VALUE == 0
+#: Longer words are named by BLAKE2b. A polynomial modulo 2^64 gives certain words of 1,024 bytes and more one value, whatever its base.
+SHORT_WORD = 32
+_VALUES = tuple(_byte_values(b) for b in reversed(BASES))
+_SPACE = _VALUES[0] == 0
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, BASES[0]), np.full(n, INVERSES[0])
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n, BASES[base]), np.full(n, INVERSES[base])
     up[:1] = down[:1] = 1
     return np.cumprod(up), np.cumprod(down)
 
 
-_UP, _DOWN = _powers(CHUNK_BYTES)
+_POWERS = tuple(_powers(CHUNK_BYTES, k) for k in range(len(BASES)))
 
 
-def names_of(texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The names of all words of all texts end to end, and where each text begins (one more at the end).
-
-    A word's name is a polynomial fingerprint of its bytes, found for all words of a chunk at once, without a string of their own.
-    """
+def _named(texts: pa.Array | list[str | None], which: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
     if isinstance(texts, list):
         texts = pa.array(texts, pa.string())
     if texts.null_count:
         texts = texts.fill_null("")
     if not len(texts):
-        return np.empty(0, np.uint64), np.zeros(1, np.int64)
+        return [np.empty(0, np.uint64) for _ in which], np.zeros(1, np.int64)
     wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
     at = np.frombuffer(texts.buffers()[1], wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.empty(0, np.uint8)
-    names, counts = [np.empty(0, np.uint64)], np.zeros(len(texts) + 1, np.int64)
+    names, counts = [[np.empty(0, np.uint64)] for _ in which], np.zeros(len(texts) + 1, np.int64)
     for first, end in slices(np.diff(at).tolist(), CHUNK_BYTES):
         own = data[at[first] : at[end]]
         if not len(own):
             continue
-        up, down = (_UP, _DOWN) if len(own) <= CHUNK_BYTES else _powers(len(own))
         space, rows = _SPACE[own], at[first:end] - at[first]
         begins = ~space
         begins[1:] &= space[:-1]
@@ -106,9 +103,36 @@ def names_of(texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray
         begins[heads] = ~space[heads]
         begin = np.flatnonzero(begins)
         if len(begin):
-            names.append(mix(np.add.reduceat(_VALUE[own] * up[: len(own)], begin) * down[begin]))
+            stop = np.append(begin[1:], len(own))  # and white space after the word, which only makes a word look longer
+            long = np.flatnonzero(stop - begin > SHORT_WORD)
+            digests = [hashlib.blake2b(own[begin[k] : stop[k]].tobytes().rstrip(b" \t\n\v\f\r"), digest_size=16).digest() for k in long.tolist()]
+            longer = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+            for out, k in zip(names, which, strict=True):
+                up, down = _POWERS[k] if len(own) <= CHUNK_BYTES else _powers(len(own), k)
+                name = mix(np.add.reduceat(_VALUES[k][own] * up[: len(own)], begin) * down[begin])
+                if len(long):
+                    size = np.add.reduceat(~space, begin)
+                    word = size[long] > SHORT_WORD
+                    name[long[word]] = longer[word, k]
+                out.append(name)
         counts[first + 1 : end + 1] = np.diff(np.searchsorted(begin, np.append(rows, len(own))))
-    return np.concatenate(names), np.cumsum(counts)
+    return [np.concatenate(x) for x in names], np.cumsum(counts)
+
+
+def names_of(texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The names of all words of all texts end to end, and where each text begins (one more at the end).
+
+    A word's name is a polynomial fingerprint of its bytes, found for all words of a chunk at once, without a string of their own; that of a
+    word of over SHORT_WORD bytes is half of its BLAKE2b digest.
+    """
+    (names,), starts = _named(texts, (0,))
+    return names, starts
+
+
+def names_twice(texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As names_of, with second names between that are independent of the first: 128 bits a word."""
+    (names, checks), starts = _named(texts, (0, 1))
+    return names, checks, starts
 
 
 class Prefix:
@@ -234,10 +258,10 @@ def anchor_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for low, _, texts in _sliced(b):
-                names, starts = names_of(texts)
+                names, checks, starts = names_twice(texts)
                 k, owner, first, n = anchors(names, starts, window)
                 at = first + starts[owner]
-                stretch = Prefix(names, 1).of(at, at + n + window - 1)
+                stretch = Prefix(checks, 1).of(at, at + n + window - 1)
                 yield pa.RecordBatch.from_arrays([_signed(k), _signed(stretch), b.column(0).take(pa.array(owner + low)), pa.array(first, pa.int32()), pa.array(n, pa.int32())], ["anchor", "stretch", "key", "first", "n"])
 
     rows = _rows(docs, key, text)
@@ -252,8 +276,8 @@ def window_rows(docs: DataFrame, runs: DataFrame, key: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for low, _, texts in _sliced(b):
-                names, starts = names_of(texts)
-                one, two = Prefix(names, 0), Prefix(names, 1)
+                names, checks, starts = names_twice(texts)
+                one, two = Prefix(names, 0), Prefix(checks, 1)
                 owners, begins = [], []
                 for k in range(len(texts)):
                     own = b.column(2)[low + k].values
@@ -299,13 +323,13 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     return marked
 
 
-def removed(names: np.ndarray, first: np.ndarray, n: np.ndarray, h: np.ndarray, window: int = WINDOW) -> np.ndarray:
+def removed(checks: np.ndarray, first: np.ndarray, n: np.ndarray, h: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Which words of a text are covered by its marked runs. Runs whose fingerprint isn't that of the words there are left out."""
-    delta = np.zeros(len(names) + 1, np.int64)
+    delta = np.zeros(len(checks) + 1, np.int64)
     first, end = first.astype(np.int64), first.astype(np.int64) + n + window - 1
-    own = (first >= 0) & (end <= len(names))
+    own = (first >= 0) & (end <= len(checks))
     first, end, h = first[own], end[own], h[own]
-    fits = Prefix(names, 1).of(first, end).view(np.int64) == h
+    fits = Prefix(checks, 1).of(first, end).view(np.int64) == h
     np.add.at(delta, first[fits], 1)
     np.add.at(delta, end[fits], -1)
     return np.cumsum(delta[:-1]) > 0
@@ -313,11 +337,11 @@ def removed(names: np.ndarray, first: np.ndarray, n: np.ndarray, h: np.ndarray,
 
 def _cut(b: pa.RecordBatch, texts: pa.Array, low: int) -> Iterator[np.ndarray | None]:
     """Which words of each text go (None: none)."""
-    names, starts = names_of(texts)
+    (checks,), starts = _named(texts, (1,))
     for k in range(len(texts)):
         marks = b.column(2)[low + k]
         none = not marks.is_valid or not len(marks.values)
-        yield None if none else removed(names[starts[k] : starts[k + 1]], *(marks.values.field(c).to_numpy() for c in range(3)))
+        yield None if none else removed(checks[starts[k] : starts[k + 1]], *(marks.values.field(c).to_numpy() for c in range(3)))
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:

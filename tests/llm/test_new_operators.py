@@ -9,7 +9,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from lexforge.llm import balltree, decontamination, resampling
+from lexforge.llm import balltree, decontamination, jaccard, resampling, substring
 
 FOLDED = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -220,3 +220,34 @@ def test_ball_tree_prunes_and_is_exact():
         own = sorted((-x, i) for i, x in enumerate(s[k].tolist()) if low[k, 0] <= x <= high[k, 0])[:3]
         assert [(-x, i) for x, i in zip(best.score[k].tolist(), best.key[k].tolist(), strict=True)] == own
     assert sum(scored) < s.size / 10
+
+
+# ---- names of words
+
+
+def thue_morse(n):
+    """Two words of n letters that a polynomial modulo 2^64 of any base can't tell apart, if n is 1,024 or more."""
+    return tuple("".join("ab"[(k.bit_count() + flip) % 2] for k in range(n)) for flip in (0, 1))
+
+
+def test_long_words_that_polynomials_confuse(spark):
+    for n in (8, 32, 33, 64, 1024, 2048, 4096):
+        one, two = thue_morse(n)
+        for names in substring.names_twice([one, two, f"{one} {two}\n"])[:2]:
+            assert names[0] == names[2] and names[1] == names[3] and names[0] != names[1]
+    words = " ".join(f"w{k}" for k in range(24))
+    for n in (1024, 4096):
+        one, two = thue_morse(n)
+        docs = spark.createDataFrame([(1, f"{words} {one} {words}"), (2, f"{words} {two} {words}")], "doc_id long, text string")
+        got = {r["key"]: r["n_removed"] for r in substring.digests(docs).collect()}
+        assert got == {1: 24, 2: 48}
+        few = spark.createDataFrame([(1, f"a b c d e f {one}"), (2, f"a b c d e f {two}")], "doc_id long, text string")
+        assert {(r["class_id"], r["n_links"]) for r in jaccard.join(few).collect()} == {(1, 0), (2, 0)}
+    assert substring.names_of(["x" * 100 + "  \n", "x" * 100])[0].tolist()[0] == substring.names_of(["x" * 100])[0].tolist()[0]
+    assert len({*substring.names_of(["x" * 20 + " " * 40 + "y", "x" * 20])[0].tolist()}) == 2
+
+
+def test_more_runs_are_asked_for_until_few_pairs_are_missed():
+    """No number of runs is a limit: the deepest walk of 1e12 classes asks for far fewer than can be numbered."""
+    deep = math.log(1e12) / -math.log(jaccard.CLOSE * jaccard.SPREAD)
+    assert math.log(1 - jaccard.TARGET_RECALL) / math.log(jaccard.miss(int(deep))) < jaccard.RUNS / 50
