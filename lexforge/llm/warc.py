@@ -12,9 +12,10 @@ member that breaks off, what was unpacked so far is searched for whole records f
 Defined cases: a null payload counts as empty; null ids are written as such and come back as null, and never
 are a response that others revisit unless no id is there at all (then each is a response); repeated rows give as many
 records; an empty table gives no archive and no record; columns of other names are ignored. No bytes make read() fail: what
-doesn't parse, numbers beyond 15 digits and heads of over HEAD_LINES lines included, is part of a gap, and a digest or id that
-isn't one is null. An archive is handled in one task's memory: ARCHIVE_BYTES, the largest single record, and what one member
-unpacks to, MEMBER_BYTES at most; of a larger member, the records before that stand, and it counts as a gap.
+doesn't parse, numbers beyond 15 digits included, is part of a gap, and a digest or id that
+isn't one is null. Heads and lines may have any length. An archive is handled in one task's memory: ARCHIVE_BYTES and the largest single record.
+A member is unpacked piece by piece; only a record that is not complete yet is held. One of over MEMBER_BYTES, more than a row of Spark can have,
+is none: the records before it stand, and its member counts as a gap.
 """
 
 from __future__ import annotations
@@ -33,12 +34,14 @@ from pyspark.sql import functions as F
 
 from lexforge.llm.common import materialize
 
-LEAST, ARCHIVE_BYTES, MEMBER_BYTES = 1000, 8 << 20, 256 << 20
-HEAD_LINES, GZIP_HEAD_BYTES = 256, 4096
+LEAST, ARCHIVE_BYTES, MEMBER_BYTES = 1000, 8 << 20, 1 << 31
+GZIP_HEAD_BYTES = 4096
+#: A member that unpacks to no more is unpacked once; a larger one twice, first to learn whether it is whole.
+HELD_BYTES, PIECE_BYTES = 4 << 20, 1 << 20
 VERSION = b"WARC/1.1\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NOBODY = uuid.UUID(int=(1 << 64) - 1 << 64)  # of a null id
-_HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]{1,65536}\r\n){0,%d})\r\n" % HEAD_LINES)
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _NUMBER = re.compile(r"[0-9]{1,15}")
 _HTTP_LENGTH = re.compile(rb"(?i)\ncontent-length:[ \t]{0,64}([0-9]{1,15})[ \t]{0,64}\r?(?:\n|$)")
 _MEMBER = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]")
@@ -141,159 +144,247 @@ class Found:
     reason: str = ""
 
 
-def _one(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
-    """The plain record at a byte: its head, its block and where it ends; or why there is none."""
-    m = _HEAD.match(data, at)
-    if not m:
-        return "no version line or head"
-    head = {}
-    for line in m[1].split(b"\r\n")[:-1]:
+class _More(Exception):
+    """The data ends before the record does."""
+
+
+@dataclass
+class _Bad:
+    """Why no record stands at a byte, and from where on another one may: its head is not read again for each version line in it."""
+
+    reason: str
+    resume: int
+
+
+def _one(data: bytes, at: int, last: bool = True) -> tuple[dict[str, str], bytes, int] | _Bad:
+    """The plain record at a byte: its head, its block and where it ends; or why there is none. last: no more data follows."""
+    if not _VERSION.match(data, at):
+        if not last and len(data) - at < 10:
+            raise _More
+        return _Bad("no version line or head", at + 1)
+    head, places, begin = {}, {}, at + 10
+    while (end := data.find(b"\r\n", begin)) > begin:
+        line = data[begin:end]
         name, colon, value = line.partition(b":")
-        if not colon:
-            return "head"
-        head[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        if not colon or b"\r" in line or b"\n" in line:
+            return _Bad("head", begin)  # any head that begins before this line fails here as well
+        field = name.strip().lower().decode("latin-1")
+        head[field], places[field] = value.strip().decode("utf-8", "replace"), begin
+        begin = end + 2
+    if end < 0:
+        if not last:
+            raise _More
+        return _Bad("no version line or head", begin)
+    first = begin + 2
     if not _NUMBER.fullmatch(head.get("content-length", "")):
-        return "length"
-    end = m.end() + int(head["content-length"])
+        return _Bad("length", begin)
+    end = first + int(head["content-length"])
+    if end + 4 > len(data) and not last:
+        if end - at > MEMBER_BYTES:
+            return _Bad("too large", begin)
+        raise _More
     if data[end : end + 4] != b"\r\n\r\n":
-        return "length"
-    block = data[m.end() : end]
+        return _Bad("length", begin)
+    block = bytes(data[first:end])
     payload = _payload(head, block)
     claimed = head.get("warc-payload-digest", "")
     if http := _HTTP_LENGTH.search(block.partition(b"\r\n\r\n")[0]):
         head["http content-length"] = http[1].decode()
     if head.get("warc-type") == "response" and claimed.startswith("sha1:") and base64.b32encode(hashlib.sha1(payload).digest()).decode() != claimed[5:]:
-        return "digest"
+        return _Bad("digest", min(places["warc-type"], places["warc-payload-digest"]))  # a head cut short may run into a whole one
     return head, block, end + 4
 
 
-def _plain(data: bytes) -> tuple[list[tuple[int, dict, bytes, int]], list[tuple[int, int, str]]]:
-    """Records (start, head, block, end) and gaps (start, end, reason) of unpacked data."""
-    found, gaps, at = [], [], 0
-    while at < len(data):
-        got = _one(data, at)
-        if isinstance(got, str):
-            following = data.find(b"WARC/1.", at + 1)
-            while following >= 0 and not _HEAD.match(data, following):
-                following = data.find(b"WARC/1.", following + 1)
-            end = following if following >= 0 else len(data)
-            if gaps and gaps[-1][1] == at:
-                gaps[-1] = (gaps[-1][0], end, gaps[-1][2])
+class _Inner:
+    """The records and gaps inside a member, whose unpacked pieces are fed one by one."""
+
+    def __init__(self) -> None:
+        self.held, self.begin, self.gaps, self.need = bytearray(), 0, [], 0
+        self.too_large = False
+
+    def feed(self, piece: bytes, last: bool = False) -> Iterator[tuple[dict, bytes]]:
+        """(head, block) of each record that is complete by now. gaps gets (start, end, reason); neighbours are joined."""
+        self.held += piece
+        if len(self.held) < self.need and not last:
+            return
+        at, data = 0, self.held
+        while at < len(data):
+            try:
+                got = _one(data, at, last)
+            except _More:
+                break
+            if isinstance(got, _Bad):
+                self.too_large |= got.reason == "too large"
+                following = _VERSION.search(data, max(got.resume, at + 1))
+                end = following.start() if following else len(data) if last else max(len(data) - 9, at)  # a version line may be cut in two
+                if end == at:
+                    break
+                self._gap(self.begin + at, self.begin + end, got.reason)
+                at = end
             else:
-                gaps.append((at, end, got))
-            at = end
+                yield got[0], got[1]
+                at = got[2]
+        self.begin += at
+        del data[:at]
+        self.need = 2 * len(data)  # so that what is held is looked at seldom
+
+    def _gap(self, start: int, end: int, reason: str) -> None:
+        if self.gaps and self.gaps[-1][1] == start:
+            self.gaps[-1] = (self.gaps[-1][0], end, self.gaps[-1][2])
         else:
-            found.append((at, got[0], got[1], got[2]))
-            at = got[2]
-    return found, gaps
+            self.gaps.append((start, end, reason))
 
 
-def _before(unpack, step: bytes) -> bytes:
+def _before(unpack, step: bytes) -> Iterator[bytes]:
     """What a step that fails unpacks to before the error: in halving pieces, then the failing byte's output byte by byte."""
-    out, at, size = [], 0, len(step)
+    at, size = 0, len(step)
     while size and at < len(step):
         kept = unpack.copy()
         try:
-            out.append(unpack.decompress(step[at : at + size]))
+            piece = unpack.decompress(step[at : at + size])
             at += size
+            yield piece
         except zlib.error:
             unpack, size = kept, size // 2
     one = step[at : at + 1]
+    out = bytearray()
     try:
         while got := unpack.decompress(one, 1):
-            out.append(got)
+            out += got
             one = unpack.unconsumed_tail
     except zlib.error:
         pass
-    return b"".join(out)
+    yield bytes(out)
 
 
-def _gzip_head(data: bytes, at: int) -> bool:
-    """Whether a gzip header of at most GZIP_HEAD_BYTES stands at a byte: its optional parts must end in time."""
+def _gzip_head(data: bytes, at: int) -> int:
+    """Where a gzip header of at most GZIP_HEAD_BYTES at a byte ends, else 0: its optional parts must end in time."""
     if data[at + 2 : at + 3] != b"\x08" or len(data) < at + 10 or data[at + 3] > 31:
-        return False
+        return 0
     flags, end, most = data[at + 3], at + 10, at + GZIP_HEAD_BYTES
     if flags & 4:
         end += 2 + int.from_bytes(data[end : end + 2], "little")
     for bit in (8, 16):  # a name and a comment, each up to a zero byte
         if flags & bit:
             if end >= most or (zero := data.find(b"\0", end, most)) < 0:
-                return False
+                return 0
             end = zero + 1
-    return end + 2 * (flags >> 1 & 1) <= min(most, len(data))
+    end += 2 * (flags >> 1 & 1)
+    return end if end <= min(most, len(data)) else 0
+
 
+def _deflates(data: bytes, at: int) -> bool:
+    """Whether a deflate stream may begin at a byte: a kind of block that exists, and a stored one's length as it says twice."""
+    kind = data[at] >> 1 & 3 if at < len(data) else 0
+    low, high = (int.from_bytes(data[k : k + 2], "little") for k in (at + 1, at + 3))
+    return kind in (1, 2) or kind == 0 and (at + 5 > len(data) or low ^ high == 0xFFFF)
 
-def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
-    """What the gzip member at a byte unpacks to, its end, and what is wrong ('' if nothing). Output before an error is kept.
+
+def _unpacked(data: bytes, at: int) -> Iterator[bytes | tuple[int, str]]:
+    """What the gzip member at a byte unpacks to, piece by piece; at last its end, and what is wrong ('' if nothing). Output before an error is kept.
 
     Steps grow, so that bytes that only look like a member cost little.
     """
-    if not _gzip_head(data, at):
-        return b"", at, "member"
-    unpack, out, size, k, step = zlib.decompressobj(31), [], 0, at, 1 << 10
+    first = _gzip_head(data, at)
+    if not first or not _deflates(data, first):
+        yield at, "member"
+        return
+    unpack, k, step = zlib.decompressobj(31), at, 1 << 7
     while k < len(data):
-        kept = unpack.copy()
+        kept, rest = unpack.copy(), data[k : k + step]
         try:
-            out.append(unpack.decompress(data[k : k + step]))
+            piece = b"-"
+            while (rest or len(piece) == PIECE_BYTES) and not unpack.eof:
+                piece, rest = unpack.decompress(rest, PIECE_BYTES), unpack.unconsumed_tail
+                if rest:
+                    kept = unpack.copy()
+                yield piece
         except zlib.error:
-            out.append(_before(kept, data[k : k + step]))
-            return b"".join(out), at, "member"
-        k, step, size = k + step, min(2 * step, 1 << 16), size + len(out[-1])
+            yield from _before(kept, rest)
+            yield at, "member"
+            return
+        k, step = k + step, min(2 * step, 1 << 16)
         if unpack.eof:
-            return b"".join(out), min(k, len(data)) - len(unpack.unused_data), ""
-        if size > MEMBER_BYTES:
-            return b"".join(out), at, "member too large"
-    return b"".join(out), at, "member breaks off"
+            yield min(k, len(data)) - len(unpack.unused_data), ""
+            return
+    yield at, "member breaks off"
+
+
+def _member(data: bytes, at: int) -> tuple[int, str, Iterator[tuple[dict, bytes]], _Inner]:
+    """The end of the gzip member at a byte, what is wrong ('' if nothing), its records, and what tells their gaps once they are read."""
+    pieces, size, end, why = [], 0, at, ""
+    for piece in _unpacked(data, at):
+        if isinstance(piece, tuple):
+            end, why = piece
+        else:
+            size += len(piece)
+            pieces.append(piece)
+            if size > HELD_BYTES:
+                pieces.clear()
+    inner = _Inner()
+
+    def records() -> Iterator[tuple[dict, bytes]]:
+        for piece in pieces if size <= HELD_BYTES else _unpacked(data, at):
+            if not isinstance(piece, tuple):
+                yield from inner.feed(piece)
+        yield from inner.feed(b"", last=True)
+
+    return end, why, records(), inner
 
 
 def salvage(data: bytes) -> Iterator[Found]:
     """The records of an archive in order, and its gaps. Plain and gzip parts may alternate."""
-    at, bad, why = 0, None, ""
+    at, bad, why, member, version = 0, None, "", -1, -1
 
     def gap(end: int) -> Iterator[Found]:
         if bad is not None and end > bad:
             yield Found(bad, end - bad, None, reason=why)
 
     while at < len(data):
-        end, got, reason = at, [], "no member or version line"
+        end, got, reason, resume = at, None, "no member or version line", at + 1
         if data[at : at + 2] == b"\x1f\x8b":
-            inner, end, reason = _member(data, at)
-            records, gaps = _plain(inner)
-            got = [Found(at, max(end - at, 0), head.get("warc-type", ""), head, _payload(head, block)) for _, head, block, _ in records]
-            if not reason and not records:
-                reason = gaps[0][2] if gaps else "empty member"
-            elif not reason and gaps:
-                yield from gap(at)
-                bad = None
-                yield from got
-                yield from (Found(at, end - at, None, reason=f"inside a member: {r}, {e - s} bytes") for s, e, r in gaps)
+            end, reason, records, inner = _member(data, at)
+            some = False
+            for head, block in records:
+                if not some and not reason:
+                    yield from gap(at)
+                    bad = None
+                some = True
+                yield Found(at, max(end - at, 0), head.get("warc-type", ""), head, _payload(head, block))
+            if inner.too_large:
+                reason = reason or "member too large"
+            if not reason and not some:
+                reason = inner.gaps[0][2] if inner.gaps else "empty member"
+            elif not reason:
+                yield from (Found(at, end - at, None, reason="member too large" if e - s > MEMBER_BYTES else f"inside a member: {r}, {e - s} bytes") for s, e, r in inner.gaps)
                 at = end
                 continue
         elif data[at : at + 5] == b"WARC/":
             one = _one(data, at)
-            if isinstance(one, str):
-                reason = one
+            if isinstance(one, _Bad):
+                reason, resume = one.reason, max(one.resume, at + 1)
             else:
                 end, reason = one[2], ""
-                got = [Found(at, end - at, one[0].get("warc-type", ""), one[0], _payload(one[0], one[1]))]
-        if not reason:
+                got = Found(at, end - at, one[0].get("warc-type", ""), one[0], _payload(one[0], one[1]))
+        if got is not None:
             yield from gap(at)
             bad = None
-            yield from got
+            yield got
             at = end
             continue
-        yield from got  # whole records before a member breaks off
         if bad is None:
             bad, why = at, reason
-        at = _next(data, at + 1)
+        # a place found before is still the next one, unless it is passed
+        member = _next(_MEMBER, data, at + 1) if member <= at else member
+        version = _next(_VERSION, data, resume) if version < resume else version
+        at = min(member, version)
     yield from gap(len(data))
 
 
-def _next(data: bytes, at: int) -> int:
-    """The next byte where a member with a valid head or a version line begins, else the end."""
-    m, plain = _MEMBER.search(data, at), data.find(b"WARC/1.", at)
-    places = [x for x in (m.start() if m else -1, plain) if x >= 0]
-    return min(places, default=len(data))
+def _next(what: re.Pattern, data: bytes, at: int) -> int:
+    """The next byte where a member, or a version line, may begin, else the end."""
+    found = what.search(data, at)
+    return found.start() if found else len(data)
 
 
 def _payload(head: dict[str, str], block: bytes) -> bytes:

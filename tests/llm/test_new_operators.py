@@ -9,7 +9,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from lexforge.llm import balltree, decontamination, jaccard, resampling, substring
+from lexforge.llm import balltree, decontamination, jaccard, resampling, substring, warc
 
 FOLDED = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -251,3 +251,42 @@ def test_more_runs_are_asked_for_until_few_pairs_are_missed():
     """No number of runs is a limit: the deepest walk of 1e12 classes asks for far fewer than can be numbered."""
     deep = math.log(1e12) / -math.log(jaccard.CLOSE * jaccard.SPREAD)
     assert math.log(1 - jaccard.TARGET_RECALL) / math.log(jaccard.miss(int(deep))) < jaccard.RUNS / 50
+
+
+# ---- 1: nothing that the writer writes is lost
+
+
+def test_warc_of_long_heads_and_large_records(spark, monkeypatch):
+    for name, x in (("HELD_BYTES", 1 << 12), ("PIECE_BYTES", 1 << 10)):  # a page of 3 MB stands for one of gigabytes
+        monkeypatch.setattr(warc, name, x)
+    r = random.Random(3)
+    large = "".join(r.choices("abcdefgh<>\n", k=3_000_000))
+    rows = [(1, "http://h/" + "u" * 100_000, "p" * 1200), (2, "u", large), (3, "u", large), (4, "u", "WARC/1.1\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n" * 50), (5, None, "\0" * 500_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x["key"]: x for x in warc.read(warc.archives(warc.planned(pages, "page_id", "url", "html"))).collect()}
+    assert set(got) == {1, 2, 3, 4, 5} and all(got[k]["payload_digest"] == hashlib.sha1(t.encode()).hexdigest() and got[k]["payload_bytes"] == len(t) for k, _, t in rows)
+    assert got[2]["refers_to"] == 3 and len(got[1]["uri"]) == 100_009
+    assert warc.read(warc.archives(warc.planned(pages.limit(0), "page_id", "url", "html"))).count() == 0
+
+
+def test_warc_salvages_after_hostile_bytes_in_little_time():
+    import time
+
+    good = warc.record(7, "u", b"x" * 1500, None)
+    hostile = [b"WARC/1.1\r\n" * 100_000, b"WARC/1.1\r\na: b\r\n" * 60_000, b"x:WARC/1.1\r\n" * 80_000, b"x:WARC/1.1\r\n" * 80_000 + b"\r\n", b"\x1f\x8b\x08\x00\0\0\0\0\0\0" * 50_000, b"\x1f\x8b" * 100_000, b"\x1f\x8b\x08\x1f" * 50_000]
+    for bad in hostile:
+        for data in (bad + good, bad + b"\r\n\r\n" + zlib.decompress(good, 31)):
+            began = time.perf_counter()
+            assert [warc.key_of(f.head["warc-record-id"]) for f in warc.salvage(data) if f.kind] == [7]
+            assert time.perf_counter() - began < 3
+
+
+def test_warc_record_behind_a_head_cut_short():
+    """The head of a damaged record runs into that of a whole one, which has no digest of its own."""
+    cut = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Payload-Digest: sha1:AAAA\r\nWARC-Date: 20"
+    whole = b"WARC/1.1\r\nWARC-Record-ID: %s\r\nWARC-Type: metadata\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" % warc.record_id(5).encode()
+    plain = b"WARC/1.1\r\nWARC-Record-ID: %s\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" % warc.record_id(6).encode()
+    for one, key in ((whole, 5), (plain, 6)):
+        assert [warc.key_of(f.head["warc-record-id"]) for f in warc.salvage(cut + one) if f.kind is not None] == [key]
+        pack = zlib.compressobj(1, zlib.DEFLATED, 31)
+        assert [warc.key_of(f.head["warc-record-id"]) for f in warc.salvage(pack.compress(cut + one) + pack.flush()) if f.kind is not None] == [key]
