@@ -25,12 +25,21 @@ _parser = re._parser  # the standard library's own parser: one tree for every ru
 
 @dataclass(frozen=True)
 class Secret:
-    """pattern: Java's and Python's alike. value: the group whose length counts, at_least so many characters."""
+    """body: Java's and Python's alike. value: the group whose length counts, at_least so many characters.
+
+    not_after: a class of characters that must not stand before a match. Where these are also what a match goes on with, a run of
+    them is tried once, at its begin.
+    """
 
     kind: str
-    pattern: str
+    body: str
     at_least: int = 0
     value: int = 0
+    not_after: str = ""
+
+    @property
+    def pattern(self) -> str:
+        return f"(?<!{self.not_after})(?:{self.body})" if self.not_after else self.body
 
 
 def _either(word: str) -> str:
@@ -44,15 +53,15 @@ BASE = (
     Secret("access", "AKIA[A-Z0-9]{16,}"),
     Secret("hex", "[0-9a-f]{24,}"),
 )
-#: A key block up to its END line. Where that is missing: headers, all up to the last long base64 word, and one more line of base64.
+#: A key block up to its END line; repetitions are possessive, as what they take can't be anything else. Where that is missing: headers, all up to the last long base64 word, and one more line of base64.
 _B64 = r"A-Za-z0-9+/=\\"
 _PEM = (
-    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+){0,99}-{5,}END [A-Z ]{0,40}PRIVATE KEY-----"
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*+(?:-{1,4}+[^-]++)*+-{5,}END [A-Z ]{0,40}PRIVATE KEY-----"
     rf"|(?:[\r\n]+(?:Proc-Type|DEK-Info): [^\r\n]*){{0,2}}(?:[{_B64} \t\r\n]*[{_B64}]{{20}})?(?:[ \t]*[\r\n]+[ \t]*[{_B64}]+(?:[\r\n]|$))?)"
 )
 MORE = (
     Secret("pem", _PEM),
-    Secret("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Secret("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", not_after="[A-Za-z0-9_-]"),
     Secret("forge", "gh[opsu]_[A-Za-z0-9]{36,}"),
     Secret("chat", "xox[abprs]-[A-Za-z0-9-]{10,}"),
     Secret("cloud", "AIza[A-Za-z0-9_-]{35}"),

@@ -24,12 +24,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+#: The base as the contract has it: kind, pattern, the group whose length counts (0: all), at least so many characters.
+_BASE = (
+    ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+)
+
+
 def _secrets() -> str:
     parts = []
-    for k, r in enumerate(secrets.RULES):
-        p = r.pattern.replace("'", "''")
-        all_of = lambda g: f"regexp_extract_all(body, '(?s)(.*?)({p})', {g})"  # noqa: B023, E731
-        parts.append(f"SELECT k, {k} AS r, '{r.kind}' AS kind, {r.at_least} AS least, {all_of(1)} AS gaps, {all_of(2)} AS hits, {all_of(r.value + 2 if r.value else 2)} AS vals FROM d WHERE regexp_matches(body, '{p}')")
+    more = [(r.kind, r.body.replace("*+", "*").replace("++", "+").replace("}+", "}"), r.value, r.at_least, r.not_after) for r in secrets.MORE]  # RE2 needs no possessive repetitions
+    for k, (kind, body, value, least, not_after) in enumerate([*((*b, "") for b in _BASE), *more]):
+        p = body.replace("'", "''")
+        gap = f"(.*?(?:^|[^{not_after[1:-1]}]))" if not_after else "(.*?)"  # RE2 has no lookbehind: the character before a match is in the gap
+        all_of = lambda g: f"regexp_extract_all(body, '(?s){gap}({p})', {g})"  # noqa: B023, E731
+        parts.append(f"SELECT k, {k} AS r, '{kind}' AS kind, {least} AS least, {all_of(1)} AS gaps, {all_of(2)} AS hits, {all_of(value + 2 if value else 2)} AS vals FROM d WHERE regexp_matches(body, '{p}')")
     return f"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, body FROM ({_BODY})),
 m AS ({" UNION ALL ".join(parts)}),

@@ -9,7 +9,8 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from lexforge.llm import balltree, decontamination, jaccard, resampling, substring, warc
+from lexforge.llm import balltree, decontamination, jaccard, resampling, secrets, substring, warc
+from tests.llm import brute
 
 FOLDED = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -290,3 +291,23 @@ def test_warc_record_behind_a_head_cut_short():
         assert [warc.key_of(f.head["warc-record-id"]) for f in warc.salvage(cut + one) if f.kind is not None] == [key]
         pack = zlib.compressobj(1, zlib.DEFLATED, 31)
         assert [warc.key_of(f.head["warc-record-id"]) for f in warc.salvage(pack.compress(cut + one) + pack.flush()) if f.kind is not None] == [key]
+
+
+# ---- 10: linear on runs of what a match goes on with
+
+
+def test_secrets_of_hostile_runs(spark):
+    import time
+
+    token = "eyJabcdefgh.eyJabcdefgh.abcdefgh"
+    dashes = "-----BEGIN PRIVATE KEY-----\n" + "ab-cd--ef\n" * 20_000 + "-----END PRIVATE KEY-----"
+    texts = ["eyJ" * 1_400_000, "eyJ" * 1_000_000 + ".", "eyJ-" * 300_000 + " " + token, f"({token}) x{token} {token}.{token}", dashes + " after", "-----BEGIN PRIVATE KEY-----" * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    began = time.perf_counter()
+    got = {r["key"]: [tuple(s) for s in r["spans"]] for r in secrets.scan(docs).collect()}
+    assert time.perf_counter() - began < 60
+    kinds = {k: i for i, k in enumerate(r.kind for r in secrets.RULES)}
+    assert got[0] == got[1] == [] and got[2] == [(1_200_001, kinds["jwt"], 1_200_001 + len(token))]
+    assert [s for s in got[3] if s[1] == kinds["jwt"]] == [(1, kinds["jwt"], 33), (69, kinds["jwt"], 101), (102, kinds["jwt"], 134)]
+    assert got[4] == [(0, kinds["pem"], len(dashes))]
+    assert got[3] == brute.spans(texts[3]) and got[5] == brute.spans(texts[5])
