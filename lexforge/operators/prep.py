@@ -178,9 +178,9 @@ def ranked(df: DataFrame, group: str, key: str, seed: int = SEED, name: str = "r
     before = W.Window.partitionBy(group).orderBy("__p").rowsBetween(W.Window.unboundedPreceding, -1)
     offsets = counts.select(F.col(group).alias("__g"), F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__b"))
     inside = W.Window.partitionBy(group, "__p").orderBy("__o", key)
-    numbered = own.withColumn("__r", F.row_number().over(inside))
+    numbered = own.withColumn("__i", F.row_number().over(inside))
     joined = numbered.join(offsets, numbered[group].eqNullSafe(F.col("__g")) & (F.col("__p") == F.col("__q")))
-    return joined.withColumn(name, F.col("__r") + F.col("__b")).drop("__o", "__p", "__r", "__g", "__q", "__b")
+    return joined.select(*df.columns, (F.col("__i") + F.col("__b")).alias(name))
 
 
 def stratified_split(df: DataFrame, label: str, key: str, seed: int = SEED) -> DataFrame:

@@ -127,25 +127,32 @@ def length_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- features
 
 
-def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The production parameters: 1-2-grams of words without accents, MAX_FEATURES terms."""
-    d = _docs(spark, sf_dir).select("doc_id", X.unaccented(F.lower(F.coalesce("text", F.lit("")))).alias("text"))
-    tf = T.term_counts(d, "doc_id", "text", 2)
-    return T.tfidf(tf, T.vocabulary(tf, d.count()))
+def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """1-2-grams of words without accents, counted once and written."""
+    return materialize(T.term_lists(_docs(spark, sf_dir), "doc_id", accents=False))
+
+
+def _weights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The weights of documents with a known term, and the vocabulary, by the production parameters."""
+    lists = _lists(spark, sf_dir)
+    vocab = materialize(T.vocabulary(lists, lists.count()))
+    return T.weighted(lists, vocab).filter(F.size("w") > 0), vocab
 
 
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _weights(spark, sf_dir)
-    return w.groupBy("doc").agg(F.count("*").alias("n_terms"), F.round(F.sum("w"), 4).alias("sum_w"), F.round(F.max("w"), 5).alias("max_w"))
+    w, _ = _weights(spark, sf_dir)
+    each = F.transform("w", lambda x: x.getField("w"))
+    return w.select("doc", F.size("w").cast("long").alias("n_terms"), F.round(F.aggregate(each, F.lit(0.0), lambda a, x: a + x), 4).alias("sum_w"), F.round(F.array_max(each), 5).alias("max_w"))
 
 
 def tfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.top_terms(_weights(spark, sf_dir), 5).select("doc", "term", F.col("rank").cast("long").alias("rank"))
+    w, vocab = _weights(spark, sf_dir)
+    return T.top_terms(w, 5).join(T.named(vocab), "k").select("doc", "term", F.col("rank").cast("long").alias("rank"))
 
 
 def nearest_neighbour_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest other document of every fiftieth one."""
-    w = materialize(_weights(spark, sf_dir))
+    w = materialize(_weights(spark, sf_dir)[0])
     found = T.nearest(w.filter("doc % 50 = 0"), w)
     return found.select("doc", F.round("cosine", 4).alias("cosine"))
 
@@ -234,7 +241,7 @@ def error_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Naive Bayes' mistakes on the held-out documents, each with its nearest training document's label and the first category that fits."""
     own = _labelled(spark, sf_dir).select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))
     wrong = materialize(own.join(nb_train_eval(spark, sf_dir), "doc_id").filter(F.col("label") != F.col("pred")))
-    w = materialize(_weights(spark, sf_dir))
+    w = materialize(_weights(spark, sf_dir)[0])
     train = own.filter("doc_id % 5 <> 0")
     near = T.nearest(w.join(wrong.select(F.col("doc_id").alias("doc")), "doc", "left_semi"), w.join(train.select(F.col("doc_id").alias("doc")), "doc", "left_semi"))
     near = near.join(train.select(F.col("doc_id").alias("neighbour"), F.col("label").alias("nn_label")), "neighbour").select(F.col("doc").alias("doc_id"), F.round("cosine", 4).alias("cosine"), "nn_label")
@@ -311,9 +318,42 @@ def artefact_only_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.artefact_classifier(_xy(spark, sf_dir), "doc_id")
 
 
+def _grid(found: DataFrame) -> DataFrame:
+    return found.select("model", "value", "ngrams", "max_features", "sublinear", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "rank", "best")
+
+
 def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each model's three values in five folds, over the default features."""
-    return L.grid_search(_xy(spark, sf_dir), "doc_id", tfidf_grid=[L.TFIDF_DEFAULT])
+    """The whole grid: 18 points of naive Bayes, 36 of each linear model, in five folds."""
+    return _grid(L.grid_search(_xy(spark, sf_dir), "doc_id"))
+
+
+def grid_search_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Naive Bayes' 18 points, which SQL can fit."""
+    return _grid(L.grid_search(_xy(spark, sf_dir), "doc_id", models={"nb": L.CLASSIFIERS["nb"]}, tfidf_grid=[p for p in L.TFIDF_GRID if p[2]]))
+
+
+#: Each fold's document frequencies are those of all rows minus the fold's; naive Bayes on TF-IDF sums, with smoothed priors.
+GRID_NB = f"""
+WITH {_L}, r AS (SELECT doc_id AS doc, (label = 'fake')::INT AS y, (row_number() OVER (PARTITION BY label ORDER BY sha1(doc_id::VARCHAR || ':42'), doc_id) % 5)::INT AS fold,
+  strip_accents(lower(trim(string_split(coalesce(text, ''), chr(10))[1] || chr(10) || coalesce(text, '')))) AS low FROM l),
+w AS (SELECT doc, regexp_extract_all(low, '[\p{{L}}\p{{N}}_]{{2,}}') AS u FROM r),
+tf AS (SELECT doc, term, words, count(*) AS tf FROM (SELECT doc, unnest(u) AS term, 1 AS words FROM w UNION ALL SELECT doc, u[i] || ' ' || u[i + 1], 2 FROM (SELECT doc, u, unnest(range(1, len(u))) AS i FROM w)) GROUP BY ALL),
+f AS (SELECT unnest(range(5))::INT AS f), n AS (SELECT f, count(*) AS n FROM f JOIN r ON fold <> f GROUP BY f),
+c AS (SELECT f, term, any_value(words) AS words, count(*) AS df, sum(tf) AS total FROM tf JOIN r USING (doc) JOIN f ON fold <> f GROUP BY f, term),
+v AS (SELECT f, g.n AS ngrams, term, ln((1 + n.n) / (1 + df)::DOUBLE) + 1 AS idf, row_number() OVER (PARTITION BY f, g.n ORDER BY total DESC, term) AS place
+  FROM c JOIN n USING (f) JOIN (VALUES (1), (2)) AS g(n) ON words <= g.n WHERE df >= 2 AND df <= 0.95 * n.n),
+p AS (SELECT f, ngrams, most, term, idf FROM v JOIN (VALUES (50000), (100000), (200000)) AS m(most) ON place <= most), s AS (SELECT f, ngrams, most, count(*) AS size FROM p GROUP BY ALL),
+raw AS (SELECT f, ngrams, most, doc, term, (1 + ln(tf)) * idf AS x FROM tf JOIN p USING (term)), x AS (SELECT *, x / sqrt(sum(x * x) OVER (PARTITION BY f, ngrams, most, doc)) AS w FROM raw),
+t AS (SELECT f, ngrams, most, y, term, sum(w) AS s FROM x JOIN r USING (doc) WHERE fold <> f GROUP BY ALL), ts AS (SELECT f, ngrams, most, y, sum(s) AS s FROM t GROUP BY ALL),
+a AS (SELECT unnest([0.1, 0.5, 1.0])::DOUBLE AS a), k AS (SELECT f, y, count(*) AS m FROM r JOIN f ON fold <> f GROUP BY ALL),
+b AS (SELECT f, ngrams, most, y, a, ln(m + a) - ln(n + 2 * a) AS prior, ln(ts.s + a * size) AS denom FROM ts JOIN s USING (f, ngrams, most) JOIN k USING (f, y) JOIN n USING (f), a),
+g AS (SELECT b.f, b.ngrams, b.most, a, doc, b.y AS c, any_value(prior) + coalesce(sum(x.w * (ln(coalesce(t.s, 0) + a) - denom)), 0) AS score
+  FROM b JOIN r ON fold = b.f LEFT JOIN x USING (f, ngrams, most, doc) LEFT JOIN t ON t.f = b.f AND t.ngrams = b.ngrams AND t.most = b.most AND t.y = b.y AND t.term = x.term GROUP BY ALL),
+o AS (SELECT f, ngrams, most, a, doc, (max(score) FILTER (c = 1) > max(score) FILTER (c = 0))::INT AS pred FROM g GROUP BY ALL),
+h AS (SELECT f, ngrams, most, a, (coalesce(2 * count(*) FILTER (y = 0 AND pred = 0) / nullif(count(*) FILTER (y = 0) + count(*) FILTER (pred = 0), 0)::DOUBLE, 0) + coalesce(2 * count(*) FILTER (y = 1 AND pred = 1) / nullif(count(*) FILTER (y = 1) + count(*) FILTER (pred = 1), 0)::DOUBLE, 0)) / 2 AS f1 FROM o JOIN r USING (doc) GROUP BY ALL),
+e AS (SELECT a, ngrams, most, avg(f1) AS mean, stddev_pop(f1) AS std FROM h GROUP BY ALL)
+SELECT 'nb' AS model, a AS value, ngrams, most AS max_features, true AS sublinear, round(mean, 6) AS mean, round(std, 6) AS std, rank() OVER (ORDER BY round(mean, 9) DESC) AS rank, rank() OVER (ORDER BY round(mean, 9) DESC) = 1 AS best FROM e
+"""
 
 
 _ASCII = lambda x: f"regexp_replace({x}, '[^\\x00-\\x7F]', 'x', 'g')"
@@ -326,7 +366,7 @@ SELECT doc_id, label AS gold, pred, round(cosine, 3) AS cosine, nn_label, CASE W
   WHEN label = 'fake' AND regexp_matches(head, '{WIRE}') THEN 'wire copy' WHEN regexp_matches(low, '{SATIRE}') THEN 'satire' WHEN 100 * len(regexp_extract_all(low, '{FIRST_PERSON}')) >= {PER_HUNDRED} * n OR regexp_matches(head, '{OPINION}') THEN 'opinion'
   WHEN CASE pred WHEN 'real' THEN regexp_matches(low, '{REAL_CUES}') ELSE regexp_matches(low, '{FAKE_CUES}') END THEN 'wrong cue' ELSE 'style' END AS category FROM x
 """
-QUERIES = {f.__name__: f for f in (class_balance, length_percentiles, length_histogram, ecdf_lengths, fit_share, ngrams_top, unigrams_top, leakage_tokens, watch_list, vocab_overlap, oov_rate, label_crosstab_margins, monthly_counts, subject_explode, speaker_false_share, drop_reason_cube, hyperparam_marginals, mean_and_error, length_correlation, tfidf_weights, tfidf_top_terms, nearest_neighbour_tfidf, confusion_matrix, classification_report, metric_summary, roc_auc, roc_curve, cohen_kappa, specific_agreement, flag_metrics, class_weights, majority_baseline, error_categories, error_analysis, nb_train_eval, lr_train_eval, svm_train_eval, saved_model, top_coefficients, artefact_only_lr, grid_search)}
+QUERIES = {f.__name__: f for f in (class_balance, length_percentiles, length_histogram, ecdf_lengths, fit_share, ngrams_top, unigrams_top, leakage_tokens, watch_list, vocab_overlap, oov_rate, label_crosstab_margins, monthly_counts, subject_explode, speaker_false_share, drop_reason_cube, hyperparam_marginals, mean_and_error, length_correlation, tfidf_weights, tfidf_top_terms, nearest_neighbour_tfidf, confusion_matrix, classification_report, metric_summary, roc_auc, roc_curve, cohen_kappa, specific_agreement, flag_metrics, class_weights, majority_baseline, error_categories, error_analysis, nb_train_eval, lr_train_eval, svm_train_eval, saved_model, top_coefficients, artefact_only_lr, grid_search, grid_search_nb)}
 _PCT = ", ".join(f"round(quantile_cont(n, {q}), 6) AS p{round(100 * q):02d}" for q in P.PERCENTILES)
 _TERMS = lambda where, t="documents": f"SELECT term, count(*) AS n FROM (SELECT unnest({_TOK}) AS term FROM {t} {where}) GROUP BY 1"
 _LABELS = "(VALUES ('fake'), ('real'), ('other')) AS x(label)"
@@ -366,6 +406,7 @@ ORACLES = {
     "majority_baseline": f"WITH {_L} SELECT label, round(count(*) / (SELECT count(*) FROM l)::DOUBLE, 6) AS share FROM l GROUP BY 1 ORDER BY count(*) DESC, label LIMIT 1",
     "error_categories": rf"WITH {_PRED}, e AS (SELECT m.doc_id, text, {_N} AS n, len(regexp_extract_all(regexp_replace(lower(text), '[^\x00-\x7F]', 'x', 'g'), '\b(i|we|my|our)\b')) AS f FROM m JOIN documents USING (doc_id) WHERE gold <> pred) SELECT CASE WHEN n > 512 THEN 'long' WHEN n < 80 THEN 'short' WHEN regexp_matches(text, '[!]{{2}}') THEN 'shouting' WHEN 100 * f >= 2 * n THEN 'first person' ELSE 'style' END AS category, count(*) AS n, min(doc_id) AS first_doc FROM e GROUP BY 1",
     "nb_train_eval": NB,
+    "grid_search_nb": GRID_NB,
     "error_analysis": ERRORS,
     "saved_model": "SELECT count(*) AS n, count(*) AS same FROM labels JOIN documents USING (doc_id) WHERE doc_id % 5 = 0",
 }

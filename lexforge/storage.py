@@ -45,9 +45,14 @@ def _delete_made() -> None:
             delete_path(spark, path)
 
 
+def size_of(df: DataFrame) -> int:
+    """Bytes of df's rows, as Spark expects."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def parts_for(df: DataFrame, part_bytes: int = 64 << 20) -> int:
     """How many partitions df's rows need, by the size that Spark expects, so that a task's share doesn't grow with the input."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    size = size_of(df)
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return least if size >= 1 << 52 else max(least, -(-size // part_bytes))  # beyond 4 PB: a size that Spark doesn't know
 
