@@ -4,9 +4,9 @@ Words are level-0 symbols. A first round names runs of equal symbols; further ro
 symbols to a left and a right class by a hash of their name, and a left symbol followed by a right one becomes one
 symbol. Names are hashes of what they stand for (64 bits, and 64 others for what verifies), so every Spark task gives equal things equal names
 without an exchange, and equal substrings get the same symbols inside, away from their ends. With each symbol goes its
-context: the stretch of words that its being there depends on. Rounds go on until no context lies inside a window.
+context: the stretch of words that its being there depends on. Rounds go on until all contexts are longer.
 
-A window of WINDOW words is known by an anchor: of the symbols whose context lies inside it, on the highest level that
+A window of WINDOW words is known by an anchor: of the symbols inside it whose context is half a window or less, on the highest level that
 has one, that of the least name. Equal windows have equal anchors. The work goes in four steps:
 
 1. Every run of windows with the same anchor gives one row (anchor, stretch, document, windows); the stretch is a
@@ -44,6 +44,8 @@ from lexforge.llm.common import discard, materialize, slices
 WINDOW, SLICE_CHARS = 20, 2 << 20
 #: Beyond any round: each one lengthens a context by a word at least.
 LEVELS = 64
+#: A symbol is an anchor if its context is a REACH-th of a window or less, so that many neighbouring windows share it.
+REACH = 2
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _U = np.uint64
 BASES = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
@@ -196,7 +198,7 @@ def anchors(names: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> tupl
     mark = np.full(len(begin), -1, np.int64)
     fitting = []
     for s, lo, hi in levels(names, starts):
-        fit = np.flatnonzero((hi - lo <= window) & (lo >= 0) & (hi <= len(names)))
+        fit = np.flatnonzero((hi - lo <= max(window // REACH, 3)) & (lo >= 0) & (hi <= len(names)))
         if not len(fit):
             break  # contexts only grow
         fitting.append((s[fit], lo[fit], hi[fit]))
