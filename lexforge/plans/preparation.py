@@ -320,7 +320,10 @@ SHARES = f"WITH l AS (SELECT CASE quality WHEN 1 THEN 'real' ELSE 'fake' END AS
 _STEPS = [f"s0 AS (SELECT doc_id, {_XTEXT} AS t, []::VARCHAR[] AS hits FROM documents)"]
 for _k, (_n, _p, _l) in enumerate(_PLAIN):
     _STEPS.append(f"s{_k + 1} AS (SELECT doc_id, regexp_replace(t, '{_p}', '{_l}', 'g') AS t, CASE WHEN regexp_matches(t, '{_p}') THEN list_append(hits, '{_n}') ELSE hits END AS hits FROM s{_k})")
-STRIPPED = f"WITH {', '.join(_STEPS)} SELECT doc_id, sha1(regexp_replace(regexp_replace(t, '[ \\t]{{2,}}', ' ', 'g'), '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g')) AS sha1, array_to_string(hits, ',') AS hits FROM s{len(_PLAIN)}"
+_STEPS.append(f"stripped AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[ \\t]{{2,}}', ' ', 'g'), '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g') AS t, hits FROM s{len(_PLAIN)})")
+#: s0 (the texts) to stripped, for other queries as well.
+STEPS_SQL = ", ".join(_STEPS)
+STRIPPED = f"WITH {STEPS_SQL} SELECT doc_id, sha1(t) AS sha1, array_to_string(hits, ',') AS hits FROM stripped"
 
 
 _TITLES = ["[VIDEO] A story", "A story (IMAGES)", "A story - The New York Times", "A story | CNN", "A story (Again)", "Senator (R-TX) speaks", "Plain title -", "A – Breitbart News", "[WATCH/TWEETS] Go  on"]
