@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -141,6 +144,90 @@ def lsh_candidates(signatures: DataFrame, bands: int = 5, rows: int = 25) -> Dat
     return a.join(b, "band").filter("a < b").select("a", "b").distinct()
 
 
+# ---- near duplicates by MinHash, without pairs
+
+PERMUTATIONS, RECALL = 128, 0.9
+
+
+def lsh_bands(threshold: float, recall: float = RECALL, permutations: int = PERMUTATIONS) -> tuple[int, int]:
+    """(bands, rows of a band): the most selective bands that find a pair at the threshold with a chance of recall or more."""
+    able = [(permutations // r, r) for r in range(1, permutations + 1) if 1 - (1 - threshold**r) ** (permutations // r) >= recall]
+    if not able:
+        raise ValueError(f"{permutations} minima don't find {threshold} with a chance of {recall}")
+    return able[-1]
+
+
+def band_keys(df: DataFrame, pos: str, text: str, bands: int, rows: int, seed: int = 1) -> DataFrame:
+    """(pos, size, shingles, band): shingles are the distinct hashed five-word shingles in order, band one name for each band; texts without words are left out.
+
+    Minima of bands * rows hash functions over a set, for all of them at once in numpy.
+    """
+    own = df.select(F.col(pos).alias("pos"), F.array_sort(X.hashed_shingles(X.key_words(F.col(text)))).alias("s")).filter(F.size("s") > 0)
+    n = bands * rows
+    r = np.random.default_rng(seed)
+    add, odd = (r.integers(0, 1 << 63, n, np.uint64) for _ in range(2))
+    odd = odd * np.uint64(2) + np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = []
+            for one in b.column(1):
+                x = one.values.to_numpy().view(np.uint64)
+                least = np.full(n, ~np.uint64(0))
+                for at in range(0, len(x), 4096):  # a piece of a set at a time
+                    h = (x[at : at + 4096, None] + add) * odd
+                    least = np.minimum(least, ((h ^ (h >> np.uint64(29))) * odd).min(0))
+                names.append([int.from_bytes(hashlib.blake2b(least[k * rows : (k + 1) * rows].tobytes() + bytes([k % 256, k // 256]), digest_size=8).digest(), "little", signed=True) for k in range(bands)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x.values) for x in b.column(1)], pa.int32()), b.column(1), pa.array(names, pa.list_(pa.int64()))], ["pos", "size", "shingles", "bands"])
+
+    return own.mapInArrow(run, f"pos {own.schema['pos'].dataType.simpleString()}, size int, shingles array<bigint>, bands array<bigint>")
+
+
+def near_classes(df: DataFrame, pos: str, text: str = "text", threshold: float = 0.8, recall: float = RECALL, permutations: int = PERMUTATIONS) -> DataFrame:
+    """(pos, class_id) of the texts in a group of two or more near copies: class_id is the group's least pos. A pair at the threshold is found with
+    a chance of recall or more, and every link is verified on the sets.
+
+    Groups are told by members, not by pairs. Texts of equal sets are one class. In each bucket (band), every class is compared with the least one
+    first, the star; only those that are not near it, which a band seldom holds, are compared with the others of their bucket, so that m near
+    copies cost m comparisons. Linked classes hang together by components.
+    """
+    bands, rows = lsh_bands(threshold, recall, permutations)
+    own = materialize(band_keys(df, pos, text, bands, rows).withColumn("h", F.sha1(F.array_join("shingles", " "))))
+    sets = materialize(own.groupBy("h").agg(F.min("pos").alias("rep"), F.first("size").alias("size"), F.first("shingles").alias("shared"), F.first("bands").alias("bands")))
+    rep = sets.select(F.col("rep").alias("pos"), "size", "shared")
+    banded = materialize(sets.select(F.col("rep").alias("m"), F.explode("bands").alias("band")))
+    stars = materialize(banded.groupBy("band").agg(F.min("m").alias("star"), F.count("*").alias("n")).filter("n > 1").select("band", "star"))
+    members = materialize(banded.join(stars, "band").filter("m <> star").select("band", "star", "m"))
+    pairs = materialize(members.select(F.col("star").alias("a"), F.col("m").alias("b")).distinct())
+    linked = materialize(_verified(pairs, rep, rep, threshold).select("a", "b"))
+    far = materialize(members.join(linked.select(F.col("a").alias("star"), F.col("b").alias("m")), ["star", "m"], "left_anti").select("band", F.col("m").alias("f")))
+    others = far.join(members.select("band", "m"), "band").filter("f <> m").select(F.least("f", "m").alias("a"), F.greatest("f", "m").alias("b")).distinct()
+    more = _verified(materialize(others), rep, rep, threshold).select("a", "b")
+    labels = components(linked.unionByName(more))
+    classes = sets.join(labels, F.col("rep") == F.col("v"), "left").select("h", F.coalesce("label", "rep").alias("class_id"))
+    found = own.select("pos", "h").join(materialize(classes), "h").select("pos", "class_id")
+    sizes = materialize(found.groupBy("class_id").agg(F.count("*").alias("n")).filter("n > 1").select("class_id"))
+    return found.join(sizes, "class_id", "left_semi").select("pos", "class_id")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(v, label): the least vertex that each vertex of edges (a, b) is linked with, over any number of steps.
+
+    Labels spread along edges and are followed at once to the label's own label, so that chains take a number of rounds of the order of the logarithm of their length.
+    """
+    both = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    state = materialize(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label")))
+    while True:
+        near = both.join(state, F.col("a") == F.col("v")).groupBy(F.col("b").alias("to")).agg(F.min("label").alias("heard"))
+        up = state.select(F.col("v").alias("at"), F.col("label").alias("up"))
+        joined = state.join(near, F.col("v") == F.col("to"), "left").join(up, F.col("label") == F.col("at"), "left")
+        low = F.least("label", F.coalesce("heard", "label"), F.coalesce("up", "label"))
+        new = materialize(joined.select("v", low.alias("label"), (low < F.col("label")).alias("moved")))
+        if new.filter("moved").isEmpty():
+            return new.select("v", "label")
+        state = new.select("v", "label")
+
+
 # ---- splits and samples
 
 

@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from lexforge.functions import text as X
+from lexforge.operators import orderstats as O
 
 PERCENTILES = [0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 
 
 def describe(df: DataFrame, value: Column, by: str) -> DataFrame:
-    """by, n, mean, percentiles as p05..p99, interpolated. One sort-free aggregation over counts of values."""
-    own = df.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.percentile(value, F.array(*map(F.lit, PERCENTILES))).alias("p"))
-    return own.select(by, "n", "mean", *[F.round(F.get("p", F.lit(k)), 6).alias(f"p{round(100 * q):02d}") for k, q in enumerate(PERCENTILES)])
+    """by, n, mean, percentiles as p05..p99, interpolated, all from counts of values; no group's values are held."""
+    own = df.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"))
+    found = O.quantiles(df, [by], value, PERCENTILES).select(F.col(by).alias("__by"), "q")
+    joined = own.join(found, F.col(by).eqNullSafe(F.col("__by")), "left")
+    return joined.select(by, "n", "mean", *[F.round(F.get("q", F.lit(k)), 6).alias(f"p{round(100 * q):02d}") for k, q in enumerate(PERCENTILES)])
 
 
 def class_doc_freq(df: DataFrame, key: str, label: str, text: str = "text", min_df: int = 1) -> DataFrame:
@@ -58,15 +61,18 @@ def term_totals(df: DataFrame, text: str = "text") -> DataFrame:
 
 def fit_share(df: DataFrame, n: Column, limits: list[int]) -> DataFrame:
     """(max_len, fits, kept): the share of rows no longer than a limit, and the median share of a row that is kept."""
-    rows = df.select(n.alias("n"), F.explode(F.array(*map(F.lit, limits))).alias("max_len")).filter("n > 0")
-    return rows.groupBy("max_len").agg(F.round(F.avg((F.col("n") <= F.col("max_len")).cast("double")), 6).alias("fits"), F.round(F.percentile(F.least("max_len", "n") / F.col("n"), F.lit(0.5)), 6).alias("kept"))
+    counts = df.select(n.alias("n")).filter("n > 0").groupBy("n").agg(F.count("*").alias("c"))
+    rows = counts.withColumn("max_len", F.explode(F.array(*map(F.lit, limits))))
+    fits = rows.groupBy("max_len").agg(F.round(F.sum(F.when(F.col("n") <= F.col("max_len"), F.col("c")).otherwise(0)) / F.sum("c"), 6).alias("fits"))
+    each = df.select(n.alias("n"), F.explode(F.array(*map(F.lit, limits))).alias("max_len")).filter("n > 0")
+    kept = O.quantiles(each, ["max_len"], F.least("max_len", "n") / F.col("n"), [0.5])
+    return fits.join(kept, "max_len").select("max_len", "fits", F.round(F.get("q", F.lit(0)), 6).alias("kept"))
 
 
 def ecdf(df: DataFrame, value: Column) -> DataFrame:
-    """(value, n, share): the share of rows up to each distinct value. Values are summed first, so the window sees few rows."""
-    counts = df.groupBy(value.alias("value")).agg(F.count("*").alias("n"))
-    up = W.Window.orderBy("value").rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)
-    return counts.select("value", "n", F.round(F.sum("n").over(up) / F.sum("n").over(W.Window.partitionBy()), 6).alias("share"))
+    """(value, n, share): the share of rows up to each distinct value."""
+    ranks = O.value_ranks(df, [], value)
+    return ranks.select("value", "n", F.round((F.col("before") + F.col("n")) / F.col("total"), 6).alias("share"))
 
 
 def histogram(df: DataFrame, value: Column, width: int, most: int, by: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.functions import dates as D
+from lexforge.operators import orderstats as O
 
 
 # Thresholds of fusion and temporal checks.
@@ -80,7 +81,7 @@ def temporal(claims: DataFrame, evidence: DataFrame, keys: list[str], cfg: Fusio
     The gap is compared rounded, the claim's own date unrounded.
     """
     cfg = cfg or Fusion()
-    dated = evidence.filter((F.col("stance") == "SUPPORTS") & F.col("date").isNotNull()).groupBy(*keys).agg(D.median_low(F.col("date")).alias("event_date"))
+    dated = O.median_low(evidence.filter(F.col("stance") == "SUPPORTS").select(*keys, F.col("date").alias("event_date")), keys, "event_date")
     out = claims.join(dated, keys, "left")
     gap = F.round(D.months_between(F.col("input_date"), F.col("event_date")), 1)
     conflict = F.coalesce(D.months_between(F.col("claim_date"), F.col("event_date")) >= cfg.months, F.lit(False))

@@ -333,7 +333,7 @@ def grid_search_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Each fold's document frequencies are those of all rows minus the fold's; naive Bayes on TF-IDF sums, with smoothed priors.
-GRID_NB = f"""
+GRID_NB = rf"""
 WITH {_L}, r AS (SELECT doc_id AS doc, (label = 'fake')::INT AS y, (row_number() OVER (PARTITION BY label ORDER BY sha1(doc_id::VARCHAR || ':42'), doc_id) % 5)::INT AS fold,
   strip_accents(lower(trim(string_split(coalesce(text, ''), chr(10))[1] || chr(10) || coalesce(text, '')))) AS low FROM l),
 w AS (SELECT doc, regexp_extract_all(low, '[\p{{L}}\p{{N}}_]{{2,}}') AS u FROM r),

@@ -40,12 +40,13 @@ NUMBERED = f"WITH {_OWN} SELECT 'welfake_' || doc_id AS id, title, CASE quality
 
 
 def source_paired_news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _own(spark, sf_dir).select("quality", "title", "text", F.col("lang").alias("subject"), F.lit("Dec 31, 2017").alias("date"))
-    paths = [_csv(own.filter(F.col("quality") == q).drop("quality"), shared_dir(spark)) for q in (1, 0)]
-    return _short(R.paired_news(spark, *paths), "title", "label", "date", F.get_json_object("meta", "$.subject").alias("subject"))
+    own = _own(spark, sf_dir).select("doc_id", "quality", "title", "text", F.col("lang").alias("subject"), F.lit("Dec 31, 2017").alias("date"))
+    in_order = lambda q: own.filter(F.col("quality") == q).repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").drop("quality", "doc_id")  # noqa: E731 - three files
+    paths = [_csv(in_order(q), shared_dir(spark)) for q in (1, 0)]
+    return _short(R.paired_news(spark, *paths), "id", "title", "label", "date", F.get_json_object("meta", "$.subject").alias("subject"))
 
 
-PAIRED = f"WITH {_OWN} SELECT title, CASE quality WHEN 1 THEN 'real' ELSE 'fake' END AS label, '2017-12-31' AS date, lang AS subject, sha1(text) AS text_sha1 FROM o"
+PAIRED = f"WITH {_OWN} SELECT 'isot_' || CASE quality WHEN 1 THEN 'real_' ELSE 'fake_' END || (row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1) AS id, title, CASE quality WHEN 1 THEN 'real' ELSE 'fake' END AS label, '2017-12-31' AS date, lang AS subject, sha1(text) AS text_sha1 FROM o"
 _SIX = list(SIX_TO_FIVE)
 
 
@@ -143,7 +144,10 @@ LOG = f"WITH {_OWN} SELECT doc_id, quality, CASE WHEN doc_id % 3 < 2 THEN 'done'
 def sink_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cache of answers, updated, and looked up by the hash of source and question."""
     e = table(spark, sf_dir, "events").select(F.sha1(F.concat(F.lit("web|"), F.col("user_id").cast("string"))).alias("key"), F.when(F.col("event_type") != "error", F.col("event_id").cast("string")).alias("value"), F.col("event_id").cast("double").alias("created"))
-    cache = S.upserted(e.filter("created < 0"), e)
+    path = shared_dir(spark)
+    for third in range(3):
+        S.cache_upsert(e.filter(F.col("created").cast("long") % 3 == third), path, 16, 2)
+    cache = S.cache_read(spark, path)
     users = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("query")).distinct().unionByName(spark.createDataFrame([("nobody",)], "query string"))
     return R.cache_lookup(users, cache, "web").select("query", "value")
 

@@ -102,6 +102,20 @@ def minhash_lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.lsh_candidates(P.minhash(own, "doc_id"))
 
 
+def near_copy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of near copies (0.8) by MinHash bands that miss a pair with a chance under one in a hundred thousand."""
+    found = P.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", 0.8, 0.99999, 256)
+    return found.select(F.col("pos").alias("doc_id"), "class_id")
+
+
+GROUPS = f"""
+WITH RECURSIVE {_PAIRS}, e AS MATERIALIZED (SELECT a, b FROM p WHERE jaccard >= 0.8 UNION SELECT b, a FROM p WHERE jaccard >= 0.8), r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY {_KEY.format('text')}) AS first FROM documents WHERE {_KEY.format('text')} <> ''),
+x AS (SELECT k.doc_id, g.label AS class_id FROM k JOIN (SELECT a, min(b) AS label FROM r GROUP BY a) g ON g.a = k.first)
+SELECT doc_id, class_id FROM x QUALIFY count(*) OVER (PARTITION BY class_id) > 1
+"""
+
+
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.stratified_split(_labelled(spark, sf_dir).select("doc_id", "label"), "label", "doc_id").select("doc_id", "label", "split")
 
@@ -351,9 +365,9 @@ def claimreview_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", H.review(F.col("html")).alias("r")).select("page_id", "r.*")
 
 
-QUERIES = {f.__name__: f for f in (unify_documents, clean_drop_accounting, normalised_text, exact_dedup, near_dup_pairs, near_dedup_greedy, minhash_lsh_candidates, stratified_split, split_report, cross_split_overlap, balanced_sample, class_topup, corpus_difference, token_counts, style_features, shingle_counts, html_title_text, english_filter, ptb_detok, rating_labels, artefact_strip, artefact_counts, artefact_shares, title_strip, claimreview_parse)}
+QUERIES = {f.__name__: f for f in (unify_documents, clean_drop_accounting, normalised_text, exact_dedup, near_dup_pairs, near_dedup_greedy, minhash_lsh_candidates, near_copy_groups, stratified_split, split_report, cross_split_overlap, balanced_sample, class_topup, corpus_difference, token_counts, style_features, shingle_counts, html_title_text, english_filter, ptb_detok, rating_labels, artefact_strip, artefact_counts, artefact_shares, title_strip, claimreview_parse)}
 ORACLES = {
-    "unify_documents": UNIFY, "clean_drop_accounting": ACCOUNT, "normalised_text": NORMALISED, "exact_dedup": EXACT, "near_dup_pairs": PAIRS, "near_dedup_greedy": GREEDY, "stratified_split": SPLIT, "split_report": REPORT,
+    "unify_documents": UNIFY, "clean_drop_accounting": ACCOUNT, "normalised_text": NORMALISED, "exact_dedup": EXACT, "near_dup_pairs": PAIRS, "near_dedup_greedy": GREEDY, "near_copy_groups": GROUPS, "stratified_split": SPLIT, "split_report": REPORT,
     "cross_split_overlap": OVERLAP, "balanced_sample": BALANCED, "class_topup": TOPUP, "corpus_difference": DIFFERENCE, "token_counts": TOKENS, "style_features": STYLE, "shingle_counts": SHINGLES, "html_title_text": HTML,
     "english_filter": ENGLISH, "ptb_detok": PTB, "rating_labels": RATINGS, "title_strip": TITLES,
     "artefact_strip": STRIPPED, "artefact_counts": COUNTS, "artefact_shares": SHARES,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexforge.functions import text as X
 from lexforge.operators import prep as P
+from lexforge.operators import sentences as N
 from lexforge.plans.analysis import _L, _N, _PRED, _TOK, _docs, _labelled, _predicted
 from lexforge.plans.preparation import _KEY, _SPLIT, stratified_split
 from lexforge.session import table
@@ -214,8 +215,33 @@ SELECT split, count(*) AS rows, count(*) FILTER (u IN (SELECT u FROM txt WHERE s
 """
 
 
-QUERIES = {f.__name__: f for f in (classifier_input, id_numbers, quotable_sentences, date_statistics, yearly_wide, large_groups, numbers_per_thousand, distinct_counts, evidence_coverage, why_missed, single_class_sources, raw_texts_by_id, leak_terms, search_queries, string_predicates, distinct_pairs, stratified_subset, sign_agreement, near_across_splits)}
+def abbreviation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each word stands before a full stop, and how sure an abbreviation it is."""
+    found = N.abbreviation_scores(N.word_stops(table(spark, sf_dir, "documents")))
+    return found.select("word", "stops", "plain", (F.round("score", 4) + F.lit(0.0)).alias("score"))
+
+
+ABBREVIATIONS = rf"""
+WITH t AS (SELECT regexp_replace(regexp_replace(unnest(regexp_extract_all(lower(coalesce(text, '')), '[^ 	
+
+]+')), '^[("''\[]+', ''), '[)"''\],;:!?]+$', '') AS t FROM documents),
+w AS (SELECT CASE WHEN t LIKE '%.' THEN t[:-2] ELSE t END AS word, (t LIKE '%.')::INT AS s FROM t WHERE t NOT IN ('', '.')), c AS (SELECT word, sum(s)::BIGINT AS stops, sum(1 - s)::BIGINT AS plain FROM w WHERE regexp_matches(word, '^[a-z]') GROUP BY word),
+a AS (SELECT sum(stops)::DOUBLE / sum(stops + plain) AS p FROM c), l AS (SELECT *, length(replace(word, '.', ''))::DOUBLE AS letters FROM c WHERE stops > 0)
+SELECT word, stops, plain, round(CASE WHEN letters > 0 THEN 2 * (stops * (ln({N.ALWAYS}::DOUBLE) - ln(p)) + plain * (ln(1 - {N.ALWAYS}::DOUBLE) - ln(1 - p))) * exp(-letters) * (length(word) - letters + 1) * pow(letters, -plain) ELSE 0 END, 4) + 0.0::DOUBLE AS score FROM l, a
+"""
+
+
+def claim_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of all documents by the corpus's own abbreviations, and how many of them may be claims."""
+    rows = N.sentence_rows(table(spark, sf_dir, "documents"), "doc_id")
+    claims = N.claims_of(rows).groupBy("key").agg(F.count("*").alias("n_claims")).withColumnRenamed("key", "k")
+    own = rows.groupBy("key").agg(F.count("*").alias("n_sentences"), F.count_if("skipped").alias("n_skipped"), F.max(F.length("sentence")).cast("long").alias("longest"))
+    return own.join(claims, F.col("key") == F.col("k"), "left").select(F.col("key").alias("doc_id"), "n_sentences", "n_skipped", F.coalesce("n_claims", F.lit(0)).alias("n_claims"), "longest")
+
+
+QUERIES = {f.__name__: f for f in (classifier_input, id_numbers, quotable_sentences, date_statistics, yearly_wide, large_groups, numbers_per_thousand, distinct_counts, evidence_coverage, why_missed, single_class_sources, raw_texts_by_id, leak_terms, search_queries, string_predicates, distinct_pairs, stratified_subset, sign_agreement, near_across_splits, abbreviation_counts, claim_sentences)}
 ORACLES = {
+    "abbreviation_counts": ABBREVIATIONS,
     "classifier_input": INPUT, "id_numbers": NUMBERS, "quotable_sentences": SENTENCES, "date_statistics": DATES, "yearly_wide": YEARLY, "large_groups": LARGE, "numbers_per_thousand": RATE, "distinct_counts": DISTINCT,
     "evidence_coverage": COVERAGE, "why_missed": MISSED, "single_class_sources": ONE_CLASS, "raw_texts_by_id": RAW, "leak_terms": LEAKS, "search_queries": QUERIES_SQL, "string_predicates": PREDICATES,
     "distinct_pairs": PAIRS, "stratified_subset": SUBSET, "sign_agreement": SIGNS, "near_across_splits": ACROSS,

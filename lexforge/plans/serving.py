@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from lexforge.functions import artefacts as A
 from lexforge.operators import features as T
+from lexforge.operators import index as I
 from lexforge.operators import serving as S
 from lexforge.plans.preparation import _LETTERS, STEPS_SQL
 from lexforge.session import table
@@ -76,5 +78,21 @@ def lime_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", S.lime_key(F.col("text"), model, "fake").alias("key")).join(found, "key").select("doc_id", "rank", "word", F.round("weight", 4).alias("weight"))
 
 
-QUERIES = {f.__name__: f for f in (cross_dataset_matrix, batch_p_fake, lime_words)}
-ORACLES = {"cross_dataset_matrix": MATRIX, "batch_p_fake": BATCH}
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest others of every fiftieth vector, by an index."""
+    rows = table(spark, sf_dir, "embeddings")
+    index = I.built(rows, key="vec_id")
+    found = I.search(index, rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 6)
+    again = W.Window.partitionBy("query_id").orderBy("rank")
+    return found.filter("query_id <> record_id").withColumn("place", F.row_number().over(again)).filter("place <= 5").select("query_id", "record_id", "cosine", F.col("place").cast("long").alias("rank"))
+
+
+INDEX_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), u AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS n FROM v),
+s AS (SELECT q.vec_id AS query_id, d.vec_id AS record_id, round(list_inner_product(q.v, d.v) / (q.n * d.n), 6) AS cosine FROM u q JOIN u d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id)
+SELECT query_id, record_id, cosine, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, record_id) AS rank FROM s QUALIFY rank <= 5
+"""
+
+
+QUERIES = {f.__name__: f for f in (cross_dataset_matrix, batch_p_fake, lime_words, vector_index_topk)}
+ORACLES = {"cross_dataset_matrix": MATRIX, "batch_p_fake": BATCH, "vector_index_topk": INDEX_SQL}

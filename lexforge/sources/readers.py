@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from lexforge.functions.dates import parse_date
 from lexforge.schema import BINARY_TO_FIVE, BINARY_TO_THREE, SIX_TO_FIVE, SIX_TO_THREE, STANCES, align, duplicates, mapped, require, violations
+from lexforge.storage import materialize
 
 # Column names of the raw files.
 SIX_WAY = ["id", "label", "statement", "subject", "speaker", "speaker_job", "state", "party", "barely_true_counts", "false_counts", "half_true_counts", "mostly_true_counts", "pants_on_fire_counts", "context"]
@@ -30,6 +32,19 @@ def numbered_news(spark: SparkSession, path: str, name: str = "welfake") -> Data
     return align(out.withColumn("id", F.concat(F.lit(f"{name}_"), F.col("serial"))).withColumn("source_dataset", F.lit(name)))
 
 
+def with_positions(raw: DataFrame, name: str = "pos") -> DataFrame:
+    """raw, just read from files, with each row's place in the whole input, from 0: files in order of their names, blocks and rows in order inside.
+
+    Two passes: rows are written with the file and block they are from, then rows are counted by block, and a row's place is that in its block and the sizes
+    of the blocks before.
+    """
+    own = materialize(raw.select("*", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__m")))
+    blocks = own.groupBy("__f", "__b").agg(F.count("*").alias("__n"), F.min("__m").alias("__first"))  # a row for each block of a file
+    before = W.Window.orderBy("__f", "__b").rowsBetween(W.Window.unboundedPreceding, -1)
+    offsets = blocks.select("__f", "__b", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return own.join(offsets, ["__f", "__b"]).withColumn(name, F.col("__before") + F.col("__m") - F.col("__first")).drop("__f", "__b", "__m", "__first", "__before")
+
+
 def paired_news(spark: SparkSession, real: str, fake: str, name: str = "isot") -> DataFrame | None:
     """Two CSV files whose name is the label; ids are row positions. None if a file is missing."""
     parts = []
@@ -38,7 +53,7 @@ def paired_news(spark: SparkSession, real: str, fake: str, name: str = "isot") -
             raw = _csv(spark, path, "title string, text string, subject string, date string")
         except AnalysisException:
             return None
-        rows = raw.select("*", F.monotonically_increasing_id().alias("__p"))
+        rows = with_positions(raw, "__p")
         parts.append(rows.withColumn("label", F.lit(label)).withColumn("id", F.concat(F.lit(f"{name}_{label}_"), F.col("__p"))))
     both = _binary(parts[0].unionByName(parts[1]), F.col("label"))
     return align(both.withColumns({"date": parse_date(F.col("date")).cast("string"), "source_dataset": F.lit(name), "meta": F.to_json(F.struct("subject"))}))
@@ -73,7 +88,8 @@ def claim_lines(spark: SparkSession, path: str, name: str = "fever") -> DataFram
 
 def gold_evidence(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(id, label, pages, text): the first occurrence of each claim; distinct pages joined by a bar."""
-    raw = spark.read.schema("original_id long, label string, evidence array<array<string>>").json(paths).select("*", F.monotonically_increasing_id().alias("pos"))
+    raw = spark.read.schema("original_id long, label string, evidence array<array<string>>").json(paths)
+    raw = with_positions(raw)
     first = raw.groupBy("original_id").agg(F.min_by(F.struct("label", "evidence"), "pos").alias("x"))
     pages = F.array_join(F.array_distinct(F.transform("x.evidence", lambda e: F.get(e, F.lit(0)))), "|")
     return first.select(F.col("original_id").alias("id"), F.col("x.label").alias("label"), pages.alias("pages"), F.array_join(F.transform("x.evidence", lambda e: F.get(e, F.lit(2))), " ").alias("text"))

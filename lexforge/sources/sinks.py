@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexforge.storage import delete_path
+
 
 def corpus(df: DataFrame, path: str) -> None:
     """Parquet in partitions of data set and split, each file sorted by id."""
@@ -31,6 +33,51 @@ def upserted(cache: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("key").agg(F.max_by(F.struct("value", "created"), "created").alias("x")).select("key", "x.*")
 
 
+#: Buckets of a cache, and from how many versions of a bucket on it is written anew.
+BUCKETS, VERSIONS = 256, 4
+_CACHE = "key string, value string, created double"
+
+
+def cache_read(spark: SparkSession, path: str) -> DataFrame:
+    """(key, value, created, bucket): each key's latest entry, merged on reading. An empty frame if nothing was written."""
+    if not _folders(spark, path):
+        return spark.createDataFrame([], f"{_CACHE}, bucket int")
+    rows = spark.read.schema(f"{_CACHE}, v long, bucket int").parquet(path)
+    return rows.groupBy("bucket", "key").agg(F.max_by(F.struct("value", "created"), F.struct("created", "v")).alias("x")).select("key", "x.*", "bucket")
+
+
+def cache_upsert(new: DataFrame, path: str, buckets: int = BUCKETS, versions: int = VERSIONS) -> list[int]:
+    """Adds entries (key, value, created) to a cache, and returns the buckets that were written anew.
+
+    New entries go to files of their own, by hash buckets of the key, below a version's folder; nothing that is there is touched. A bucket that has
+    its versions-th version by then is merged, written as one and its older files are deleted; the others stay. Failures (null
+    values) are never stored. A writer that is lost leaves the old files, or old and new ones, which read alike.
+    """
+    spark = new.sparkSession
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")
+    version = max([v for v, _ in _folders(spark, path, "v=*")], default=-1) + 1
+    delta = new.filter(F.col("value").isNotNull() & F.col("key").isNotNull()).select("key", "value", "created", bucket.alias("bucket"))
+    delta.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/v={version}")
+    held: dict[int, list[int]] = {}
+    for v, b in _folders(spark, path):
+        held.setdefault(b, []).append(v)
+    full = sorted(b for b, vs in held.items() if version in vs and len(vs) >= versions)
+    if full:
+        merged = cache_read(spark, path).filter(F.col("bucket").isin(full))
+        merged.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/v={version + 1}")
+        for b in full:
+            for v in held[b]:
+                delete_path(spark, f"{path}/v={v}/bucket={b}")
+    return full
+
+
+def _folders(spark: SparkSession, path: str, below: str = "v=*/bucket=*") -> list[tuple[int, int | None]]:
+    """(version, bucket) of a cache's folders."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{below}")
+    found = [s.getPath().toString().split("/") for s in pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []]
+    return [(int(p[-2][2:]), int(p[-1][7:])) if p[-1].startswith("bucket=") else (int(p[-1][2:]), None) for p in found]
+
+
 def markdown(df: DataFrame, digits: int = 4, most: int = 1000) -> str:
     """A small frame, of most rows at most, as a Markdown table."""
     rows = df.take(most + 1)
