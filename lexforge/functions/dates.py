@@ -13,8 +13,13 @@ def parse_date(text: Column) -> Column:
     """The first format that fits, ISO dates by their first ten characters; null otherwise."""
     t = F.trim(text)
     iso = F.when(t.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.try_to_timestamp(F.substring(t, 1, 10), F.lit("yyyy-MM-dd")))
-    rest = [F.try_to_timestamp(t, F.lit(f)) for f in FORMATS[1:]]
-    return F.coalesce(iso, *rest).cast("date")
+    return F.coalesce(iso.cast("date"), *[_in_format(t, f) for f in FORMATS[1:]])
+
+
+def _in_format(text: Column, form: str) -> Column:
+    """A date in a format; years of two digits are from 1969 to 2068."""
+    d = F.try_to_timestamp(text, F.lit(form)).cast("date")
+    return F.when(F.year(d) > 2068, F.add_months(d, -1200)).otherwise(d) if form.endswith("-yy") else d
 
 
 def months_between(later: Column, earlier: Column) -> Column:

@@ -124,6 +124,11 @@ def without_stopwords(words: Column) -> Column:
     return F.filter(words, lambda w: ~w.isin(STOPWORDS))
 
 
+def telling(words: Column) -> Column:
+    """Words without function words, numbers and words of two letters or fewer."""
+    return F.filter(words, lambda w: ~w.isin(STOPWORDS) & (F.length(w) > 2) & ~w.rlike("^[0-9_]+$"))
+
+
 def ngrams(words: Column, n: int) -> Column:
     def of(w: Column) -> Column:
         runs = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
@@ -144,6 +149,17 @@ def style(text: Column) -> dict[str, Column]:
     }
 
 
+def capital_share(title: Column) -> Column:
+    """The share of capitals among the letters of A to Z."""
+    return F.regexp_count(title, F.lit("[A-Z]")) / F.greatest(F.regexp_count(title, F.lit("[A-Za-z]")), F.lit(1))
+
+
+def mostly_capitals(title: Column) -> Column:
+    """Whether half the letters or more are capitals; no letters, no capitals."""
+    letters = F.regexp_count(title, F.lit("[A-Za-z]"))
+    return (letters > 0) & (2 * F.regexp_count(title, F.lit("[A-Z]")) >= letters)
+
+
 def flesch(tokens: Column, sents: Column, syllables: Column) -> Column:
     one = F.lit(1)
     return F.lit(206.835) - F.lit(1.015) * (tokens / F.greatest(sents, one)) - F.lit(84.6) * (syllables / F.greatest(tokens, one))

@@ -72,6 +72,12 @@ def argmax_stance(supports: Column, refutes: Column, neutral: Column) -> Column:
     return F.when(supports == top, "SUPPORTS").when(refutes == top, "REFUTES").otherwise("NEUTRAL")
 
 
+def softmax(logits: Column) -> Column:
+    """Probabilities of logits, as an array."""
+    shifted = lambda x: F.transform(x, lambda z: F.exp(z - F.array_max(x)))
+    return F.transform(shifted(logits), lambda e: e / F.aggregate(shifted(logits), F.lit(0.0), lambda a, y: a + y))
+
+
 # ---- temporal
 
 

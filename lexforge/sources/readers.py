@@ -153,3 +153,32 @@ def cache_lookup(keys: DataFrame, cache: DataFrame, source: str) -> DataFrame:
     """keys (query) with value of the cache, whose key is a hash of source and query; null is a miss."""
     own = keys.withColumn("key", F.sha1(F.concat(F.lit(f"{source}|"), F.col("query"))))
     return own.join(cache.select("key", "value"), "key", "left")
+
+
+REVIEW = "struct<publisher: struct<name: string>, url: string, reviewDate: string, textualRating: string>"
+
+
+def factcheck_answers(spark: SparkSession, path: str) -> DataFrame:
+    """(query, claim_no, claim, publisher, url, date, rating) of a fact-check service's answers as JSON lines: of each claim the first review, if it has one."""
+    raw = spark.read.schema(f"query string, claims array<struct<text: string, claimReview: array<{REVIEW}>>>").json(path)
+    each = raw.select("query", F.posexplode("claims").alias("p", "c")).select("query", (F.col("p") + 1).alias("claim_no"), F.col("c.text").alias("claim"), F.explode(F.slice("c.claimReview", 1, 1)).alias("r"))
+    return each.select("query", "claim_no", "claim", F.col("r.publisher.name").alias("publisher"), "r.url", F.substring("r.reviewDate", 1, 10).alias("date"), F.col("r.textualRating").alias("rating"))
+
+
+def settings(spark: SparkSession, path: str) -> DataFrame:
+    """(name, value) of a configuration file of "name: value" lines: sections are joined to their names by a dot, comments and empty lines go.
+
+    Such files are written by people and small; their lines are kept in order by the reader's one task.
+    """
+    lines = [r[0] for r in spark.read.text(path).coalesce(1).collect()]
+    rows, section = [], ""
+    for line in lines:
+        bare = line.split("#")[0].rstrip()
+        name, colon, value = bare.strip().partition(":")
+        if not colon:
+            continue
+        if not value.strip():
+            section = name.strip()
+        else:
+            rows.append((f"{section}.{name.strip()}" if section and line[:1] in " \t" else name.strip(), value.strip().strip("\"'")))
+    return spark.createDataFrame(rows, "name string, value string")
