@@ -20,7 +20,7 @@ from lexforge.operators import retrieve as R
 from lexforge.operators import verify as V
 from lexforge.storage import materialize
 
-TOP_CLAIMS, TEXT_CHARS, TITLE_CHARS, SAME_CLAIM, MIN_COSINE, INDEX_HITS = 5, 20_000, 1000, 0.85, 0.55, 5
+TOP_CLAIMS, TEXT_CHARS, TITLE_CHARS, SAME_CLAIM, MIN_COSINE, INDEX_HITS, BODY_CHARS = 5, 20_000, 1000, 0.85, 0.55, 5, 2000
 
 
 def health(spark: SparkSession) -> DataFrame:
@@ -79,6 +79,18 @@ def assign_stance(evidence: DataFrame, cfg: V.Fusion) -> DataFrame:
     return V.stance_override(own, cfg).drop("s")
 
 
+def headline_mismatch(inputs: DataFrame, cfg: V.Fusion | None = None, key: str = "input_id") -> DataFrame:
+    """(key, mismatch_headline, mismatch_p) of the inputs that have both a title and a text: whether the text's beginning refutes its own title.
+
+    Stance is scored once a row, and written: later expressions read its probabilities instead of scoring again.
+    """
+    title, body = (F.trim(F.coalesce(c, F.lit(""))) for c in ("title", "text"))
+    both = inputs.select(key, title.alias("title"), body.alias("text")).filter("title <> '' AND text <> ''")
+    scored = materialize(both.select(key, "title", "text", C.scorer("stance")(F.substring("text", 1, BODY_CHARS), F.col("title")).alias("s")))
+    flag, p = V.mismatch_headline(F.col("title"), F.col("text"), F.col("s"), cfg)
+    return scored.select(key, flag.alias("mismatch_headline"), p.alias("mismatch_p"))
+
+
 def analyze(inputs: DataFrame, index: DataFrame, cfg: V.Fusion | None = None, excluded: DataFrame | None = None, use_evidence: bool = True, use_temporal: bool = True, use_classifier: bool = True, least: float = MIN_COSINE) -> DataFrame:
     """A verdict for each input (input_id, input_type, title, text, url, published): rule, verdict, confidence, explanation, uncertainty, signals."""
     cfg = cfg or V.Fusion()
@@ -105,11 +117,11 @@ def analyze(inputs: DataFrame, index: DataFrame, cfg: V.Fusion | None = None, ex
     out = own.join(main, "input_id", "left").join(per_input, "input_id", "left")
     for part in (summary, check, others, V.out_of_context(places, ["input_id"])):
         out = out.join(part, "input_id", "left")
-    out = V.temporal(out, main_ev, ["input_id"], cfg)
+    out = V.temporal(out, main_ev, ["input_id"], cfg).join(headline_mismatch(own, cfg), "input_id", "left")
     flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if use_temporal else F.lit(False)
-    out = out.withColumns({"old_news": flag("old_news"), "out_of_context": flag("out_of_context"), "mismatch_headline": F.lit(False), "mismatch_p": F.lit(None).cast("double")}).na.fill(0, ["n_sup", "n_ref", "n_neu", "n_1"]).na.fill("", ["sup_sources", "ref_sources"])
+    out = out.withColumns({"old_news": flag("old_news"), "out_of_context": flag("out_of_context"), "mismatch_headline": flag("mismatch_headline"), "mismatch_p": F.when(F.lit(use_temporal), F.col("mismatch_p"))}).na.fill(0, ["n_sup", "n_ref", "n_neu", "n_1"]).na.fill("", ["sup_sources", "ref_sources"])
     fused = V.fuse(out.withColumns(cfg.columns()))
-    return V.uncertainty(V.explanation(V.reason(fused))).select("input_id", "rule", "verdict", "confidence", V.confidence_band(F.col("confidence")).alias("band"), "main_stance", "s_1", "e_1", "n_sup", "n_ref", "p_fake", "old_news", "gap_months", "reason", "explanation", "uncertainty")
+    return V.uncertainty(V.explanation(V.reason(fused))).select("input_id", "rule", "verdict", "confidence", V.confidence_band(F.col("confidence")).alias("band"), "main_stance", "s_1", "e_1", "n_sup", "n_ref", "p_fake", "old_news", "gap_months", "mismatch_headline", "mismatch_p", "reason", "explanation", "uncertainty")
 
 
 def explain(text: DataFrame, key: str, p_fake=None, words: int = 60) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from lexforge.functions import html as H
+from lexforge.functions import scorers as C
 from lexforge.functions import text as X
 from lexforge.functions.dates import FORMATS, parse_date, years_named
 from lexforge.operators import features as T
@@ -14,6 +15,7 @@ from lexforge.operators import orderstats as O
 from lexforge.operators import reports as P
 from lexforge.operators import serving as S
 from lexforge.operators import verify as V
+from lexforge.plans import engine
 from lexforge.plans.preparation import _LETTERS
 from lexforge.plans.serving import _LABELLED, _WORDS, _labelled
 from lexforge.session import table
@@ -256,8 +258,29 @@ UNION ALL SELECT 'mean length', label, round(avg(n), 6) FROM d GROUP BY label UN
 UNION ALL SELECT 'sources', label, count(DISTINCT source) FROM d GROUP BY label UNION ALL SELECT 'single-class sources', 'all', count(*) FROM (SELECT source FROM d GROUP BY source HAVING count(DISTINCT label) = 1)
 """
 
-QUERIES = {f.__name__: f for f in (live_claim_faults, dates_read, scale_ratings, stance_of_logits, agreement_report, run_report, top_errors, title_capitals, telling_terms, factcheck_answers, published_dates, settings_file, json_logs, corpus_summary)}
+def headline_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the text below a document's first line refutes that line."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), _LETTERS, "x")
+    title = F.split_part(text, F.lit("\n"), F.lit(1))
+    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("input_id"), F.concat(title, F.when(F.col("doc_id") % 3 == 0, " never").otherwise("")).alias("title"), text.alias("text"))
+    found = engine.headline_mismatch(own)
+    return found.select(F.col("input_id").alias("doc_id"), "mismatch_headline", "mismatch_p")
+
+
+_NEGATIONS = ", ".join(f"'{x}'" for x in C.NEGATIONS)
+_DISTINCT = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]{{2,}}'))"
+_CONTENT = f"list_filter({{}}, lambda x: x NOT IN ({_STOPS}, {_NEGATIONS}))"
+MISMATCH = f"""
+WITH x AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_LETTERS}', 'x', 'g') AS t FROM documents), y AS (SELECT doc_id, trim(string_split(t, chr(10))[1] || CASE WHEN doc_id % 3 = 0 THEN ' never' ELSE '' END, ' ') AS title, trim(t, ' ') AS body FROM x),
+w AS (SELECT doc_id, title, body, {_DISTINCT.format('body[1:2000]')} AS p, {_DISTINCT.format('title')} AS c FROM y WHERE title <> '' AND body <> ''),
+s AS (SELECT *, CASE WHEN len({_CONTENT.format('c')}) = 0 THEN 0 ELSE len(list_intersect({_CONTENT.format('p')}, {_CONTENT.format('c')})) / len({_CONTENT.format('c')})::DOUBLE END AS share,
+  (len(list_filter(p, lambda x: x IN ({_NEGATIONS}))) > 0) <> (len(list_filter(c, lambda x: x IN ({_NEGATIONS}))) > 0) AS turned FROM w),
+z AS (SELECT *, CASE WHEN share >= 0.5 THEN share * 0.9::DOUBLE ELSE share * 0.4::DOUBLE END AS sides FROM s), r AS (SELECT *, turned AND sides > 0.05 AND sides >= greatest(0.95::DOUBLE - sides, 0) AND title <> body AS refuted FROM z)
+SELECT doc_id, refuted AND sides >= {V.Fusion().mismatch_p} AS mismatch_headline, CASE WHEN refuted THEN round(sides, 4) END AS mismatch_p FROM r
+"""
+
+QUERIES = {f.__name__: f for f in (live_claim_faults, dates_read, scale_ratings, stance_of_logits, agreement_report, run_report, top_errors, title_capitals, telling_terms, factcheck_answers, published_dates, settings_file, json_logs, corpus_summary, headline_mismatches)}
 ORACLES = {
     "live_claim_faults": LIVE, "dates_read": DATES, "scale_ratings": SCALES, "stance_of_logits": LOGITS, "agreement_report": AGREEMENT, "run_report": RUNS, "top_errors": TOP_ERRORS, "title_capitals": CAPITALS, "telling_terms": TELLING,
-    "factcheck_answers": ANSWERS, "published_dates": PUBLISHED, "settings_file": SETTINGS, "json_logs": LOGS, "corpus_summary": SUMMARY,
+    "factcheck_answers": ANSWERS, "published_dates": PUBLISHED, "settings_file": SETTINGS, "json_logs": LOGS, "corpus_summary": SUMMARY, "headline_mismatches": MISMATCH,
 }

@@ -399,6 +399,19 @@ def test_analyze(spark):
     assert engine.explain(spark.createDataFrame([(1, "WOW!!! this is PLAIN")], "id int, text string"), "id").count() == 4
 
 
+def test_headline_mismatch_in_analyze(spark):
+    from lexforge.plans import engine
+
+    title = "The minister approved the new bridge over the river"
+    rows = [(1, "article", title, "The minister never approved the new bridge over the river. Officials confirmed that.", None, None), (2, "article", title, "The minister approved the new bridge over the river.", None, None), (3, "article", title, None, None, None), (4, "article", title, title, None, None)]
+    inputs = spark.createDataFrame(rows, "input_id long, input_type string, title string, text string, url string, published string")
+    index = spark.createDataFrame([(1, "Nothing of the kind", None, "https://reuters.com/a", "r", "2020-03-01")], "record_id long, text string, rating string, url string, source string, date string")
+    got = {r["input_id"]: (r["mismatch_headline"], r["mismatch_p"]) for r in engine.analyze(inputs, index).collect()}
+    assert got[1] == (True, 0.9) and got[2] == got[3] == got[4] == (False, None)
+    off = engine.analyze(inputs, index, use_temporal=False).filter("input_id = 1").first()
+    assert (off["mismatch_headline"], off["mismatch_p"]) == (False, None)
+
+
 def test_claims(spark):
     from lexforge.plans import engine
 
