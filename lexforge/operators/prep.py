@@ -144,6 +144,23 @@ def lsh_candidates(signatures: DataFrame, bands: int = 5, rows: int = 25) -> Dat
     return a.join(b, "band").filter("a < b").select("a", "b").distinct()
 
 
+def prepared(df: DataFrame, pos: str, text: str = "text", min_tokens: int = MIN_TOKENS, threshold: float = NEAR) -> tuple[DataFrame, DataFrame]:
+    """The rows that cleaning, exact and near removal leave, with normalised text, and (step, dropped, rows) of the steps in order: what each drops and leaves.
+
+    Each step's rows are written once; a step counts what its predecessor left.
+    """
+    flags = materialize(clean_flags(df, text, min_tokens))
+    clean = flags.filter("drop_reason IS NULL").drop("drop_reason")
+    single = materialize(drop_exact(clean, pos, text))
+    near = materialize(greedy_drops(near_pairs(single, pos, text, threshold)))
+    kept = single.join(near.withColumnRenamed("pos", pos), pos, "left_anti")
+    cells = flags.agg(F.count("*").alias("i"), F.count_if(F.col("drop_reason") == "empty").alias("e"), F.count_if(F.col("drop_reason") == "short").alias("s"))
+    counts = cells.crossJoin(single.agg(F.count("*").alias("x"))).crossJoin(near.agg(F.count("*").alias("n")))  # one row each
+    step = lambda k, name, dropped, rows: F.struct(F.lit(k).alias("k"), F.lit(name).alias("step"), F.expr(dropped).cast("long").alias("dropped"), F.expr(rows).cast("long").alias("rows"))
+    lines = F.array(step(0, "in", "0", "i"), step(1, "empty", "e", "i - e"), step(2, "short", "s", "i - e - s"), step(3, "exact", "i - e - s - x", "x"), step(4, "near", "n", "x - n"), step(5, "out", "0", "x - n"))
+    return kept, counts.select(F.explode(lines).alias("l")).select("l.step", "l.dropped", "l.rows")
+
+
 # ---- near duplicates by MinHash, without pairs
 
 PERMUTATIONS, RECALL = 128, 0.9

@@ -102,6 +102,24 @@ def minhash_lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.lsh_candidates(P.minhash(own, "doc_id"))
 
 
+def preparation_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole preparation, step by step: rows in, empty, short, exact copies, near copies (0.8), rows out."""
+    return P.prepared(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", threshold=0.8)[1]
+
+
+_KEPT = f"""
+t AS (SELECT doc_id, {_NORM} AS t FROM documents), f AS (SELECT doc_id, t, CASE WHEN t = '' THEN 'empty' WHEN {_N.format('t')} < 20 THEN 'short' END AS r FROM t),
+d AS (SELECT doc_id, string_split(k, ' ') AS w FROM (SELECT doc_id, {_KEY.format('t')} AS k FROM f WHERE r IS NULL QUALIFY row_number() OVER (PARTITION BY {_KEY.format('t')} ORDER BY doc_id) = 1)),
+s AS ("""
+STEPS = f"""
+WITH RECURSIVE {_KEPT}{_PAIRS.split('s AS (', 1)[1]},
+e AS MATERIALIZED (SELECT a, b FROM p WHERE jaccard >= 0.8), nb AS (SELECT b, list(a) AS js, row_number() OVER (ORDER BY b) AS i FROM e GROUP BY b),
+r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS gone UNION ALL SELECT nb.i, CASE WHEN len(list_filter(nb.js, lambda x: NOT list_contains(r.gone, x))) > 0 THEN list_append(r.gone, nb.b) ELSE r.gone END FROM r JOIN nb ON nb.i = r.i + 1),
+k AS (SELECT (SELECT count(*) FROM f) AS i, (SELECT count(*) FROM f WHERE r = 'empty') AS e, (SELECT count(*) FROM f WHERE r = 'short') AS s, (SELECT count(*) FROM d) AS x, (SELECT max(len(gone)) FROM r) AS n)
+SELECT 'in' AS step, 0::BIGINT AS dropped, i AS rows FROM k UNION ALL SELECT 'empty', e, i - e FROM k UNION ALL SELECT 'short', s, i - e - s FROM k UNION ALL SELECT 'exact', i - e - s - x, x FROM k UNION ALL SELECT 'near', n, x - n FROM k UNION ALL SELECT 'out', 0, x - n FROM k
+"""
+
+
 def near_copy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The groups of near copies (0.8) by MinHash bands that miss a pair with a chance under one in a hundred thousand."""
     found = P.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", 0.8, 0.99999, 256)
@@ -365,9 +383,9 @@ def claimreview_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", H.review(F.col("html")).alias("r")).select("page_id", "r.*")
 
 
-QUERIES = {f.__name__: f for f in (unify_documents, clean_drop_accounting, normalised_text, exact_dedup, near_dup_pairs, near_dedup_greedy, minhash_lsh_candidates, near_copy_groups, stratified_split, split_report, cross_split_overlap, balanced_sample, class_topup, corpus_difference, token_counts, style_features, shingle_counts, html_title_text, english_filter, ptb_detok, rating_labels, artefact_strip, artefact_counts, artefact_shares, title_strip, claimreview_parse)}
+QUERIES = {f.__name__: f for f in (unify_documents, clean_drop_accounting, normalised_text, exact_dedup, near_dup_pairs, near_dedup_greedy, minhash_lsh_candidates, near_copy_groups, preparation_steps, stratified_split, split_report, cross_split_overlap, balanced_sample, class_topup, corpus_difference, token_counts, style_features, shingle_counts, html_title_text, english_filter, ptb_detok, rating_labels, artefact_strip, artefact_counts, artefact_shares, title_strip, claimreview_parse)}
 ORACLES = {
-    "unify_documents": UNIFY, "clean_drop_accounting": ACCOUNT, "normalised_text": NORMALISED, "exact_dedup": EXACT, "near_dup_pairs": PAIRS, "near_dedup_greedy": GREEDY, "near_copy_groups": GROUPS, "stratified_split": SPLIT, "split_report": REPORT,
+    "unify_documents": UNIFY, "clean_drop_accounting": ACCOUNT, "normalised_text": NORMALISED, "exact_dedup": EXACT, "near_dup_pairs": PAIRS, "near_dedup_greedy": GREEDY, "near_copy_groups": GROUPS, "preparation_steps": STEPS, "stratified_split": SPLIT, "split_report": REPORT,
     "cross_split_overlap": OVERLAP, "balanced_sample": BALANCED, "class_topup": TOPUP, "corpus_difference": DIFFERENCE, "token_counts": TOKENS, "style_features": STYLE, "shingle_counts": SHINGLES, "html_title_text": HTML,
     "english_filter": ENGLISH, "ptb_detok": PTB, "rating_labels": RATINGS, "title_strip": TITLES,
     "artefact_strip": STRIPPED, "artefact_counts": COUNTS, "artefact_shares": SHARES,
