@@ -5,12 +5,13 @@ lengths, at most MAX_TOKENS cells whatever the corpus holds. Dynamic programming
 bounds so that the padding of all pieces to their bucket's bound is the least possible. Inside each bucket, pieces form
 batches of as many as the token budget holds when each is padded to the bound; batches() lays each out as a padded matrix.
 
-A piece's place in its bucket needs a running number over all pieces. The bucket is divided into SHARDS by a hash of the
-piece and its key; counts by (bucket, shard), at most BUCKETS x SHARDS rows, give each shard's offset, and rows are numbered
-inside their shard. No bucket and no key meets in one task, and the result does not depend on the partitioning.
+A piece's place in its bucket needs a running number over all pieces. Pieces are in order of length there, then of the task that cut them, then as
+they were cut: each task counts its pieces of each length as it goes, so that a number is put together from the histogram, the counts of earlier tasks
+by length, and that count. The ids stay where they were written; no bucket and no key meets in one task. Which of the pieces of one length are
+neighbours follows the input's partitions, all else does not.
 
 Defined cases: a null or empty text has one piece of no tokens in bucket 0 with no batch; null and shared keys are keys like
-others; equal rows get neighbouring places in either order; an empty table gives an empty table. Columns of docs beyond key
+others; equal rows are placed one by one; an empty table gives an empty table. Columns of docs beyond key
 and text aren't kept, so their names can't clash.
 """
 
@@ -28,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from lexforge.llm.common import materialize, parts_for, slices
+from lexforge.llm.common import materialize, slices
 
-MAX_TOKENS, BUCKETS, BATCH_TOKENS, SHARDS, SLICE_BYTES, PART_BYTES = 2048, 16, 32_768, 1024, 1 << 20, 32 << 20
+MAX_TOKENS, BUCKETS, BATCH_TOKENS, SLICE_BYTES = 2048, 16, 32_768, 1 << 20
+#: Offsets by length and task are broadcast up to so many rows; more are joined by an exchange.
+OFFSET_ROWS = 500_000
 
 
 def optimal_bounds(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int]:
@@ -79,11 +82,13 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
 
 
 def pieces(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """(key, piece, start, n_tokens, ids): consecutive pieces of each whole text."""
+    """(key, piece, start, n_tokens, ids, part, nth): consecutive pieces of each whole text; nth counts, from 0, those of as many tokens in its task, part."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path, pattern).encode_ordinary
+        from pyspark import TaskContext
+
+        encode, part, seen = encoding(path, pattern).encode_ordinary, TaskContext.get().partitionId(), np.zeros(max_tokens + 1, np.int64)
         for b in batches:
             texts = b.column(1)
             for low, end in slices([len(t.as_buffer()) if t.is_valid else 0 for t in texts], SLICE_BYTES):
@@ -95,33 +100,40 @@ def pieces(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
                 n = np.minimum(size[owner] - piece * max_tokens, max_tokens)
                 flat = np.concatenate(ids)
                 ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                columns = [b.column(0).take(pa.array(owner + low)), pa.array(piece.astype(np.int32)), pa.array(piece * max_tokens), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "piece", "start", "n_tokens", "ids"])
+                order = np.argsort(n, kind="stable")
+                nth = np.empty(len(n), np.int64)
+                nth[order] = np.arange(len(n)) - np.searchsorted(n[order], n[order])
+                nth += seen[n]
+                seen += np.bincount(n, minlength=max_tokens + 1)
+                columns = [b.column(0).take(pa.array(owner + low)), pa.array(piece.astype(np.int32)), pa.array(piece * max_tokens), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(np.full(len(n), part, np.int32)), pa.array(nth)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "piece", "start", "n_tokens", "ids", "part", "nth"])
 
-    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, f"key {kind}, piece int, start long, n_tokens long, ids array<int>")
+    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, f"key {kind}, piece int, start long, n_tokens long, ids array<int>, part int, nth long")
 
 
-def pack(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS, batch_tokens: int = BATCH_TOKENS, shards: int = SHARDS) -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS, batch_tokens: int = BATCH_TOKENS, offset_rows: int = OFFSET_ROWS) -> DataFrame:
     """(key, piece, start, n_tokens, bucket, padded_to, batch, place, ids): bucket from 1, batch from 0 inside the bucket."""
     cut = materialize(pieces(docs, path, pattern, key, text, max_tokens), compression="zstd")  # counted, then numbered: texts are read once
-    histogram = {r["n_tokens"]: r["n"] for r in cut.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}  # max_tokens + 1 rows at most
+    cells = materialize(cut.groupBy("n_tokens", "part").agg(F.count("*").alias("n")))
+    histogram = {r["n_tokens"]: r["n"] for r in cells.groupBy("n_tokens").agg(F.sum("n").alias("n")).collect()}  # max_tokens + 1 rows at most
     bounds = optimal_bounds(histogram, buckets)
     case = F.when(F.col("n_tokens") == 0, F.lit(0))
     limit = F.when(F.col("n_tokens") == 0, F.lit(0))
     for k, b in enumerate(bounds, 1):
         case, limit = case.when(F.col("n_tokens") <= b, F.lit(k)), limit.when(F.col("n_tokens") <= b, F.lit(b))
-    shard = F.pmod(F.xxhash64("key", "piece", "ids"), F.lit(shards)).cast("int")
-    placed = cut.withColumns({"bucket": case.cast("int"), "padded_to": limit.cast("long"), "shard": shard})
-    dealt = placed.repartition(parts_for(cut, PART_BYTES), "bucket", "shard")
-    counts = placed.groupBy("bucket", "shard").agg(F.count("*").alias("n"))
-    before = W.Window.partitionBy("bucket").orderBy("shard").rowsBetween(W.Window.unboundedPreceding, -1)
-    offsets = counts.select("bucket", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))  # shards rows a bucket
-    inside = W.Window.partitionBy("bucket", "shard").orderBy("key", "piece", "n_tokens", F.xxhash64("ids"))
-    numbered = dealt.withColumn("row", F.row_number().over(inside) - 1)
+    # a row's number in its bucket: the rows of fewer tokens there, those of as many in earlier tasks, and those before it in its own
+    first, shorter, ends = {}, 0, {0, *bounds}
+    for n in sorted(histogram):
+        first[n], shorter = shorter, shorter + histogram[n]
+        shorter = 0 if n in ends else shorter  # the next bucket
+    base = F.get(F.array(*[F.lit(first.get(n, 0)).cast("long") for n in range(max(histogram, default=0) + 1)]), F.col("n_tokens").cast("int"))
+    before = W.Window.partitionBy("n_tokens").orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
+    offsets = cells.select("n_tokens", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))  # a row for each task of one length
+    offsets = F.broadcast(offsets) if cells.count() <= offset_rows else offsets
+    placed = cut.join(offsets, ["n_tokens", "part"]).withColumns({"bucket": case.cast("int"), "padded_to": limit.cast("long"), "row": base + F.col("offset") + F.col("nth")})
     room = F.greatest(F.floor(F.lit(batch_tokens) / F.greatest(F.col("padded_to"), F.lit(1))), F.lit(1))
-    at = F.when(F.col("bucket") > 0, F.col("offset") + F.col("row"))
-    joined = numbered.join(F.broadcast(offsets), ["bucket", "shard"])  # buckets x shards rows at most
-    return joined.select("key", "piece", "start", "n_tokens", "bucket", "padded_to", F.floor(at / room).cast("long").alias("batch"), F.pmod(at, room).cast("long").alias("place"), "ids")
+    at = F.when(F.col("bucket") > 0, F.col("row"))
+    return placed.select("key", "piece", "start", "n_tokens", "bucket", "padded_to", F.floor(at / room).cast("long").alias("batch"), F.pmod(at, room).cast("long").alias("place"), "ids")
 
 
 def batches(packed: DataFrame, pad: int = -1) -> DataFrame:

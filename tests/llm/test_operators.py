@@ -433,7 +433,8 @@ def test_components_of_a_chain(spark):
 # ---- 8
 
 
-def test_packing(spark):
+@pytest.mark.parametrize("offset_rows", [packing.OFFSET_ROWS, 0])
+def test_packing(spark, offset_rows):
     r = random.Random(5)
     for _ in range(40):
         h = {r.randint(1, 30): r.randint(1, 9) for _ in range(r.randint(1, 9))}
@@ -446,7 +447,7 @@ def test_packing(spark):
     texts = [None, "", " ", *(" ".join(r.choices(("word", "é", "12 #", "\n"), k=r.randint(1, 90))) for _ in range(80)), "w " * 300, "w " * 300]
     keys = [None, None, *range(len(texts) - 4), 7, 7]
     df = frame(spark, texts, keys).selectExpr("1 AS piece", "doc_id", "2 AS key", "text", "3 AS ids")
-    packed = packing.pack(df, RANKS, public_tokenizers.PATTERN, max_tokens=64, buckets=5, batch_tokens=256, shards=4)
+    packed = packing.pack(df, RANKS, public_tokenizers.PATTERN, max_tokens=64, buckets=5, batch_tokens=256, offset_rows=offset_rows)
     got = packed.collect()
     want, bounds = brute.packed(list(zip(keys, texts, strict=True)), 64, 5, 256)
     assert sorted(map(repr, ((x["key"], x["piece"], x["start"], x["n_tokens"], x["bucket"], x["padded_to"], x["ids"]) for x in got))) == sorted(map(repr, want))
