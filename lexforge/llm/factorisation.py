@@ -12,6 +12,7 @@ only get scores. Labels, language, source and ids are never features.
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 import re
 import zlib
@@ -117,15 +118,32 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", ke
     return rows.join(F.broadcast(own), "key").select("text", "y")  # sample_rows thin rows at most
 
 
+def _training_features(rows: DataFrame) -> DataFrame:
+    """(order, name, y, slots, data) of rows (text, y): the features of a text, SLOTS at most, in place of the text itself; order and name put rows in an order of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                raw = [(t or "").encode() for t in part.column(0).to_pylist()]
+                own = [features(t) for t in part.column(0).to_pylist()]
+                columns = [pa.array([zlib.crc32(t) for t in raw], pa.int64()), pa.array([hashlib.sha1(t).hexdigest() for t in raw]), part.column(1)]
+                columns += [pa.array([s.astype(np.int32).tobytes() for s, _ in own], pa.binary()), pa.array([x.tobytes() for _, x in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["order", "name", "y", "slots", "data"])
+
+    return rows.select("text", "y").mapInArrow(run, "order long, name string, y int, slots binary, data binary")
+
+
 def fit(rows: DataFrame, epochs: int = EPOCHS) -> bytes | None:
-    """A pickled Machine fitted in one executor task on rows (text, y), which are bounded; None without rows."""
+    """A pickled Machine fitted in one executor task on rows (text, y), which are bounded, as are their features, whatever the texts; None without rows."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = sorted(range(len(pdf)), key=lambda k: (zlib.crc32((pdf["text"].iloc[k] or "").encode()), pdf["text"].iloc[k] or "", pdf["y"].iloc[k]))  # whatever way the rows came
-        machine = Machine().fit([features(pdf["text"].iloc[k]) for k in order], pdf["y"].to_numpy(float)[order], epochs)
+        pdf = pdf.sort_values(["order", "name", "y"])  # whatever way the rows came
+        own = [(np.frombuffer(s, np.int32).astype(np.int64), np.frombuffer(x)) for s, x in zip(pdf["slots"], pdf["data"], strict=True)]
+        machine = Machine().fit(own, pdf["y"].to_numpy(float), epochs)
         return pd.DataFrame({"model": [pickle.dumps((machine.w0, machine.w, machine.v))]})
 
-    found = rows.groupBy(F.lit(0).alias("one")).applyInPandas(run, "model binary").collect()
+    found = _training_features(rows).groupBy(F.lit(0).alias("one")).applyInPandas(run, "model binary").collect()
     return bytes(found[0]["model"]) if found else None
 
 

@@ -9,7 +9,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from lexforge.llm import balltree, decontamination, jaccard, resampling, secrets, substring, warc
+from lexforge.llm import balltree, decontamination, factorisation, jaccard, resampling, secrets, substring, warc
 from tests.llm import brute
 
 FOLDED = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -311,3 +311,30 @@ def test_secrets_of_hostile_runs(spark):
     assert [s for s in got[3] if s[1] == kinds["jwt"]] == [(1, kinds["jwt"], 33), (69, kinds["jwt"], 101), (102, kinds["jwt"], 134)]
     assert got[4] == [(0, kinds["pem"], len(dashes))]
     assert got[3] == brute.spans(texts[3]) and got[5] == brute.spans(texts[5])
+
+
+# ---- 9: scores against a plain version of the machine
+
+
+def test_factorisation_scores_are_those_of_all_pairs(spark):
+    import pickle
+
+    r = random.Random(12)
+    words = [f"w{k}" for k in range(30)]
+    texts = [None, "", " ".join(r.choices(words, k=3000)), *(" ".join(r.choices(words[: 15 if k % 2 else 30], k=r.randint(1, 25))) + "!" * (k % 3) for k in range(120))]
+    docs = spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate(texts)], "doc_id long, text string, lang string, y int").repartition(3)
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(1, len(texts))], "doc_id long, quality int, toxic int")
+    model = factorisation.fit(factorisation.training_rows(docs, labels))
+    w0, w, v = pickle.loads(model)
+    got = {x["key"]: x for x in factorisation.classify(docs, labels).collect()}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        x = {}
+        for slot, value in zip(*(a.tolist() for a in factorisation.features(t)), strict=True):
+            x[slot] = x.get(slot, 0.0) + value
+        own = sorted(x)
+        z = w0 + sum(w[i] * x[i] for i in own) + sum(float(v[i] @ v[j]) * x[i] * x[j] for a, i in enumerate(own) for j in own[a + 1 :])
+        # a slot that two features share meets itself no more than once in the identity
+        score = 1 / (1 + math.exp(-z))
+        assert got[k]["score"] == pytest.approx(score, rel=1e-9, abs=1e-9) and got[k]["predicted"] == int(got[k]["score"] >= 0.3)
+        assert got[k]["held_out"] == (zlib.crc32(str(k).encode()) % 5 == 0)
