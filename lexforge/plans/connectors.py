@@ -159,16 +159,17 @@ SELECT query, value FROM e UNION ALL SELECT 'nobody', NULL
 
 
 def source_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes and checksums of files: one for each of three texts."""
+    """Sizes and checksums of files: all items as text in five files."""
     path = shared_dir(spark)
-    rows = table(spark, sf_dir, "benchmark").filter("item_id < 3")
-    for k in range(3):
-        rows.filter(F.col("item_id") == k).select(F.concat(F.lit("item "), F.col("item_id").cast("string"), F.lit(" of the manifest")).alias("value")).coalesce(1).write.text(f"{path}/{k}")
-    found = R.checksums(spark, f"{path}/*/*.txt")
-    return found.select(F.regexp_extract("path", r"/([0-9])/part-[^/]*$", 1).cast("int").alias("item"), "length", "sha256").filter("length > 0")
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("value"), F.pmod("item_id", F.lit(5)).alias("part"))
+    rows.repartition("part").sortWithinPartitions("part", "item_id").drop("item_id").write.partitionBy("part").text(path)
+    found = R.checksums(spark, f"{path}/part=*/*.txt")
+    return found.select(F.regexp_extract("path", r"part=([0-9])/", 1).cast("int").alias("part"), "length", "sha256")
 
 
-CHECKSUMS = "SELECT item_id::INT AS item, length('item ' || item_id || ' of the manifest') + 1 AS length, sha256('item ' || item_id || ' of the manifest' || chr(10)) AS sha256 FROM benchmark WHERE item_id < 3"
+CHECKSUMS = """
+WITH f AS (SELECT (item_id % 5)::INT AS part, encode(string_agg(coalesce(text, ''), chr(10) ORDER BY item_id) || chr(10)) AS t FROM benchmark GROUP BY 1) SELECT part, octet_length(t)::BIGINT AS length, sha256(t) AS sha256 FROM f
+"""
 
 
 def sink_error_csv(spark: SparkSession, sf_dir: str) -> DataFrame:

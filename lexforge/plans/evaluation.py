@@ -220,6 +220,26 @@ def published_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 PUBLISHED = "SELECT page_id, CASE WHEN page_id % 5 < 4 THEN (DATE '2020-01-01' + (page_id % 1000)::INT)::VARCHAR END AS published FROM pages"
 
 
+def claim_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews in pages' structured data: plain, in a graph with a scale, nested, broken, of two blobs, and none."""
+    i = F.col("page_id")
+    text = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y.cast("string") for y in x])
+    blob = lambda *x: text('<script type="application/ld+json">', *x, "</script>")
+    plain = blob('{"@type": "ClaimReview", "claimReviewed": " Claim ', i, ' ", "datePublished": "2024-03-05T10:00", "reviewRating": {"alternateName": "Mostly false", "ratingValue": 2}}')
+    graph = blob('{"@graph": [{"@type": "WebPage"}, {"@type": ["Thing", "ClaimReview"], "claimReviewed": ["Graph ', i, '"], "reviewRating": {"ratingValue": ', i % 11, ', "worstRating": "0", "bestRating": 10}}]}')
+    nested = blob('{"@type": "NewsArticle", "mainEntity": {"parts": [{"@type": "ClaimReview", "claimReviewed": "Deep ', i, '", "datePublished": "2023-01-02", "reviewRating": [{"name": "True"}]}]}}')
+    put = F.when(i % 6 == 0, plain).when(i % 6 == 1, graph).when(i % 6 == 2, nested).when(i % 6 == 3, blob('{"@type": "ClaimReview", ')).when(i % 6 == 4, F.concat(plain, nested)).otherwise("")
+    r = H.review(F.concat(F.coalesce("html", F.lit("")), put))
+    return table(spark, sf_dir, "pages").select("page_id", r.alias("r")).select("page_id", "r.claim_reviewed", "r.rating", "r.date")
+
+
+REVIEWS = """
+SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'Claim ' || page_id WHEN 1 THEN 'Graph ' || page_id WHEN 2 THEN 'Deep ' || page_id WHEN 4 THEN 'Deep ' || page_id END AS claim_reviewed,
+  CASE page_id % 6 WHEN 0 THEN 'Mostly false' WHEN 1 THEN CASE WHEN page_id % 11 >= 8 THEN 'true' WHEN page_id % 11 <= 2 THEN 'false' ELSE 'mixed' END WHEN 2 THEN 'True' WHEN 4 THEN 'True' END AS rating,
+  CASE page_id % 6 WHEN 0 THEN '2024-03-05' WHEN 2 THEN '2023-01-02' WHEN 4 THEN '2023-01-02' END AS date FROM pages
+"""
+
+
 def settings_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thresholds from a file of "name: value" lines with comments and a section, over the built-in ones."""
     path = shared_dir(spark)
@@ -279,8 +299,8 @@ z AS (SELECT *, CASE WHEN share >= 0.5 THEN share * 0.9::DOUBLE ELSE share * 0.4
 SELECT doc_id, refuted AND sides >= {V.Fusion().mismatch_p} AS mismatch_headline, CASE WHEN refuted THEN round(sides, 4) END AS mismatch_p FROM r
 """
 
-QUERIES = {f.__name__: f for f in (live_claim_faults, dates_read, scale_ratings, stance_of_logits, agreement_report, run_report, top_errors, title_capitals, telling_terms, factcheck_answers, published_dates, settings_file, json_logs, corpus_summary, headline_mismatches)}
+QUERIES = {f.__name__: f for f in (live_claim_faults, dates_read, scale_ratings, stance_of_logits, agreement_report, run_report, top_errors, title_capitals, telling_terms, factcheck_answers, published_dates, settings_file, json_logs, corpus_summary, headline_mismatches, claim_reviews)}
 ORACLES = {
     "live_claim_faults": LIVE, "dates_read": DATES, "scale_ratings": SCALES, "stance_of_logits": LOGITS, "agreement_report": AGREEMENT, "run_report": RUNS, "top_errors": TOP_ERRORS, "title_capitals": CAPITALS, "telling_terms": TELLING,
-    "factcheck_answers": ANSWERS, "published_dates": PUBLISHED, "settings_file": SETTINGS, "json_logs": LOGS, "corpus_summary": SUMMARY, "headline_mismatches": MISMATCH,
+    "factcheck_answers": ANSWERS, "published_dates": PUBLISHED, "settings_file": SETTINGS, "json_logs": LOGS, "corpus_summary": SUMMARY, "headline_mismatches": MISMATCH, "claim_reviews": REVIEWS,
 }
