@@ -76,9 +76,16 @@ def _verified(found: DataFrame, left: DataFrame, right: DataFrame, threshold: fl
 
 
 def _candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, n_a, n_b) of sets whose prefixes share a shingle and whose sizes allow the threshold; repeated for each shared one."""
-    one, two = (x.select(F.col("pos").alias(p), F.col("size").alias(f"n_{p}"), F.explode("prefix").alias("h")) for x, p in ((left, "a"), (right, "b")))
-    return one.join(two, "h").filter(F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b"))
+    """(a, b, n_a, n_b) of sets whose prefixes share a shingle and whose sizes and places allow the threshold; repeated for each shared one.
+
+    If a shingle is the first that two sets share, they share no more than what follows it in the shorter rest: fewer than the threshold needs, and the pair
+    is dropped before it is shuffled. The first one of a pair at the threshold always stays.
+    """
+    one, two = (x.select(F.col("pos").alias(p), F.col("size").alias(f"n_{p}"), F.size("shared").alias(f"m_{p}"), F.posexplode("prefix").alias(f"i_{p}", "h")) for x, p in ((left, "a"), (right, "b")))
+    sizes = F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b")
+    rest = F.least(F.col("m_a") - F.col("i_a"), F.col("m_b") - F.col("i_b"))
+    places = rest * (1 + threshold) >= F.lit(threshold) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    return one.join(two, "h").filter(sizes & places).select("h", "a", "n_a", "b", "n_b")
 
 
 def near_pairs(df: DataFrame, pos: str, text: str = "text", threshold: float = NEAR) -> DataFrame:

@@ -8,8 +8,9 @@ which there are ABBREVIATIONS_MOST at most, the surest first.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -79,6 +80,22 @@ def is_order_or_question(sentence: str) -> bool:
     return sentence.rstrip().endswith("?") or bool(words) and words[0] in ORDERS
 
 
+def is_order(sentence: Column) -> Column:
+    """Whether a sentence opens with the bare form of a common verb of orders."""
+    return F.lower(F.regexp_extract(sentence, r"[\p{L}']+", 0)).isin(sorted(ORDERS))
+
+
+def splitter(known: list[str]) -> Callable[[Column], Column]:
+    """A function of columns that splits texts into arrays of sentences by given abbreviations."""
+    held = frozenset(known)
+
+    @F.pandas_udf("array<string>")
+    def split(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: split_text(t or "", held))
+
+    return split
+
+
 def sentence_rows(df: DataFrame, key: str, text: str = "text", known: list[str] | None = None) -> DataFrame:
     """(key, place, sentence, skipped) of every sentence; skipped: a question or an order, which is no claim. known: abbreviations, else those of df itself."""
     held = df.sparkSession.sparkContext.broadcast(frozenset(abbreviations(df, text) if known is None else known))

@@ -17,6 +17,8 @@ from lexforge.functions import text as X
 from lexforge.functions.dates import parse_date, years_named
 from lexforge.functions.urls import domain_of, with_tier
 from lexforge.operators import retrieve as R
+from lexforge.operators import sentences as N
+from lexforge.operators import serving as S
 from lexforge.operators import verify as V
 from lexforge.storage import materialize
 
@@ -31,27 +33,34 @@ def config(spark: SparkSession, cfg: V.Fusion | None = None) -> DataFrame:
     return spark.createDataFrame([(k, float(v)) for k, v in asdict(cfg or V.Fusion()).items()], "name string, value double")
 
 
-def classify(inputs: DataFrame) -> DataFrame:
-    """inputs with p_fake by the registered classifier; one that is given stays."""
+def classify(inputs: DataFrame, model: S.LinearModel | None = None, key: str = "input_id") -> DataFrame:
+    """inputs with p_fake by a saved model, or by the registered classifier; one that is given stays."""
+    if model is not None:
+        whole = inputs.select(key, X.model_input(F.col("title"), F.col("text")).alias("text"))
+        found = S.batch_scores(whole, key, "text", model, "fake").withColumnsRenamed({"key": "__key", "p": "__p"})
+        joined = inputs.join(found, F.col(key) == F.col("__key"), "left")
+        given = F.coalesce("p_fake", "__p") if "p_fake" in inputs.columns else F.col("__p")
+        return joined.withColumn("p_fake", F.round(given, 4)).drop("__key", "__p")
     p = C.scorer("p_fake")(F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))
     return inputs.withColumn("p_fake", F.coalesce("p_fake", p) if "p_fake" in inputs.columns else p)
 
 
-def identify_claims(inputs: DataFrame, k: int = TOP_CLAIMS) -> DataFrame:
+def identify_claims(inputs: DataFrame, k: int = TOP_CLAIMS, known: list[str] | None = None) -> DataFrame:
     """(input_id, claim_no, claim, score, v, is_title): the title first, then the sentences most worth a check, near repeats left out.
 
-    Headlines are one claim. Sentences under six words and questions go, but a text of one sentence is kept with score 1.
+    known: abbreviations of the corpus (sentences.abbreviations), by which texts are split; else a full stop and a blank always end a sentence.
+    Headlines are one claim. Sentences under six words, questions and orders go, but a text of one sentence is kept with score 1.
     At most 4k candidates of an input are compared, in an array; no pairs leave their row.
     """
     body = F.substring(F.coalesce("text", F.lit("")), 1, TEXT_CHARS)
     title = X.stripped(F.coalesce("title", F.lit("")))
     headline = F.col("input_type") == "headline"
-    sents = F.when(headline, F.array().cast("array<string>")).otherwise(X.sentences(body))
+    sents = F.when(headline, F.array().cast("array<string>")).otherwise(X.sentences(body) if known is None else N.splitter(known)(body))
     own = inputs.select("input_id", F.when(headline, F.substring(F.when(title != "", title).otherwise(body), 1, TITLE_CHARS)).otherwise(title).alias("t"), sents.alias("s"))
     rows = own.select("input_id", F.size("s").alias("n"), F.posexplode(F.concat(F.array("t"), "s")).alias("i", "claim")).filter("claim <> ''")
     names, numbers = F.size(C.scorer("names")(F.col("claim"))) > 0, F.col("claim").rlike("[0-9]")
     score = F.when((F.col("i") == 0) | (F.col("n") == 1), F.lit(1.0)).otherwise(X.check_worthiness(F.col("claim"), F.col("i") - 1, names, numbers))
-    good = (F.col("i") == 0) | (F.col("n") == 1) | ((X.n_tokens(F.col("claim")) >= 6) & ~F.trim("claim").endswith("?"))
+    good = (F.col("i") == 0) | (F.col("n") == 1) | ((X.n_tokens(F.col("claim")) >= 6) & ~F.trim("claim").endswith("?") & ~N.is_order(F.col("claim")))
     order = W.Window.partitionBy("input_id").orderBy((F.col("i") == 0).desc(), F.col("score").desc(), "i")
     ranked = rows.filter(good).withColumn("score", score).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= 4 * k)
     item = F.struct("r", "claim", "score", (F.col("i") == 0).alias("is_title"), C.scorer("embed")(F.col("claim")).alias("v"))
@@ -91,14 +100,17 @@ def headline_mismatch(inputs: DataFrame, cfg: V.Fusion | None = None, key: str =
     return scored.select(key, flag.alias("mismatch_headline"), p.alias("mismatch_p"))
 
 
-def analyze(inputs: DataFrame, index: DataFrame, cfg: V.Fusion | None = None, excluded: DataFrame | None = None, use_evidence: bool = True, use_temporal: bool = True, use_classifier: bool = True, least: float = MIN_COSINE) -> DataFrame:
-    """A verdict for each input (input_id, input_type, title, text, url, published): rule, verdict, confidence, explanation, uncertainty, signals."""
+def analyze(inputs: DataFrame, index: DataFrame, cfg: V.Fusion | None = None, excluded: DataFrame | None = None, use_evidence: bool = True, use_temporal: bool = True, use_classifier: bool = True, least: float = MIN_COSINE, model: S.LinearModel | None = None, known: list[str] | None = None) -> DataFrame:
+    """A verdict for each input (input_id, input_type, title, text, url, published): rule, verdict, confidence, explanation, uncertainty, signals.
+
+    model: a saved classifier in place of the registered one; known: abbreviations of the corpus.
+    """
     cfg = cfg or V.Fusion()
-    own = classify(inputs) if use_classifier else inputs.withColumn("p_fake", F.lit(None).cast("double"))
+    own = classify(inputs, model) if use_classifier else inputs.withColumn("p_fake", F.lit(None).cast("double"))
     own = with_tier(own, "url").withColumnRenamed("tier", "input_tier").drop("weight")
     whole = F.concat_ws(" ", "title", "text")
     own = own.withColumns({"english": C.scorer("english")(whole), "satire": F.col("url").isNotNull() & (F.col("input_tier") == 0), "recency_cue": X.has_recency_cue(whole), "input_date": parse_date(F.col("published")), "domain": domain_of(F.col("url"))})
-    claims = identify_claims(own.filter("english AND NOT satire"))
+    claims = identify_claims(own.filter("english AND NOT satire"), known=known)
     claims = materialize(claims)
     ev = materialize(assign_stance(gather_evidence(claims, index, excluded, least=least), cfg))  # both are read many times below
     if not use_evidence:
