@@ -33,7 +33,7 @@ from lexforge.llm.common import materialize, slices
 
 MAX_TOKENS, BUCKETS, BATCH_TOKENS, SLICE_BYTES = 2048, 16, 32_768, 1 << 20
 #: Offsets by length and task are broadcast up to so many rows; more are joined by an exchange.
-OFFSET_ROWS = 500_000
+OFFSET_ROWS = 200_000
 
 
 def optimal_bounds(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int]:
