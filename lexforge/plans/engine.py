@@ -33,7 +33,7 @@ def config(spark: SparkSession, cfg: V.Fusion | None = None) -> DataFrame:
     return spark.createDataFrame([(k, float(v)) for k, v in asdict(cfg or V.Fusion()).items()], "name string, value double")
 
 
-def classify(inputs: DataFrame, model: S.LinearModel | None = None, key: str = "input_id") -> DataFrame:
+def classify(inputs: DataFrame, model: S.LinearModel | S.WideModel | None = None, key: str = "input_id") -> DataFrame:
     """inputs with p_fake by a saved model, or by the registered classifier; one that is given stays."""
     if model is not None:
         whole = inputs.select(key, X.model_input(F.col("title"), F.col("text")).alias("text"))
@@ -100,7 +100,7 @@ def headline_mismatch(inputs: DataFrame, cfg: V.Fusion | None = None, key: str =
     return scored.select(key, flag.alias("mismatch_headline"), p.alias("mismatch_p"))
 
 
-def analyze(inputs: DataFrame, index: DataFrame, cfg: V.Fusion | None = None, excluded: DataFrame | None = None, use_evidence: bool = True, use_temporal: bool = True, use_classifier: bool = True, least: float = MIN_COSINE, model: S.LinearModel | None = None, known: list[str] | None = None) -> DataFrame:
+def analyze(inputs: DataFrame, index: DataFrame, cfg: V.Fusion | None = None, excluded: DataFrame | None = None, use_evidence: bool = True, use_temporal: bool = True, use_classifier: bool = True, least: float = MIN_COSINE, model: S.LinearModel | S.WideModel | None = None, known: list[str] | None = None) -> DataFrame:
     """A verdict for each input (input_id, input_type, title, text, url, published): rule, verdict, confidence, explanation, uncertainty, signals.
 
     model: a saved classifier in place of the registered one; known: abbreviations of the corpus.
